@@ -11,3 +11,14 @@ V_LETTER_SCORES = """v_letter_scores AS (
   SELECT vec_id AS item_id, label AS gold, CAST(i - 1 AS INT) AS letter_idx, chr(CAST(64 + i AS INT)) AS letter,
          CAST(embedding[i] AS DOUBLE) AS score
   FROM embeddings, generate_series(1, 10) t(i))"""
+
+
+V_CORPUS = """v_corpus AS (
+  SELECT source AS shard, doc_id, text, lang,
+         row_number() OVER (ORDER BY source, doc_id) - 1 AS idx,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS row_group
+  FROM documents)"""
+
+V_PART_IDX = """v_part_idx AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part)"""
+V_SUPPLIER_IDX = """v_supplier_idx AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier)"""

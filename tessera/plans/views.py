@@ -26,3 +26,25 @@ def v_letter_scores(spark: SparkSession, sf: str) -> DataFrame:
             .select("item_id", "gold", "letter_idx",
                     F.expr("char(65 + letter_idx)").alias("letter"),
                     F.col("score").cast("double").alias("score")))
+
+
+def v_corpus(spark: SparkSession, sf: str, rows_per_group: int = 8) -> DataFrame:
+    """documents as a sharded corpus: shard = source, pos = rank of doc_id in the
+    shard, row_group = pos div 8, idx = dense index by (shard, doc_id)."""
+    from tessera.operators.order import dense_index
+    d = table(spark, sf, "documents").select(F.col("source").alias("shard"), "doc_id", "text", "lang")
+    g = dense_index(d, ["shard", "doc_id"])
+    starts = g.groupBy("shard").agg(F.min("idx").alias("_s"))  # partial aggregate per shard
+    return (g.join(starts, "shard").withColumn("pos", F.col("idx") - F.col("_s")).drop("_s")
+            .withColumn("row_group", (F.col("pos") / rows_per_group).cast("bigint")))
+
+
+def v_part_idx(spark: SparkSession, sf: str) -> DataFrame:
+    """part with a dense idx by p_partkey."""
+    from tessera.operators.order import dense_index
+    return dense_index(table(spark, sf, "part"), "p_partkey")
+
+
+def v_supplier_idx(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators.order import dense_index
+    return dense_index(table(spark, sf, "supplier"), "s_suppkey")
