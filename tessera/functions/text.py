@@ -184,3 +184,33 @@ def counting_walkthrough(word, letter) -> Column:
                         F.when(ch == l_, F.concat(F.lit(" hit! count="), k.cast("string"))).otherwise(F.lit("")),
                         F.lit("\n"))
     return F.array_join(F.transform(chars, line), "")
+
+
+# ---------------------------------------------------------------- B9 / B10
+def split_tool_calls(c) -> Column:
+    """GSM8K answer -> ordered parts ``array<struct<type, text>>``.
+
+    ``split`` cannot keep delimiters, so calls are first fenced by a control
+    character.  Inside a call the last ``=`` separates expression and result
+    (no ``=``: result ``''``).  Empty text parts are kept.
+    """
+    sep = "\u0001"
+    pieces = F.split(F.regexp_replace(_c(c), "(" + K.TOOL_CALL_RE + ")", sep + "$1" + sep), sep, -1)
+
+    def part(t, x):
+        return F.struct(F.lit(t).alias("type"), x.alias("text"))
+
+    def expand(p):
+        is_call = p.startswith("<<") & p.endswith(">>") & (F.length(p) >= 4)
+        inner = p.substr(F.lit(3), F.length(p) - 4)
+        has_eq = inner.contains("=")
+        result = F.when(has_eq, F.substring_index(inner, "=", -1)).otherwise(F.lit(""))
+        expr = F.when(has_eq, inner.substr(F.lit(1), F.length(inner) - F.length(result) - 1)).otherwise(inner)
+        return F.when(is_call, F.array(part("python", expr), part("python_output", result))).otherwise(
+            F.array(part("text", p)))
+    return F.flatten(F.transform(pieces, expand))
+
+
+def reference_answer(parts) -> Column:
+    """D1 over the text of the last part of the last assistant message."""
+    return extract_hash_number(F.element_at(_c(parts), -1).getField("text"))

@@ -22,3 +22,63 @@ V_CORPUS = """v_corpus AS (
 
 V_PART_IDX = """v_part_idx AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part)"""
 V_SUPPLIER_IDX = """v_supplier_idx AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier)"""
+
+
+V_GSM = """v_gsm AS (
+  SELECT l_orderkey, l_linenumber,
+         'Order ' || l_orderkey || ' line ' || l_linenumber || ': how many units?' AS question,
+         'We have ' || q || ' x ' || l_linenumber || ' = <<' || q || '*' || l_linenumber || '=' || a || '>>' || a
+           || ' units.' || chr(10) || 'Doubled: <<' || a || '*2=' || b || '>>' || b || '.' || chr(10) || '#### ' || b AS answer,
+         CASE l_orderkey % 3 WHEN 0 THEN 'So the answer is' || chr(10) || '#### ' || format('{:,}', b)
+                                           || CASE WHEN l_linenumber = 1 THEN '.' ELSE '' END
+                             WHEN 1 THEN '#### ' || (b + 1) ELSE 'I am not sure.' END AS completion
+  FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q, CAST(l_quantity AS BIGINT) * l_linenumber AS a,
+               CAST(l_quantity AS BIGINT) * l_linenumber * 2 AS b FROM lineitem))"""
+
+V_MC = f"""v_mc AS (
+  SELECT p_partkey AS item_id, p_name AS question, [p_brand, p_type, 'size ' || p_size, p_name] AS choices,
+         ['A', 'B', 'C', 'D'] AS letters, CAST({md5_draw(42, 'p_partkey')} % 4 AS INT) AS answer,
+         p_type AS subject, p_size
+  FROM part)"""
+
+V_LETTERS = """v_letters AS (
+  SELECT item_id, subject, chr(CAST(65 + answer AS INT)) AS gold,
+         CASE item_id % 4 WHEN 0 THEN 'The best answer is (' || said || ')'
+                          WHEN 1 THEN 'It is (A) or (' || said || ')'
+                          WHEN 2 THEN 'the best answer is ' || lower(said)
+                          ELSE 'No idea.' END AS completion
+  FROM (SELECT *, chr(CAST(65 + (answer + p_size % 2) % 4 AS INT)) AS said FROM v_mc))"""
+
+V_MATH = r"""v_math AS (
+  SELECT o_orderkey AS item_id, 'What is the total of order ' || o_orderkey || '?' AS problem,
+         format('{:,}', v) AS answer,
+         CASE o_orderkey % 5
+           WHEN 0 THEN 'Final Answer: The final answer is $\boxed{' || format('{:,}', v) || '}$. I hope it is correct.'
+           WHEN 1 THEN 'so x = ' || v || ' and \boxed{' || v || ' dollars}'
+           WHEN 2 THEN 'Final Answer: The final answer is $' || v || '$. I hope'
+           WHEN 3 THEN 'The total is \text{' || (v + 1) || '}'
+           ELSE 'Final Answer: The final answer is $\boxed{}$. I hope' END AS completion,
+         o_orderpriority AS subject, CAST(o_orderkey % 5 + 1 AS INT) AS level
+  FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS v FROM orders))"""
+
+V_CODE = """v_code AS (
+  SELECT p_partkey AS item_id,
+         CASE WHEN p_partkey % 2 = 1 THEN '# header' || chr(10) || chr(10) || 'import os' || chr(10) ELSE '' END
+           || 'import math' || chr(10) || 'from typing import List' || chr(10) || chr(10) || '# helper' || chr(10)
+           || 'def ' || fn || '(x):' || chr(10) || '    \"\"\"' || p_name || '\"\"\"' || chr(10) AS prompt,
+         CASE p_partkey % 6
+           WHEN 0 THEN 'Here:' || chr(10) || '```python' || chr(10) || 'def ' || fn || '(x):' || chr(10) || '    return x * ' || p_size || chr(10) || '```' || chr(10) || 'Done.'
+           WHEN 1 THEN '```' || chr(10) || 'def ' || fn || '(x):' || chr(10) || '    return x' || chr(10) || '```'
+           WHEN 2 THEN '```python' || chr(10) || 'def ' || fn || '(x):' || chr(10) || '    return 1' || chr(10)
+           WHEN 3 THEN 'def ' || fn || '(x):' || chr(10) || '    return 2'
+           WHEN 4 THEN '```python' || chr(10) || '```'
+           ELSE '   ' END AS completion,
+         fn AS entry_point, 'def check(c):' || chr(10) || '    assert c(1) is not None' AS test,
+         ['assert ' || fn || '(1) == 1', 'assert ' || fn || '(2) == 2'] AS test_list,
+         CASE WHEN p_partkey % 2 = 0 THEN ['import math'] ELSE CAST([] AS VARCHAR[]) END AS test_imports
+  FROM (SELECT *, 'f_' || p_partkey AS fn FROM part))"""
+
+V_WORDS = """v_words AS (
+  SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (
+    SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')
+  WHERE word <> '')"""

@@ -48,3 +48,104 @@ def v_part_idx(spark: SparkSession, sf: str) -> DataFrame:
 def v_supplier_idx(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.operators.order import dense_index
     return dense_index(table(spark, sf, "supplier"), "s_suppkey")
+
+
+def v_gsm(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as GSM8K-style problems: two ``<<a*b=c>>`` calls and ``#### n``;
+    the completion is right (0), wrong (1) or missing (2) by ``l_orderkey % 3``;
+    right answers on line 1 end with ``.`` (kept, so they grade wrong)."""
+    li = table(spark, sf, "lineitem")
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    ln = F.col("l_linenumber").cast("string")
+    a = (F.col("l_quantity").cast("bigint") * F.col("l_linenumber"))
+    b = a * 2
+    answer = F.concat(F.lit("We have "), q, F.lit(" x "), ln, F.lit(" = <<"), q, F.lit("*"), ln, F.lit("="),
+                      a.cast("string"), F.lit(">>"), a.cast("string"), F.lit(" units.\nDoubled: <<"),
+                      a.cast("string"), F.lit("*2="), b.cast("string"), F.lit(">>"), b.cast("string"),
+                      F.lit(".\n#### "), b.cast("string"))
+    m = F.col("l_orderkey") % 3
+    completion = (F.when(m == 0, F.concat(F.lit("So the answer is\n#### "), F.format_number(b, 0),
+                                          F.when(F.col("l_linenumber") == 1, F.lit(".")).otherwise(F.lit(""))))
+                  .when(m == 1, F.concat(F.lit("#### "), (b + 1).cast("string")))
+                  .otherwise(F.lit("I am not sure.")))
+    return li.select("l_orderkey", "l_linenumber",
+                     F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" line "), ln,
+                              F.lit(": how many units?")).alias("question"),
+                     answer.alias("answer"), completion.alias("completion"))
+
+
+def v_mc(spark: SparkSession, sf: str) -> DataFrame:
+    """part as four-choice questions; answer = md5 draw mod 4; subject = p_type."""
+    p = table(spark, sf, "part")
+    choices = F.array(F.col("p_brand"), F.col("p_type"), F.concat(F.lit("size "), F.col("p_size").cast("string")),
+                      F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("question"),
+                    choices.alias("choices"), F.array(*[F.lit(x) for x in "ABCD"]).alias("letters"),
+                    (md5_draw(42, F.col("p_partkey")) % 4).cast("int").alias("answer"),
+                    F.col("p_type").alias("subject"), "p_size")
+
+
+def v_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """v_mc completions by ``item_id % 4``: 'The best answer is (X)', '(A) or (X)',
+    lower case, and none; X is right when ``p_size`` is even."""
+    m = v_mc(spark, sf)
+    gold = F.expr("char(65 + answer)")
+    said = F.expr("char(65 + (answer + p_size % 2) % 4)")
+    k = F.col("item_id") % 4
+    completion = (F.when(k == 0, F.concat(F.lit("The best answer is ("), said, F.lit(")")))
+                  .when(k == 1, F.concat(F.lit("It is (A) or ("), said, F.lit(")")))
+                  .when(k == 2, F.concat(F.lit("the best answer is "), F.lower(said)))
+                  .otherwise(F.lit("No idea.")))
+    return m.select("item_id", "subject", gold.alias("gold"), completion.alias("completion"))
+
+
+def v_math(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as MATH problems: answer = total price as '1,234'; five completion
+    forms by ``o_orderkey % 5`` (boxed sentence, late \\boxed, bare $X$, no box, empty box)."""
+    o = table(spark, sf, "orders")
+    v = F.round("o_totalprice").cast("bigint")
+    vs = v.cast("string")
+    k = F.col("o_orderkey") % 5
+    answer = F.format_number(v, 0)
+    completion = (F.when(k == 0, F.concat(F.lit("Final Answer: The final answer is $\\boxed{"), answer,
+                                          F.lit("}$. I hope it is correct.")))
+                  .when(k == 1, F.concat(F.lit("so x = "), vs, F.lit(" and \\boxed{"), vs, F.lit(" dollars}")))
+                  .when(k == 2, F.concat(F.lit("Final Answer: The final answer is $"), vs, F.lit("$. I hope")))
+                  .when(k == 3, F.concat(F.lit("The total is \\text{"), (v + 1).cast("string"), F.lit("}")))
+                  .otherwise(F.lit("Final Answer: The final answer is $\\boxed{}$. I hope")))
+    return o.select(F.col("o_orderkey").alias("item_id"),
+                    F.concat(F.lit("What is the total of order "), F.col("o_orderkey").cast("string"), F.lit("?")).alias("problem"),
+                    answer.alias("answer"), completion.alias("completion"),
+                    F.col("o_orderpriority").alias("subject"), ((F.col("o_orderkey") % 5) + 1).cast("int").alias("level"))
+
+
+def v_code(spark: SparkSession, sf: str) -> DataFrame:
+    """part as code problems with six completion forms by ``p_partkey % 6``."""
+    p = table(spark, sf, "part")
+    fn = F.concat(F.lit("f_"), F.col("p_partkey").cast("string"))
+    sz = F.col("p_size").cast("string")
+    prompt = F.concat(F.when(F.col("p_partkey") % 2 == 1, F.lit("# header\n\nimport os\n")).otherwise(F.lit("")),
+                      F.lit("import math\nfrom typing import List\n\n# helper\ndef "), fn, F.lit("(x):\n    \"\"\""),
+                      F.col("p_name"), F.lit("\"\"\"\n"))
+    k = F.col("p_partkey") % 6
+    completion = (F.when(k == 0, F.concat(F.lit("Here:\n```python\ndef "), fn, F.lit("(x):\n    return x * "), sz,
+                                          F.lit("\n```\nDone.")))
+                  .when(k == 1, F.concat(F.lit("```\ndef "), fn, F.lit("(x):\n    return x\n```")))
+                  .when(k == 2, F.concat(F.lit("```python\ndef "), fn, F.lit("(x):\n    return 1\n")))
+                  .when(k == 3, F.concat(F.lit("def "), fn, F.lit("(x):\n    return 2")))
+                  .when(k == 4, F.lit("```python\n```"))
+                  .otherwise(F.lit("   ")))
+    t1 = F.concat(F.lit("assert "), fn, F.lit("(1) == 1"))
+    t2 = F.concat(F.lit("assert "), fn, F.lit("(2) == 2"))
+    imports = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("import math"))).otherwise(F.array().cast("array<string>"))
+    return p.select(F.col("p_partkey").alias("item_id"), prompt.alias("prompt"), completion.alias("completion"),
+                    fn.alias("entry_point"), F.lit("def check(c):\n    assert c(1) is not None").alias("test"),
+                    F.array(t1, t2).alias("test_list"), imports.alias("test_imports"))
+
+
+def v_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct lower-case ASCII words of the English documents, dense idx by word."""
+    from tessera.operators.order import dense_index
+    d = table(spark, sf, "documents").where(F.col("lang") == "en")
+    w = d.select(F.explode(F.split(F.lower("text"), "[^a-z]+", -1)).alias("word")).where(F.col("word") != "").distinct()
+    return dense_index(w, "word")
