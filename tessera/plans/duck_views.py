@@ -82,3 +82,12 @@ V_WORDS = """v_words AS (
   SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (
     SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')
   WHERE word <> '')"""
+
+
+V_CONV_ROWS = """v_conv_rows AS (
+  SELECT conv_id, turn, role, text,
+         conv_id % 5 = 0 AND role = 'assistant' AND contains(text, chr(10)) AS is_parts
+  FROM (SELECT conv_id, turn, text,
+               CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN 'assistant' ELSE role END AS role
+        FROM (SELECT conv_id, CASE WHEN conv_id % 7 = 3 AND turn > 1 THEN turn - 1 ELSE turn END AS turn, role, text
+              FROM conversations WHERE NOT (conv_id % 7 = 3 AND turn = 1))))"""

@@ -149,3 +149,17 @@ def v_words(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where(F.col("lang") == "en")
     w = d.select(F.explode(F.split(F.lower("text"), "[^a-z]+", -1)).alias("word")).where(F.col("word") != "").distinct()
     return dense_index(w, "word")
+
+
+def v_conv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations with data-derived defects: conv % 7 == 3 loses turn 1
+    (renumbered), conv % 11 == 5 starts with an assistant, and for conv % 5 == 0
+    multi-line assistant texts play list (parts) content."""
+    c = table(spark, sf, "conversations")
+    k7 = F.col("conv_id") % 7 == 3
+    c = c.where(~(k7 & (F.col("turn") == 1))).withColumn(
+        "turn", F.when(k7 & (F.col("turn") > 1), F.col("turn") - 1).otherwise(F.col("turn")))
+    c = c.withColumn("role", F.when((F.col("conv_id") % 11 == 5) & (F.col("turn") == 0), F.lit("assistant"))
+                     .otherwise(F.col("role")))
+    return c.withColumn("is_parts", (F.col("conv_id") % 5 == 0) & (F.col("role") == "assistant")
+                        & F.col("text").contains("\n"))
