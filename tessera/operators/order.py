@@ -126,3 +126,60 @@ def chain_tasks(dfs: list[DataFrame], idx: str = "idx") -> DataFrame:
     offs = length_offsets(lengths, "task_idx")
     return (u.join(broadcast_small(offs, "task lengths"), "task_idx")
             .withColumn(idx, F.col("offset") + F.col("local_idx")).drop("offset", "n"))
+
+
+def _next_prime(n: int) -> int:
+    def is_prime(p):
+        if p < 2:
+            return False
+        i = 2
+        while i * i <= p:
+            if p % i == 0:
+                return False
+            i += 1
+        return True
+    p = max(n, 2)
+    while not is_prime(p):
+        p += 1
+    return p
+
+
+def fewshot_indices(df: DataFrame, k: int, seed: int, n: int, idx: str = "idx", out: str = "shot_idx") -> DataFrame:
+    """F9 core: per item ``k`` distinct other indices in [0, n), deterministic.
+
+    For a prime ``P >= n`` the walk ``(b + j*a) mod P`` (a != 0) visits every
+    residue once, so among its first ``k + (P - n) + 1`` steps at least ``k``
+    land in ``[0, n)`` and differ from the item: exact, no all-pairs join.
+    ``a``, ``b`` are md5 draws of the item (reproducible in SQL).
+    """
+    if not 0 <= k < n:
+        raise ValueError("need 0 <= k < n")
+    P = _next_prime(n)
+    m = k + (P - n) + 1
+    key = F.col(idx).cast("string")
+    a = F.lit(1) + F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:a:"), key)), 1, 8), 16, 10).cast("bigint") % (P - 1)
+    b = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:b:"), key)), 1, 8), 16, 10).cast("bigint") % P
+    walk = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.pmod(b + j.cast("bigint") * a, F.lit(P)))
+    ok = F.filter(walk, lambda x: (x < n) & (x != F.col(idx)))
+    return df.withColumn(out, F.slice(ok, 1, k))
+
+
+def sample_fewshot(df: DataFrame, k: int, seed: int = 1234, idx: str = "idx", fields: list[str] | None = None,
+                   out: str = "shots") -> DataFrame:
+    """attach ``k`` shots (distinct, never the item itself) as an ordered array.
+
+    Shot rows are fetched by an equi join on ``idx`` (each row is referenced
+    about ``k`` times on average, uniformly), then regrouped per item; a
+    group holds exactly ``k`` rows.  ``k == 0`` gives empty arrays.
+    """
+    fields = fields or [c for c in df.columns if c != idx]
+    shot_struct = F.struct(*[F.col(c) for c in fields])
+    if k == 0:
+        return df.withColumn(out, F.filter(F.array(shot_struct), lambda x: F.lit(False)))
+    n = df.count()
+    with_ix = fewshot_indices(df.select(idx), k, seed, n, idx)
+    pairs = with_ix.select(F.col(idx).alias("_item"), F.posexplode("shot_idx").alias("_j", idx))
+    shots = pairs.join(df.select(idx, shot_struct.alias("_s")), idx)
+    grouped = shots.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_j", "_s"))).alias("_g"))
+    return (df.join(grouped.withColumnRenamed("_item", idx), idx, "left")
+            .withColumn(out, F.transform("_g", lambda x: x.getField("_s"))).drop("_g"))

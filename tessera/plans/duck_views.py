@@ -91,3 +91,32 @@ V_CONV_ROWS = """v_conv_rows AS (
                CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN 'assistant' ELSE role END AS role
         FROM (SELECT conv_id, CASE WHEN conv_id % 7 = 3 AND turn > 1 THEN turn - 1 ELSE turn END AS turn, role, text
               FROM conversations WHERE NOT (conv_id % 7 = 3 AND turn = 1))))"""
+
+
+V_ICL_BASE = """v_icl_base AS (
+  SELECT item_id, q AS query, CASE WHEN contains(text, '. ') THEN substr(text, length(q) + 3) ELSE '' END AS continuation,
+         row_number() OVER (ORDER BY item_id) - 1 AS idx
+  FROM (SELECT *, split_part(text, '. ', 1) AS q FROM benchmark))"""
+V_ICL_MC = """v_icl_mc AS (SELECT idx, item_id, query, [continuation, 'not ' || continuation, query, query || '?'] AS choices,
+                     CAST(item_id % 4 AS INT) AS gold FROM v_icl_base)"""
+V_ICL_SCHEMA = """v_icl_schema AS (SELECT idx, item_id, [query, query || ' too', 'Maybe ' || query] AS context_options,
+                     continuation, CAST(item_id % 3 AS INT) AS gold FROM v_icl_base)"""
+V_ICL_LM = """v_icl_lm AS (SELECT idx, item_id, query || ' ' || chr(10) AS context, continuation FROM v_icl_base)"""
+V_GPQA = """v_gpqa AS (
+  SELECT s_suppkey AS item_id, 'Which supplier ships from ' || n_name || ' as ' || s_name || '?' AS Question,
+         s_name AS correct, s_name || ' Ltd' AS incorrect1, ' ' || n_name || ' ' AS incorrect2, r_name AS incorrect3,
+         r_name AS domain, n_name AS subdomain
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def fewshot_sql(view: str, k: int, seed: int) -> str:
+    """CTE ``shots(idx, j, shot_idx)``: the prime-walk few-shot draw of order.fewshot_indices."""
+    return f"""nn AS (SELECT count(*) AS n FROM {view}),
+pr AS (SELECT min(p) AS P FROM nn, range(nn.n, 2 * nn.n + 3) t(p)
+       WHERE p >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, CAST(floor(sqrt(p)) AS BIGINT) + 1) d(x) WHERE p % x = 0)),
+wk AS (SELECT v.idx, list_filter(list_transform(range(0, {k} + (pr.P - nn.n) + 1),
+          lambda j: ((('0x' || substr(md5('{seed}:b:' || CAST(v.idx AS VARCHAR)), 1, 8))::BIGINT % pr.P)
+                     + j * (1 + ('0x' || substr(md5('{seed}:a:' || CAST(v.idx AS VARCHAR)), 1, 8))::BIGINT % (pr.P - 1))) % pr.P),
+          lambda x: x < nn.n AND x <> v.idx)[1:{k}] AS shot_list
+       FROM {view} v, nn, pr),
+shots AS (SELECT idx, unnest(generate_series(1, len(shot_list))) AS j, unnest(shot_list) AS shot_idx FROM wk)"""

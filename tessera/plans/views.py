@@ -50,11 +50,14 @@ def v_supplier_idx(spark: SparkSession, sf: str) -> DataFrame:
     return dense_index(table(spark, sf, "supplier"), "s_suppkey")
 
 
-def v_gsm(spark: SparkSession, sf: str) -> DataFrame:
+def v_gsm(spark: SparkSession, sf: str, keys=("l_orderkey", "l_linenumber")) -> DataFrame:
     """lineitem as GSM8K-style problems: two ``<<a*b=c>>`` calls and ``#### n``;
     the completion is right (0), wrong (1) or missing (2) by ``l_orderkey % 3``;
     right answers on line 1 end with ``.`` (kept, so they grade wrong)."""
-    li = table(spark, sf, "lineitem")
+    return table(spark, sf, "lineitem").select(*keys, *gsm_columns())
+
+
+def gsm_columns():
     q = F.col("l_quantity").cast("bigint").cast("string")
     ln = F.col("l_linenumber").cast("string")
     a = (F.col("l_quantity").cast("bigint") * F.col("l_linenumber"))
@@ -68,10 +71,9 @@ def v_gsm(spark: SparkSession, sf: str) -> DataFrame:
                                           F.when(F.col("l_linenumber") == 1, F.lit(".")).otherwise(F.lit(""))))
                   .when(m == 1, F.concat(F.lit("#### "), (b + 1).cast("string")))
                   .otherwise(F.lit("I am not sure.")))
-    return li.select("l_orderkey", "l_linenumber",
-                     F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" line "), ln,
-                              F.lit(": how many units?")).alias("question"),
-                     answer.alias("answer"), completion.alias("completion"))
+    return [F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" line "), ln,
+                     F.lit(": how many units?")).alias("question"),
+            answer.alias("answer"), completion.alias("completion")]
 
 
 def v_mc(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,3 +165,42 @@ def v_conv_rows(spark: SparkSession, sf: str) -> DataFrame:
                      .otherwise(F.col("role")))
     return c.withColumn("is_parts", (F.col("conv_id") % 5 == 0) & (F.col("role") == "assistant")
                         & F.col("text").contains("\n"))
+
+
+def v_icl_base(spark: SparkSession, sf: str) -> DataFrame:
+    """benchmark split at the first '. ': query/context before, continuation after."""
+    from tessera.operators.order import dense_index
+    b = table(spark, sf, "benchmark")
+    q = F.substring_index("text", ". ", 1)
+    cont = F.when(F.instr("text", ". ") > 0, F.col("text").substr(F.length(q) + 3, F.lit(1 << 30))).otherwise(F.lit(""))
+    return dense_index(b.select("item_id", q.alias("query"), cont.alias("continuation")), "item_id")
+
+
+def v_icl_mc(spark, sf):
+    b = v_icl_base(spark, sf)
+    return b.select("idx", "item_id", "query", F.array(F.col("continuation"), F.concat(F.lit("not "), F.col("continuation")),
+                                                          F.col("query"), F.concat(F.col("query"), F.lit("?"))).alias("choices"),
+                    (F.col("item_id") % 4).cast("int").alias("gold"))
+
+
+def v_icl_schema(spark, sf):
+    b = v_icl_base(spark, sf)
+    return b.select("idx", "item_id", F.array(F.col("query"), F.concat(F.col("query"), F.lit(" too")),
+                                              F.concat(F.lit("Maybe "), F.col("query"))).alias("context_options"),
+                    "continuation", (F.col("item_id") % 3).cast("int").alias("gold"))
+
+
+def v_icl_lm(spark, sf):
+    b = v_icl_base(spark, sf)
+    return b.select("idx", "item_id", F.concat(F.col("query"), F.lit(" \n")).alias("context"), "continuation")
+
+
+def v_gpqa(spark: SparkSession, sf: str) -> DataFrame:
+    """supplier names as GPQA answers; domain = region, subdomain = nation."""
+    s, n, r = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "region")
+    j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return j.select(F.col("s_suppkey").alias("item_id"),
+                    F.concat(F.lit("Which supplier ships from "), "n_name", F.lit(" as "), "s_name", F.lit("?")).alias("Question"),
+                    F.col("s_name").alias("correct"), F.concat("s_name", F.lit(" Ltd")).alias("incorrect1"),
+                    F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("incorrect2"), F.col("r_name").alias("incorrect3"),
+                    F.col("r_name").alias("domain"), F.col("n_name").alias("subdomain"))
