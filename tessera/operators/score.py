@@ -133,12 +133,97 @@ def join_predictions(items: DataFrame, preds: DataFrame, keys: list[str], comple
 
 
 # ---------------------------------------------------------------- J1
-def running_accuracy(graded: DataFrame, part: list[str], order: str = "idx", correct: str = "correct") -> DataFrame:
+def running_accuracy(graded: DataFrame, part: list[str], order="idx", correct: str = "correct") -> DataFrame:
     """Correct so far / answered so far, per partition key in ``order``."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*part).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (graded.withColumn("n_so_far", F.count(F.lit(1)).over(w))
             .withColumn("correct_so_far", F.sum(F.col(correct).cast("int")).over(w).cast("bigint"))
             .withColumn("running_accuracy", F.col("correct_so_far") / F.col("n_so_far")))
 
 
 LN2 = math.log(2.0)
+
+
+# ---------------------------------------------------------------- H2 / I9 / I10
+def lookup_token_bytes(tokens: DataFrame, token_bytes: DataFrame, target: str = "target",
+                       token: str = "token", n_bytes: str = "n_bytes") -> DataFrame:
+    """H2: target id -> byte length through a vocabulary-sized (checked) broadcast;
+    negative ids and unknown tokens count 0 bytes."""
+    tb = broadcast_small(token_bytes.select(F.col(token).alias("_tok"), F.col(n_bytes).alias("_nb")), "token bytes")
+    return (tokens.join(tb, F.col(target) == F.col("_tok"), "left")
+            .withColumn(n_bytes, F.when(F.col(target) < 0, 0).otherwise(F.coalesce(F.col("_nb"), F.lit(0))))
+            .drop("_tok", "_nb"))
+
+
+def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, group: list[str] | None = None,
+                  loss: str = "loss", target: str = "target") -> DataFrame:
+    """``sum(loss where bytes > 0) / (ln 2 * sum(bytes))``; ``inf`` when no bytes.
+
+    Masked positions are filtered (a NaN there does not poison the sum).
+    """
+    j = lookup_token_bytes(losses, token_bytes, target)
+    nb = F.col("n_bytes")
+    agg = j.groupBy(*(group or [])).agg(F.sum(F.when(nb > 0, F.col(loss)).otherwise(F.lit(0.0))).alias("sum_nats"),
+                                        F.sum(nb).cast("bigint").alias("sum_bytes"))
+    return agg.withColumn("bpb", F.when(F.col("sum_bytes") > 0, F.col("sum_nats") / (F.lit(LN2) * F.col("sum_bytes")))
+                          .otherwise(F.lit(float("inf"))))
+
+
+# ---------------------------------------------------------------- I6 / I7
+def score_options(losses: DataFrame, spans: DataFrame, item: str = "item_id", option: str = "option_idx",
+                  gold: str = "gold") -> DataFrame:
+    """Mean loss over positions ``[start-1, end-1)`` per option; prediction =
+    the first option of least mean (an empty span never wins); correct if = gold."""
+    j = losses.join(spans.select(item, option, "start", "end"), [item, option])
+    in_span = (F.col("pos") >= F.col("start") - 1) & (F.col("pos") < F.col("end") - 1)
+    means = j.where(in_span).groupBy(item, option).agg(F.avg("loss").alias("mean_loss"))
+    best = means.groupBy(item).agg(F.min(F.struct("mean_loss", option)).alias("_b"))
+    golds = spans.select(item, gold).distinct()
+    return (best.join(golds, item).select(item, F.col("_b").getField(option).alias("pred"),
+                                          F.col("_b").getField("mean_loss").alias("best_mean"), gold)
+            .withColumn("correct", F.col("pred") == F.col(gold)))
+
+
+def score_exact_continuation(losses: DataFrame, spans: DataFrame, item: str = "item_id",
+                             option: str = "option_idx") -> DataFrame:
+    """Every prediction on the span equals the actual next token
+    (the prediction at ``i`` is for token ``i + 1``)."""
+    j = losses.join(spans.select(item, option, "start", "end"), [item, option])
+    cur = j.where((F.col("pos") >= F.col("start") - 1) & (F.col("pos") < F.col("end") - 1))
+    nxt = losses.select(item, option, (F.col("pos") - 1).alias("pos"), F.col("token").alias("next_token"))
+    pairs = cur.join(nxt, [item, option, "pos"], "left")
+    return pairs.groupBy(item, option).agg(
+        F.bool_and(F.coalesce(F.col("pred_token") == F.col("next_token"), F.lit(False))).alias("correct"))
+
+
+# ---------------------------------------------------------------- I13
+def exec_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Outcome class per recorded execution (passed / timeout / memory / error /
+    no_code_extracted)."""
+    cls = (F.when(~F.col("has_code"), "no_code_extracted").when(F.col("success"), "passed")
+           .when(F.col("timeout"), "timeout").when(F.col("memory_exceeded"), "memory").otherwise("error"))
+    return outcomes.withColumn("outcome", cls)
+
+
+# ---------------------------------------------------------------- J4
+def error_streaks(log: DataFrame, key: list[str], order: list[str], status: str = "status",
+                  threshold: int = K.STREAK_THRESHOLD, start: int = K.STREAK_START_BUDGET,
+                  floor: int = K.STREAK_MIN_BUDGET) -> DataFrame:
+    """Consecutive-400 streaks and the halved token budget, per key in time order.
+
+    Gaps and islands: an island starts after each success; inside it the
+    400s are counted; every ``threshold + 1``-th one halves the budget (floor
+    ``floor``) and restarts the counter; other failures leave the counter.
+    """
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is400 = F.col(status) == 400
+    ok = F.col(status) == 200
+    log = log.withColumn("_island", F.sum(ok.cast("int")).over(w))
+    wi = Window.partitionBy(*key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = F.sum(is400.cast("int")).over(wi)
+    log = log.withColumn("_c", c).withColumn("_halve", (is400 & (F.col("_c") % (threshold + 1) == 0)).cast("int"))
+    halvings = F.sum("_halve").over(w)
+    return (log.withColumn("halvings", halvings.cast("int"))
+            .withColumn("streak", (F.col("_c") % (threshold + 1)).cast("int"))
+            .withColumn("budget", F.greatest(F.expr(f"shiftright({int(start)}, least(halvings, 30))"), F.lit(floor)))
+            .drop("_island", "_c", "_halve"))

@@ -120,3 +120,17 @@ wk AS (SELECT v.idx, list_filter(list_transform(range(0, {k} + (pr.P - nn.n) + 1
           lambda x: x < nn.n AND x <> v.idx)[1:{k}] AS shot_list
        FROM {view} v, nn, pr),
 shots AS (SELECT idx, unnest(generate_series(1, len(shot_list))) AS j, unnest(shot_list) AS shot_idx FROM wk)"""
+
+
+V_LOSSES = """v_losses AS (
+  SELECT l_orderkey // 4 AS item_id, CAST(l_orderkey % 4 AS INT) AS option_idx, l_linenumber AS pos,
+         (l_partkey % 64) / 16.0 AS loss, l_partkey % 5 AS token, l_suppkey % 5 AS pred_token,
+         CASE WHEN l_linenumber = 7 THEN -1 ELSE l_partkey END AS target FROM lineitem)"""
+V_SPANS = """v_spans AS (
+  SELECT item_id, option_idx, 2 + option_idx % 2 AS start, 2 + option_idx % 2 + 2 + item_id % 3 AS "end",
+         CAST(item_id % 4 AS INT) AS gold FROM (SELECT DISTINCT item_id, option_idx FROM v_losses))"""
+V_TOKEN_BYTES = """v_token_bytes AS (SELECT p_partkey AS token, p_size % 5 AS n_bytes FROM part)"""
+V_LOG = """v_log AS (SELECT event_id, ts, user_id, event_type,
+  CASE event_type WHEN 'error' THEN 400 WHEN 'signup' THEN 500 ELSE 200 END AS status FROM events)"""
+V_OUTCOMES = """v_outcomes AS (SELECT event_id, ts, user_id AS problem, event_type = 'purchase' AS success,
+  event_type = 'view' AS timeout, event_type = 'signup' AS memory_exceeded, event_type <> 'click' AS has_code FROM events)"""

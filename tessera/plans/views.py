@@ -204,3 +204,44 @@ def v_gpqa(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("s_name").alias("correct"), F.concat("s_name", F.lit(" Ltd")).alias("incorrect1"),
                     F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("incorrect2"), F.col("r_name").alias("incorrect3"),
                     F.col("r_name").alias("domain"), F.col("n_name").alias("subdomain"))
+
+
+def v_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as a long loss table: item = orderkey div 4, option = orderkey % 4,
+    pos = linenumber, loss = (partkey % 64) / 16 (exact binary fractions, so sums
+    do not depend on order); line 7 targets play ignore (-1)."""
+    li = table(spark, sf, "lineitem")
+    item = (F.col("l_orderkey") / 4).cast("bigint")
+    return li.select(item.alias("item_id"), (F.col("l_orderkey") % 4).cast("int").alias("option_idx"),
+                     F.col("l_linenumber").alias("pos"), ((F.col("l_partkey") % 64) / 16.0).alias("loss"),
+                     (F.col("l_partkey") % 5).alias("token"), (F.col("l_suppkey") % 5).alias("pred_token"),
+                     F.when(F.col("l_linenumber") == 7, F.lit(-1)).otherwise(F.col("l_partkey")).alias("target"))
+
+
+def v_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """A span per (item, option): start = 2 + option % 2, end = start + 2 + item % 3; gold = item % 4."""
+    lo = v_losses(spark, sf).select("item_id", "option_idx").distinct()
+    start = F.lit(2) + F.col("option_idx") % 2
+    return lo.select("item_id", "option_idx", start.alias("start"), (start + 2 + F.col("item_id") % 3).alias("end"),
+                     (F.col("item_id") % 4).cast("int").alias("gold"))
+
+
+def v_token_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """part as a vocabulary: token = p_partkey, bytes = p_size % 5 (0 plays a special token)."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("token"), (F.col("p_size") % 5).alias("n_bytes"))
+
+
+def v_log(spark: SparkSession, sf: str) -> DataFrame:
+    """events as an API call log: error -> 400, signup -> 500, the rest 200."""
+    e = table(spark, sf, "events")
+    st = F.when(F.col("event_type") == "error", 400).when(F.col("event_type") == "signup", 500).otherwise(200)
+    return e.select("event_id", "ts", "user_id", "event_type", st.alias("status"))
+
+
+def v_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """events as recorded executions; problem = user_id."""
+    e = table(spark, sf, "events")
+    t = F.col("event_type")
+    return e.select("event_id", "ts", F.col("user_id").alias("problem"), (t == "purchase").alias("success"),
+                    (t == "view").alias("timeout"), (t == "signup").alias("memory_exceeded"),
+                    (t != "click").alias("has_code"))
