@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_conv, q_grading, q_order, q_prompts, q_scoring, q_seq  # noqa: F401
+from tessera.plans import q_conv, q_grading, q_order, q_prompts, q_report, q_scoring, q_seq  # noqa: F401
 from tessera.plans.registry import ORACLE, QUERIES
 
 

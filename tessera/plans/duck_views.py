@@ -134,3 +134,30 @@ V_LOG = """v_log AS (SELECT event_id, ts, user_id, event_type,
   CASE event_type WHEN 'error' THEN 400 WHEN 'signup' THEN 500 ELSE 200 END AS status FROM events)"""
 V_OUTCOMES = """v_outcomes AS (SELECT event_id, ts, user_id AS problem, event_type = 'purchase' AS success,
   event_type = 'view' AS timeout, event_type = 'signup' AS memory_exceeded, event_type <> 'click' AS has_code FROM events)"""
+
+
+V_SECTIONS = """v_sections AS (
+  SELECT n_nationkey, n_name, stage, stage_no,
+    '## ' || stage || ' evaluation' || chr(10) || 'timestamp: ' ||
+    CASE WHEN n_nationkey % 7 = 0 AND stage = 'sft' THEN 'unknown' ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END ||
+    chr(10) || '- CORE: ' || printf('%.4f', ((n_nationkey * 37 + stage_no * 11 + 1) % 100) / 100.0) ||
+    chr(10) || '- ChatCORE: ' || printf('%.4f', ((n_nationkey * 37 + stage_no * 11 + 2) % 100) / 100.0) ||
+    chr(10) || '- GSM8K: ' || printf('%.4f', ((n_nationkey * 37 + stage_no * 11 + 3) % 100) / 100.0) ||
+    chr(10) || '- MMLU: ' || printf('%.4f', ((n_nationkey * 37 + stage_no * 11 + 4) % 100) / 100.0) ||
+    chr(10) || '- MMLU: ' || printf('%.4f', ((n_nationkey * 37 + stage_no * 11 + 5) % 100) / 100.0) || chr(10) AS text
+  FROM (SELECT n_nationkey, n_name, s.stage_no, s.stage FROM nation,
+          (VALUES (0, 'base'), (1, 'sft'), (2, 'rl')) s(stage_no, stage)) g
+  LEFT JOIN (SELECT o_custkey % 25 AS nk, CAST(o_orderkey % 3 AS INT) AS sn, max(o_orderdate) AS t FROM orders GROUP BY 1, 2) x
+    ON x.nk = g.n_nationkey AND x.sn = g.stage_no)"""
+
+V_DEVICES = f"""v_devices AS (
+  SELECT s_suppkey, ['NVIDIA H100 80GB HBM3', 'NVIDIA A100-SXM4-40GB', 'Tesla V100-SXM2-16GB', 'NVIDIA GeForce RTX 4090',
+                     'NVIDIA H100 PCIe'][CAST({md5_draw(3, 's_suppkey')} % 5 + 1 AS INT)] AS device,
+         CAST(s_suppkey % 8 + 1 AS INT) AS n_devices, round(abs(s_acctbal) / 1000.0, 3) AS hours FROM supplier)"""
+
+V_RUNS = """v_runs AS (
+  SELECT event_id, 'model-' || CAST(user_id % 5 AS VARCHAR) AS model,
+         CASE WHEN event_id % 7 = 0 THEN 'SpellingBee' WHEN event_type = 'click' THEN 'ARC-Easy'
+              WHEN event_type = 'view' THEN 'ARC-Challenge' WHEN event_type = 'purchase' THEN 'MMLU'
+              WHEN event_type = 'signup' THEN 'GSM8K' ELSE 'HumanEval' END AS task,
+         round((value % 100) / 100.0, 4) AS accuracy, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM events)"""

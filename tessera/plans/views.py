@@ -245,3 +245,49 @@ def v_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "ts", F.col("user_id").alias("problem"), (t == "purchase").alias("success"),
                     (t == "view").alias("timeout"), (t == "signup").alias("memory_exceeded"),
                     (t != "click").alias("has_code"))
+
+
+def v_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """nation x stage (base, sft, rl) report sections as markdown text.
+
+    The timestamp is the latest order date of the nation's customers (by
+    ``o_custkey % 25``) in that stage's third of the orders; for nations
+    ``% 7 == 0`` the sft timestamp is unparsable.  Metric values derive from keys.
+    """
+    n, o = table(spark, sf, "nation"), table(spark, sf, "orders")
+    ts = (o.groupBy((F.col("o_custkey") % 25).alias("n_nationkey"), (F.col("o_orderkey") % 3).cast("int").alias("stage_no"))
+          .agg(F.max("o_orderdate").alias("t")))
+    stages = F.explode(F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage"))
+                                 for i, s in enumerate(["base", "sft", "rl"])]))
+    grid = n.select("n_nationkey", "n_name", stages.alias("_s")).select("n_nationkey", "n_name", "_s.*")
+    g = grid.join(ts, ["n_nationkey", "stage_no"], "left")
+    def val(m):
+        return F.format_string("%.4f", ((F.col("n_nationkey") * 37 + F.col("stage_no") * 11 + m) % 100) / 100.0)
+    tstr = F.when((F.col("n_nationkey") % 7 == 0) & (F.col("stage") == "sft"), F.lit("unknown")).otherwise(
+        F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
+    text = F.concat(F.lit("## "), F.col("stage"), F.lit(" evaluation\ntimestamp: "), tstr,
+                    F.lit("\n- CORE: "), val(1), F.lit("\n- ChatCORE: "), val(2), F.lit("\n- GSM8K: "), val(3),
+                    F.lit("\n- MMLU: "), val(4), F.lit("\n- MMLU: "), val(5), F.lit("\n"))
+    return g.select("n_nationkey", "n_name", "stage", "stage_no", text.alias("text"))
+
+
+def v_devices(spark: SparkSession, sf: str) -> DataFrame:
+    """supplier runs on literal device names chosen by md5 draw; hours from the balance."""
+    s = table(spark, sf, "supplier")
+    names = F.array(*[F.lit(x) for x in ["NVIDIA H100 80GB HBM3", "NVIDIA A100-SXM4-40GB", "Tesla V100-SXM2-16GB",
+                                         "NVIDIA GeForce RTX 4090", "NVIDIA H100 PCIe"]])
+    dev = F.element_at(names, (md5_draw(3, F.col("s_suppkey")) % 5 + 1).cast("int"))
+    return s.select("s_suppkey", dev.alias("device"), (F.col("s_suppkey") % 8 + 1).cast("int").alias("n_devices"),
+                    F.round(F.abs(F.col("s_acctbal")) / 1000.0, 3).alias("hours"))
+
+
+def v_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """events as run summaries: model = user_id % 5, task from the event type
+    (every 7th event is SpellingBee), accuracy = value scaled to [0, 1]."""
+    e = table(spark, sf, "events")
+    task = (F.when(F.col("event_id") % 7 == 0, "SpellingBee").when(F.col("event_type") == "click", "ARC-Easy")
+            .when(F.col("event_type") == "view", "ARC-Challenge").when(F.col("event_type") == "purchase", "MMLU")
+            .when(F.col("event_type") == "signup", "GSM8K").otherwise("HumanEval"))
+    return e.select("event_id", F.concat(F.lit("model-"), (F.col("user_id") % 5).cast("string")).alias("model"),
+                    task.alias("task"), F.round((F.col("value") % 100) / 100.0, 4).alias("accuracy"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
