@@ -230,3 +230,57 @@ def slugs_q(spark, sf):
     sec = F.concat(F.lit("Chat "), "s_name", F.lit(" Evaluation"))
     return s.select("s_suppkey", T.model_slug(name).alias("model_slug"), T.csv_slug(name).alias("csv_slug"),
                     T.section_slug(sec).alias("section_slug"))
+
+
+@register("join_predictions", f"""WITH {DV.V_GSM},
+pr AS (SELECT l_orderkey, l_linenumber, completion FROM v_gsm WHERE l_orderkey % 3 <> 2),
+it AS (SELECT DISTINCT l_orderkey, l_linenumber, answer FROM v_gsm),
+j AS (SELECT it.l_orderkey, it.l_linenumber, answer, coalesce(pr.completion, '') AS completion
+      FROM it LEFT JOIN (SELECT DISTINCT * FROM pr) pr USING (l_orderkey, l_linenumber))
+SELECT count(*) AS n, CAST(sum(CAST(coalesce({D.hash_number('completion')} = {D.hash_number('answer')}, false) AS INT)) AS BIGINT) AS n_correct FROM j""")
+def join_predictions_q(spark, sf):
+    """H4 -> D1 -> I5 -> I1: problems left-joined with the responses that exist;
+    a missing response is '' and counts as wrong."""
+    g = v_gsm(spark, sf)
+    items = g.select("l_orderkey", "l_linenumber", "answer").distinct()
+    preds = g.where(F.col("l_orderkey") % 3 != 2).select("l_orderkey", "l_linenumber", "completion").distinct()
+    j = S.join_predictions(items, preds, ["l_orderkey", "l_linenumber"])
+    j = j.withColumn("pred", T.extract_hash_number("completion")).withColumn("ref", T.extract_hash_number("answer"))
+    a = S.accuracy(S.grade_exact(j, "pred", "ref"))
+    return a.select("n", "n_correct")
+
+
+@register("simple_spelling", f"""WITH {DV.V_WORDS},
+n AS (SELECT count(*) AS n FROM v_words),
+ex AS (SELECT i, {DV.md5_draw('spell', 'i + 10000000')} % n.n AS w FROM n, range(0, n.n) t(i))
+SELECT i AS idx, 'Spell the word: ' || word AS user_text, word || ':' || array_to_string(string_split(word, ''), ',') AS assistant_text
+FROM ex JOIN v_words ON v_words.idx = ex.w""")
+def simple_spelling_q(spark, sf):
+    """As many test examples as words: md5-drawn word (test seeds offset by
+    10,000,000), 'Spell the word: w' -> D13."""
+    from tessera import constants as K
+    w = v_words(spark, sf)
+    n = w.count()
+    ex = spark.range(n).select(F.col("id").alias("i"),
+                               (md5_draw("spell", F.col("id") + K.SPELLING_TEST_SEED_OFFSET) % n).alias("w"))
+    j = ex.join(w, ex.w == w.idx)
+    return j.select(F.col("i").alias("idx"), F.concat(F.lit("Spell the word: "), "word").alias("user_text"),
+                    T.spell("word").alias("assistant_text"))
+
+
+@register("complete_with")
+def complete_with_q(spark, sf):
+    """M4: a toy user callback (echo the gold answer, raise on every 7th problem)
+    over all GSM problems, then D1 + I5 + I1; failures count as wrong."""
+    from tessera.operators.ext import complete_with
+    g = v_gsm(spark, sf).withColumn("prompt", F.concat_ws("\u0002", "l_orderkey", "answer"))
+
+    def echo(p):
+        key, ans = p.split("\u0002", 1)
+        if int(key) % 7 == 0:
+            raise RuntimeError("provider error")
+        return ans
+    c = complete_with(g, echo)
+    c = c.withColumn("pred", T.extract_hash_number("completion")).withColumn("ref", T.extract_hash_number("answer"))
+    return S.accuracy_by(S.grade_exact(c, "pred", "ref"), [(F.col("error").isNotNull()).alias("failed")]) \
+        .select("failed", "n", "n_correct")
