@@ -123,3 +123,63 @@ def mbpp_messages(prompt, test_list, shots) -> Column:
 def render_messages(m) -> Column:
     """Messages as one string (``role: content`` blocks) for logs and comparisons."""
     return F.array_join(F.transform(_c(m), lambda x: F.concat(x.role, F.lit(": "), x.content)), "\n---\n")
+
+
+# ---------------------------------------------------------------- templates
+def fmt(template: str, **cols) -> Column:
+    """``str.format`` of a fixed template with column values (literal parts stay literals)."""
+    import string
+    parts = []
+    for text, field, _, _ in string.Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if field is not None:
+            parts.append(_c(cols[field]))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def gpqa_messages(question, choices, mode: str) -> Column:
+    """The four GPQA modes; few-shot adds a preamble turn and a fixed assistant
+    line; non-cot keeps only the last line of each example answer."""
+    from tessera import prompt_texts as PT
+    if mode not in PT.GPQA_MODES:
+        raise ValueError(f"unknown GPQA mode {mode!r}; expected one of {PT.GPQA_MODES}")
+    ch = [py_strip(F.element_at(_c(choices), i + 1)) for i in range(4)]
+    sys_msg = msg("system", F.lit(K.GPQA_SYSTEM))
+    if mode in ("0-shot", "0-shot-cot"):
+        tpl = PT.GPQA_ZERO_SHOT_PROMPT if mode == "0-shot" else PT.GPQA_ZERO_SHOT_COT_PROMPT
+        ext = PT.GPQA_ZERO_SHOT_ANSWER_EXTRACTION if mode == "0-shot" else PT.GPQA_ZERO_SHOT_COT_EXTRACTION
+        body = fmt(tpl, question=question, choice_a=ch[0], choice_b=ch[1], choice_c=ch[2], choice_d=ch[3])
+        return F.array(sys_msg, msg("user", F.concat(body, F.lit("\n\n" + ext))))
+    cot = mode == "few-shot-cot"
+    msgs = [sys_msg, msg("user", F.lit(PT.GPQA_FEW_SHOT_PREAMBLE)), msg("assistant", F.lit(PT.GPQA_FEW_SHOT_ACK))]
+    for q, a in PT.GPQA_FEW_SHOT_EXAMPLES:
+        msgs.append(msg("user", F.lit(q)))
+        msgs.append(msg("assistant", F.lit(a if cot else a.strip().split("\n")[-1])))
+    instruction = PT.GPQA_FEW_SHOT_FINAL_COT if cot else PT.GPQA_FEW_SHOT_FINAL_NO_COT
+    final = F.concat(F.lit("Question: "), _c(question), F.lit("\nChoices:\n"), format_gpqa_choices(choices),
+                     F.lit("\n\n" + instruction))
+    msgs.append(msg("user", final))
+    return F.array(*msgs)
+
+
+def math_shots() -> Column:
+    from tessera import prompt_texts as PT
+    return F.array(*[F.struct(F.lit(p).alias("problem"), F.lit(s).alias("solution")) for p, s in PT.MATH_FEW_SHOT])
+
+
+def mbpp_shots() -> Column:
+    from tessera import prompt_texts as PT
+    return F.array(*[F.struct(F.lit(u).alias("user"), F.lit(a).alias("assistant")) for u, a in PT.MBPP_FEW_SHOT])
+
+
+def letter_question(letter, word, template_idx, lower, letter_quote, word_quote, qmark) -> Column:
+    """SpellingBee user turn: template (by index into the fixed list),
+    optional lower case, optional quotes around letter and word, optional ``?``."""
+    from tessera import prompt_texts as PT
+    tpl = F.element_at(F.array(*[F.lit(t) for t in PT.SPELLING_TEMPLATES]), _c(template_idx) + 1)
+    tpl = F.when(_c(lower), F.lower(tpl)).otherwise(tpl)
+    lw = F.concat(_c(letter_quote), _c(letter), _c(letter_quote))
+    ww = F.concat(_c(word_quote), _c(word), _c(word_quote))
+    m = F.replace(F.replace(tpl, F.lit("{letter}"), lw), F.lit("{word}"), ww)
+    return F.concat(m, F.when(_c(qmark), F.lit("?")).otherwise(F.lit("")))
