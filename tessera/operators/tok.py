@@ -155,3 +155,62 @@ def decode(ids, merges: list[tuple[int, int]]) -> Column:
         enc = _encoding(key)
         return pd.Series([enc.decode(list(x)) for x in s])
     return _dec(F.col(ids) if isinstance(ids, str) else ids)
+
+
+# ---------------------------------------------------------------- E9
+# ---------------------------------------------------------------- fixed values
+BOS_RULES = [
+    (r"llama-?3|meta-llama-3", "<|begin_of_text|>"),
+    (r"llama-?2|llama-?1", "<s>"),
+    (r"gemma", "<bos>"),
+    (r"gpt2|gpt-2", "<|endoftext|>"),
+]
+BOS_CANDIDATES = ["<|bos|>", "<bos>", "<|endoftext|>", "<|begin_of_text|>", "<s>"]
+
+
+def resolve_bos(models: DataFrame, vocab: DataFrame, key: list[str], name: str = "model") -> DataFrame:
+    """The first rule whose regex matches the lower-case model name gives the
+    bos token; when that token is absent (or nothing matches) the first present
+    candidate is used.  ``vocab``: (token string, token_id)."""
+    from tessera.operators.report import first_match
+    from tessera.plans.guards import broadcast_small
+    spark = models.sparkSession
+    rules = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(BOS_RULES)], "rule_no int, pattern string, value string")
+    m = models.withColumn("_lname", F.lower(F.col(name)))
+    hit = first_match(m, rules, "_lname", key, kind="regex", out="_rule_token")
+    v = broadcast_small(vocab.select(F.col("token").alias("_rule_token"), F.col("token_id").alias("_rule_id")), "vocab")
+    cands = spark.createDataFrame(list(enumerate(BOS_CANDIDATES)), "rank int, token string")
+    fallback = (cands.join(vocab.select("token", "token_id"), "token")
+                .agg(F.min(F.struct("rank", "token_id")).getField("token_id")).scalar())
+    return hit.join(v, "_rule_token", "left").withColumn("bos_id", F.coalesce(F.col("_rule_id"), fallback)) \
+        .drop("_lname", "_rule_id")
+
+
+# ---------------------------------------------------------------- E10 / E11
+def trim_generation(ids, prompt_len, terminals: list[int], mask=None) -> tuple[Column, Column]:
+    """Cut at the first terminal token at or after the prompt end (terminal
+    not kept); mask 0 over the prompt, the generation mask (or 1) after."""
+    t, p = (F.col(ids) if isinstance(ids, str) else ids), (F.col(prompt_len) if isinstance(prompt_len, str) else prompt_len)
+    term = F.array(*[F.lit(x) for x in terminals])
+    hits = F.filter(F.transform(t, lambda x, i: F.when((i >= p) & F.array_contains(term, x), i)), lambda x: x.isNotNull())
+    cut = F.when(F.size(hits) > 0, F.array_min(hits)).otherwise(F.size(t))
+    out = F.slice(t, 1, cut)
+    gm = (F.col(mask) if isinstance(mask, str) else mask) if mask is not None else None
+    m = F.transform(out, lambda x, i: F.when(i < p, F.lit(0)).otherwise(
+        F.element_at(gm, i + 1) if gm is not None else F.lit(1)))
+    return out, m
+
+
+def tool_spans(ids, python_start: int, python_end: int) -> Column:
+    """Token spans between python_start and python_end; a new start resets
+    the span, an end outside a block is ignored, empty spans give no call."""
+    t = F.col(ids) if isinstance(ids, str) else ids
+    pos_of = lambda tok: F.filter(F.transform(t, lambda x, i: F.when(x == tok, i)), lambda x: x.isNotNull())
+    starts, ends = pos_of(python_start), pos_of(python_end)
+
+    def span(e):
+        s = F.array_max(F.filter(starts, lambda x: x < e))
+        prev = F.coalesce(F.array_max(F.filter(ends, lambda x: x < e)), F.lit(-1))
+        ok = s.isNotNull() & (s > prev) & (e - s > 1)
+        return F.when(ok, F.slice(t, s + 2, e - s - 1))
+    return F.filter(F.transform(ends, span), lambda x: x.isNotNull())

@@ -63,3 +63,13 @@ def test_code_extraction(spark):
     assert one(spark, T.extract_code("x"), "   ") is None
     src = "# c\n\nimport os\nfrom a import b\nx = 1\nimport late"
     assert one(spark, T.extract_imports("x"), src) == "import os\nfrom a import b"
+
+
+def test_calculator_gate_and_eval(spark):
+    from tessera.operators import audit as AU
+    exprs = ["12/60", "0.2*50", "2**10", "1,000+5", "'strawberry'.count('r')", "__import__('os')", "abc",
+             "7//2", "1/0", "\"hello\".count(\"l\")"]
+    df = spark.createDataFrame([(e,) for e in exprs], "e string")
+    got = [r.r for r in df.select(AU.use_calculator("e").alias("r")).collect()]
+    assert got == ["0.2", "10.0", None, "1005", "3", None, None, "3", None, "2"]
+    assert AU.safe_calc("2+") is None
