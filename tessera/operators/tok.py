@@ -214,3 +214,67 @@ def tool_spans(ids, python_start: int, python_end: int) -> Column:
         ok = s.isNotNull() & (s > prev) & (e - s > 1)
         return F.when(ok, F.slice(t, s + 2, e - s - 1))
     return F.filter(F.transform(ends, span), lambda x: x.isNotNull())
+
+
+# ---------------------------------------------------------------- E7 / E8
+def render_conversation(convs: DataFrame, merges: list[tuple[int, int]], max_tokens: int = 2048,
+                        conv: str = "conv_id", messages: str = "messages") -> DataFrame:
+    """Token ids and supervision mask per conversation.
+
+    ``messages``: ``array<struct<role, text, parts array<struct<type, text>>>>``
+    (``parts`` null for plain string content).  A leading system message is
+    merged into the first user message (B3).  bos, then per message its
+    start/end markers: mask 1 for assistant text, python calls (with their
+    markers) and assistant_end; 0 for bos, user turns, assistant_start and
+    python outputs (with markers).  Both arrays are cut at ``max_tokens``.
+
+    Texts are exploded to one row per part, encoded in one Arrow UDF, and the
+    per-part id arrays regrouped per conversation (a bounded group) in order.
+    """
+    sid = lambda n: special_id(merges, n)
+    m = F.col(messages)
+    first, second = F.element_at(m, 1), F.element_at(m, 2)
+    merged = F.when(first.getField("role") == "system", F.concat(
+        F.array(second.withField("text", F.concat(first.getField("text"), F.lit("\n\n"), second.getField("text")))),
+        F.slice(m, 3, F.greatest(F.size(m) - 2, F.lit(0))))).otherwise(m)
+    msgs = convs.select(conv, F.posexplode(merged).alias("turn", "msg"))
+    parts = F.coalesce(F.col("msg.parts"), F.array(F.struct(F.lit("text").alias("type"), F.col("msg.text").alias("text"))))
+    rows = msgs.select(conv, "turn", F.col("msg.role").alias("role"), F.posexplode(parts).alias("part", "p"))
+    rows = rows.select(conv, "turn", "role", "part", F.col("p.type").alias("type"),
+                       encode(F.col("p.text"), merges).alias("ids"))
+    role, typ, ids = F.col("role"), F.col("type"), F.col("ids")
+    is_user, is_asst = role == "user", role == "assistant"
+    one = lambda n: F.array(F.lit(sid(n)))
+    seg_ids = (F.when(is_user, F.concat(one("<|user_start|>"), ids, one("<|user_end|>")))
+               .when(typ == "python", F.concat(one("<|python_start|>"), ids, one("<|python_end|>")))
+               .when(typ == "python_output", F.concat(one("<|output_start|>"), ids, one("<|output_end|>")))
+               .otherwise(ids))
+    seg_mask = F.when(is_user | (typ == "python_output"), F.lit(0)).otherwise(F.lit(1))
+    segs = rows.select(conv, "turn", "part", role.alias("role"), seg_ids.alias("sids"),
+                       F.array_repeat(seg_mask, F.size(seg_ids)).alias("smask"))
+    # assistant start / end markers as extra segments around the parts
+    turns = segs.groupBy(conv, "turn", "role").agg(
+        F.sort_array(F.collect_list(F.struct("part", "sids", "smask"))).alias("ps"))
+    body_ids = F.flatten(F.transform("ps", lambda x: x.sids))
+    body_mask = F.flatten(F.transform("ps", lambda x: x.smask))
+    a = F.col("role") == "assistant"
+    t_ids = F.when(a, F.concat(one("<|assistant_start|>"), body_ids, one("<|assistant_end|>"))).otherwise(body_ids)
+    t_mask = F.when(a, F.concat(F.array(F.lit(0)), body_mask, F.array(F.lit(1)))).otherwise(body_mask)
+    per_turn = turns.select(conv, "turn", t_ids.alias("tids"), t_mask.alias("tmask"))
+    conv_rows = per_turn.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct("turn", "tids", "tmask"))).alias("ts"))
+    all_ids = F.concat(one("<|bos|>"), F.flatten(F.transform("ts", lambda x: x.tids)))
+    all_mask = F.concat(F.array(F.lit(0)), F.flatten(F.transform("ts", lambda x: x.tmask)))
+    return conv_rows.select(conv, F.slice(all_ids, 1, max_tokens).alias("ids"),
+                            F.slice(all_mask, 1, max_tokens).alias("mask"))
+
+
+def render_for_completion(convs: DataFrame, merges: list[tuple[int, int]], max_tokens: int = 2048,
+                          conv: str = "conv_id", messages: str = "messages") -> DataFrame:
+    """Drop the final assistant message (B4), render (E7), then append
+    assistant_start after the truncation.  Conversations not ending with an
+    assistant message are excluded (the reference asserts)."""
+    m = F.col(messages)
+    ok = F.element_at(m, -1).getField("role") == "assistant"
+    popped = convs.where(ok).withColumn(messages, F.slice(m, 1, F.size(m) - 1))
+    r = render_conversation(popped, merges, max_tokens, conv, messages)
+    return r.select(conv, F.concat("ids", F.array(F.lit(special_id(merges, "<|assistant_start|>")))).alias("ids"))

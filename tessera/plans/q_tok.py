@@ -86,3 +86,26 @@ def packing_stats_q(spark, sf):
     """kept / lost tokens and utilisation of the packing above."""
     docs, rows = _packed(spark, sf)
     return PK.packing_stats(docs, rows, 64)
+
+
+def _conv_messages(spark, sf):
+    from tessera.operators.conv import assemble_messages
+    a = assemble_messages(table(spark, sf, "conversations"))
+    return a.select("conv_id", F.transform("messages", lambda x: F.struct(
+        x.role.alias("role"), x.text.alias("text"),
+        F.lit(None).cast("array<struct<type:string,text:string>>").alias("parts"))).alias("messages"))
+
+
+@register("render_conversation")
+def render_conversation_q(spark, sf):
+    """Every conversation rendered to ids + mask, cut at 2048 tokens."""
+    r = TK.render_conversation(_conv_messages(spark, sf), merges_for(spark, sf))
+    return r.select("conv_id", F.size("ids").alias("n_ids"), F.size("mask").alias("n_mask"),
+                    F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_supervised"))
+
+
+@register("render_for_completion")
+def render_for_completion_q(spark, sf):
+    """Completion prompts (last assistant message dropped, assistant_start appended)."""
+    r = TK.render_for_completion(_conv_messages(spark, sf), merges_for(spark, sf))
+    return r.select("conv_id", F.size("ids").alias("n_ids"), F.element_at("ids", -1).alias("last_id"))

@@ -38,3 +38,23 @@ def test_pack_golden(spark):
     assert rows[0].tokens == [3] * 6 + [2] * 2
     assert rows[1].tokens == [1] * 5 + [4] * 3
     assert all(len(r.tokens) == 8 for r in rows)
+
+
+def test_render_mask_golden(spark):
+    merges = []
+    msgs = [("user", "hi", None),
+            ("assistant", None, [("text", "ok"), ("python", "1+1"), ("python_output", "2"), ("text", "!")])]
+    df = spark.createDataFrame([(1, [(r, t, p) for r, t, p in msgs])],
+                               "conv_id int, messages array<struct<role:string,text:string,"
+                               "parts:array<struct<type:string,text:string>>>>")
+    r = TK.render_conversation(df, merges).first()
+    sid = lambda n: TK.special_id(merges, n)
+    b = lambda s: list(s.encode())
+    want_ids = ([sid("<|bos|>"), sid("<|user_start|>")] + b("hi") + [sid("<|user_end|>"), sid("<|assistant_start|>")]
+                + b("ok") + [sid("<|python_start|>")] + b("1+1") + [sid("<|python_end|>"), sid("<|output_start|>")]
+                + b("2") + [sid("<|output_end|>")] + b("!") + [sid("<|assistant_end|>")])
+    want_mask = [0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 1, 1]
+    assert r.ids == want_ids
+    assert r.mask == want_mask
+    c = TK.render_for_completion(df, merges).first()
+    assert c.ids == [sid("<|bos|>"), sid("<|user_start|>")] + b("hi") + [sid("<|user_end|>"), sid("<|assistant_start|>")]
