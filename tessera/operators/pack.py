@@ -1,11 +1,12 @@
-"""Best-fit packing of token sequences into fixed-length rows.
+"""Best-fit packing of token sequences into fixed-length rows.
 
 Sequential by nature inside a lane, so each lane is one ordered stream:
 ``repartition(lane)`` + ``sortWithinPartitions(lane, order)`` and a
 ``mapInPandas`` that walks the stream with a bounded buffer.  Memory per task
 is the buffer (``buffer_size`` documents), never the lane; lanes run in
 parallel.  Lanes come from data (``idx % world``, as ranks), never from
-Spark's partition id, so the result does not depend on the cluster.
+Spark's partition id, so the result does not depend on the cluster.  The
+streaming form (L1) keeps the same per-lane state between micro-batches.
 """
 
 from __future__ import annotations
@@ -15,86 +16,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUT_SCHEMA = "lane bigint, row_no bigint, tokens array<int>, last_idx bigint, n_docs int, n_cropped int"
+OUT_COLS = ["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped"]
+STATE_SCHEMA = ("buf array<struct<idx:bigint,tokens:array<int>>>, pending array<struct<idx:bigint,tokens:array<int>>>, "
+                "row_no bigint")
 
 
-def _pack_lane_rows(T: int, buffer_size: int, refill: int):
-    cap = T + 1
+class LanePacker:
+    """Best-fit state of one lane: the document buffer, not-yet-added docs, row counter."""
 
-    def fn(batches):
-        lane, buf, row_no, pending = None, [], 0, []
+    def __init__(self, lane, T: int, buffer_size: int, refill: int, buf=None, pending=None, row_no: int = 0):
+        self.lane, self.cap, self.buffer_size, self.refill = lane, T + 1, buffer_size, refill
+        self.buf = list(buf or [])
+        self.pending = list(pending or [])
+        self.row_no = row_no
+
+    def _row(self):
+        row, pos, n_docs, cropped, last = [], 0, 0, 0, None
+        while pos < self.cap:
+            remaining = self.cap - pos
+            best, best_len = -1, 0
+            for i, (_, d) in enumerate(self.buf):  # largest that fits, first on ties
+                if best_len < len(d) <= remaining:
+                    best, best_len = i, len(d)
+            if best >= 0:
+                ix, d = self.buf.pop(best)
+                row.extend(d)
+                pos += len(d)
+            else:  # crop the shortest, first on ties
+                j = min(range(len(self.buf)), key=lambda i: len(self.buf[i][1]))
+                ix, d = self.buf.pop(j)
+                row.extend(d[:remaining])
+                cropped += len(d) - remaining
+                pos += remaining
+            n_docs += 1
+            last = ix if last is None else max(last, ix)
+        r = (self.lane, self.row_no, row, last, n_docs, cropped)
+        self.row_no += 1
+        return r
+
+    def feed(self, idx: int, tokens):
+        """Add one document; returns the rows completed while the buffer is full."""
         out = []
+        self.pending.append((int(idx), [int(t) for t in tokens]))
+        if len(self.pending) >= self.refill:
+            self.buf.extend(self.pending)
+            self.pending = []
+            while len(self.buf) >= self.buffer_size:
+                out.append(self._row())
+        return out
 
-        def build_row(final):
-            nonlocal row_no
-            row, pos, n_docs, cropped, last = [], 0, 0, 0, None
-            while pos < cap:
-                if not buf:
-                    return None
-                remaining = cap - pos
-                best, best_len = -1, 0
-                for i, (_, d) in enumerate(buf):
-                    if best_len < len(d) <= remaining:
-                        best, best_len = i, len(d)
-                if best >= 0:
-                    ix, d = buf.pop(best)
-                    row.extend(d)
-                    pos += len(d)
-                else:
-                    j = min(range(len(buf)), key=lambda i: len(buf[i][1]))
-                    ix, d = buf.pop(j)
-                    row.extend(d[:remaining])
-                    cropped += len(d) - remaining
-                    pos += remaining
-                n_docs += 1
-                last = ix if last is None else max(last, ix)
-            r = (lane, row_no, row, last, n_docs, cropped)
-            row_no += 1
-            return r
-
-        def drain():
-            # end of a lane: keep packing while a full row can still be filled
-            while buf and sum(len(d) for _, d in buf) >= cap:
-                r = build_row(True)
-                if r is None:
-                    break
-                out.append(r)
+    def drain(self):
+        """End of a finite lane: keep packing while a full row can still be filled."""
+        self.buf.extend(self.pending)
+        self.pending = []
+        out = []
+        while self.buf and sum(len(d) for _, d in self.buf) >= self.cap:
+            out.append(self._row())
+        return out
 
+
+def _pack_partition(T: int, buffer_size: int, refill: int, drain: bool):
+    def fn(batches):
+        packer = None
         for pdf in batches:
+            out = []
             for ln, ix, toks in zip(pdf["lane"], pdf["idx"], pdf["tokens"]):
-                if ln != lane:
-                    drain()
-                    lane, buf, row_no, pending = ln, [], 0, []
-                pending.append((int(ix), list(toks)))
-                if len(pending) >= refill:
-                    buf.extend(pending)
-                    pending = []
-                    while len(buf) >= buffer_size:
-                        r = build_row(False)
-                        if r is None:
-                            break
-                        out.append(r)
+                if packer is None or ln != packer.lane:
+                    if packer is not None and drain:
+                        out.extend(packer.drain())
+                    packer = LanePacker(ln, T, buffer_size, refill)
+                out.extend(packer.feed(ix, toks))
+            if out:
+                yield pd.DataFrame(out, columns=OUT_COLS)
+        if packer is not None and drain:
+            out = packer.drain()
             if out:
-                yield pd.DataFrame(out, columns=["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped"])
-                out = []
-        buf.extend(pending)
-        drain()
-        if out:
-            yield pd.DataFrame(out, columns=["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped"])
+                yield pd.DataFrame(out, columns=OUT_COLS)
     return fn
 
 
+def _lane_input(df: DataFrame, lane: str, order: str, tokens: str) -> DataFrame:
+    return df.select(F.col(lane).cast("bigint").alias("lane"), F.col(order).cast("bigint").alias("idx"),
+                     F.col(tokens).alias("tokens"))
+
+
 def pack_bestfit(df: DataFrame, T: int, buffer_size: int = 1000, refill: int = 128, lane: str = "lane",
-                 order: str = "idx", tokens: str = "tokens", num_partitions: int | None = None) -> DataFrame:
+                 order: str = "idx", tokens: str = "tokens", num_partitions: int | None = None,
+                 drain: bool = True) -> DataFrame:
     """rows of ``T + 1`` tokens: take the largest buffered document that fits
     (first on ties) until none fits, then crop the shortest (first on ties) to
     fill the row and discard its rest.  No padding; every document starts with
-    bos if the encoder prepended it.  A final partial row is dropped (see F7)."""
+    bos if the encoder prepended it.  ``drain``: at the end of a finite lane
+    keep filling rows from the remaining buffer; a final partial row is dropped
+    (see F7)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.select(F.col(lane).cast("bigint").alias("lane"), F.col(order).cast("bigint").alias("idx"),
-                   F.col(tokens).alias("tokens"))
-         .repartition(n, "lane").sortWithinPartitions("lane", "idx"))
-    return s.mapInPandas(_pack_lane_rows(T, buffer_size, refill), OUT_SCHEMA)
+    s = _lane_input(df, lane, order, tokens).repartition(n, "lane").sortWithinPartitions("lane", "idx")
+    return s.mapInPandas(_pack_partition(T, buffer_size, refill, drain), OUT_SCHEMA)
+
+
+def stream_pack(stream: DataFrame, T: int, buffer_size: int = 1000, refill: int = 128, lane: str = "lane",
+                order: str = "idx", tokens: str = "tokens") -> DataFrame:
+    """L1: F6 over an endless feed; the per-lane buffer is streaming state
+    (``applyInPandasWithState``, append mode).  Rows carry ``last_idx``, the
+    resume position; the file source checkpoint makes the feed resumable."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def fn(key, pdfs, state):
+        lane = key[0]
+        if state.exists:
+            buf, pending, row_no = state.get
+            packer = LanePacker(lane, T, buffer_size, refill, [(r[0], list(r[1])) for r in buf],
+                                [(r[0], list(r[1])) for r in pending], row_no)
+        else:
+            packer = LanePacker(lane, T, buffer_size, refill)
+        out = []
+        for pdf in pdfs:
+            for ix, toks in pdf.sort_values("idx")[["idx", "tokens"]].itertuples(index=False):
+                out.extend(packer.feed(ix, toks))
+        state.update((packer.buf, packer.pending, packer.row_no))
+        yield pd.DataFrame(out, columns=OUT_COLS) if out else pd.DataFrame(columns=OUT_COLS)
+    return (_lane_input(stream, lane, order, tokens).groupBy("lane")
+            .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
 
 
 def packing_stats(docs: DataFrame, rows: DataFrame, T: int, tokens: str = "tokens") -> DataFrame:

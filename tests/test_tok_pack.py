@@ -58,3 +58,22 @@ def test_render_mask_golden(spark):
     assert r.mask == want_mask
     c = TK.render_for_completion(df, merges).first()
     assert c.ids == [sid("<|bos|>"), sid("<|user_start|>")] + b("hi") + [sid("<|user_end|>"), sid("<|assistant_start|>")]
+
+
+def test_stream_pack_equals_batch(spark):
+    import tempfile
+    rows = [(i % 2, i, [i % 7 + 1] * (3 + (i * 5) % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "lane long, idx long, tokens array<int>")
+    src = tempfile.mkdtemp(prefix="tessera-pack-")
+    df.where("idx < 30").coalesce(1).write.parquet(f"{src}/a")
+    df.where("idx >= 30").coalesce(1).write.parquet(f"{src}/b")
+    batch = PK.pack_bestfit(df, 15, buffer_size=6, refill=2, drain=False)
+    want = sorted((r.lane, r.row_no, tuple(r.tokens)) for r in batch.collect())
+    stream = (spark.readStream.schema("lane long, idx long, tokens array<int>")
+              .option("maxFilesPerTrigger", 1).parquet(f"{src}/*"))
+    q = (PK.stream_pack(stream, 15, buffer_size=6, refill=2).writeStream.outputMode("append").format("memory")
+         .queryName("packed_stream").option("checkpointLocation", tempfile.mkdtemp(prefix="tessera-ck-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.lane, r.row_no, tuple(r.tokens)) for r in spark.sql("SELECT * FROM packed_stream").collect())
+    assert got == want and len(got) > 0
