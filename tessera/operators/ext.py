@@ -57,3 +57,75 @@ def complete_with(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt
                     err.append(f"{type(e).__name__}: {e}")
             yield pdf.assign(completion=pd.Series(comp, dtype=object), error=pd.Series(err, dtype=object))
     return base.mapInPandas(run, schema)
+
+
+# ---------------------------------------------------------------- M2
+@dataclass(frozen=True)
+class TokenizerSpec:
+    """Tokenizer protocol used by the encode/render operators: batch encode,
+    decode and the special-token ids (all picklable, shipped to executors)."""
+    encode_batch: Callable[[list[str]], list[list[int]]]
+    decode: Callable[[list[int]], str]
+    specials: dict
+
+
+TOKENIZERS: dict[str, TokenizerSpec] = {}
+
+
+def register_tokenizer(name: str, encode_batch, decode, specials: dict) -> TokenizerSpec:
+    """M2: register a tokenizer; specials must include ``<|bos|>`` or another bos candidate."""
+    from tessera.operators.tok import BOS_CANDIDATES
+    if not any(c in specials for c in BOS_CANDIDATES):
+        raise ValueError("tokenizer needs a bos special token")
+    spec = TokenizerSpec(encode_batch, decode, dict(specials))
+    TOKENIZERS[name] = spec
+    return spec
+
+
+def bpe_tokenizer(merges) -> TokenizerSpec:
+    """The package's own byte-level BPE as a TokenizerSpec."""
+    from tessera.operators import tok as TK
+    key = tuple(merges)
+    return TokenizerSpec(lambda texts: TK._encoding(key).encode_ordinary_batch(texts, num_threads=1),
+                         lambda ids: TK._encoding(key).decode(ids),
+                         {s: TK.special_id(list(merges), s) for s in TK.SPECIAL_TOKENS})
+
+
+def encode_with(col, spec: TokenizerSpec, prepend: int | None = None):
+    """Encode a text column with a registered tokenizer (Arrow batches)."""
+    from pyspark.sql import types as T_
+
+    @F.pandas_udf(T_.ArrayType(T_.IntegerType()))
+    def _enc(s: pd.Series) -> pd.Series:
+        ids = spec.encode_batch(s.fillna("").tolist())
+        pre = [prepend] if prepend is not None else []
+        return pd.Series([pre + list(x) for x in ids])
+    return _enc(F.col(col) if isinstance(col, str) else col)
+
+
+# ---------------------------------------------------------------- M3
+def score_with(df: DataFrame, fn: Callable, keys: list[str], tokens: str = "tokens") -> DataFrame:
+    """M3: a user scorer over batches of token sequences -> the long loss table
+    ``(keys, pos, token, loss, pred_token)``; the last position has no target,
+    so its loss and prediction are null.
+
+    ``fn(list_of_token_lists) -> list of (losses, preds)`` runs once per Arrow
+    batch inside ``mapInPandas`` (one model load per Python worker if the
+    caller caches it).
+    """
+    key_fields = [f for f in df.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + [T.StructField("pos", T.IntegerType()), T.StructField("token", T.IntegerType()),
+                                        T.StructField("loss", T.DoubleType()), T.StructField("pred_token", T.IntegerType())])
+
+    def run(batches):
+        for pdf in batches:
+            seqs = [list(map(int, t)) for t in pdf[tokens]]
+            scored = fn(seqs)
+            rows = []
+            for (_, r), seq, (losses, preds) in zip(pdf.iterrows(), seqs, scored):
+                for i, tok in enumerate(seq):
+                    last = i == len(seq) - 1
+                    rows.append([r[k] for k in keys] + [i, tok, None if last else float(losses[i]),
+                                                        None if last else int(preds[i])])
+            yield pd.DataFrame(rows, columns=keys + ["pos", "token", "loss", "pred_token"])
+    return df.select(*keys, tokens).mapInPandas(run, schema)

@@ -205,3 +205,19 @@ def error_streaks_q(spark, sf):
     """400-streaks and the max-token budget per user."""
     r = S.error_streaks(v_log(spark, sf), ["user_id"], ["ts", "event_id"])
     return r.select("user_id", "event_id", "streak", "halvings", F.col("budget").cast("int"))
+
+
+def _toy_scorer(seqs):
+    """Deterministic stand-in for a model: loss = token mod 7, prediction = (token + 1) mod 5."""
+    return [([t % 7 for t in s], [(t + 1) % 5 for t in s]) for s in seqs]
+
+
+@register("score_with", _SEQ_SQL + """
+SELECT item_id, option_idx, CAST(i - 1 AS INT) AS pos, CAST(tokens[i] AS INT) AS token,
+       CASE WHEN i < len(tokens) THEN CAST(tokens[i] % 7 AS DOUBLE) END AS loss,
+       CASE WHEN i < len(tokens) THEN CAST((tokens[i] + 1) % 5 AS INT) END AS pred_token
+FROM (SELECT *, unnest(generate_series(1, len(tokens))) AS i FROM sq)""")
+def score_with_q(spark, sf):
+    """M3: a toy user scorer turns every option sequence into the long loss table."""
+    from tessera.operators.ext import score_with
+    return score_with(_seqs(spark, sf), _toy_scorer, ["item_id", "option_idx"])
