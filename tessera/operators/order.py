@@ -183,3 +183,33 @@ def sample_fewshot(df: DataFrame, k: int, seed: int = 1234, idx: str = "idx", fi
     grouped = shots.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_j", "_s"))).alias("_g"))
     return (df.join(grouped.withColumnRenamed("_item", idx), idx, "left")
             .withColumn(out, F.transform("_g", lambda x: x.getField("_s"))).drop("_g"))
+
+
+def chunk_positions(df: DataFrame, key: list[str], order, chunk_rows: int = 100_000) -> DataFrame:
+    """Per-key 0-based position (skew-safe, see ``index_within``) and its chunk
+    ``pos div chunk_rows``; the unit for bounded per-key scans."""
+    g = index_within(df, key, order, out="_pos")
+    return g.withColumn("_chunk", (F.col("_pos") / chunk_rows).cast("bigint"))
+
+
+def chunked_running_sums(g: DataFrame, key: list[str], values: dict) -> DataFrame:
+    """Inclusive running sums per key in ``_pos`` order, without a per-key window.
+
+    ``values`` maps output name -> numeric Column.  Inside each (key, chunk)
+    a window adds up at most ``chunk_rows`` rows; chunk totals (a small
+    table) get an exclusive running sum per key, joined back as offsets.  A
+    key holding a third of all rows becomes many bounded chunks.
+    """
+    names = list(values)
+    for n, c in values.items():
+        g = g.withColumn(f"_v_{n}", c)
+    w = Window.partitionBy(*key, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n in names:
+        g = g.withColumn(f"_in_{n}", F.sum(f"_v_{n}").over(w))
+    tot = g.groupBy(*key, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    wc = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*key, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(wc), F.lit(0)).alias(f"_o_{n}") for n in names])
+    g = g.join(off, [*key, "_chunk"])
+    for n in names:
+        g = g.withColumn(n, F.col(f"_o_{n}") + F.col(f"_in_{n}"))
+    return g.drop(*[f"_{p}_{n}" for n in names for p in ("v", "in", "o")])

@@ -133,12 +133,18 @@ def join_predictions(items: DataFrame, preds: DataFrame, keys: list[str], comple
 
 
 # ---------------------------------------------------------------- J1
-def running_accuracy(graded: DataFrame, part: list[str], order="idx", correct: str = "correct") -> DataFrame:
-    """Correct so far / answered so far, per partition key in ``order``."""
-    w = Window.partitionBy(*part).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (graded.withColumn("n_so_far", F.count(F.lit(1)).over(w))
-            .withColumn("correct_so_far", F.sum(F.col(correct).cast("int")).over(w).cast("bigint"))
-            .withColumn("running_accuracy", F.col("correct_so_far") / F.col("n_so_far")))
+def running_accuracy(graded: DataFrame, part: list[str], order="idx", correct: str = "correct",
+                     chunk_rows: int = 100_000) -> DataFrame:
+    """Correct so far / answered so far, per partition key in ``order``.
+
+    A chunked two-level scan (``chunked_running_sums``), so a key with a third
+    of all rows is still processed by many bounded tasks.
+    """
+    from tessera.operators.order import chunk_positions, chunked_running_sums
+    g = chunk_positions(graded, part, [order] if isinstance(order, str) else order, chunk_rows)
+    g = chunked_running_sums(g, part, {"n_so_far": F.lit(1).cast("bigint"),
+                                       "correct_so_far": F.col(correct).cast("bigint")})
+    return g.withColumn("running_accuracy", F.col("correct_so_far") / F.col("n_so_far")).drop("_pos", "_chunk")
 
 
 LN2 = math.log(2.0)
@@ -208,22 +214,24 @@ def exec_outcomes(outcomes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- J4
 def error_streaks(log: DataFrame, key: list[str], order: list[str], status: str = "status",
                   threshold: int = K.STREAK_THRESHOLD, start: int = K.STREAK_START_BUDGET,
-                  floor: int = K.STREAK_MIN_BUDGET) -> DataFrame:
+                  floor: int = K.STREAK_MIN_BUDGET, chunk_rows: int = 100_000) -> DataFrame:
     """Consecutive-400 streaks and the halved token budget, per key in time order.
 
-    Gaps and islands: an island starts after each success; inside it the
-    400s are counted; every ``threshold + 1``-th one halves the budget (floor
+    Gaps and islands: an island starts at each success; inside it the 400s
+    are counted; every ``threshold + 1``-th one halves the budget (floor
     ``floor``) and restarts the counter; other failures leave the counter.
+    All running counts are chunked scans (no per-key window), and the
+    count at each island start comes from an equi-join on (key, island).
     """
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is400 = F.col(status) == 400
-    ok = F.col(status) == 200
-    log = log.withColumn("_island", F.sum(ok.cast("int")).over(w))
-    wi = Window.partitionBy(*key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = F.sum(is400.cast("int")).over(wi)
-    log = log.withColumn("_c", c).withColumn("_halve", (is400 & (F.col("_c") % (threshold + 1) == 0)).cast("int"))
-    halvings = F.sum("_halve").over(w)
-    return (log.withColumn("halvings", halvings.cast("int"))
+    from tessera.operators.order import chunk_positions, chunked_running_sums
+    is400, ok = (F.col(status) == 400), (F.col(status) == 200)
+    g = chunk_positions(log, key, order, chunk_rows)
+    g = chunked_running_sums(g, key, {"_island": ok.cast("bigint"), "_r400": is400.cast("bigint")})
+    base = g.where(ok).select(*key, "_island", F.col("_r400").alias("_base"))
+    g = g.join(base, [*key, "_island"], "left").withColumn("_c", F.col("_r400") - F.coalesce(F.col("_base"), F.lit(0)))
+    g = g.withColumn("_halve", (is400 & (F.col("_c") % (threshold + 1) == 0)).cast("bigint"))
+    g = chunked_running_sums(g, key, {"halvings": F.col("_halve")})
+    return (g.withColumn("halvings", F.col("halvings").cast("int"))
             .withColumn("streak", (F.col("_c") % (threshold + 1)).cast("int"))
             .withColumn("budget", F.greatest(F.expr(f"shiftright({int(start)}, least(halvings, 30))"), F.lit(floor)))
-            .drop("_island", "_c", "_halve"))
+            .drop("_island", "_r400", "_base", "_c", "_halve", "_pos", "_chunk"))
