@@ -214,3 +214,15 @@ def split_tool_calls(c) -> Column:
 def reference_answer(parts) -> Column:
     """D1 over the text of the last part of the last assistant message."""
     return extract_hash_number(F.element_at(_c(parts), -1).getField("text"))
+
+
+def last_text_part(c) -> Column:
+    """The last part of a GSM8K-style answer without building all parts: after the
+    final tool call there is always a (possibly empty) text part."""
+    sep = "\u0001"
+    return F.element_at(F.split(F.regexp_replace(_c(c), "(" + K.TOOL_CALL_RE + ")", sep + "$1" + sep), sep, -1), -1)
+
+
+def gsm_reference_answer(c) -> Column:
+    """B10 on an answer string: D1 over its last text part."""
+    return extract_hash_number(last_text_part(c))

@@ -66,9 +66,9 @@ t AS (SELECT *, CASE WHEN {_IS_CALL.format(x='piece')} THEN
                 ELSE piece END AS text FROM p)
 SELECT l_orderkey, l_linenumber, {D.hash_number('text')} AS ref FROM t""")
 def reference_answer_q(spark, sf):
-    """The answer from the last part of the parsed solution."""
+    """The answer from the last part of the solution (last text piece, no full split)."""
     g = v_gsm(spark, sf)
-    return g.select("l_orderkey", "l_linenumber", T.reference_answer(T.split_tool_calls("answer")).alias("ref"))
+    return g.select("l_orderkey", "l_linenumber", T.gsm_reference_answer("answer").alias("ref"))
 
 
 @register("extract_letter", f"""WITH {DV.V_MC}, {DV.V_LETTERS}

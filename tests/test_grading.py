@@ -73,3 +73,10 @@ def test_calculator_gate_and_eval(spark):
     got = [r.r for r in df.select(AU.use_calculator("e").alias("r")).collect()]
     assert got == ["0.2", "10.0", None, "1005", "3", None, None, "3", None, "2"]
     assert AU.safe_calc("2+") is None
+
+
+def test_reference_answer_fast_path_equals_parts(spark):
+    answers = ["a <<1+1=2>>2\n#### 2", "<<3*3=9>>", "no calls #### 5", "x<<a>>y<<b=c>>#### 7,000"]
+    df = spark.createDataFrame([(a,) for a in answers], "x string")
+    r = df.select(T.reference_answer(T.split_tool_calls("x")).alias("a"), T.gsm_reference_answer("x").alias("b")).collect()
+    assert [x.a for x in r] == [x.b for x in r] == ["2", None, "5", "7000"]
