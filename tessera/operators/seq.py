@@ -86,3 +86,36 @@ def bin_by_sequence_cap(df: DataFrame, cap: int, n_per_item: int, idx: str = "id
     an oversized item stands alone."""
     per = max(1, cap // n_per_item)
     return df.withColumn("batch", (F.col(idx) / per).cast("bigint"))
+
+
+BIN_SCHEMA = "lane bigint, idx bigint, n int, batch bigint"
+
+
+def bin_by_sequence_cap_var(df: DataFrame, cap: int, n: str = "n", lane: str = "lane", idx: str = "idx",
+                            num_partitions: int | None = None) -> DataFrame:
+    """F8 (variable n): greedy batches in ``idx`` order per lane: flush when
+    ``count + n > cap`` and the batch is not empty; an oversized item stands alone.
+
+    Sequential per lane (as per rank), so each lane is one ordered stream
+    through ``mapInPandas`` with O(1) state; lanes run in parallel.
+    """
+    import pandas as pd
+    spark = df.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.select(F.col(lane).cast("bigint").alias("lane"), F.col(idx).cast("bigint").alias("idx"),
+                   F.col(n).cast("int").alias("n"))
+         .repartition(parts, "lane").sortWithinPartitions("lane", "idx"))
+
+    def run(batches):
+        cur_lane, batch, count = None, -1, 0
+        for pdf in batches:
+            out = []
+            for ln, ix, k in zip(pdf["lane"], pdf["idx"], pdf["n"]):
+                if ln != cur_lane:
+                    cur_lane, batch, count = ln, 0, 0
+                elif count > 0 and count + k > cap:
+                    batch, count = batch + 1, 0
+                count += k
+                out.append((ln, ix, k, batch))
+            yield pd.DataFrame(out, columns=["lane", "idx", "n", "batch"])
+    return s.mapInPandas(run, BIN_SCHEMA)

@@ -221,3 +221,11 @@ def score_with_q(spark, sf):
     """M3: a toy user scorer turns every option sequence into the long loss table."""
     from tessera.operators.ext import score_with
     return score_with(_seqs(spark, sf), _toy_scorer, ["item_id", "option_idx"])
+
+
+@register("bin_by_sequence_cap_var")
+def bin_by_sequence_cap_var_q(spark, sf):
+    """F8 (variable n): parts with 3-5 option sequences each, greedy batches under
+    a cap of 16 sequences, four ranks (lane = idx % 4)."""
+    p = v_part_idx(spark, sf).select("idx", (F.lit(3) + F.col("p_partkey") % 3).alias("n"))
+    return Q.bin_by_sequence_cap_var(p.withColumn("lane", F.col("idx") % 4), 16)
