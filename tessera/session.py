@@ -18,11 +18,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    local = master is not None and master.startswith("local")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -32,6 +32,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "16g"),
     }
+    if shuffle_partitions or local:
+        # local runs: one shuffle partition per core; on a cluster leave the
+        # setting to the job's configuration (sized to the data)
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
+    if not local:
+        conf.pop("spark.driver.memory")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
