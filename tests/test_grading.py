@@ -80,3 +80,16 @@ def test_reference_answer_fast_path_equals_parts(spark):
     df = spark.createDataFrame([(a,) for a in answers], "x string")
     r = df.select(T.reference_answer(T.split_tool_calls("x")).alias("a"), T.gsm_reference_answer("x").alias("b")).collect()
     assert [x.a for x in r] == [x.b for x in r] == ["2", None, "5", "7000"]
+
+
+def test_audit_native_and_python_paths_agree_with_eval(spark):
+    from tessera.operators import audit as AU
+    exprs = ["12*3", "7-10", "007+1", "3 * 4", "99999*99999", "12/60", "(2+3)*4", "'banana'.count('an')",
+             "1,000*2", "2**3", "5//2"]
+    parts = [[("python", x), ("python_output", "0")] for x in exprs]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(parts)],
+                               "k int, parts array<struct<type:string,text:string>>")
+    got = {r.k: r.recomputed for r in AU.audit_tool_calls(df).collect()}
+    want = {i: AU.safe_calc(x) if AU.safe_calc(x) is not None and "**" not in x else None for i, x in enumerate(exprs)}
+    want[2] = None  # leading zeros are a syntax error in Python
+    assert got == want
