@@ -149,3 +149,25 @@ def spelling_bee_q(spark, sf):
     b = SY.spelling_bee(w, w.count(), "train")
     return b.select("example", "word", "letter", F.col("count").cast("int").alias("count"), "user",
                     F.array_join(F.transform("assistant_parts", lambda p: p.text), "|").alias("assistant"))
+
+
+@register("gpqa_accuracy_cube", f"""WITH {DV.V_GPQA},
+k AS (SELECT item_id, domain, subdomain, correct, list_transform(list_sort(list_transform([correct, incorrect1, incorrect2, incorrect3],
+        lambda c, i: {{'k': md5('0:' || Question || ':' || CAST(i - 1 AS VARCHAR)), 'c': c}})), lambda x: x.c) AS choices FROM v_gpqa),
+g AS (SELECT *, ['(A)', '(B)', '(C)', '(D)'][list_position(choices, correct)] AS gold,
+             CASE item_id % 3 WHEN 0 THEN 'The best answer is ' || ['(A)', '(B)', '(C)', '(D)'][list_position(choices, correct)]
+                              WHEN 1 THEN 'I pick (B) then (C)' ELSE 'unsure' END AS completion FROM k),
+r AS (SELECT domain, subdomain, coalesce({D.paren_letter('completion')} = gold, false) AS c FROM g)
+SELECT domain, subdomain, CAST(grouping(domain, subdomain) AS INT) AS gid, count(*) AS n,
+       CAST(sum(CAST(c AS INT)) AS BIGINT) AS n_correct FROM r GROUP BY CUBE (domain, subdomain)""")
+def gpqa_accuracy_cube_q(spark, sf):
+    """C8 -> D3 -> I5 -> I2 (cube): GPQA accuracy by domain x subdomain with all subtotals."""
+    from tessera.functions import text as T
+    from tessera.operators import score as S
+    g = P.shuffle_choices(v_gpqa(spark, sf), "Question", "correct", ["incorrect1", "incorrect2", "incorrect3"])
+    k = F.col("item_id") % 3
+    completion = (F.when(k == 0, F.concat(F.lit("The best answer is "), F.col("correct_label")))
+                  .when(k == 1, F.lit("I pick (B) then (C)")).otherwise(F.lit("unsure")))
+    g = g.withColumn("pred", T.extract_paren_letter(completion))
+    a = S.accuracy_by(S.grade_exact(g, "pred", "correct_label"), ["domain", "subdomain"], mode="cube")
+    return a.select("domain", "subdomain", F.col("gid").cast("int"), "n", "n_correct")

@@ -229,3 +229,16 @@ def bin_by_sequence_cap_var_q(spark, sf):
     a cap of 16 sequences, four ranks (lane = idx % 4)."""
     p = v_part_idx(spark, sf).select("idx", (F.lit(3) + F.col("p_partkey") % 3).alias("n"))
     return Q.bin_by_sequence_cap_var(p.withColumn("lane", F.col("idx") % 4), 16)
+
+
+@register("answer_spans_lm", _SEQ_SQL + """,
+w AS (SELECT item_id, option_idx, tokens AS t_with, tokens[1:CAST(item_id % 3 AS INT) + option_idx] AS t_without FROM sq)
+SELECT item_id, option_idx, CAST(len(t_without) AS BIGINT) AS start, CAST(len(t_with) AS BIGINT) AS "end",
+       len(t_without) < len(t_with) AND t_with[1:len(t_without)] = t_without AS ok FROM w""")
+def answer_spans_lm_q(spark, sf):
+    """F2 (language modelling): "without" = a prefix of "with" (0-4 tokens long,
+    sometimes all of it, so ``ok`` is false there)."""
+    sq = _seqs(spark, sf).withColumn(
+        "t_without", F.slice("tokens", 1, (F.col("item_id") % 3).cast("int") + F.col("option_idx")))
+    s = Q.answer_spans(sq, "language_modeling", tokens="tokens", tokens_without="t_without")
+    return s.select("item_id", "option_idx", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "ok")
