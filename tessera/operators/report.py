@@ -110,6 +110,13 @@ def metric_pivot(metrics: DataFrame, id_cols: list[str], stage: str = "stage", k
     return p.withColumn("ord", F.row_number().over(Window.partitionBy(*id_cols).orderBy(*metric_order(key))) - 1)
 
 
+def section_end_time(ts: DataFrame, key: list[str], order: str, name: str, col: str = "ts") -> DataFrame:
+    """I16 end: the timestamp of the *last* existing non-RL section (by section
+    order), null when that section has no parsable timestamp."""
+    non_rl = ts.where(~F.col(name).contains("rl"))
+    return non_rl.groupBy(*key).agg(F.max_by(col, order).alias("end_ts"))
+
+
 def wall_clock(start: Column, end: Column) -> Column:
     """I16: ``XhYm`` between two timestamps, ``unknown`` when either is missing."""
     secs = (F.unix_timestamp(end) - F.unix_timestamp(start)).cast("bigint")

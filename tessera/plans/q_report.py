@@ -92,16 +92,20 @@ ln AS (SELECT n_nationkey, stage, unnest(string_split(text, chr(10))) AS line,
 p AS (SELECT n_nationkey, stage, line_no, try_strptime({D.strip("substr(line, instr(line, ':') + 1)")}, '%Y-%m-%d %H:%M:%S') AS t
       FROM ln WHERE starts_with(line, 'timestamp:')),
 f AS (SELECT n_nationkey, stage, arg_min(t, line_no) AS t FROM p WHERE t IS NOT NULL GROUP BY 1, 2),
-se AS (SELECT n.n_nationkey, b.t AS t0, s.t AS t1 FROM nation n LEFT JOIN f b ON b.n_nationkey = n.n_nationkey AND b.stage = 'base'
-       LEFT JOIN f s ON s.n_nationkey = n.n_nationkey AND s.stage = 'sft')
+al AS (SELECT v.n_nationkey, v.stage, v.stage_no, f.t FROM v_sections v LEFT JOIN f USING (n_nationkey, stage)),
+en AS (SELECT n_nationkey, arg_max_null(t, stage_no) AS t1 FROM al WHERE NOT contains(stage, 'rl') GROUP BY n_nationkey),
+se AS (SELECT n.n_nationkey, b.t AS t0, en.t1 FROM nation n LEFT JOIN f b ON b.n_nationkey = n.n_nationkey AND b.stage = 'base'
+       LEFT JOIN en ON en.n_nationkey = n.n_nationkey)
 SELECT n_nationkey, CASE WHEN t0 IS NULL OR t1 IS NULL THEN 'unknown' ELSE
   CAST(CAST(floor(epoch(t1 - t0) / 3600) AS BIGINT) AS VARCHAR) || 'h' ||
   CAST(CAST(floor((CAST(epoch(t1 - t0) AS BIGINT) % 3600) / 60) AS BIGINT) AS VARCHAR) || 'm' END AS wall_clock FROM se""")
 def wall_clock_q(spark, sf):
-    """I16: base start to the last non-RL (sft) section, ``XhYm`` or unknown."""
-    t = RP.parse_timestamp_line(v_sections(spark, sf), "timestamp:", IDS)
+    """I16: from the base section (plays the run header) to the last existing
+    non-RL section, ``XhYm``, or unknown when either time is missing."""
+    sec = v_sections(spark, sf)
+    t = RP.parse_timestamp_line(sec, "timestamp:", IDS).join(sec.select(*IDS, "stage_no"), IDS)
     b = t.where(F.col("stage") == "base").select("n_nationkey", F.col("ts").alias("t0"))
-    s = t.where(F.col("stage") == "sft").select("n_nationkey", F.col("ts").alias("t1"))
+    s = RP.section_end_time(t, ["n_nationkey"], "stage_no", "stage").select("n_nationkey", F.col("end_ts").alias("t1"))
     n = table(spark, sf, "nation").select("n_nationkey")
     j = n.join(b, "n_nationkey", "left").join(s, "n_nationkey", "left")
     return j.select("n_nationkey", RP.wall_clock(F.col("t0").cast("timestamp"), F.col("t1").cast("timestamp")).alias("wall_clock"))
