@@ -132,10 +132,12 @@ def gpu_rates(spark) -> DataFrame:
 
 def run_cost(runs: DataFrame, key: list[str], device: str = "device", count: str = "n_devices",
              hours: str = "hours") -> DataFrame:
-    """Hourly rate (first GPU type contained in the name, else 2.0) x devices x hours."""
+    """Hourly rate (first GPU type contained in the name, else 2.0) x devices x hours;
+    no total when the run time is missing or zero."""
     r = first_match(runs, gpu_rates(runs.sparkSession), device, key, "contains", K.GPU_DEFAULT_RATE, out="rate")
+    h = F.col(hours)
     return (r.withColumn("hourly_rate", F.col("rate") * F.col(count))
-            .withColumn("estimated_total", F.col("hourly_rate") * F.col(hours)))
+            .withColumn("estimated_total", F.when(h.isNotNull() & (h != 0), F.col("hourly_rate") * h)))
 
 
 def leaderboard(summaries: DataFrame, model: str = "model", task: str = "task", acc: str = "accuracy",

@@ -124,7 +124,8 @@ def first_match_q(spark, sf):
 
 
 @register("run_cost", f"""WITH {DV.V_DEVICES}
-SELECT s_suppkey, round({_RATE_SQL} * n_devices, 6) AS hourly_rate, round({_RATE_SQL} * n_devices * hours, 6) AS estimated_total FROM v_devices""")
+SELECT s_suppkey, round({_RATE_SQL} * n_devices, 6) AS hourly_rate,
+       CASE WHEN hours <> 0 THEN round({_RATE_SQL} * n_devices * hours, 6) END AS estimated_total FROM v_devices""")
 def run_cost_q(spark, sf):
     """Estimated run cost per supplier run."""
     r = RP.run_cost(v_devices(spark, sf), ["s_suppkey"])
@@ -174,3 +175,24 @@ FROM documents GROUP BY lang""")
 def corpus_stats_q(spark, sf):
     """Documents, lines, characters and approximate tokens per language."""
     return RP.corpus_stats(table(spark, sf, "documents"), ["lang"])
+
+
+@register("core_csv", f"""WITH {DV.V_MC}, {DV.V_LETTERS},
+a AS (SELECT subject AS task, sum(CAST(coalesce({D.letter('completion')} = gold, false) AS INT)) / count(*) AS acc
+      FROM v_letters GROUP BY subject),
+c AS (SELECT task, acc, (acc - 0.25) / (1 - 0.25) AS centered FROM a)
+SELECT 0 AS ord, rpad('Task', 35, ' ') || ', ' || rpad('Accuracy', 10, ' ') || ', ' || rpad('Centered', 10, ' ') AS line
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY task) AS INT), rpad(task, 35, ' ') || ', ' || rpad(printf('%.6f', round(acc, 6)), 10, ' ')
+       || ', ' || rpad(printf('%.6f', round(centered, 6)), 10, ' ') FROM c
+UNION ALL
+SELECT 1073741824, rpad('CORE', 35, ' ') || ', ' || rpad('', 10, ' ') || ', ' || rpad(printf('%.6f', round(avg(centered), 6)), 10, ' ') FROM c""")
+def core_csv_q(spark, sf):
+    """The CORE result table as its fixed-width csv lines (subjects as tasks, 25% baselines)."""
+    from tessera.sources.sinks import core_csv_lines
+    v = v_letters(spark, sf).withColumn("pred", T.extract_letter("completion"))
+    g = S.grade_exact(v, "pred", "gold").withColumnRenamed("subject", "task")
+    acc = S.accuracy_by(g, ["task"])
+    base = acc.select("task").distinct().withColumn("baseline", F.lit(25.0))
+    c = S.attach_baseline(acc, base).withColumn("centered", S.centered(F.col("accuracy"), F.col("baseline")))
+    return core_csv_lines(c, S.core_metric(c)).select(F.col("ord").cast("int"), "line")

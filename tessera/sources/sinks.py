@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import csv_slug, model_slug
@@ -21,22 +21,34 @@ def write_run_summary(df: DataFrame, out_dir: str, mode: str = "append") -> None
     df.withColumn("model_slug", model_slug("model")).write.mode(mode).partitionBy("model_slug", "task").json(out_dir)
 
 
-def core_csv(results: DataFrame, core: DataFrame, task: str = "task", acc: str = "accuracy",
-             cen: str = "centered") -> DataFrame:
-    """A15 rows: per task accuracy and centred value (6 decimals), then a final
-    ``CORE`` row with a blank accuracy."""
-    detail = results.select(F.col(task).alias("Task"), F.format_string("%.6f", acc).alias("Accuracy"),
-                            F.format_string("%.6f", cen).alias("Centered"), F.lit(0).alias("_o"))
-    total = core.select(F.lit("CORE").alias("Task"), F.lit("").alias("Accuracy"),
-                        F.format_string("%.6f", "core_metric").alias("Centered"), F.lit(1).alias("_o"))
-    return detail.unionByName(total)
-
-
-def write_core_csv(results: DataFrame, core: DataFrame, out_dir: str, model: str) -> str:
-    """The CORE table as one csv file under a model slug folder."""
+def _f6(c) -> Column:
+    # round first (HALF_UP), then print six decimals: no engine-specific tie rounding
+    return F.format_string("%.6f", F.round(c, 6))
+
+
+def core_csv_lines(results: DataFrame, core: DataFrame, task: str = "task", acc: str = "accuracy",
+                   cen: str = "centered", order: str | None = None) -> DataFrame:
+    """The CORE table as its fixed-width text lines: a header, one line per task
+    (``label:<35, acc:<10.6f, centered:<10.6f``) and a final ``CORE`` line with a
+    blank accuracy.  ``ord`` orders the lines (header 0, tasks, CORE last)."""
+    o = F.col(order) if order else F.col(task)
+    w = F.row_number().over(Window.orderBy(o))  # one row per task: a small table
+    head = core.select(F.lit(0).alias("ord"), F.concat(F.rpad(F.lit("Task"), 35, " "), F.lit(", "),
+                                                      F.rpad(F.lit("Accuracy"), 10, " "), F.lit(", "),
+                                                      F.rpad(F.lit("Centered"), 10, " ")).alias("line"))
+    rows = results.select(w.alias("ord"), F.concat(F.rpad(F.col(task), 35, " "), F.lit(", "), F.rpad(_f6(F.col(acc)), 10, " "),
+                                                    F.lit(", "), F.rpad(_f6(F.col(cen)), 10, " ")).alias("line"))
+    total = core.select(F.lit(1 << 30).alias("ord"), F.concat(F.rpad(F.lit("CORE"), 35, " "), F.lit(", "),
+                                                             F.rpad(F.lit(""), 10, " "), F.lit(", "),
+                                                             F.rpad(_f6(F.col("core_metric")), 10, " ")).alias("line"))
+    return head.unionByName(rows).unionByName(total)
+
+
+def write_core_csv(results: DataFrame, core: DataFrame, out_dir: str, model: str, **kw) -> str:
+    """Write the lines as one text file under the csv slug of the model
+    (one line per task: a bounded, single-file result)."""
     path = f"{out_dir.rstrip('/')}/{csv_slug_text(model)}"
-    core_csv(results, core).orderBy("_o", "Task").drop("_o").coalesce(1).write.mode("overwrite") \
-        .option("header", True).csv(path)
+    core_csv_lines(results, core, **kw).orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
@@ -44,4 +56,4 @@ def csv_slug_text(model: str) -> str:
     return model.replace("/", "-")
 
 
-__all__ = ["write_response_log", "write_run_summary", "core_csv", "write_core_csv", "csv_slug"]
+__all__ = ["write_response_log", "write_run_summary", "core_csv_lines", "write_core_csv", "csv_slug"]

@@ -45,12 +45,17 @@ def test_stream_corpus_resumes(spark):
     assert spark.read.parquet(out).count() == n1 == docs.where(F.col("source") == "src0").count()
 
 
-def test_core_csv_rows(spark):
+def test_core_csv_lines(spark):
+    import glob
     res = spark.createDataFrame([("hellaswag", 0.625, 0.5)], "task string, accuracy double, centered double")
-    core = S.core_metric(res.withColumnRenamed("centered", "centered"))
-    rows = sinks.core_csv(res, core).orderBy("_o").collect()
-    assert rows[0].Accuracy == "0.625000" and rows[0].Centered == "0.500000"
-    assert rows[1].Task == "CORE" and rows[1].Accuracy == "" and rows[1].Centered == "0.500000"
+    core = S.core_metric(res)
+    d = tempfile.mkdtemp(prefix="tessera-core-")
+    path = sinks.write_core_csv(res, core, d, "org/model")
+    assert path.endswith("org-model")
+    lines = open(glob.glob(f"{path}/part-*")[0]).read().splitlines()
+    assert lines == [f"{'Task':<35}, {'Accuracy':<10}, {'Centered':<10}",
+                     f"{'hellaswag':<35}, {0.625:<10.6f}, {0.5:<10.6f}",
+                     f"{'CORE':<35}, {'':<10}, {0.5:<10.6f}"]
 
 
 def test_centered_golden(spark):
