@@ -163,9 +163,12 @@ def gpqa_messages(question, choices, mode: str) -> Column:
     return F.array(*msgs)
 
 
-def math_shots() -> Column:
+def math_shots(n_shot: int = 4) -> Column:
+    """The canonical MATH shots; at most the four that exist (the reference warns and caps)."""
     from tessera import prompt_texts as PT
-    return F.array(*[F.struct(F.lit(p).alias("problem"), F.lit(s).alias("solution")) for p, s in PT.MATH_FEW_SHOT])
+    shots = PT.MATH_FEW_SHOT[:max(0, min(n_shot, len(PT.MATH_FEW_SHOT)))]
+    return F.array(*[F.struct(F.lit(p).alias("problem"), F.lit(s).alias("solution")) for p, s in shots]) if shots else \
+        F.array().cast("array<struct<problem:string,solution:string>>")
 
 
 def mbpp_shots() -> Column:

@@ -131,10 +131,16 @@ def special_id(merges: list[tuple[int, int]], name: str) -> int:
     return 256 + len(merges) + SPECIAL_TOKENS.index(name)
 
 
-def encode(text, merges: list[tuple[int, int]], prepend: int | None = None, append: int | None = None) -> Column:
+def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None,
+           append: int | str | None = None) -> Column:
     """Ordinary encode (special-token text is not parsed) in an Arrow UDF;
-    the merge list travels with the function (vocabulary-sized)."""
+    the merge list travels with the function (vocabulary-sized).  ``prepend`` /
+    ``append`` take a token id or a special-token name."""
     key = tuple(merges)
+    if isinstance(prepend, str):
+        prepend = special_id(merges, prepend)
+    if isinstance(append, str):
+        append = special_id(merges, append)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:

@@ -166,7 +166,7 @@ s AS (SELECT *, list_filter(list_transform(lines, lambda s, i: CASE WHEN NOT (st
 SELECT item_id,
   {_IMPORTS_SQL} || chr(10) || chr(10) || {_program_sql('completion')} || chr(10) || chr(10) || test || chr(10) || 'check(' || entry_point || ')' AS humaneval,
   concat_ws(chr(10) || chr(10), CASE WHEN len(test_imports) > 0 THEN array_to_string(test_imports, chr(10)) END,
-            coalesce({_code_sql('completion')}, ''), array_to_string(test_list, chr(10))) AS mbpp,
+            coalesce({_code_sql('completion')}, ''), test) AS mbpp,
   coalesce({_code_sql('completion')}, '') || chr(10) || chr(10) || test || chr(10) || chr(10) || 'check(' || entry_point || ')' || chr(10) AS humaneval_plus
 FROM s""")
 def compose_program_q(spark, sf):
@@ -176,7 +176,7 @@ def compose_program_q(spark, sf):
     return v.select("item_id",
                     T.compose_humaneval(T.extract_imports("prompt"), T.extract_program("completion"), F.col("test"),
                                         F.col("entry_point")).alias("humaneval"),
-                    T.compose_mbpp(F.col("test_imports"), code, F.array_join("test_list", "\n")).alias("mbpp"),
+                    T.compose_mbpp(F.col("test_imports"), code, F.col("test")).alias("mbpp"),
                     T.compose_humaneval_plus(code, F.col("test"), F.col("entry_point")).alias("humaneval_plus"))
 
 
