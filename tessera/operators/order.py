@@ -196,9 +196,10 @@ def chunked_running_sums(g: DataFrame, key: list[str], values: dict) -> DataFram
     """Inclusive running sums per key in ``_pos`` order, without a per-key window.
 
     ``values`` maps output name -> numeric Column.  Inside each (key, chunk)
-    a window adds up at most ``chunk_rows`` rows; chunk totals (a small
-    table) get an exclusive running sum per key, joined back as offsets.  A
-    key holding a third of all rows becomes many bounded chunks.
+    a window adds up at most ``chunk_rows`` rows (the one large shuffle);
+    chunk totals are a map-side partial aggregate (one row per chunk and map
+    task), get an exclusive running sum per key and are joined back as
+    offsets.  A key holding a third of all rows becomes many bounded chunks.
     """
     names = list(values)
     for n, c in values.items():

@@ -18,8 +18,9 @@ def parse_metric_lines(df: DataFrame, keys: list[str], id_cols: list[str], text:
     """For each key, lines *containing* it give the text between the first and
     second ``:`` (stripped); the last such line wins.  Keys are a literal list."""
     ln = _lines(df.select(*id_cols, text), text)
-    keys_df = df.sparkSession.createDataFrame([(k,) for k in keys], "key string")
-    hit = ln.join(F.broadcast(keys_df), F.col("line").contains(F.col("key")))  # keys: fixed small list
+    # keys are a literal list: each line emits the keys it contains (no join)
+    key_arr = F.array(*[F.lit(k) for k in keys])
+    hit = ln.select("*", F.explode(F.filter(key_arr, lambda k: F.col("line").contains(k))).alias("key"))
     parts = F.split(F.col("line"), ":", -1)
     hit = hit.where(F.size(parts) >= 2).withColumn("value", py_strip(F.element_at(parts, 2)))
     return hit.groupBy(*id_cols, "key").agg(F.max_by("value", "line_no").alias("value"))

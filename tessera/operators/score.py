@@ -68,15 +68,16 @@ def pick_letter(scores: DataFrame, allowed: DataFrame | None = None, item: str =
     """I8: argmax over the item's available letters, the first letter on ties.
 
     ``scores``: (item, letter_idx, letter, score).  ``allowed`` (item, letter)
-    restricts the candidates by a semi join; ``carry`` are columns fixed per item.  ``max(struct(score, -idx))`` is
+    restricts the candidates by a semi join; ``carry`` are columns fixed per item.
+    ``n_letters`` counts the candidates (same aggregation, no extra pass).  ``max(struct(score, -idx))`` is
     a partial aggregate, unlike a sort per item.
     """
     if allowed is not None:
         scores = scores.join(allowed.select(item, "letter"), [item, "letter"], "left_semi")
     best = F.max(F.struct(F.col("score"), (-F.col("letter_idx")).alias("neg_idx"), F.col("letter")))
     keys = [item] + list(carry or [])
-    return (scores.groupBy(*keys).agg(best.alias("b"))
-            .select(*keys, (-F.col("b.neg_idx")).alias("pred_idx"), F.col("b.letter").alias("pred_letter")))
+    return (scores.groupBy(*keys).agg(best.alias("b"), F.count(F.lit(1)).alias("n_letters"))
+            .select(*keys, (-F.col("b.neg_idx")).alias("pred_idx"), F.col("b.letter").alias("pred_letter"), "n_letters"))
 
 
 # ---------------------------------------------------------------- H1 / I11 / I12

@@ -20,8 +20,10 @@ p AS (SELECT item_id, gold, letter_idx AS pred_idx, letter AS pred_letter FROM (
 
 def mc_graded(spark, sf):
     s = v_letter_scores(spark, sf)
+    # the task is named after the item's letter count (data-derived: "letters10")
     p = S.pick_letter(s, carry=["gold"])
-    return S.grade_exact(p.withColumn("task", F.lit("letters10")), "pred_idx", "gold")
+    p = p.withColumn("task", F.concat(F.lit("letters"), F.col("n_letters").cast("string")))
+    return S.grade_exact(p, "pred_idx", "gold")
 
 
 @register("mc_eval", _PICK_SQL + """,
@@ -54,7 +56,7 @@ def pick_letter_allowed(spark, sf):
     """I8 restricted to each item's available letters (4, 5 or 6 of them)."""
     s = v_letter_scores(spark, sf)
     allowed = s.where(F.col("letter_idx") < F.lit(4) + F.col("item_id") % 3).select("item_id", "letter")
-    return S.pick_letter(s, allowed=allowed)
+    return S.pick_letter(s, allowed=allowed).select("item_id", "pred_idx", "pred_letter")
 
 
 @register("accuracy_by_gold", _PICK_SQL + """
