@@ -111,7 +111,8 @@ def pack_bestfit(df: DataFrame, T: int, buffer_size: int = 1000, refill: int = 1
     (see F7)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = _lane_input(df, lane, order, tokens).repartition(n, "lane").sortWithinPartitions("lane", "idx")
+    # range partitioning spreads the (few, small-integer) lanes evenly; hashing may collide
+    s = _lane_input(df, lane, order, tokens).repartitionByRange(n, "lane").sortWithinPartitions("lane", "idx")
     return s.mapInPandas(_pack_partition(T, buffer_size, refill, drain), OUT_SCHEMA)
 
 

@@ -104,7 +104,7 @@ def bin_by_sequence_cap_var(df: DataFrame, cap: int, n: str = "n", lane: str = "
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.select(F.col(lane).cast("bigint").alias("lane"), F.col(idx).cast("bigint").alias("idx"),
                    F.col(n).cast("int").alias("n"))
-         .repartition(parts, "lane").sortWithinPartitions("lane", "idx"))
+         .repartitionByRange(parts, "lane").sortWithinPartitions("lane", "idx"))
 
     def run(batches):
         cur_lane, batch, count = None, -1, 0
