@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.operators import order as O
@@ -30,17 +32,22 @@ def length_offsets_q(spark, sf):
 
 
 @register("rank_stride", f"""WITH {DV.V_CORPUS}
-SELECT shard, doc_id, row_group FROM v_corpus WHERE row_group % 4 = 1""")
+SELECT CAST(row_group % 4 AS INT) AS rank, shard, doc_id, row_group FROM v_corpus""")
 def rank_stride_q(spark, sf):
-    """A3: rank 1 of 4 over corpus row groups."""
-    return O.rank_stride(v_corpus(spark, sf), 1, 4, idx="row_group").select("shard", "doc_id", "row_group")
+    """A3: the corpus row groups of every rank of 4 (their union is the whole corpus)."""
+    c = v_corpus(spark, sf)
+    parts = [O.rank_stride(c, r, 4, idx="row_group").select(F.lit(r).alias("rank"), "shard", "doc_id", "row_group")
+             for r in range(4)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("batch_stride", f"""WITH {DV.V_CORPUS}
-SELECT doc_id, idx, idx // 7 AS batch FROM v_corpus WHERE (idx // 7) % 3 = 2""")
+SELECT CAST((idx // 7) % 3 AS INT) AS rank, doc_id, idx, idx // 7 AS batch FROM v_corpus""")
 def batch_stride_q(spark, sf):
-    """A4: batches of 7 problems, rank 2 of 3."""
-    return O.batch_stride(v_corpus(spark, sf), 7, 2, 3).select("doc_id", "idx", "batch")
+    """A4: batches of 7 problems strided over 3 ranks; every rank's share."""
+    c = v_corpus(spark, sf)
+    parts = [O.batch_stride(c, 7, r, 3).select(F.lit(r).alias("rank"), "doc_id", "idx", "batch") for r in range(3)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("seeded_shuffle", """
@@ -127,13 +134,15 @@ def repeat_epochs_q(spark, sf):
 tr AS (SELECT * FROM v_corpus WHERE shard <> (SELECT max(shard) FROM v_corpus)),
 s AS (SELECT *, dense_rank() OVER (ORDER BY shard) - 1 AS shard_idx FROM tr),
 e AS (SELECT s.*, ep AS epoch FROM s, generate_series(1, 2) t(ep))
-SELECT epoch, shard_idx, row_group, doc_id FROM e
-WHERE (epoch > 1 OR (epoch = 1 AND (shard_idx > 3 OR (shard_idx = 3 AND row_group >= 4)))) AND row_group % 2 = 1""")
+SELECT CAST(row_group % 2 AS INT) AS rank, epoch, shard_idx, row_group, doc_id FROM e
+WHERE (epoch > 1 OR (epoch = 1 AND (shard_idx > 3 OR (shard_idx = 3 AND row_group >= 4))))""")
 def resume_after_q(spark, sf):
-    """A5: train split, two epochs, resume after (pq 3, rg 2, epoch 1) on rank 1 of 2."""
+    """A5: train split, two epochs, resume after (pq 3, rg 2, epoch 1); both ranks of 2."""
     c = C.shard_index(C.split_corpus(v_corpus(spark, sf), "train"))
     e = C.repeat_epochs(c, 2)
-    return C.resume_after(e, 3, 2, 1, 1, 2).select("epoch", "shard_idx", "row_group", "doc_id")
+    parts = [C.resume_after(e, 3, 2, 1, r, 2).select(F.lit(r).alias("rank"), "epoch", "shard_idx", "row_group", "doc_id")
+             for r in range(2)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("chunk_texts", f"""WITH {DV.V_CORPUS}
