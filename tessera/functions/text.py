@@ -17,9 +17,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _py_ws_class() -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in K.PY_WHITESPACE) + "]"
+
+
+def _python_whitespace(pattern: str) -> str:
+    """Replace ``\\s`` outside character classes by Python's whitespace set
+    (Java's Unicode ``\\s`` lacks U+001C..U+001F, which ``str`` counts as space)."""
+    out, i, depth = [], 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            out.append(_py_ws_class() if (nxt == "s" and depth == 0) else pattern[i:i + 2])
+            i += 2
+            continue
+        if ch == "[":
+            depth += 1
+        elif ch == "]" and depth:
+            depth -= 1
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def java_re(pattern: str, flags: str = "") -> str:
-    """Python-compatible flags for a Java regex: Unicode classes, ``\\n``-only lines."""
-    return f"(?Ud{flags}){pattern}"
+    """A Python ``re`` pattern for Java: Unicode classes, ``\\n``-only lines, and
+    Python's exact ``\\s`` set."""
+    return f"(?Ud{flags}){_python_whitespace(pattern)}"
 
 
 def py_strip(c) -> Column:
