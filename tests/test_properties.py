@@ -1,5 +1,7 @@
 """Property tests with small example counts: each example runs Spark jobs."""
 
+import unicodedata
+
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,8 +13,18 @@ from tessera.operators import tok as TK
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 
+def _old_and_stable(c: str) -> bool:
+    """Assigned in Unicode 3.2 with the same category today: the JVM's Unicode
+    tables (older than Python's) classify it the same way."""
+    old = unicodedata.ucd_3_2_0.category(c)
+    return old != "Cn" and old == unicodedata.category(c)
+
+
+OLD_CHARS = st.characters(blacklist_categories=("Cs",)).filter(_old_and_stable)
+
+
 @SETTINGS
-@given(st.lists(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=60), min_size=1, max_size=6))
+@given(st.lists(st.text(alphabet=OLD_CHARS, max_size=60), min_size=1, max_size=6))
 def test_pretokenize_is_lossless_and_matches_python(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.p for r in df.select(TK.pretokenize("t").alias("p")).collect()]
