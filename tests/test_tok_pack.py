@@ -77,3 +77,15 @@ def test_stream_pack_equals_batch(spark):
     q.awaitTermination()
     got = sorted((r.lane, r.row_no, tuple(r.tokens)) for r in spark.sql("SELECT * FROM packed_stream").collect())
     assert got == want and len(got) > 0
+
+
+def test_multi_merge_rounds(spark):
+    df = spark.createDataFrame([("the cat sat on the mat with the hat " * 10,), ("that thing there then",)], "text string")
+    one = TK.train_bpe(df, 256 + 9 + 8)
+    again = TK.train_bpe(df, 256 + 9 + 8, merges_per_round=1)
+    assert one == again
+    multi = TK.train_bpe(df, 256 + 9 + 8, merges_per_round=3)
+    assert len(multi) == 8 and multi[0] == one[0]
+    texts = [r.text for r in df.collect()]
+    out = [r.t for r in df.select(TK.encode("text", multi).alias("i")).select(TK.decode("i", multi).alias("t")).collect()]
+    assert out == texts
