@@ -147,14 +147,14 @@ def resume_after_q(spark, sf):
 
 @register("chunk_texts", f"""WITH {DV.V_CORPUS}
 SELECT shard, row_group, pos // 3 AS chunk, count(*) AS n_docs,
-       string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY pos) AS doc_ids
+       string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM v_corpus GROUP BY 1, 2, 3""")
 def chunk_texts_q(spark, sf):
-    """Batches of 3 documents inside each row group."""
-    c = v_corpus(spark, sf).withColumn("text", F.col("doc_id").cast("string"))
-    ch = C.chunk_texts(c, 3)
+    """Batches of 3 documents inside each row group (whole texts carried)."""
+    ch = C.chunk_texts(v_corpus(spark, sf), 3)
     return ch.select("shard", "row_group", "chunk", F.size("docs").cast("bigint").alias("n_docs"),
-                     F.array_join(F.transform("docs", lambda d: d.text), ",").alias("doc_ids"))
+                     F.array_join(F.transform("docs", lambda d: d.pos.cast("string")), ",").alias("positions"),
+                     F.aggregate("docs", F.lit(0).cast("bigint"), lambda acc, d: acc + F.length(d.text)).alias("n_chars"))
 
 
 @register("shard_manifest", """

@@ -18,7 +18,7 @@ def _conv_lines(spark, sf):
     js = F.to_json(F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content"))))
     k = F.col("conv_id")
     line = (F.when(k % 13 == 0, F.lit("   "))
-            .when(k % 17 == 0, F.substring(js, 1, 30))
+            .when(k % 17 == 0, F.regexp_replace(js, "\\]$", ""))
             .when(k % 19 == 0, F.concat(F.lit('{"messages": '), js, F.lit("}")))
             .when(k % 23 == 0, F.replace(F.replace(js, F.lit('"content":"'), F.lit('"content":["')), F.lit('"}'), F.lit('"]}')))
             .otherwise(js))
@@ -27,7 +27,7 @@ def _conv_lines(spark, sf):
 
 _A8_SQL = """WITH g AS (SELECT conv_id, CAST(to_json(list(struct_pack(role := role, content := text) ORDER BY turn)) AS VARCHAR) AS js
            FROM conversations GROUP BY conv_id),
-l AS (SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN '   ' WHEN conv_id % 17 = 0 THEN substr(js, 1, 30)
+l AS (SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN '   ' WHEN conv_id % 17 = 0 THEN regexp_replace(js, '\]$', '')
                            WHEN conv_id % 19 = 0 THEN '{"messages": ' || js || '}'
                            WHEN conv_id % 23 = 0 THEN replace(replace(js, '"content":"', '"content":["'), '"}', '"]}')
                            ELSE js END AS line FROM g),
@@ -51,7 +51,7 @@ LEFT JOIN fb USING (conv_id), LATERAL (SELECT coalesce(m.r0, fb.why) AS reason)
 @register("read_conversations_jsonl", _A8_SQL)
 def read_conversations_jsonl_q(spark, sf):
     """JSONL conversation lines derived from the conversations table (blank,
-    truncated, wrapped and list-content lines by conv_id), validated with reasons."""
+    unterminated, wrapped and list-content lines by conv_id), validated with reasons."""
     r = RD.parse_conversation_lines(_conv_lines(spark, sf))
     return r.select("conv_id", "is_valid", "reason", F.col("bad_index").cast("bigint").alias("bad_index"))
 
