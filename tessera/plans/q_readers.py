@@ -27,7 +27,7 @@ def _conv_lines(spark, sf):
 
 _A8_SQL = """WITH g AS (SELECT conv_id, CAST(to_json(list(struct_pack(role := role, content := text) ORDER BY turn)) AS VARCHAR) AS js
            FROM conversations GROUP BY conv_id),
-l AS (SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN '   ' WHEN conv_id % 17 = 0 THEN regexp_replace(js, '\]$', '')
+l AS (SELECT conv_id, CASE WHEN conv_id % 13 = 0 THEN '   ' WHEN conv_id % 17 = 0 THEN regexp_replace(js, '\\]$', '')
                            WHEN conv_id % 19 = 0 THEN '{"messages": ' || js || '}'
                            WHEN conv_id % 23 = 0 THEN replace(replace(js, '"content":"', '"content":["'), '"}', '"]}')
                            ELSE js END AS line FROM g),
