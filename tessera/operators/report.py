@@ -88,12 +88,13 @@ def first_match(df: DataFrame, rules: DataFrame, text: str, key: list[str], kind
 
 
 def corpus_stats(df: DataFrame, group: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Documents, lines, characters and approximate tokens (chars // 4)."""
+    """Documents, lines and characters as ``wc -lc`` counts them (newline
+    characters; bytes), and approximate tokens = characters // 4."""
     t = F.col(text)
-    lines = F.size(F.split(t, "\n", -1))
+    newlines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     return df.groupBy(*(group or [])).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(lines).cast("bigint").alias("n_lines"),
-        F.sum(F.length(t)).cast("bigint").alias("n_chars")).withColumn(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(newlines).cast("bigint").alias("n_lines"),
+        F.sum(F.octet_length(t)).cast("bigint").alias("n_chars")).withColumn(
         "approx_tokens", (F.col("n_chars") / 4).cast("bigint"))
 
 
