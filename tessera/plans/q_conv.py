@@ -15,7 +15,7 @@ from tessera.plans.views import v_conv_rows, v_gsm, v_mc
 
 
 @register("assemble_messages", """
-SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, sum(length(text)) AS n_chars
+SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM conversations GROUP BY conv_id""")
 def assemble_messages_q(spark, sf):
     """B1: ordered messages per conversation."""
@@ -65,7 +65,7 @@ b AS (SELECT conv_id, m, m[1].role = 'system' AS is_sys, m[2].role = 'user' AS n
 SELECT conv_id,
        CAST(CASE WHEN is_sys AND coalesce(nxt_user, false) THEN len(m) - 1 ELSE len(m) END AS BIGINT) AS n_messages,
        CASE WHEN is_sys AND coalesce(nxt_user, false) THEN 'user' ELSE m[1].role END AS first_role,
-       CASE WHEN is_sys AND coalesce(nxt_user, false) THEN length(m[1].text || chr(10) || chr(10) || m[2].text) ELSE length(m[1].text) END AS first_len,
+       CAST(CASE WHEN is_sys AND coalesce(nxt_user, false) THEN length(m[1].text || chr(10) || chr(10) || m[2].text) ELSE length(m[1].text) END AS INT) AS first_len,
        is_sys AND NOT coalesce(nxt_user, false) AS merge_error
 FROM b""")
 def merge_system_q(spark, sf):
@@ -80,7 +80,7 @@ def merge_system_q(spark, sf):
 @register("pop_last_assistant", """
 WITH a AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn) AS m FROM conversations GROUP BY conv_id)
 SELECT conv_id, coalesce(m[-1].role = 'assistant', false) AS pop_ok,
-       CASE WHEN m[-1].role = 'assistant' THEN length(m[-1].text) END AS ref_len,
+       CAST(CASE WHEN m[-1].role = 'assistant' THEN length(m[-1].text) END AS INT) AS ref_len,
        CAST(CASE WHEN m[-1].role = 'assistant' THEN len(m) - 1 ELSE len(m) END AS BIGINT) AS n_left
 FROM a""")
 def pop_last_assistant_q(spark, sf):

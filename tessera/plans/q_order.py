@@ -102,7 +102,7 @@ def chain_tasks_q(spark, sf):
 
 # ------------------------------------------------------------------ corpus
 @register("scan_corpus", """
-SELECT 'documents.parquet' AS shard, doc_id AS pos, doc_id, length(text) AS n_chars FROM documents""")
+SELECT 'documents.parquet' AS shard, doc_id AS pos, doc_id, CAST(length(text) AS INT) AS n_chars FROM documents""")
 def scan_corpus_q(spark, sf):
     """A1: text-only scan with shard file name and row position; doc_id joined by position."""
     s = C.scan_corpus(spark, f"{sf.rstrip('/')}/documents.parquet")
@@ -123,7 +123,7 @@ def split_corpus_q(spark, sf):
 
 
 @register("repeat_epochs", f"""WITH {DV.V_CORPUS}
-SELECT e AS epoch, count(*) AS n_docs, sum(length(text)) AS n_chars FROM v_corpus, generate_series(1, 3) t(e) GROUP BY 1""")
+SELECT CAST(e AS INT) AS epoch, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM v_corpus, generate_series(1, 3) t(e) GROUP BY 1""")
 def repeat_epochs_q(spark, sf):
     """Three epochs of the corpus."""
     r = C.repeat_epochs(v_corpus(spark, sf), 3)
@@ -133,7 +133,7 @@ def repeat_epochs_q(spark, sf):
 @register("resume_after", f"""WITH {DV.V_CORPUS},
 tr AS (SELECT * FROM v_corpus WHERE shard <> (SELECT max(shard) FROM v_corpus)),
 s AS (SELECT *, dense_rank() OVER (ORDER BY shard) - 1 AS shard_idx FROM tr),
-e AS (SELECT s.*, ep AS epoch FROM s, generate_series(1, 2) t(ep))
+e AS (SELECT s.*, CAST(ep AS INT) AS epoch FROM s, generate_series(1, 2) t(ep))
 SELECT CAST(row_group % 2 AS INT) AS rank, epoch, shard_idx, row_group, doc_id FROM e
 WHERE (epoch > 1 OR (epoch = 1 AND (shard_idx > 3 OR (shard_idx = 3 AND row_group >= 4))))""")
 def resume_after_q(spark, sf):

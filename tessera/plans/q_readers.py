@@ -67,7 +67,7 @@ def read_icl_items_q(spark, sf):
 
 
 @register("read_baselines", f"""WITH {DV.V_MC}
-SELECT DISTINCT subject AS task, CASE WHEN length(subject) % 2 = 0 THEN 25.0 ELSE 10.0 END AS baseline_pct FROM v_mc""")
+SELECT DISTINCT subject AS task, CAST(CASE WHEN length(subject) % 2 = 0 THEN 25.0 ELSE 10.0 END AS DOUBLE) AS baseline_pct FROM v_mc""")
 def read_baselines_q(spark, sf):
     """A10: a baseline csv (header + one line per subject) parsed back."""
     subj = v_mc(spark, sf).select("subject").distinct()

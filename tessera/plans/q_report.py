@@ -111,8 +111,8 @@ def wall_clock_q(spark, sf):
     return j.select("n_nationkey", RP.wall_clock(F.col("t0").cast("timestamp"), F.col("t1").cast("timestamp")).alias("wall_clock"))
 
 
-_RATE_SQL = """CASE WHEN contains(device, 'H100') THEN 3.0 WHEN contains(device, 'A100') THEN 1.79
-                    WHEN contains(device, 'V100') THEN 0.55 ELSE 2.0 END"""
+_RATE_SQL = """CAST(CASE WHEN contains(device, 'H100') THEN 3.0 WHEN contains(device, 'A100') THEN 1.79
+                    WHEN contains(device, 'V100') THEN 0.55 ELSE 2.0 END AS DOUBLE)"""
 
 
 @register("first_match", f"WITH {DV.V_DEVICES} SELECT s_suppkey, device, {_RATE_SQL} AS rate FROM v_devices")

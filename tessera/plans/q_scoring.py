@@ -29,7 +29,7 @@ def mc_graded(spark, sf):
 @register("mc_eval", _PICK_SQL + """,
 g AS (SELECT 'letters10' AS task, coalesce(pred_idx = gold, false) AS correct FROM p),
 a AS (SELECT task, count(*) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS n_correct FROM g GROUP BY task)
-SELECT task, n, n_correct, round(n_correct / n, 6) AS accuracy, 10.0 AS baseline,
+SELECT task, n, n_correct, round(n_correct / n, 6) AS accuracy, CAST(10.0 AS DOUBLE) AS baseline,
        round((n_correct / n - 0.1) / (1 - 0.1), 6) AS centered
 FROM a""")
 def mc_eval(spark, sf):
