@@ -34,6 +34,20 @@ def register_task(name: str, prepare, grade, eval_type: str, baseline: float = 0
     return t
 
 
+def run_task(name: str, raw: DataFrame, responses: DataFrame, keys: list[str],
+             completion: str = "completion") -> DataFrame:
+    """M1: prepare the raw rows of a registered task, attach responses (a missing
+    one is '' and wrong, H4), grade, and report accuracy with the task baseline."""
+    from tessera.operators import score as S
+    task = TASKS[name]
+    problems = task.prepare(raw)
+    joined = S.join_predictions(problems, responses.select(*keys, completion), keys, completion)
+    graded = task.grade(joined)
+    acc = S.accuracy(graded)
+    return (acc.withColumn("task", F.lit(name)).withColumn("eval_type", F.lit(task.eval_type))
+            .withColumn("baseline", F.lit(task.baseline)))
+
+
 def complete_with(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt", num_samples: int = 1) -> DataFrame:
     """M4: call a user completion function on every prompt (``num_samples`` times).
 

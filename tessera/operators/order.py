@@ -164,6 +164,17 @@ def fewshot_indices(df: DataFrame, k: int, seed: int, n: int, idx: str = "idx",
     return df.withColumn(out, F.slice(ok, 1, k))
 
 
+def global_fewshot(pool: DataFrame, k: int, seed: int = 42, idx: str = "idx", fields: list[str] | None = None) -> "Column":
+    """F9 (global mode): one sample of ``k`` pool rows shared by all items, as a
+    scalar-subquery column (the k rows with the smallest ``md5(seed:idx)``;
+    a top-k, computed once)."""
+    fields = fields or [c for c in pool.columns if c != idx]
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(idx).cast("string")))
+    top = pool.orderBy(key, idx).limit(k).select(key.alias("_k"), *fields)
+    return top.select(F.transform(F.sort_array(F.collect_list(F.struct("_k", *fields))),
+                                  lambda x: F.struct(*[x.getField(f).alias(f) for f in fields]))).scalar()
+
+
 def sample_fewshot(df: DataFrame, k: int, seed: int = 1234, idx: str = "idx", fields: list[str] | None = None,
                    out: str = "shots") -> DataFrame:
     """attach ``k`` shots (distinct, never the item itself) as an ordered array.

@@ -57,3 +57,22 @@ def test_tokenizer_protocol(spark):
     assert spec.decode(ids[1:]) == "hé"
     with pytest.raises(ValueError):
         X.register_tokenizer("nobos", spec.encode_batch, spec.decode, {"<|user_start|>": 1})
+
+
+def test_run_task_and_global_shots(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+    from tessera.operators import order as O
+    from tessera.operators import score as S
+    raw = spark.createDataFrame([(i, f"q{i}", f"#### {i}") for i in range(10)], "idx long, question string, answer string")
+    X.register_task("toy_gsm", lambda df: df.withColumn("ref", T.extract_hash_number("answer")),
+                    lambda df: S.grade_exact(df.withColumn("pred", T.extract_hash_number("completion")), "pred", "ref"),
+                    "generative", 0.0)
+    resp = spark.createDataFrame([(i, f"so #### {i if i % 2 else i + 1}") for i in range(8)], "idx long, completion string")
+    r = X.run_task("toy_gsm", raw, resp, ["idx"]).first()
+    assert (r.n, r.n_correct, r.eval_type) == (10, 4, "generative")  # odd ids right; 8, 9 missing -> wrong
+    shots = O.global_fewshot(raw, 3, seed=42, fields=["question", "answer"])
+    got = raw.withColumn("shots", shots).select(F.to_json("shots").alias("j")).distinct().collect()
+    assert len(got) == 1  # the same shots for every item
+    assert len(raw.withColumn("shots", shots).first().shots) == 3
