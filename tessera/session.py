@@ -43,9 +43,29 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not local and master is not None:
+        ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable on executors (the programmatic ``--py-files``):
+    the Arrow UDFs pickle functions by module reference.  The package is zipped
+    on the driver once per application and distributed by ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tessera-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "tessera"), "zip", os.path.dirname(pkg), "tessera")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
