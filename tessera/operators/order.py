@@ -99,8 +99,8 @@ def limit_problems(df: DataFrame, n: int | None, idx: str = "idx") -> DataFrame:
 
 def slice_task(df: DataFrame, start: int = 0, stop: int | None = None, step: int = 1, idx: str = "idx") -> DataFrame:
     """G1: logical view ``[start:stop:step]`` with a new dense idx (stop clamped to n)."""
-    if start < 0 or step < 1:
-        raise ValueError("need start >= 0 and step >= 1")
+    if start < 0 or step < 1 or (stop is not None and stop < start):
+        raise ValueError("need start >= 0, step >= 1 and stop >= start")
     cond = (F.col(idx) >= start) & (F.pmod(F.col(idx) - start, F.lit(step)) == 0)
     if stop is not None:
         cond = cond & (F.col(idx) < stop)

@@ -90,3 +90,11 @@ def test_centered_and_chatcore(spark):
     r = S.chatcore(acc, group=["model"]).first()
     assert r.n_tasks == 6 and r.chatcore == pytest.approx((3 * (0.25 / 0.75) + 3 * 0.5) / 6)
     assert S.chatcore(acc.where("task <> 'MMLU'"), group=["model"]).count() == 0
+
+
+def test_slice_argument_checks(spark):
+    df = spark.range(3).withColumnRenamed("id", "idx")
+    for bad in [(-1, None, 1), (0, None, 0), (5, 2, 1)]:
+        with pytest.raises(ValueError):
+            O.slice_task(df, *bad)
+    assert O.slice_task(df, 2, 2).count() == 0
