@@ -200,7 +200,8 @@ def chunk_positions(df: DataFrame, key: list[str], order, chunk_rows: int = 100_
     """Per-key 0-based position (skew-safe, see ``index_within``) and its chunk
     ``pos div chunk_rows``; the unit for bounded per-key scans."""
     g = index_within(df, key, order, out="_pos")
-    return g.withColumn("_chunk", (F.col("_pos") / chunk_rows).cast("bigint"))
+    # positions feed several passes (windows, chunk totals, joins back): materialise once
+    return cut_lineage(g.withColumn("_chunk", (F.col("_pos") / chunk_rows).cast("bigint")))
 
 
 def chunked_running_sums(g: DataFrame, key: list[str], values: dict) -> DataFrame:
