@@ -13,6 +13,7 @@ from tessera.operators import tok as TK
 from tessera.plans.q_tok import merges_for
 from tessera.plans.registry import register
 from tessera.plans.views import v_icl_mc
+from tessera.session import cut_lineage
 
 
 def _toy_lm(seqs):
@@ -30,7 +31,7 @@ def core_eval_chain_q(spark, sf):
     prompts = P.render_icl_mc(shots).select("item_id", "option_idx", "gold", "prompt")
     enc = prompts.withColumn("tokens", TK.encode("prompt", merges, prepend="<|bos|>"))
     spans = Q.answer_spans(enc, "multiple_choice")
-    spans = Q.truncate_left(spans, 48)
+    spans = cut_lineage(Q.truncate_left(spans, 48))  # read by the scorer and by the scoring join
     losses = X.score_with(spans, _toy_lm, ["item_id", "option_idx"])
     scored = S.score_options(losses, spans.select("item_id", "option_idx", "start", "end", "gold"))
     acc = S.accuracy(scored).withColumn("task", F.lit("icl_mc"))
