@@ -28,14 +28,20 @@ def main():
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
     qs = catalog.queries()
     names = [n for n in (sys.argv[1:] or HEADLINE + [n for n in qs if n not in HEADLINE]) if n in qs]
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.time()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report and go on; the JSON line must still be printed
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "n_queries": len(times)}))
+    out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": sf, "n_queries": len(times)}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
