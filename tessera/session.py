@@ -30,6 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Arrow batches bound the memory of every pandas function.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        # checkpoint files of unreachable checkpointed data are removed by Spark's cleaner
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions or local:
