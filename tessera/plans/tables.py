@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> D
     if name not in TABLES:
         raise KeyError(name)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    return spread_small_scan(df) if spread else df
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan only when it yields fewer input splits than the
+    session's cores (e.g. one file with one row group); many-split inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
