@@ -23,3 +23,20 @@ def test_first_match_regex_and_all_of(spark):
     rules2 = spark.createDataFrame([(0, ["gem", "7b"], "G")], "rule_no int, pattern array<string>, value string")
     got2 = {r.k: r.value for r in RP.first_match(df, rules2, "m", ["k"], kind="all_of", default="-").collect()}
     assert got2 == {1: "-", 2: "G", 3: "-"}
+
+
+def test_broadcast_guard_checks_rows_and_bytes(spark):
+    from tessera.plans.guards import broadcast_small
+    small = spark.createDataFrame([(i, "x") for i in range(10)], "k int, v string")
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(10)], "k int, v string")
+    r = spark.range(5)
+
+    def plan(d):
+        return r.join(d, r.id == d.k)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(broadcast_small(small, "t"))
+        assert "BroadcastHashJoin" not in plan(broadcast_small(wide, "t", max_bytes=5000))
+        assert "BroadcastHashJoin" not in plan(broadcast_small(small, "t", max_rows=5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
