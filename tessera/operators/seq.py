@@ -28,10 +28,29 @@ def common_length_expr(seqs: Column, side: str = "left") -> Column:
     return F.when(F.size(diffs) > 0, F.array_min(diffs) - 1).otherwise(min_len)
 
 
-def common_length(df: DataFrame, item: str, tokens: str = "tokens", side: str = "left", out: str = "common") -> DataFrame:
-    """per item, over all its option sequences."""
-    g = df.groupBy(item).agg(F.collect_list(tokens).alias("_seqs"))
-    return g.select(item, common_length_expr(F.col("_seqs"), side).alias(out))
+def _lcp(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two arrays."""
+    n = F.least(F.size(a), F.size(b))
+    diffs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                     lambda i: (i <= n) & (F.element_at(a, i) != F.element_at(b, i)))
+    return F.when(F.size(diffs) > 0, F.array_min(diffs) - 1).otherwise(n)
+
+
+def common_length(df: DataFrame, item: str, tokens: str = "tokens", side: str = "left", out: str = "common",
+                  order: str = "option_idx") -> DataFrame:
+    """per item, the common prefix ('left') or suffix ('right') length of all
+    its sequences; the whole minimum length when no position differs.
+
+    Without gathering an item's sequences: the common prefix of a set is the
+    minimum over its members of their common prefix with the first member
+    (lowest ``order``).  The first member per item is a partial-aggregated
+    ``min(struct)``, joined back by item; the final ``min`` is partial too.
+    """
+    t = F.col(tokens) if side == "left" else F.reverse(F.col(tokens))
+    seqs = df.select(item, order, t.alias("_t"))
+    first = seqs.groupBy(item).agg(F.min(F.struct(order, "_t")).getField("_t").alias("_t0"))
+    j = seqs.join(first, item)
+    return j.groupBy(item).agg(F.min(_lcp(F.col("_t"), F.col("_t0"))).alias(out))
 
 
 def answer_spans(df: DataFrame, task_type: str, item: str = "item_id", tokens: str = "tokens",
