@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import count_letter
+from tessera.session import ensure_shipped
 
 # ---------------------------------------------------------------- fixed values
 ARITH_CHARS = "0123456789*+-/.() "
@@ -80,6 +81,7 @@ _SIMPLE_COUNT = r"^'([a-zA-Z0-9._ ]*)'\.count\('([a-zA-Z0-9._ ]*)'\)$"
 
 def use_calculator(expr) -> Column:
     """The calculator result as text (null when rejected or failing)."""
+    ensure_shipped()
     e = F.replace(F.col(expr) if isinstance(expr, str) else expr, F.lit(","), F.lit(""))
     kind = calculator_kind(e)
     word, letter = F.regexp_extract(e, _SIMPLE_COUNT, 1), F.regexp_extract(e, _SIMPLE_COUNT, 2)

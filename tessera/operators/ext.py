@@ -55,6 +55,8 @@ def complete_with(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt
     empty completion and an ``error`` text, never a failed job.  Output keeps
     all input columns plus ``sample``, ``completion`` and ``error``.
     """
+    from tessera.session import ensure_shipped
+    ensure_shipped(df.sparkSession)
     base = df.drop("completion", "error").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
     schema = T.StructType(list(base.schema.fields) + [T.StructField("completion", T.StringType()),
                                                       T.StructField("error", T.StringType())])
@@ -109,6 +111,9 @@ def encode_with(col, spec: TokenizerSpec, prepend: int | None = None):
     """Encode a text column with a registered tokenizer (Arrow batches)."""
     from pyspark.sql import types as T_
 
+    from tessera.session import ensure_shipped
+    ensure_shipped()
+
     @F.pandas_udf(T_.ArrayType(T_.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:
         ids = spec.encode_batch(s.fillna("").tolist())
@@ -127,6 +132,8 @@ def score_with(df: DataFrame, fn: Callable, keys: list[str], tokens: str = "toke
     batch inside ``mapInPandas`` (one model load per Python worker if the
     caller caches it).
     """
+    from tessera.session import ensure_shipped
+    ensure_shipped(df.sparkSession)
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("pos", T.IntegerType()), T.StructField("token", T.IntegerType()),
                                         T.StructField("loss", T.DoubleType()), T.StructField("pred_token", T.IntegerType())])

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_shipped
+
 OUT_SCHEMA = "lane bigint, row_no bigint, tokens array<int>, last_idx bigint, n_docs int, n_cropped int"
 OUT_COLS = ["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped"]
 STATE_SCHEMA = ("buf array<struct<idx:bigint,tokens:array<int>>>, pending array<struct<idx:bigint,tokens:array<int>>>, "
@@ -110,6 +112,7 @@ def pack_bestfit(df: DataFrame, T: int, buffer_size: int = 1000, refill: int = 1
     keep filling rows from the remaining buffer; a final partial row is dropped
     (see F7)."""
     spark = df.sparkSession
+    ensure_shipped(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # range partitioning spreads the (few, small-integer) lanes evenly; hashing may collide
     s = _lane_input(df, lane, order, tokens).repartitionByRange(n, "lane").sortWithinPartitions("lane", "idx")
@@ -122,6 +125,7 @@ def stream_pack(stream: DataFrame, T: int, buffer_size: int = 1000, refill: int
     (``applyInPandasWithState``, append mode).  Rows carry ``last_idx``, the
     resume position; the file source checkpoint makes the feed resumable."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    ensure_shipped(stream.sparkSession)
 
     def fn(key, pdfs, state):
         lane = key[0]

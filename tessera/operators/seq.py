@@ -119,7 +119,10 @@ def bin_by_sequence_cap_var(df: DataFrame, cap: int, n: str = "n", lane: str = "
     through ``mapInPandas`` with O(1) state; lanes run in parallel.
     """
     import pandas as pd
+
+    from tessera.session import ensure_shipped
     spark = df.sparkSession
+    ensure_shipped(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.select(F.col(lane).cast("bigint").alias("lane"), F.col(idx).cast("bigint").alias("idx"),
                    F.col(n).cast("int").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, ensure_shipped
 
 # ---------------------------------------------------------------- fixed values
 SPECIAL_TOKENS = [
@@ -154,6 +154,7 @@ def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None
     """Ordinary encode (special-token text is not parsed) in an Arrow UDF;
     the merge list travels with the function (vocabulary-sized).  ``prepend`` /
     ``append`` take a token id or a special-token name."""
+    ensure_shipped()
     key = tuple(merges)
     if isinstance(prepend, str):
         prepend = special_id(merges, prepend)
@@ -172,6 +173,7 @@ def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None
 
 def decode(ids, merges: list[tuple[int, int]]) -> Column:
     """Ids -> text (invalid UTF-8 replaced)."""
+    ensure_shipped()
     key = tuple(merges)
 
     @F.pandas_udf(T.StringType())

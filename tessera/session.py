@@ -45,14 +45,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not local and master is not None:
-        ship_package(spark)
+    ship_package(spark)
     return spark
 
 
 _SHIPPED: set = set()
 
 
+def ensure_shipped(spark: SparkSession | None = None) -> None:
+    """``ship_package`` for the given or the active session (no-op without one)."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``tessera`` importable on executors (the programmatic ``--py-files``):
     the Arrow UDFs pickle functions by module reference.  The package is zipped
