@@ -19,11 +19,9 @@ def broadcast_small(df: DataFrame, what: str, max_rows: int = MAX_BROADCAST_ROWS
                     max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows and its rows, as JSON
     text, total at most ``max_bytes``; otherwise ``df`` unchanged (shuffle join)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        return df
-    size = df.select(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    row_bytes = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes)).first()  # one small job
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def broadcast_literal(df: DataFrame) -> DataFrame:
