@@ -35,3 +35,22 @@ def stream_accuracy(spark: SparkSession, log_dir: str, group=("task", "model_slu
     (the A13 layout: JSON under ``task=/model_slug=/variant=`` folders)."""
     s = spark.readStream.schema(RESPONSE_SCHEMA).json(log_dir)
     return S.accuracy_by(s.withColumn("correct", F.coalesce(F.col("correct"), F.lit(False))), list(group))
+
+
+def streaming_accuracy(stream: DataFrame, group: list[str], correct: str = "correct") -> DataFrame:
+    """L2 over any stream with a boolean ``correct`` column (complete-mode aggregate)."""
+    return S.accuracy_by(stream.withColumn(correct, F.coalesce(F.col(correct), F.lit(False))), group, correct)
+
+
+def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything available now into a memory table and return it
+    as a batch DataFrame.  Progress and state live under ``spark.checkpoint.dir``."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    name = "tessera_" + uuid.uuid4().hex[:12]
+    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)

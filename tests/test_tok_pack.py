@@ -89,3 +89,18 @@ def test_multi_merge_rounds(spark):
     texts = [r.text for r in df.collect()]
     out = [r.t for r in df.select(TK.encode("text", multi).alias("i")).select(TK.decode("i", multi).alias("t")).collect()]
     assert out == texts
+
+
+def test_registered_stream_pack_equals_batch(spark):
+    from tessera.plans import q_stream
+    from tessera.plans.q_tok import merges_for
+    sf = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in q_stream.stream_pack_q(spark, sf).collect())
+    merges = merges_for(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("doc_id").alias("idx"), (F.col("doc_id") % 4).alias("lane"),
+        TK.encode("text", merges, prepend="<|bos|>").alias("tokens"))
+    batch = PK.pack_bestfit(docs, 64, buffer_size=16, refill=4, drain=False)
+    want = sorted(tuple(r) for r in batch.select("lane", "row_no", F.size("tokens").alias("n_tokens"),
+                                                 "n_docs", "n_cropped").collect())
+    assert got == want and len(got) > 0
