@@ -70,3 +70,21 @@ def test_dense_index_is_dense_and_ordered(spark, keys):
     df = spark.createDataFrame(keys, "a int, b long")
     got = sorted((r.a, r.b, r.idx) for r in O.dense_index(df, ["a", "b"]).collect())
     assert [x[2] for x in got] == list(range(len(keys)))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.text(alphabet="abcrstz", min_size=1, max_size=12), st.sampled_from("abcrxz")),
+                min_size=1, max_size=8))
+def test_spelling_functions_match_python(spark, pairs):
+    from tessera.functions import text as T
+    df = spark.createDataFrame(pairs, "w string, l string")
+    rows = df.select("w", "l", T.count_letter("w", "l").alias("n"), T.spell("w").alias("s"),
+                     T.counting_walkthrough("w", "l").alias("k")).collect()
+    for r in rows:
+        assert r.n == r.w.count(r.l)
+        assert r.s == f"{r.w}:{','.join(r.w)}"
+        running, lines = 0, []
+        for i, ch in enumerate(r.w, 1):
+            running += ch == r.l
+            lines.append(f"{i}:{ch}" + (f" hit! count={running}" if ch == r.l else ""))
+        assert r.k == "".join(x + "\n" for x in lines)
