@@ -32,3 +32,13 @@ def test_streak_golden(spark):
     assert (r[10].streak, r[10].halvings, r[10].budget) == (0, 1, 32768)
     assert (r[11].streak, r[12].streak) == (1, 1)  # another 400, then a 500 leaves the counter
     assert (r[13].streak, r[14].streak, r[14].budget) == (0, 1, 32768)  # success resets, budget stays
+
+
+def test_checkpoints_go_to_the_sessions_folder(spark):
+    from tessera.session import checkpoint_dir, cut_lineage
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    if configured:
+        assert configured.rstrip("/").split("/")[-1] in d  # the cluster's setting, not a folder of our own
+    df = cut_lineage(spark.range(5))
+    assert df.count() == 5
