@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import order as O
 from tessera.operators import prompts as P
+from tessera.plans import duck as D
 from tessera.plans import duck_views as DV
 from tessera.plans.registry import register
 from tessera.plans.views import v_code, v_gpqa, v_gsm, v_icl_lm, v_icl_mc, v_icl_schema, v_mc
@@ -47,16 +48,11 @@ def render_icl_schema_q(spark, sf):
     return P.render_icl_schema(s).select("item_id", "option_idx", "prompt")
 
 
-def _ws():
-    from tessera.plans.duck import strip
-    return strip
-
-
 @register("render_icl_lm", f"""WITH {DV.V_ICL_BASE}, {DV.V_ICL_LM}, {DV.fewshot_sql('v_icl_lm', 2, 1234)},
-st AS (SELECT s.idx, string_agg({_ws()('m.context')} || ' ' || m.continuation || {NL2}, '' ORDER BY s.j) AS txt
+st AS (SELECT s.idx, string_agg({D.strip('m.context')} || ' ' || m.continuation || {NL2}, '' ORDER BY s.j) AS txt
        FROM shots s JOIN v_icl_lm m ON m.idx = s.shot_idx GROUP BY s.idx)
-SELECT item_id, {_ws()("coalesce(st.txt, '') || " + _ws()('v.context') + " || ' '")} AS prompt_without,
-       coalesce(st.txt, '') || {_ws()('v.context')} || ' ' || v.continuation AS prompt_with
+SELECT item_id, {D.strip("coalesce(st.txt, '') || " + D.strip('v.context') + " || ' '")} AS prompt_without,
+       coalesce(st.txt, '') || {D.strip('v.context')} || ' ' || v.continuation AS prompt_with
 FROM v_icl_lm v LEFT JOIN st USING (idx)""")
 def render_icl_lm_q(spark, sf):
     """F9 + C4: language-modelling prompts without / with the continuation."""
@@ -98,7 +94,7 @@ def gsm8k_messages_q(spark, sf):
 @register("shuffle_choices", f"""WITH {DV.V_GPQA},
 k AS (SELECT item_id, correct, list_transform(list_sort(list_transform([correct, incorrect1, incorrect2, incorrect3],
         lambda c, i: {{'k': md5('0:' || Question || ':' || CAST(i - 1 AS VARCHAR)), 'c': c}})), lambda x: x.c) AS choices FROM v_gpqa)
-SELECT item_id, array_to_string(list_transform(generate_series(1, 4), lambda i: ['(A)', '(B)', '(C)', '(D)'][i] || ' ' || {_ws()('choices[i]')}), chr(10)) AS choices_text,
+SELECT item_id, array_to_string(list_transform(generate_series(1, 4), lambda i: ['(A)', '(B)', '(C)', '(D)'][i] || ' ' || {D.strip('choices[i]')}), chr(10)) AS choices_text,
        ['(A)', '(B)', '(C)', '(D)'][list_position(choices, correct)] AS correct_label FROM k""")
 def shuffle_choices_q(spark, sf):
     """Stable per-question shuffle of four GPQA choices and the correct label."""
