@@ -98,14 +98,15 @@ def text_slices(batch, column: str = "text", limit: int = SLICE_BYTES):
         a = b
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]`` (non-empty), all by one prefix sum."""
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of ``data[starts[i]:ends[i]]`` (non-empty), all by one prefix sum.
+    ``byte``: the 64-bit values of the bytes, for a second independent hash."""
     n = len(data)
     if not n or not len(starts):
         return np.zeros(len(starts), np.uint64)
     p, inv = _powers(n)
     c = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * p, out=c[1:])
+    np.cumsum((_BYTE if byte is None else byte)[data] * p, out=c[1:])
     return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 

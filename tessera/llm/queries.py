@@ -1,18 +1,38 @@
-"""Named queries of the numbered operators, and the pipeline's, for the driver."""
+"""Named queries of the numbered operators for the driver.  Each applies its operator with the
+default (production) parameters to a whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import partenum
+from tessera.llm import chunk_bpe, lsa_decontam, markov_secrets, partenum, weak_quality
 from tessera.llm.common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.quality(table(spark, sf_dir, "documents"))
+
 
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_partenum_join,)}
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov_secrets.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lsa_decontamination, op2_chunk_bpe, op3_weak_quality, op6_partenum_join, op9_markov_secrets)}
 ORACLE: dict[str, str] = {}
 
 
