@@ -28,11 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, _SPACE, hash_runs, mix, text_slices, written
+from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, text_slices, written
 from tessera.session import ensure_shipped
 
 WINDOW, BITS = 32, 10
-FILTER_WORDS = 1 << 21  # 64 bits each: the filter of shared bodies has 16 MB, whatever the corpus
 CALL_BYTES = 1 << 16
 _OTHER = mix(_BYTE + np.uint64(99))
 
@@ -169,7 +168,7 @@ def _parts(path: str, shared):
             for sub, data, off in text_slices(batch):
                 raw = data.tobytes()
                 text, a, b, k1, k2, cuts = bodies(data, off)
-                hit = (words[k1 & (FILTER_WORDS - 1)] >> ((k1 >> 40) & 63)) & 1 == 1
+                hit = in_filter(words, k1)
                 text, a, b, k1, k2 = text[hit], a[hit], b[hit], k1[hit], k2[hit]
                 agree = _joins_agree(codec, raw, cuts, list(zip(a.tolist(), b.tolist(), off[text].tolist(), off[text + 1].tolist(), strict=True)))
                 text, a, b, k1, k2 = text[agree], a[agree], b[agree], k1[agree], k2[agree]
@@ -264,11 +263,7 @@ def encode(docs: DataFrame, path: str, min_uses: int = 2) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.mapInArrow(_keys, "k1 bigint, k2 bigint").groupBy("k1", "k2").count().where(F.col("count") >= min_uses)
-    bit = F.expr("shiftleft(1L, cast(shiftright(k1, 40) & 63 as int))")
-    filled = shared.groupBy((F.col("k1").bitwiseAND(FILTER_WORDS - 1)).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    words = np.zeros(FILTER_WORDS, np.int64)  # a bit for each shared body, in an array of fixed size
-    for r in filled.toPandas().itertuples():
-        words[r.word] = r.bits
+    words = bit_filter(shared, "k1")
     parts = written(docs.mapInArrow(_parts(path, spark.sparkContext.broadcast(words)), DDL))
     done = parts.where("kind = 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     texts = parts.where("kind = 2").groupBy("k1", "k2").agg(F.first("payload").alias("payload"))

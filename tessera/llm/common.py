@@ -170,6 +170,25 @@ def cell_sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32))
 
 
+# ---------------------------------------------------------------- bit filters
+
+FILTER_WORDS = 1 << 21  # of 64 bits: a filter has 16 MB, whatever the number of keys
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each key (a bigint hash) in an array of fixed size, to be broadcast.  Tasks use it to
+    leave out rows that cannot match; false hits only add rows, as every match is checked later."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftright({column}, 40) & 63 as int))")
+    filled = keys.groupBy(F.col(column).bitwiseAND(FILTER_WORDS - 1).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    return words
+
+
+def in_filter(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (words[key & (FILTER_WORDS - 1)] >> ((key >> 40) & 63)) & 1 == 1
+
+
 # ---------------------------------------------------------------- connected components
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
