@@ -168,10 +168,11 @@ def _feature_rows(batches):
 
 
 def _train(frames):
-    rows = pd.concat(list(frames), ignore_index=True)
-    if not len(rows):
+    frames = [f for f in frames if len(f)]
+    if not frames:
         yield pd.DataFrame({"weights": [np.zeros(DIMS + 1).tobytes()]})
         return
+    rows = pd.concat(frames, ignore_index=True)
     index = [np.frombuffer(x, np.int32) for x in rows["index"]]
     value = [np.frombuffer(x, np.float32) for x in rows["value"]]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in index])
