@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chunk_bpe, lsa_decontam, markov_secrets, partenum, weak_quality
+from tessera.llm import (chunk_bpe, ftrl_toxicity, lsa_decontam, markov_secrets, page_diff, partenum, sorted_passes, suffix_cover, warc_dict,
+                         weak_quality)
 from tessera.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,15 +25,37 @@ def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_passes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_cover.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_dict.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov_secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lsa_decontamination, op2_chunk_bpe, op3_weak_quality, op6_partenum_join, op9_markov_secrets)}
+def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_lsa_decontamination, op2_chunk_bpe, op3_weak_quality, op4_sorted_passes, op5_suffix_cover, op6_partenum_join, op7_warc_dictionary,
+    op8_ftrl_toxicity, op9_markov_secrets, op10_page_differencing)}
 ORACLE: dict[str, str] = {}
 
 
