@@ -4,7 +4,7 @@ Base spans are leftmost non-overlapping matches of three patterns.  The method a
 spans: long tokens outside the base spans whose characters follow a Markov chain trained
 on random strings rather than one trained on ordinary identifiers, by log-likelihood
 ratio.  Both chains are trained here from labelled samples of the corpus: the values of
-the base matches (random), and letter words of ``MAX_ORDINARY`` documents (ordinary).
+the base matches (random), and words of ``MAX_ORDINARY`` documents without any (ordinary).
 Ratios are whole milli-nats, so that sums do not depend on their order.
 
 Everything is DataFrame expressions; the only values that pass the driver are the model's
@@ -27,12 +27,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = r"[A-Za-z]{8,}"
+ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MAX_ORDINARY = 2_000
 #: a token is reported from this ratio in milli-nats, in all and for each pair of characters
 MIN_TOTAL, MIN_EACH = 15_000, 800
 MASK = "[SECRET]"
+BACK_OFF = 4.0  # weight of a character's own frequency in its chances after another
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -78,9 +79,10 @@ def _pairs(words: DataFrame, word: str = "word") -> DataFrame:
 def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> list[int]:
     """Log-likelihood ratios (milli-nats) of the character pairs, row by row of the alphabet.
 
-    Random strings: the values of base matches in all documents.  Ordinary identifiers: words of eight
-    letters or more in the ``max_ordinary`` documents of smallest md5 of their id.  Counts are smoothed
-    by one, so a pair that neither sample holds says nothing, and an empty corpus gives zeros.
+    Random strings: the values of base matches in all documents.  Ordinary identifiers: tokens of eight
+    characters or more in those of the ``max_ordinary`` documents of smallest md5 of their id that have no
+    base match.  A pair's chances back off to its second character's frequency, and that to an even one; an
+    empty corpus gives zeros.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hits = _with_base(docs, "text").select(F.explode(F.concat(
@@ -89,14 +91,16 @@ def train(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> list[int]:
     key = F.md5(F.col("doc_id").cast("string"))
     chosen = written(docs.where("doc_id is not null").select("doc_id").distinct().orderBy(key, "doc_id").limit(max_ordinary))
     sample = docs.join(F.broadcast(chosen), "doc_id")  # at most max_ordinary ids
+    sample = _with_base(sample, "text").where(F.size("_assign") + F.size("_access") + F.size("_hex") == 0)
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("word"))
     size = len(ALPHABET)
-    counts = [[[1] * size for _ in range(size)] for _ in range(2)]
+    counts = [[[0] * size for _ in range(size)] for _ in range(2)]
     both = _pairs(hits).withColumn("kind", F.lit(0)).unionByName(_pairs(words).withColumn("kind", F.lit(1)))
     for r in both.collect():  # at most 2 * size^2 rows
         counts[r["kind"]][r["a"] - 1][r["b"] - 1] += r["n"]
-    total = [[sum(row) for row in table] for table in counts]
-    chance = lambda c, a, b: counts[c][a][b] / total[c][a]
+    rows = [[sum(row) for row in table] for table in counts]
+    own = [[(sum(row[b] for row in table) + 1) / (sum(map(sum, table)) + size) for b in range(size)] for table in counts]
+    chance = lambda c, a, b: (counts[c][a][b] + BACK_OFF * own[c][b]) / (rows[c][a] + BACK_OFF)
     return [round(1000 * math.log(chance(0, a, b) / chance(1, a, b))) for a in range(size) for b in range(size)]
 
 
