@@ -18,7 +18,10 @@ copy of each shared body from each task.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import string
 
 import numpy as np
 import pandas as pd
@@ -36,8 +39,17 @@ CALL_BYTES = 1 << 16
 _OTHER = mix(_BYTE + np.uint64(99))
 
 
+_UNIT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")  # a word with the white space before it
+_BLANKS, _PUNCTUATION = b" \t\n\x0b\x0c\r", string.punctuation.encode()
+MEMO = 1_000_000
+
+
 class Codec:
-    """A tokenizer file, opened once in each worker."""
+    """A tokenizer file, opened once in each worker.
+
+    Where no token can reach over a word start (``by_word``), texts are encoded word by word with a
+    bounded memo, as most words come again and again; other tokenizers get each text as a whole.
+    """
 
     open_files: dict = {}
 
@@ -50,6 +62,7 @@ class Codec:
         self.tok.no_padding()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.by_word, self.memo = self._by_word(path), {}
         if self.tok.decoder is None:  # decode() joins the tokens by one blank
             pieces = [(self.tok.id_to_token(i) or "").encode() + b" " for i in range(size)]
             self.length = np.array([len(p) for p in pieces])
@@ -62,8 +75,66 @@ class Codec:
             cls.open_files[path] = cls(path)
         return cls.open_files[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _by_word(self, path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"] or {}
+        steps = steps.get("pretokenizers", [steps])
+        splits = [x for x in steps if x.get("type") == "Split" and x["pattern"].get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+") and x["invert"]]
+        byte_level = [x for x in steps if x.get("type") == "ByteLevel" and x.get("use_regex", True) and not x["add_prefix_space"]]
+        marks = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.mark, self.mark_id = (marks[0]["content"].encode(), marks[0]["id"]) if marks and len(marks[0]["content"]) > 2 else (None, None)
+        normal = spec["normalizer"] or {}
+        self.folds = bool(splits) and any(x.get("type") == "Lowercase" for x in normal.get("normalizers", [normal]))
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
+        return plain and bool(splits or byte_level)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
+    def _encode_units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of short units: all in one text, parted by a special token, as that parts texts exactly."""
+        if self.mark is None:
+            return self._encode(units)
+        odd = [u for u in units if self.mark[:2] in u]
+        if odd:
+            known = dict(zip(odd, self._encode(odd), strict=True))
+            plain = iter(self._encode_units([u for u in units if u not in known]))
+            return [known[u] if u in known else next(plain) for u in units]
+        ids = np.array(self.tok.encode(self.mark.join(units).decode("utf-8"), add_special_tokens=False).ids, self.kind)
+        ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)] if units else []
+        raw, size = ids.tobytes(), self.kind.itemsize
+        return [raw[a * size:b * size] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        if not self.by_word:
+            return [np.frombuffer(x, self.kind) for x in self._encode(texts)]
+        units = [_UNIT.findall(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo = self.memo
+        new = {u: self._stem(u) for words in units for u in words if u not in memo}
+        missing = list({x for pair in new.values() for x in pair if x and x not in memo})
+        for a in range(0, len(missing), 5_000):
+            part = missing[a:a + 5_000]
+            memo.update(zip(part, self._encode_units(part), strict=True))
+        memo[b""] = b""
+        for u, (stem, tail) in new.items():
+            memo[u] = memo[stem] + memo[tail]
+        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), self.kind) for words in units]
+
+    def _stem(self, unit: bytes) -> tuple[bytes, bytes]:
+        """A unit as two texts whose ids follow each other: without ASCII punctuation after its last ASCII letter
+        or digit, where a token always ends, and the rest; in lower case where the tokenizer lowers itself."""
+        if self.mark and self.mark[:2] in unit:
+            return unit, b""
+        if self.folds:
+            unit = unit.strip(_BLANKS).lower()
+        stem = unit.rstrip(_PUNCTUATION)
+        if stem and (48 <= stem[-1] <= 57 or 65 <= stem[-1] <= 90 or 97 <= stem[-1] <= 122):
+            return stem, unit[len(stem):]
+        return unit, b""
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """The ids' pieces, each followed by a blank (tokenizers without a decoder)."""
@@ -147,7 +218,7 @@ def _joins_agree(codec: Codec, raw: bytes, cuts: np.ndarray, spans: list[tuple[i
             p = max(left, int(cuts[j - 1]) if j else 0)
             q = min(right, int(cuts[j + 1]) if j + 1 < len(cuts) else right)
             for x, y in ((p, q), (p, cut), (cut, q)):
-                texts.append(raw[x:y].decode("utf-8"))
+                texts.append(raw[x:y])
             place.append(i)
     ids = codec.encode(texts)
     agree = np.ones(len(spans), bool)
@@ -185,7 +256,7 @@ def _parts(path: str, shared):
                             here.append((None, i))
                             at = y
                     layout.append(here)
-                ids = codec.encode([raw[x:y].decode("utf-8") for x, y in calls])
+                ids = codec.encode([raw[x:y] for x, y in calls])
                 out = []
                 for t, (doc, here) in enumerate(zip(sub.column(0).to_pylist(), layout, strict=True)):
                     uid += 1
@@ -220,7 +291,7 @@ def _encode_bodies(path: str):
     def run(batches):
         codec, pack, unpack = Codec.of(path), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = codec.encode([unpack(x).decode("utf-8") for x in batch.column(2).to_pylist()])
+            ids = codec.encode([unpack(x) for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x.tobytes()) for x in ids], pa.binary())],
                                              ["k1", "k2", "ids"])
     return run
