@@ -13,8 +13,9 @@ always share it without a shift.
 2. All strings with the same sampled position form one run of text.  Runs are named by gram
    and whole content; a run that occurs earlier is removed whole.
 3. What remains is the first occurrence of each run whose gram occurs in other runs too.
-   Only there are the single suffixes named (by their first ``LENGTH`` bytes), sorted with
-   their positions, and adjacent equal prefixes compared.
+   Only there are the single suffixes named (by their first ``LENGTH`` bytes).  They meet by
+   gram, as equal ones share it, or, of grams with more than ``KINDS`` different runs, by
+   their own names; of equal names the later positions are removed.
 
 Names are 64-bit hashes (equality is all that is asked of them), so no ranks are
 redistributed and no recursion is needed.  Sorted names are read as streams: a name that
@@ -36,6 +37,7 @@ from tessera.llm.common import bit_filter, free_shuffles, hash_runs, in_filter,
 from tessera.session import ensure_shipped
 
 LENGTH, GRAM = 100, 32
+KINDS = 2_000
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -107,20 +109,53 @@ def _candidates(length, gram, repeated):
     return run
 
 
-def _suffixes(length, gram, mixed):
+def _suffixes(length, gram, mixed, frequent):
+    """Names of the suffixes of the runs in the filter ``mixed``: a row (key, doc_id, mark, a, names) for each run,
+    its key the gram; of frequent grams a row for each suffix, its key the name."""
     def run(batches):
         for batch in batches:
             for doc, mark, data, off in _slices(batch):
-                text, first, last, sample, _ = runs(data, off, length, gram)
+                text, first, last, _, name = runs(data, off, length, gram)
                 hit = in_filter(mixed.value, _run_id(doc[text], mark[text], first - off[text]))
-                text, first, last = text[hit], first[hit], last[hit]
-                n = last - first + 1
-                if not len(n):
+                text, first, last, name = text[hit], first[hit], last[hit], name[hit]
+                if not len(first):
                     continue
-                start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                t = np.repeat(text, n)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hash_runs(data, start, start + length).view(np.int64), doc[t], mark[t], start - off[t])],
-                                                 ["name", "doc_id", "mark", "a"])
+                n = last - first + 1
+                at = np.concatenate([[0], np.cumsum(n)])
+                start = np.repeat(first - at[:-1], n) + np.arange(at[-1])
+                suffix = hash_runs(data, start, start + length).view(np.int64)
+                apart = in_filter(frequent.value, name)
+                whole = np.flatnonzero(~apart)
+                raw = [suffix[at[i]:at[i + 1]].tobytes() for i in whole]
+                yield _suffix_rows(name[whole], doc[text[whole]], mark[text[whole]], (first - off[text])[whole], raw)
+                single = np.flatnonzero(np.repeat(apart, n))
+                if len(single):
+                    t = np.repeat(text, n)[single]
+                    yield _suffix_rows(suffix[single], doc[t], mark[t], start[single] - off[t], [x.tobytes() for x in suffix[single]])
+    return run
+
+
+def _suffix_rows(key, doc, mark, a, names):
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, mark, a)), pa.array(names, pa.binary())], ["key", "doc_id", "mark", "a", "names"])
+
+
+def _later(length):
+    """Of rows (key, doc_id, mark, a, names) sorted by (key, doc_id, a): intervals of the suffixes whose name an
+    earlier position of the key has.  Holds the names of one key: at most those of ``KINDS`` runs, or one."""
+    def run(frames):
+        key, first = None, {}
+        for f in frames:
+            out = []
+            for k, d, m, a, raw in f.itertuples(index=False):
+                if k != key:
+                    key, first = k, {}
+                end = None
+                for i, x in enumerate(np.frombuffer(raw, np.int64).tolist(), a):
+                    if first.setdefault(x, (d, i)) != (d, i):
+                        if end != i - 1 + length:
+                            out.append([d, m, i, i])
+                        out[-1][3] = end = i + length
+            yield pd.DataFrame(out, columns=["doc_id", "mark", "a", "b"], dtype=np.int64)
     return run
 
 
@@ -204,12 +239,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
              .mapInPandas(_repeats("gram whole"), found.schema).select("doc_id", "mark", "a", "b"))
     firsts = found.groupBy("gram", "whole").agg(F.min(F.struct("doc_id", "a", "mark")).alias("at"))
     # a gram with one kind of run has nothing more to compare
-    several = firsts.groupBy("gram").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x <> y").select("gram")
-    mixed = firsts.join(several, "gram", "left_semi").select(_run_column().alias("id"))
+    kinds = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = firsts.join(kinds, "gram", "left_semi").select(_run_column().alias("id"))
     runs_left = spark.sparkContext.broadcast(bit_filter(mixed, "id"))
-    single = docs.mapInArrow(_suffixes(length, gram, runs_left), "name bigint, doc_id bigint, mark bigint, a bigint")
-    single = (single.repartition(n, "name").sortWithinPartitions("name", "doc_id", "a").mapInPandas(_repeats("name"), single.schema)
-              .select("doc_id", "mark", "a", (F.col("a") + length).alias("b")))
+    frequent = spark.sparkContext.broadcast(bit_filter(kinds.where(F.col("kinds") > KINDS), "gram"))
+    single = docs.mapInArrow(_suffixes(length, gram, runs_left, frequent), "key bigint, doc_id bigint, mark bigint, a bigint, names binary")
+    single = (single.repartition(n, "key").sortWithinPartitions("key", "doc_id", "a")
+              .mapInPandas(_later(length), "doc_id bigint, mark bigint, a bigint, b bigint"))
     return later.unionByName(single)
 
 
