@@ -5,12 +5,13 @@ weighted by TF-IDF over hashed words, the inverse document frequencies counted o
 documents.  A randomised SVD of the passage matrix (Gaussian range finder, one power
 step; sums over passages are made where the passages lie) gives a latent basis.  Every
 window of ``PASSAGE`` words (step ``STEP``) of every document is projected on it and
-compared with all passages by cosine.  A candidate's surroundings are then compared with
+compared with all passages: the cosine between the window's TF-IDF vector and a passage's
+image in the latent space.  A candidate's surroundings are then compared with
 the whole item by longest common subsequence of words; between ``PARAPHRASE`` and
 ``COPY`` of the item's length, the item's answer (its last sentence) must be there too.
 
-A window can reach cosine ``c`` only if the item vocabulary holds a share of its TF-IDF
-norm; windows below ``SHARE`` are not projected.  Documents are read twice (frequencies,
+A cosine is a sum over the window's words, so each word's largest part in any passage
+bounds it; windows that cannot reach ``COSINE`` by that bound are not projected.  Documents are read twice (frequencies,
 search) and never shuffled.  Items are searched in blocks of ``block`` items, each a
 bounded broadcast: at most ``BUCKETS`` basis rows and ``block`` items.
 """
@@ -29,9 +30,9 @@ from tessera.session import ensure_shipped
 
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
-PASSAGE, STEP = 32, 8
-RANK, OVERSAMPLE = 96, 8
-COSINE, SHARE = 0.45, 0.15
+PASSAGE, STEP = 32, 16
+RANK, OVERSAMPLE = 256, 16
+COSINE = 0.42
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.8
 MIN_WORDS = 6
 SLACK = 12
@@ -184,8 +185,10 @@ class Index:
     def __init__(self, ids, lists, answers, passages, idf, basis_of, basis, entries):
         self.ids, self.lists, self.answers, self.passages, self.idf = ids, lists, answers, passages, idf
         self.basis_of, self.basis = basis_of, basis
+        self.sets = [frozenset(x.tolist()) for x in lists]
         p = np.stack([w.astype(np.float32) @ basis[basis_of[b]] for b, w in entries])
         self.latent = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+        self.most = np.concatenate([np.abs(basis[a:a + 4096] @ self.latent.T).max(1) for a in range(0, len(basis), 4096)] + [[0.0]])
 
 
 def common_length(a, b) -> int:
@@ -202,10 +205,10 @@ def common_length(a, b) -> int:
 
 
 def judge(item, answer, words) -> tuple[float, bool, bool]:
-    """(share of the item's words in common order, answer found, leaked)."""
+    """(share of the item's words in common order, answer found in a paraphrase, leaked)."""
     ratio = common_length(item, words) / len(item)
-    found = len(answer) > 0 and common_length(answer, words) >= ANSWER * len(answer)
-    return ratio, found, ratio >= COPY or (ratio >= PARAPHRASE and found)
+    found = ratio >= PARAPHRASE and len(answer) > 0 and common_length(answer, words) >= ANSWER * len(answer)
+    return ratio, found, ratio >= COPY or found
 
 
 def search(data: np.ndarray, off: np.ndarray, index: Index):
@@ -216,8 +219,8 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
     bucket = _bucket(h)
     weight = index.idf[bucket]
     at = index.basis_of[bucket]
-    square = weight.astype(np.float64) ** 2
-    total, known = (np.concatenate([[0], np.cumsum(x)]) for x in (square, square * (at >= 0)))
+    # index.most ends with the 0 of words that no item has
+    total, bound = (np.concatenate([[0], np.cumsum(x)]) for x in (weight.astype(np.float64) ** 2, weight * index.most[at]))
     first = np.searchsorted(row, np.arange(len(off)))
     n = np.diff(first)
     count = np.where(n >= MIN_WORDS, np.maximum(1, -(-(n - PASSAGE) // STEP) + 1), 0)
@@ -225,7 +228,7 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
     begin = first[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
     end = np.minimum(begin + PASSAGE, first[text + 1])
     begin = np.maximum(np.minimum(begin, end - PASSAGE), first[text])
-    near = known[end] - known[begin] >= SHARE * (total[end] - total[begin])
+    near = bound[end] - bound[begin] >= COSINE * np.sqrt(total[end] - total[begin])
     text, begin, end = text[near], begin[near], end[near]
     best: dict[tuple[int, int], tuple] = {}
     for a in range(0, len(begin), 2048):
@@ -237,8 +240,7 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
         starts = np.searchsorted(who, np.arange(len(lo)))
         some = np.flatnonzero(np.diff(np.append(starts, len(who))))
         z[some] = np.add.reduceat(index.basis[at[flat]] * weight[flat, None], starts[some], axis=0) if len(some) else 0
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        cosine = z @ index.latent.T
+        cosine = (z @ index.latent.T) / np.sqrt(total[hi] - total[lo])[:, None]
         for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
             item, o = index.passages[p]
             key = (int(t[w]), item)
@@ -248,7 +250,11 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
                 continue
             a0 = max(int(lo[w]) - o - SLACK, int(first[t[w]]))
             b0 = min(int(lo[w]) - o + len(words) + PASSAGE + SLACK, int(first[t[w] + 1]))
-            ratio, found, leak = judge(words.tolist(), answer.tolist(), h[a0:b0].tolist())
+            own = index.sets[item]
+            around = [x for x in h[a0:b0].tolist() if x in own]
+            if len(around) < PARAPHRASE * len(words):
+                continue
+            ratio, found, leak = judge(words.tolist(), answer.tolist(), around)
             if leak and (not known_leak or ratio > known_leak[1]):
                 best[key] = (float(cosine[w, p]), ratio, found)
     return [(t, i, *x) for (t, i), x in sorted(best.items())]
