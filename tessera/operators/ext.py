@@ -101,9 +101,13 @@ def register_tokenizer(name: str, encode_batch, decode, specials: dict) -> Token
 def bpe_tokenizer(merges) -> TokenizerSpec:
     """The package's own byte-level BPE as a TokenizerSpec."""
     from tessera.operators import tok as TK
-    key = tuple(merges)
-    return TokenizerSpec(lambda texts: TK._encoding(key).encode_ordinary_batch(texts, num_threads=1),
-                         lambda ids: TK._encoding(key).decode(ids),
+    ranks = {tuple(p): 256 + i for i, p in enumerate(merges)}
+    tokens = TK.token_bytes_list(list(merges)) + [s.encode() for s in TK.SPECIAL_TOKENS]
+
+    def encode_batch(texts):
+        import regex  # the pieces that E1's native split gives
+        return [[i for p in regex.findall(TK.SPLIT_PATTERN, t) for i in TK.merge_piece(p.encode("utf-8"), ranks)] for t in texts]
+    return TokenizerSpec(encode_batch, lambda ids: b"".join(tokens[i] for i in ids).decode("utf-8", errors="replace"),
                          {s: TK.special_id(list(merges), s) for s in TK.SPECIAL_TOKENS})
 
 

@@ -1,155 +1,186 @@
 """Best-fit packing of token sequences into fixed-length rows.
 
-Sequential by nature inside a lane, so each lane is one ordered stream:
-``repartition(lane)`` + ``sortWithinPartitions(lane, order)`` and a
-``mapInPandas`` that walks the stream with a bounded buffer.  Memory per task
-is the buffer (``buffer_size`` documents), never the lane; lanes run in
-parallel.  Lanes come from data (``idx % world``, as ranks), never from
-Spark's partition id, so the result does not depend on the cluster.  The
-streaming form (L1) keeps the same per-lane state between micro-batches.
+Rules.  Documents of a lane arrive in ``idx`` order, in batches of ``refill``.  A document
+is picked only while the buffer holds ``buffer_size`` or more (so the buffer is refilled
+before every pick, in the middle of a row too): the longest that fits into the rest of the
+row, or, if none fits, the shortest, cropped to the rest.  Of equal lengths the one that
+arrived first is picked.  A finite lane ends without refills: picking goes on until the
+buffer is empty, and what is left in the open row is put out as an incomplete row, so
+tokens in = kept + cropped + left.
+
+Packing is sequential inside a lane, so a lane is one ordered stream over a bounded buffer
+(``repartition`` + ``sortWithinPartitions`` + ``mapInPandas``).  Lanes come from data, such as
+(shard, row group), and their number grows with it; they never depend on the cluster.  The
+streaming form (L1) keeps the same state between micro-batches.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_shipped
 
-OUT_SCHEMA = "lane bigint, row_no bigint, tokens array<int>, last_idx bigint, n_docs int, n_cropped int"
-OUT_COLS = ["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped"]
-STATE_SCHEMA = ("buf array<struct<idx:bigint,tokens:array<int>>>, pending array<struct<idx:bigint,tokens:array<int>>>, "
-                "row_no bigint")
+POSITION = ("pq_idx", "rg_idx", "epoch")
+OUT_SCHEMA = ("lane string, row_no bigint, tokens array<int>, last_idx bigint, n_docs int, n_cropped int, complete boolean, "
+              "pq_idx bigint, rg_idx bigint, epoch bigint")
+OUT_COLS = ["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped", "complete", *POSITION]
+STATE_SCHEMA = ("docs array<struct<length:int,turn:bigint,idx:bigint,tokens:array<int>>>, batch array<struct<idx:bigint,tokens:array<int>,"
+                "place:array<bigint>>>, turn bigint, row_no bigint, open array<int>, n_docs int, n_cropped int, last_idx bigint, place array<bigint>")
 
 
 class LanePacker:
-    """Best-fit state of one lane: the document buffer, not-yet-added docs, row counter."""
-
-    def __init__(self, lane, T: int, buffer_size: int, refill: int, buf=None, pending=None, row_no: int = 0):
-        self.lane, self.cap, self.buffer_size, self.refill = lane, T + 1, buffer_size, refill
-        self.buf = list(buf or [])
-        self.pending = list(pending or [])
-        self.row_no = row_no
-
-    def _row(self):
-        row, pos, n_docs, cropped, last = [], 0, 0, 0, None
-        while pos < self.cap:
-            remaining = self.cap - pos
-            best, best_len = -1, 0
-            for i, (_, d) in enumerate(self.buf):  # largest that fits, first on ties
-                if best_len < len(d) <= remaining:
-                    best, best_len = i, len(d)
-            if best >= 0:
-                ix, d = self.buf.pop(best)
-                row.extend(d)
-                pos += len(d)
-            else:  # crop the shortest, first on ties
-                j = min(range(len(self.buf)), key=lambda i: len(self.buf[i][1]))
-                ix, d = self.buf.pop(j)
-                row.extend(d[:remaining])
-                cropped += len(d) - remaining
-                pos += remaining
-            n_docs += 1
-            last = ix if last is None else max(last, ix)
-        r = (self.lane, self.row_no, row, last, n_docs, cropped)
+    """The state of one lane; rows come out of ``add`` and ``finish``."""
+
+    def __init__(self, lane, T: int, buffer_size: int, refill: int):
+        self.lane, self.width, self.buffer_size, self.refill = lane, T + 1, buffer_size, refill
+        self.by_length: list[tuple[int, int]] = []  # (length, -turn): of one length, the oldest is last
+        self.docs: dict[int, tuple[int, list[int]]] = {}  # turn -> (idx, tokens)
+        self.batch: list = []
+        self.turn = self.row_no = 0
+        self.place = [None] * 3
+        self._open()
+
+    def _open(self):
+        self.row, self.n_docs, self.n_cropped, self.last_idx = [], 0, 0, None
+
+    def _close(self, complete: bool):
+        out = (self.lane, self.row_no, self.row, self.last_idx, self.n_docs, self.n_cropped, complete, *self.place)
         self.row_no += 1
-        return r
+        self._open()
+        return out
 
-    def feed(self, idx: int, tokens):
-        """Add one document; returns the rows completed while the buffer is full."""
+    def _load(self):
+        for idx, tokens, place in self.batch:
+            self.docs[self.turn] = (idx, tokens)
+            insort(self.by_length, (len(tokens), -self.turn))
+            self.turn += 1
+            self.place = place
+        self.batch = []
+
+    def _pick(self):
+        """Move one document into the open row; the row, if that fills it."""
+        rest = self.width - len(self.row)
+        # turns are negated, so (n, 1) is beyond all documents of length n and the oldest of them is last
+        fits = bisect_right(self.by_length, (rest, 1))
+        at = (fits or bisect_right(self.by_length, (self.by_length[0][0], 1))) - 1
+        length, turn = self.by_length.pop(at)
+        idx, tokens = self.docs.pop(-turn)
+        self.row += tokens[:rest]
+        self.n_cropped += max(0, length - rest)
+        self.n_docs += 1
+        self.last_idx = idx if self.last_idx is None else max(self.last_idx, idx)
+        return [self._close(True)] if len(self.row) == self.width else []
+
+    def add(self, idx: int, tokens, place=(None, None, None)):
+        """One more document; the rows that it completes."""
+        self.batch.append((int(idx), [int(t) for t in tokens], list(place)))
         out = []
-        self.pending.append((int(idx), [int(t) for t in tokens]))
-        if len(self.pending) >= self.refill:
-            self.buf.extend(self.pending)
-            self.pending = []
-            while len(self.buf) >= self.buffer_size:
-                out.append(self._row())
+        if len(self.batch) == self.refill:
+            self._load()
+            while len(self.docs) >= self.buffer_size:
+                out += self._pick()
         return out
 
-    def drain(self):
-        """End of a finite lane: keep packing while a full row can still be filled."""
-        self.buf.extend(self.pending)
-        self.pending = []
+    def finish(self):
+        """No more documents: the rows that the buffer fills, and the incomplete one."""
+        self._load()
         out = []
-        while self.buf and sum(len(d) for _, d in self.buf) >= self.cap:
-            out.append(self._row())
-        return out
+        while self.docs:
+            out += self._pick()
+        return out + ([self._close(False)] if self.n_docs else [])
+
+    def state(self):
+        docs = [(n, -t, *self.docs[-t]) for n, t in self.by_length]
+        return (docs, self.batch, self.turn, self.row_no, self.row, self.n_docs, self.n_cropped, self.last_idx, self.place)
+
+    def restore(self, state):
+        docs, batch, self.turn, self.row_no, row, self.n_docs, self.n_cropped, self.last_idx, place = state
+        self.by_length = [(n, -t) for n, t, _, _ in docs]
+        self.docs = {t: (i, list(x)) for _, t, i, x in docs}
+        self.batch = [(i, list(x), list(p)) for i, x, p in batch]
+        self.row, self.place = list(row), list(place)
+        return self
 
 
-def _pack_partition(T: int, buffer_size: int, refill: int, drain: bool):
-    def fn(batches):
+def _frame(rows) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=OUT_COLS).astype({c: "Int64" for c in ("last_idx", *POSITION)})
+
+
+def _places(f: pd.DataFrame):
+    return ([None if pd.isna(x) else int(x) for x in p] for p in f[list(POSITION)].itertuples(index=False))
+
+
+def _pack_partition(T: int, buffer_size: int, refill: int):
+    def fn(frames):
         packer = None
-        for pdf in batches:
+        for f in frames:
             out = []
-            for ln, ix, toks in zip(pdf["lane"], pdf["idx"], pdf["tokens"]):
-                if packer is None or ln != packer.lane:
-                    if packer is not None and drain:
-                        out.extend(packer.drain())
-                    packer = LanePacker(ln, T, buffer_size, refill)
-                out.extend(packer.feed(ix, toks))
-            if out:
-                yield pd.DataFrame(out, columns=OUT_COLS)
-        if packer is not None and drain:
-            out = packer.drain()
+            for lane, idx, tokens, place in zip(f["lane"], f["idx"], f["tokens"], _places(f), strict=True):
+                if packer is None or lane != packer.lane:
+                    out += packer.finish() if packer else []
+                    packer = LanePacker(lane, T, buffer_size, refill)
+                out += packer.add(idx, tokens, place)
             if out:
-                yield pd.DataFrame(out, columns=OUT_COLS)
+                yield _frame(out)
+        if packer and (out := packer.finish()):
+            yield _frame(out)
     return fn
 
 
 def _lane_input(df: DataFrame, lane: str, order: str, tokens: str) -> DataFrame:
-    return df.select(F.col(lane).cast("bigint").alias("lane"), F.col(order).cast("bigint").alias("idx"),
-                     F.col(tokens).alias("tokens"))
+    place = [F.col(c).cast("bigint").alias(c) if c in df.columns else F.lit(None).cast("bigint").alias(c) for c in POSITION]
+    return df.select(F.col(lane).cast("string").alias("lane"), F.col(order).cast("bigint").alias("idx"), F.col(tokens).alias("tokens"), *place)
 
 
 def pack_bestfit(df: DataFrame, T: int, buffer_size: int = 1000, refill: int = 128, lane: str = "lane",
-                 order: str = "idx", tokens: str = "tokens", num_partitions: int | None = None,
-                 drain: bool = True) -> DataFrame:
-    """rows of ``T + 1`` tokens: take the largest buffered document that fits
-    (first on ties) until none fits, then crop the shortest (first on ties) to
-    fill the row and discard its rest.  No padding; every document starts with
-    bos if the encoder prepended it.  ``drain``: at the end of a finite lane
-    keep filling rows from the remaining buffer; a final partial row is dropped
-    (see F7)."""
+                 order: str = "idx", tokens: str = "tokens", num_partitions: int | None = None, incomplete: bool = False) -> DataFrame:
+    """rows of ``T + 1`` tokens, without padding; every document starts with bos if the encoder
+    prepended it.  ``pq_idx``, ``rg_idx`` and ``epoch`` of ``df``, where there, give each row the position of the
+    newest document loaded when it was filled.  ``incomplete``: also each lane's last, unfilled row (F7 needs it)."""
     spark = df.sparkSession
     ensure_shipped(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # range partitioning spreads the (few, small-integer) lanes evenly; hashing may collide
+    # range partitioning spreads the lanes evenly; hashing few of them may collide
     s = _lane_input(df, lane, order, tokens).repartitionByRange(n, "lane").sortWithinPartitions("lane", "idx")
-    return s.mapInPandas(_pack_partition(T, buffer_size, refill, drain), OUT_SCHEMA)
+    rows = s.mapInPandas(_pack_partition(T, buffer_size, refill), OUT_SCHEMA)
+    return rows if incomplete else rows.where("complete")
 
 
 def stream_pack(stream: DataFrame, T: int, buffer_size: int = 1000, refill: int = 128, lane: str = "lane",
                 order: str = "idx", tokens: str = "tokens") -> DataFrame:
-    """L1: F6 over an endless feed; the per-lane buffer is streaming state
-    (``applyInPandasWithState``, append mode).  Rows carry ``last_idx``, the
-    resume position; the file source checkpoint makes the feed resumable."""
+    """L1: F6 over an endless feed; the lane's buffer is streaming state (``applyInPandasWithState``, append
+    mode).  A micro-batch's documents of a lane are taken in ``idx`` order, whatever Arrow batches they come
+    in, so the rows equal the batch form's complete rows as long as later micro-batches have larger ``idx``;
+    documents that still wait or stand in the buffer are the state, not yet rows."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     ensure_shipped(stream.sparkSession)
 
-    def fn(key, pdfs, state):
-        lane = key[0]
+    def fn(key, frames, state):
+        packer = LanePacker(key[0], T, buffer_size, refill)
         if state.exists:
-            buf, pending, row_no = state.get
-            packer = LanePacker(lane, T, buffer_size, refill, [(r[0], list(r[1])) for r in buf],
-                                [(r[0], list(r[1])) for r in pending], row_no)
-        else:
-            packer = LanePacker(lane, T, buffer_size, refill)
+            packer.restore(state.get)
+        f = pd.concat(list(frames), ignore_index=True).sort_values("idx", kind="stable")
         out = []
-        for pdf in pdfs:
-            for ix, toks in pdf.sort_values("idx")[["idx", "tokens"]].itertuples(index=False):
-                out.extend(packer.feed(ix, toks))
-        state.update((packer.buf, packer.pending, packer.row_no))
-        yield pd.DataFrame(out, columns=OUT_COLS) if out else pd.DataFrame(columns=OUT_COLS)
+        for idx, tokens, place in zip(f["idx"], f["tokens"], _places(f), strict=True):
+            out += packer.add(idx, tokens, place)
+        state.update(packer.state())
+        yield _frame(out)
     return (_lane_input(stream, lane, order, tokens).groupBy("lane")
             .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
 
 
 def packing_stats(docs: DataFrame, rows: DataFrame, T: int, tokens: str = "tokens") -> DataFrame:
-    """tokens in, tokens kept, tokens cropped or left over, rows, utilisation."""
+    """tokens in, kept, cropped, left in incomplete rows; complete rows, utilisation.  ``rows`` is F6's
+    output with its incomplete rows."""
     tin = docs.agg(F.sum(F.size(tokens)).cast("bigint").alias("tokens_in"))
-    r = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_cropped").cast("bigint").alias("tokens_cropped"),
-                 F.sum(F.size("tokens")).cast("bigint").alias("tokens_kept"))
+    size = F.size("tokens")
+    r = rows.agg(F.sum(F.col("complete").cast("bigint")).alias("rows"), F.sum("n_cropped").cast("bigint").alias("tokens_cropped"),
+                 F.sum(F.when(F.col("complete"), size).otherwise(0)).cast("bigint").alias("tokens_kept"),
+                 F.sum(F.when(F.col("complete"), 0).otherwise(size)).cast("bigint").alias("tokens_left"))
     j = r.withColumn("tokens_in", tin.scalar())  # scalar subquery, one value
     return (j.withColumn("tokens_lost", F.col("tokens_in") - F.col("tokens_kept"))
             .withColumn("lost_share", F.col("tokens_lost") / F.col("tokens_in"))

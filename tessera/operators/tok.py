@@ -1,6 +1,8 @@
 """Tokenization (E1-E6, I19): pretokenize natively, train byte-level BPE as a
-sequence of Spark jobs over the distinct-piece table, encode/decode with Arrow
-UDFs around a small broadcast vocabulary.
+sequence of Spark jobs over the distinct-piece table, encode each distinct piece
+once and join the ids back, decode by a join with the vocabulary.  The column
+forms (for texts inside nested values) merge the natively split pieces with the
+broadcast merge ranks.
 """
 
 from __future__ import annotations
@@ -61,20 +63,21 @@ def _merge_pair(ids: Column, a: int, b: int, new: int) -> Column:
 
 
 def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", checkpoint_every: int = 2,
-              merges_per_round: int = 1) -> list[tuple[int, int]]:
+              merges_per_round: int = 64) -> list[tuple[int, int]]:
     """Byte-level BPE merges, ``vocab_size - 9`` base+merged tokens.
 
     The corpus is reduced once to distinct pieces with counts (the shuffle);
-    each merge round counts adjacent pairs over that table (partial
-    aggregates), picks the top pair (ties: lowest pair) and rewrites the
-    pieces holding it with one native regex pass.  The piece table is
-    checkpointed every ``checkpoint_every`` rounds (2: measured fastest, and
-    half the checkpoint data of every round) so jobs stay shallow.  The
-    driver keeps the merge list only.
-
-    ``merges_per_round > 1`` (off by default: it can change the result) takes
-    several top pairs per round that share no token id, cutting the number
-    of rounds roughly by that factor.
+    each round counts adjacent pairs over that table (partial aggregates) and
+    rewrites the pieces by native regex passes.  The piece table is written
+    every ``checkpoint_every`` rounds so jobs stay shallow.  The driver keeps
+    the merge list only.
+
+    A round takes the top pairs in order (ties: lowest pair) up to the first
+    that shares a token with one before it.  That gives the merges of one pair
+    a round: a merge of (a, b) changes no count of pairs without a and b, and a
+    pair it makes, (new, y) or (x, new), is no more frequent than (b, y) or
+    (x, a) was, which shares a token and so ranks after the pairs taken; at
+    equal counts the new token's larger id keeps it behind them.
     """
     n_merges = vocab_size - len(SPECIAL_TOKENS) - 256
     if n_merges < 0:
@@ -94,14 +97,14 @@ def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", checkpoint_eve
         want = min(merges_per_round, n_merges - len(merges))
         if want <= 0:
             break
-        tops = pairs.orderBy(F.desc("n"), "a", "b").limit(4 * want).collect()  # at most 4k rows per round
+        tops = pairs.orderBy(F.desc("n"), "a", "b").limit(want).collect()  # at most merges_per_round rows
         if not tops:
             break
         chosen, used = [], set()
         for row in tops:
             a, b = int(row["a"]), int(row["b"])
-            if len(chosen) == want or (chosen and ({a, b} & used)):
-                continue
+            if len(chosen) == want or {a, b} & used:
+                break
             chosen.append((a, b))
             used |= {a, b}
         for a, b in chosen:
@@ -131,19 +134,60 @@ def vocab_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame
     return v.withColumn("n_bytes", F.when(F.col("is_special"), 0).otherwise(F.octet_length("token")))
 
 
-_ENC_CACHE: dict = {}
-
-
-def _encoding(merges_key: tuple):
-    enc = _ENC_CACHE.get(merges_key)
-    if enc is None:
-        import tiktoken
-        toks = token_bytes_list(list(merges_key))
-        ranks = {t: i for i, t in enumerate(toks)}
-        specials = {s: len(toks) + i for i, s in enumerate(SPECIAL_TOKENS)}
-        enc = tiktoken.Encoding(name="tessera", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=specials)
-        _ENC_CACHE[merges_key] = enc
-    return enc
+def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of one piece: merge the pair of lowest rank, everywhere, until none is left."""
+    ids = list(piece)
+    while len(ids) > 1:
+        best = min(zip(ids, ids[1:], strict=False), key=lambda p: ranks.get(p, len(ranks) + 256))
+        if best not in ranks:
+            break
+        out, i = [], 0
+        while i < len(ids):
+            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
+                out.append(ranks[best])
+                i += 2
+            else:
+                out.append(ids[i])
+                i += 1
+        ids = out
+    return ids
+
+
+def _ranks(merges: list[tuple[int, int]]):
+    """Pair -> merged id, as a broadcast variable (vocabulary-sized)."""
+    spark = SparkSession.getActiveSession()
+    return spark.sparkContext.broadcast({tuple(p): 256 + i for i, p in enumerate(merges)})
+
+
+def _id(merges, token: int | str | None) -> list[int]:
+    return [] if token is None else [special_id(merges, token) if isinstance(token, str) else token]
+
+
+def encode_table(df: DataFrame, merges: list[tuple[int, int]], key: str, text: str = "text",
+                 prepend: int | str | None = None, append: int | str | None = None, out: str = "ids") -> DataFrame:
+    """E3 over a table: (key, ids).  Every distinct piece of the corpus is merged once; its ids are joined back
+    and regrouped by ``key`` (unique) in order.  Null and empty texts have no pieces."""
+    ensure_shipped(df.sparkSession)
+    ranks = _ranks(merges)
+    pieces = df.select(key, F.posexplode(pretokenize(text)).alias("pos", "piece"))
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"piece": f["piece"], "pids": [merge_piece(p.encode("utf-8"), ranks.value) for p in f["piece"]]})
+    table = pieces.select("piece").distinct().mapInPandas(run, "piece string, pids array<int>")
+    ids = (pieces.join(table, "piece").groupBy(key)
+           .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pids"))), lambda x: x["pids"])).alias("_ids")))
+    around = lambda t: F.array(*[F.lit(x) for x in _id(merges, t)]).cast("array<int>")
+    none = F.array().cast("array<int>")
+    return df.select(key).join(ids, key, "left").select(key, F.concat(around(prepend), F.coalesce("_ids", none), around(append)).alias(out))
+
+
+def decode_table(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """E4 over a table: (key, text) by a join with ``vocab`` (token_id, token); bytes that are no UTF-8 are replaced."""
+    rows = df.select(key, F.posexplode(ids).alias("pos", "token_id")).join(vocab.select("token_id", F.hex("token").alias("h")), "token_id")
+    text = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "").alias("h"))
+    text = text.select(key, F.try_validate_utf8(F.unhex("h").cast("string")).alias("ok"), F.make_valid_utf8(F.unhex("h").cast("string")).alias("mended"))
+    return df.select(key).join(text, key, "left").select(key, F.coalesce("ok", "mended", F.lit("")).alias(out))
 
 
 def special_id(merges: list[tuple[int, int]], name: str) -> int:
@@ -152,35 +196,35 @@ def special_id(merges: list[tuple[int, int]], name: str) -> int:
 
 def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None,
            append: int | str | None = None) -> Column:
-    """Ordinary encode (special-token text is not parsed) in an Arrow UDF;
-    the merge list travels with the function (vocabulary-sized).  ``prepend`` /
-    ``append`` take a token id or a special-token name."""
+    """E3 as a column: pieces split natively, merged in an Arrow function with the broadcast ranks (special-token
+    text is not parsed).  ``prepend`` / ``append`` take a token id or a special-token name."""
     ensure_shipped()
-    key = tuple(merges)
-    if isinstance(prepend, str):
-        prepend = special_id(merges, prepend)
-    if isinstance(append, str):
-        append = special_id(merges, append)
+    ranks, before, after = _ranks(merges), _id(merges, prepend), _id(merges, append)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _enc(s: pd.Series) -> pd.Series:
-        enc = _encoding(key)
-        ids = enc.encode_ordinary_batch(s.fillna("").tolist(), num_threads=1)
-        pre = [prepend] if prepend is not None else []
-        post = [append] if append is not None else []
-        return pd.Series([pre + x + post for x in ids])
-    return _enc(F.col(text) if isinstance(text, str) else text)
+    def _enc(pieces: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for row in pieces:
+            ids = list(before)
+            for p in () if row is None else row:
+                if p not in known:
+                    known[p] = merge_piece(p.encode("utf-8"), ranks.value)
+                ids += known[p]
+            out.append(ids + after)
+        return pd.Series(out)
+    return _enc(pretokenize(text))
 
 
 def decode(ids, merges: list[tuple[int, int]]) -> Column:
-    """Ids -> text (invalid UTF-8 replaced)."""
+    """E4 as a column: ids -> text (invalid UTF-8 replaced)."""
     ensure_shipped()
-    key = tuple(merges)
+    tokens = SparkSession.getActiveSession().sparkContext.broadcast(
+        token_bytes_list(merges) + [s.encode() for s in SPECIAL_TOKENS])
 
     @F.pandas_udf(T.StringType())
     def _dec(s: pd.Series) -> pd.Series:
-        enc = _encoding(key)
-        return pd.Series([enc.decode(list(x)) for x in s])
+        return pd.Series([b"".join(tokens.value[i] for i in x).decode("utf-8", errors="replace") for x in s])
     return _dec(F.col(ids) if isinstance(ids, str) else ids)
 
 

@@ -23,8 +23,7 @@ def _stream_of(spark, sf, name):
 SELECT 'documents.parquet' AS shard, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents""")
 def stream_corpus_q(spark, sf):
     """The documents shard as a resumable stream; documents and bytes per shard."""
-    s = FL.stream_corpus(spark, sf.rstrip("/"), files_per_trigger=1)
-    s = s.where(F.col("shard") == "documents.parquet")
+    s = FL.stream_corpus(spark, f"{sf.rstrip('/')}/documents.parquet", files_per_trigger=1)
     out = FL.run_available(spark, s.select("shard", F.octet_length("text").alias("n_bytes")))
     return out.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_bytes").cast("bigint").alias("n_bytes"))
 
@@ -41,11 +40,12 @@ def stream_accuracy_q(spark, sf):
 
 @register("stream_pack")
 def stream_pack_q(spark, sf):
-    """L1: best-fit packing of the encoded documents as a stream with per-lane state
-    (equals the batch packer without the end-of-input drain)."""
+    """L1: best-fit packing of the encoded documents as a stream with per-lane state (equals the complete rows
+    that the batch packer makes before a lane ends).  Lanes are runs of 256 document ids."""
     merges = merges_for(spark, sf)
     docs = _stream_of(spark, sf, "documents").select(
-        F.col("doc_id").alias("idx"), (F.col("doc_id") % 4).alias("lane"),
+        F.col("doc_id").alias("idx"), F.expr("doc_id div 256").alias("lane"), F.expr("doc_id div 8").alias("rg_idx"),
         TK.encode("text", merges, prepend="<|bos|>").alias("tokens"))
-    rows = FL.run_available(spark, PK.stream_pack(docs, 64, buffer_size=16, refill=4))
-    return rows.select("lane", "row_no", F.size("tokens").alias("n_tokens"), "n_docs", "n_cropped")
+    rows = FL.run_available(spark, PK.stream_pack(docs, 2048, buffer_size=64, refill=16))
+    return rows.select("lane", "row_no", F.size("tokens").alias("n_tokens"), "n_docs", "n_cropped", "last_idx", "rg_idx",
+                       F.md5(F.concat_ws(",", F.transform("tokens", lambda x: x.cast("string")))).alias("tokens_md5"))

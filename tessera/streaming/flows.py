@@ -23,10 +23,17 @@ RESPONSE_SCHEMA = T.StructType([
 
 
 def stream_corpus(spark: SparkSession, path: str, files_per_trigger: int = 1, schema=CORPUS_SCHEMA) -> DataFrame:
-    """An endless, resumable supply of documents from ``*.parquet`` shards
-    (name order; ``.tmp`` files are ignored), with the shard name per row."""
+    """An endless, resumable supply of documents from the ``*.parquet`` shards of a folder
+    (other files, such as ``.tmp``, are ignored) or from one shard file, with the shard name per row.
+
+    The file source takes new files by modification time, then name: the name order holds within
+    files that appear together.  Shards that must be read in name order have to be listed with
+    ``sources.corpus`` (A1) instead.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    single = name.endswith(".parquet")
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("pathGlobFilter", "*.parquet").parquet(path)
+            .option("pathGlobFilter", name if single else "*.parquet").parquet(folder if single else path)
             .select(F.col("_metadata.file_name").alias("shard"), "text"))
 
 
@@ -43,14 +50,20 @@ def streaming_accuracy(stream: DataFrame, group: list[str], correct: str = "corr
 
 
 def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into a memory table and return it
-    as a batch DataFrame.  Progress and state live under ``spark.checkpoint.dir``."""
+    """Run a stream over everything available now and return its result as a batch DataFrame.
+
+    Rows are written as Parquet beside the stream's progress and state under ``spark.checkpoint.dir``;
+    in complete mode each micro-batch replaces the result.  No row passes the driver.
+    """
     import uuid
 
     from tessera.session import checkpoint_dir
-    name = "tessera_" + uuid.uuid4().hex[:12]
-    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    out = f"{base}/rows"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
+    if mode == "append":
+        w = w.format("parquet").option("path", out)
+    else:
+        w = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

@@ -1,5 +1,6 @@
 """Rows-only operators against independent brute-force Python on the sf0.001 fixture."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -89,35 +90,39 @@ def test_piece_counts_and_bpe_training(spark, docs):
 
 
 def py_pack(docs, cap, buffer_size, refill):
-    """Best-fit packing written from the rules: largest fitting doc (first on
-    ties) until none fits, then crop the shortest (first on ties)."""
-    rows, buf, pending = [], [], []
-
-    def one_row():
-        row = []
-        while len(row) < cap:
-            room = cap - len(row)
-            fit = [d for d in buf if len(d) <= room]
-            if fit:
-                d = max(fit, key=len)  # max returns the first maximal element
-                buf.remove(d)
-                row += d
-            else:
-                d = min(buf, key=len)
-                buf.remove(d)
-                row += d[:room]
-        return row
-    for d in docs:
-        pending.append(d)
-        if len(pending) >= refill:
-            buf.extend(pending)
-            pending = []
-            while len(buf) >= buffer_size:
-                rows.append(one_row())
-    buf.extend(pending)
-    while buf and sum(map(len, buf)) >= cap:
-        rows.append(one_row())
-    return rows
+    """Best-fit packing written from the rules: before every pick the buffer is refilled in batches while
+    documents are left; the longest that fits, else the shortest, cropped (the first of equal lengths)."""
+    waiting, buf, rows, row = list(docs), [], [], []
+    while True:
+        while len(buf) < buffer_size and waiting:
+            buf += waiting[:refill]
+            del waiting[:refill]
+        if not buf:
+            return rows, row
+        room = cap - len(row)
+        fit = [d for d in buf if len(d) <= room]
+        pick = max(fit, key=len) if fit else min(buf, key=len)  # the first of equal lengths
+        del buf[next(i for i, d in enumerate(buf) if d is pick)]
+        row = row + pick[:room]
+        if len(row) == cap:
+            rows.append(row)
+            row = []
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_lane_packer_follows_the_rules(seed):
+    r = random.Random(seed)
+    cap, buffer_size, refill = r.choice([5, 9, 65]), r.choice([1, 3, 16]), r.choice([1, 4, 7])
+    longest = r.choice([3, 12, 90])  # all short, mixed, mostly longer than a row
+    docs = [[i * 100 + j for j in range(r.randint(1, longest))] for i in range(r.randint(0, 120))]
+    p, out = PK.LanePacker("x", cap - 1, buffer_size, refill), []
+    for i, d in enumerate(docs):
+        p = PK.LanePacker("x", cap - 1, buffer_size, refill).restore(p.state()) if i % 5 == 0 else p
+        out += p.add(i, d)
+    out += p.finish()
+    rows, left = py_pack(docs, cap, buffer_size, refill)
+    assert [o[2] for o in out if o[6]] == rows and [o[2] for o in out if not o[6]] == ([left] if left else [])
+    assert sum(map(len, docs)) == sum(len(o[2]) + o[5] for o in out)
 
 
 def test_pack_matches_brute_force(spark, docs):
@@ -129,7 +134,7 @@ def test_pack_matches_brute_force(spark, docs):
     rows = sorted(enc.collect(), key=lambda r: r.doc_id)
     for lane in range(3):
         seq = [[int(x) for x in r.tokens] for r in rows if r.lane == lane]
-        want = py_pack(seq, 128, 10, 3)
-        mine = [r.tokens for r in sorted((r for r in got if r.lane == lane), key=lambda r: r.row_no)]
+        want, _ = py_pack(seq, 128, 10, 3)
+        mine = [r.tokens for r in sorted((r for r in got if r.lane == str(lane)), key=lambda r: r.row_no)]
         assert mine == want
         assert all(len(x) == 128 and x[0] == bos for x in mine)
