@@ -226,7 +226,7 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str) -> DataFra
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of the archives named in
     ``files``; payloads are checked against their digests."""
     ensure_shipped(spark)
-    paths = files.select("path").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    paths = files.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return paths.mapInPandas(_read(folder), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
                              "target_uri string")
 
