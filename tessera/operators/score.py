@@ -176,6 +176,18 @@ def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, group: list[str] |
                           .otherwise(F.lit(float("inf"))))
 
 
+def bpb_by_split(losses: DataFrame, token_bytes: DataFrame, split: str, sequence: str, token_budget: int | None = None,
+                 rows: int = 32, row_tokens: int = 2048) -> DataFrame:
+    """I9 by split, over the first sequences of each split that whole steps of ``rows`` rows of ``row_tokens``
+    tokens take from the budget (``token_budget // (rows * row_tokens)`` steps); ``None``: over all sequences."""
+    if token_budget is not None:
+        from tessera.operators.order import index_within
+        n = token_budget // (rows * row_tokens) * rows
+        kept = index_within(losses.select(sequence, split).distinct(), [split], sequence, out="_rank").where(F.col("_rank") < n)
+        losses = losses.join(kept.select(sequence, split), [sequence, split], "left_semi")
+    return bits_per_byte(losses, token_bytes, [split])
+
+
 # ---------------------------------------------------------------- I6 / I7
 def score_options(losses: DataFrame, spans: DataFrame, item: str = "item_id", option: str = "option_idx",
                   gold: str = "gold") -> DataFrame:

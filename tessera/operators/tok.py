@@ -298,16 +298,26 @@ def render_conversation(convs: DataFrame, merges: list[tuple[int, int]], max_tok
     start/end markers: mask 1 for assistant text, python calls (with their
     markers) and assistant_end; 0 for bos, user turns, assistant_start and
     python outputs (with markers).  Both arrays are cut at ``max_tokens``.
+    A conversation that does not alternate user and assistant (after the
+    merge) is a row without ids and a ``reason``: ``empty``, ``bad_system``
+    (a system message before another than the user's) or ``bad_role``.
 
     Texts are exploded to one row per part, encoded in one Arrow UDF, and the
     per-part id arrays regrouped per conversation (a bounded group) in order.
     """
     sid = lambda n: special_id(merges, n)
     m = F.col(messages)
-    first, second = F.element_at(m, 1), F.element_at(m, 2)
-    merged = F.when(first.getField("role") == "system", F.concat(
+    first, second = F.element_at(m, 1), F.try_element_at(m, F.lit(2))
+    is_sys = F.coalesce(first.getField("role") == "system", F.lit(False))
+    merged = F.when(is_sys, F.concat(
         F.array(second.withField("text", F.concat(first.getField("text"), F.lit("\n\n"), second.getField("text")))),
         F.slice(m, 3, F.greatest(F.size(m) - 2, F.lit(0))))).otherwise(m)
+    bad_role = F.exists(F.transform(merged, lambda x, i: F.coalesce(
+        x.getField("role") != F.when(i % 2 == 0, "user").otherwise("assistant"), F.lit(True))), lambda x: x)
+    reason = (F.when(m.isNull() | (F.size(m) == 0), "empty")
+              .when(is_sys & ~F.coalesce(second.getField("role") == "user", F.lit(False)), "bad_system").when(bad_role, "bad_role"))
+    checked = convs.select(conv, m.alias(messages), reason.alias("reason"))
+    convs = checked.where("reason is null")
     msgs = convs.select(conv, F.posexplode(merged).alias("turn", "msg"))
     parts = F.coalesce(F.col("msg.parts"), F.array(F.struct(F.lit("text").alias("type"), F.col("msg.text").alias("text"))))
     rows = msgs.select(conv, "turn", F.col("msg.role").alias("role"), F.posexplode(parts).alias("part", "p"))
@@ -335,17 +345,22 @@ def render_conversation(convs: DataFrame, merges: list[tuple[int, int]], max_tok
     conv_rows = per_turn.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct("turn", "tids", "tmask"))).alias("ts"))
     all_ids = F.concat(one("<|bos|>"), F.flatten(F.transform("ts", lambda x: x.tids)))
     all_mask = F.concat(F.array(F.lit(0)), F.flatten(F.transform("ts", lambda x: x.tmask)))
-    return conv_rows.select(conv, F.slice(all_ids, 1, max_tokens).alias("ids"),
-                            F.slice(all_mask, 1, max_tokens).alias("mask"))
+    rendered = conv_rows.select(conv, F.slice(all_ids, 1, max_tokens).alias("ids"),
+                                F.slice(all_mask, 1, max_tokens).alias("mask"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("array<int>")
+    return rendered.unionByName(checked.where("reason is not null").select(conv, none.alias("ids"), none.alias("mask"), "reason"))
 
 
 def render_for_completion(convs: DataFrame, merges: list[tuple[int, int]], max_tokens: int = 2048,
                           conv: str = "conv_id", messages: str = "messages") -> DataFrame:
     """Drop the final assistant message (B4), render (E7), then append
-    assistant_start after the truncation.  Conversations not ending with an
-    assistant message are excluded (the reference asserts)."""
+    assistant_start after the truncation.  Conversations that do not end with
+    an assistant message, or that E7 rejects, are rows without ids and a
+    ``reason`` (``no_last_assistant`` or E7's)."""
     m = F.col(messages)
-    ok = F.element_at(m, -1).getField("role") == "assistant"
-    popped = convs.where(ok).withColumn(messages, F.slice(m, 1, F.size(m) - 1))
+    ends = F.coalesce(F.try_element_at(m, F.lit(-1)).getField("role") == "assistant", F.lit(False))
+    popped = convs.where(ends).withColumn(messages, F.slice(m, 1, F.size(m) - 1))
     r = render_conversation(popped, merges, max_tokens, conv, messages)
-    return r.select(conv, F.concat("ids", F.array(F.lit(special_id(merges, "<|assistant_start|>")))).alias("ids"))
+    start = F.array(F.lit(special_id(merges, "<|assistant_start|>")))
+    done = r.select(conv, F.concat("ids", start).alias("ids"), "reason")
+    return done.unionByName(convs.where(~ends).select(conv, F.lit(None).cast("array<int>").alias("ids"), F.lit("no_last_assistant").alias("reason")))

@@ -8,9 +8,10 @@ def md5_draw(seed, key: str, hex_digits: int = 8) -> str:
 
 
 V_LETTER_SCORES = """v_letter_scores AS (
-  SELECT vec_id AS item_id, label AS gold, CAST(i - 1 AS INT) AS letter_idx, chr(CAST(64 + i AS INT)) AS letter,
-         CAST(embedding[i] AS DOUBLE) AS score
-  FROM embeddings, generate_series(1, 10) t(i))"""
+  SELECT vec_id AS item_id, label AS gold, CAST((i - 1) % 10 AS INT) AS letter_idx, chr(CAST(65 + (i - 1) % 10 AS INT)) AS letter,
+         CAST(max(embedding[i]) AS DOUBLE) AS score
+  FROM embeddings, generate_series(1, (SELECT max(len(embedding)) FROM embeddings)) t(i) WHERE i <= len(embedding)
+  GROUP BY vec_id, label, (i - 1) % 10)"""
 
 
 V_CORPUS = """v_corpus AS (
@@ -78,19 +79,18 @@ V_CODE = """v_code AS (
          CASE WHEN p_partkey % 2 = 0 THEN ['import math'] ELSE CAST([] AS VARCHAR[]) END AS test_imports
   FROM (SELECT *, 'f_' || p_partkey AS fn FROM part))"""
 
-V_WORDS = """v_words AS (
+V_WORDS = r"""v_words AS (
   SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (
-    SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')
+    SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents)
   WHERE word <> '')"""
 
 
 V_CONV_ROWS = """v_conv_rows AS (
   SELECT conv_id, turn, role, text,
          conv_id % 5 = 0 AND role = 'assistant' AND contains(text, chr(10)) AS is_parts
-  FROM (SELECT conv_id, turn, text,
-               CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN 'assistant' ELSE role END AS role
-        FROM (SELECT conv_id, CASE WHEN conv_id % 7 = 3 AND turn > 1 THEN turn - 1 ELSE turn END AS turn, role, text
-              FROM conversations WHERE NOT (conv_id % 7 = 3 AND turn = 1))))"""
+  FROM (SELECT conv_id, CASE WHEN conv_id % 13 = 4 AND turn > 1 THEN turn + 1 ELSE turn END AS turn, text,
+               CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN 'assistant' WHEN conv_id % 7 = 3 AND turn = 1 THEN 'user' ELSE role END AS role
+        FROM conversations))"""
 
 
 V_ICL_BASE = """v_icl_base AS (

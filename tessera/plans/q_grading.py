@@ -196,7 +196,7 @@ wl AS (SELECT *, CASE WHEN {DV.md5_draw(8, 'idx')} % 10 = 0 THEN 'z'
 @register("count_letter", _WL_SQL + """
 SELECT word, letter, CAST((length(word) - length(replace(word, letter, ''))) / length(letter) AS INT) AS n FROM wl""")
 def count_letter_q(spark, sf):
-    """Letter counts over the English vocabulary of the corpus."""
+    """Letter counts over the vocabulary of the corpus."""
     w = _word_letter(spark, sf)
     return w.select("word", "letter", T.count_letter("word", "letter").alias("n"))
 
@@ -258,14 +258,10 @@ FROM ex JOIN v_words ON v_words.idx = ex.w""")
 def simple_spelling_q(spark, sf):
     """As many test examples as words: md5-drawn word (test seeds offset by
     10,000,000), 'Spell the word: w' -> D13."""
-    from tessera import constants as K
+    from tessera.operators.synth import simple_spelling
     w = v_words(spark, sf)
-    n = w.count()
-    ex = spark.range(n).select(F.col("id").alias("i"),
-                               (md5_draw("spell", F.col("id") + K.SPELLING_TEST_SEED_OFFSET) % n).alias("w"))
-    j = ex.join(w, ex.w == w.idx)
-    return j.select(F.col("i").alias("idx"), F.concat(F.lit("Spell the word: "), "word").alias("user_text"),
-                    T.spell("word").alias("assistant_text"))
+    s = simple_spelling(w, w.count(), "test")
+    return s.select(F.col("example").alias("idx"), F.col("user").alias("user_text"), F.col("assistant").alias("assistant_text"))
 
 
 @register("complete_with")

@@ -128,7 +128,8 @@ u AS (SELECT *, replace(replace(CASE WHEN d_low % 10 < 3 THEN lower(tpl0) ELSE t
 @register("letter_question", _bee_sql("test") + " SELECT example, word, letter, user_text AS user FROM u")
 def letter_question_q(spark, sf):
     """SpellingBee user turns (template, case, quotes, question mark) for test seeds."""
-    b = SY.spelling_bee(v_words(spark, sf), v_words(spark, sf).count(), "test")
+    w = v_words(spark, sf)
+    b = SY.spelling_bee(w, w.count(), "test")
     return b.select("example", "word", "letter", "user")
 
 

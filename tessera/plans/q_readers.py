@@ -37,7 +37,7 @@ m AS (SELECT conv_id, line, ok, CASE WHEN ok THEN json_type(line) END AS jt,
              CASE WHEN ok AND json_type(line) = 'ARRAY' THEN json_array_length(line) END AS n FROM p),
 msg AS (SELECT conv_id, i, json_type(line, '$[' || i || ']') AS mt, json_extract_string(line, '$[' || i || '].role') AS role,
                json_type(line, '$[' || i || '].content') AS ct
-        FROM m, range(0, 64) r(i) WHERE jt = 'ARRAY' AND i < n),
+        FROM m, LATERAL (SELECT unnest(range(0, CAST(coalesce(n, 0) AS BIGINT))) AS i) r WHERE jt = 'ARRAY'),
 bad AS (SELECT conv_id, i, CASE WHEN mt <> 'OBJECT' OR role IS NULL THEN 'missing_role' WHEN ct IS NULL THEN 'missing_content'
                                 WHEN role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END THEN 'bad_role'
                                 WHEN ct <> 'VARCHAR' THEN 'non_string_content' END AS why FROM msg),

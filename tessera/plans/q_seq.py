@@ -64,24 +64,34 @@ def bits_per_byte_q(spark, sf):
     return r.select("option_idx", "sum_bytes", R(F.col("bpb")).alias("bpb"))
 
 
-@register("bpb_by_split", _BPB_SQL + """,
+def _split_sql(kept):
+    return _BPB_SQL + f""",
 it AS (SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT item_id FROM v_losses)),
-kept AS (SELECT item_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY item_id) - 1 AS r FROM it) WHERE r < 704)
+kept AS (SELECT item_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY item_id) - 1 AS r FROM it) WHERE {kept})
 SELECT split, CAST(sum(nb) AS BIGINT) AS sum_bytes,
        round(sum(CASE WHEN nb > 0 THEN loss ELSE 0.0 END) / (ln(2) * sum(nb)), 6) AS bpb
-FROM j JOIN kept USING (item_id) GROUP BY split""")
-def bpb_by_split_q(spark, sf):
-    """Bits per byte for train and val over a budget of 5000 tokens rounded down
-    to whole steps of 32 rows x 7 tokens (704 sequences per split)."""
-    lo = v_losses(spark, sf)
-    split = F.when(F.col("item_id") % 10 == 0, "val").otherwise("train")
-    items = lo.select("item_id").distinct().withColumn("split", split)
-    steps = 5000 // (32 * 7)
-    kept = O.index_within(items, ["split"], "item_id", out="r").where(F.col("r") < steps * 32).select("item_id", "split")
-    r = S.bits_per_byte(lo.join(kept, "item_id"), v_token_bytes(spark, sf), ["split"])
+FROM j JOIN kept USING (item_id) GROUP BY split"""
+
+
+def _by_split(spark, sf, budget):
+    lo = v_losses(spark, sf).withColumn("split", F.when(F.col("item_id") % 10 == 0, "val").otherwise("train"))
+    r = S.bpb_by_split(lo, v_token_bytes(spark, sf), "split", "item_id", budget, rows=32, row_tokens=7)
     return r.select("split", "sum_bytes", R(F.col("bpb")).alias("bpb"))
 
 
+@register("bpb_by_split", _split_sql("r < 704"))
+def bpb_by_split_q(spark, sf):
+    """Bits per byte for train and val over a budget of 5000 tokens, rounded down to whole steps of 32 rows
+    of 7 tokens (704 sequences per split)."""
+    return _by_split(spark, sf, 5000)
+
+
+@register("bpb_by_split_all", _split_sql("true"))
+def bpb_by_split_all_q(spark, sf):
+    """I10 without a budget: bits per byte for train and val over all sequences."""
+    return _by_split(spark, sf, None)
+
+
 _SEQ_SQL = f"""WITH {DV.V_LOSSES},
 sq AS (SELECT item_id, option_idx, list(token ORDER BY pos, token) AS tokens FROM v_losses GROUP BY 1, 2)"""
 

@@ -126,14 +126,14 @@ def _conv_messages(spark, sf):
 
 @register("render_conversation")
 def render_conversation_q(spark, sf):
-    """Every conversation rendered to ids + mask, cut at 2048 tokens."""
+    """Every conversation rendered to ids + mask, cut at 2048 tokens, or the reason why it cannot be."""
     r = TK.render_conversation(_conv_messages(spark, sf), merges_for(spark, sf))
-    return r.select("conv_id", F.size("ids").alias("n_ids"), _md5("ids").alias("ids_md5"), _md5("mask").alias("mask_md5"),
+    return r.select("conv_id", "reason", F.size("ids").alias("n_ids"), _md5("ids").alias("ids_md5"), _md5("mask").alias("mask_md5"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_supervised"))
 
 
 @register("render_for_completion")
 def render_for_completion_q(spark, sf):
-    """Completion prompts (last assistant message dropped, assistant_start appended)."""
+    """Completion prompts (last assistant message dropped, assistant_start appended), or the reason for none."""
     r = TK.render_for_completion(_conv_messages(spark, sf), merges_for(spark, sf))
-    return r.select("conv_id", F.size("ids").alias("n_ids"), F.element_at("ids", -1).alias("last_id"))
+    return r.select("conv_id", "reason", F.size("ids").alias("n_ids"), _md5("ids").alias("ids_md5"), F.element_at("ids", -1).alias("last_id"))

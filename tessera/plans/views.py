@@ -19,10 +19,14 @@ def md5_draw(seed, key: Column, hex_digits: int = 8) -> Column:
 
 
 def v_letter_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """embeddings: the first ten dimensions are the scores of letters A..J; gold = label."""
+    """embeddings: letter A..J scores the largest of the dimensions d with d % 10 its index; gold = label."""
     e = table(spark, sf, "embeddings")
+
+    def score(k):
+        return F.array_max(F.filter("embedding", lambda x, d: d % 10 == k))
+    scores = F.array(*[score(k) for k in range(10)])
     return (e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("gold"),
-                     F.posexplode(F.slice("embedding", 1, 10)).alias("letter_idx", "score"))
+                     F.posexplode(scores).alias("letter_idx", "score"))
             .select("item_id", "gold", "letter_idx",
                     F.expr("char(65 + letter_idx)").alias("letter"),
                     F.col("score").cast("double").alias("score")))
@@ -148,23 +152,22 @@ def v_code(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct lower-case ASCII words of the English documents, dense idx by word."""
+    """Distinct lower-case words (runs of Unicode letters) of all documents, dense idx by word."""
     from tessera.operators.order import dense_index
-    d = table(spark, sf, "documents").where(F.col("lang") == "en")
-    w = d.select(F.explode(F.split(F.lower("text"), "[^a-z]+", -1)).alias("word")).where(F.col("word") != "").distinct()
+    d = table(spark, sf, "documents")
+    w = d.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+", -1)).alias("word")).where(F.col("word") != "").distinct()
     return dense_index(w, "word")
 
 
 def v_conv_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """conversations with data-derived defects: conv % 7 == 3 loses turn 1
-    (renumbered), conv % 11 == 5 starts with an assistant, and for conv % 5 == 0
-    multi-line assistant texts play list (parts) content."""
+    """conversations with data-derived defects: for conv % 7 == 3 turn 1 is a user's, for conv % 13 == 4 the
+    turns after 1 are one too high (a gap), conv % 11 == 5 starts with an assistant, and for conv % 5 == 0
+    multi-line assistant texts play list (parts) content.  No turn is left out."""
     c = table(spark, sf, "conversations")
-    k7 = F.col("conv_id") % 7 == 3
-    c = c.where(~(k7 & (F.col("turn") == 1))).withColumn(
-        "turn", F.when(k7 & (F.col("turn") > 1), F.col("turn") - 1).otherwise(F.col("turn")))
-    c = c.withColumn("role", F.when((F.col("conv_id") % 11 == 5) & (F.col("turn") == 0), F.lit("assistant"))
+    turn, k = F.col("turn"), F.col("conv_id")
+    c = c.withColumn("role", F.when((k % 11 == 5) & (turn == 0), F.lit("assistant")).when((k % 7 == 3) & (turn == 1), F.lit("user"))
                      .otherwise(F.col("role")))
+    c = c.withColumn("turn", F.when((k % 13 == 4) & (turn > 1), turn + 1).otherwise(turn))
     return c.withColumn("is_parts", (F.col("conv_id") % 5 == 0) & (F.col("role") == "assistant")
                         & F.col("text").contains("\n"))
 
