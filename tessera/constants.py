@@ -77,6 +77,19 @@ REPORT_SECTIONS = [
 GPU_HOURLY_RATES = [("H100", 3.00), ("A100", 1.79), ("V100", 0.55)]
 GPU_DEFAULT_RATE = 2.0
 
+# Peak dense bf16 FLOPS by device: all substrings must be in the lower-case name, first match wins.
+PEAK_FLOPS = [
+    (["gb200"], 2.5e15), (["grace blackwell"], 2.5e15), (["b200"], 2.25e15), (["b100"], 1.8e15),
+    (["h200", "nvl"], 836e12), (["h200", "pcie"], 836e12), (["h200"], 989e12),
+    (["h100", "nvl"], 835e12), (["h100", "pcie"], 756e12), (["h100"], 989e12),
+    (["h800", "nvl"], 989e12), (["h800"], 756e12),
+    (["a100"], 312e12), (["a800"], 312e12), (["a40"], 149.7e12), (["a30"], 165e12),
+    (["l40s"], 362e12), (["l40-s"], 362e12), (["l40 s"], 362e12), (["l4"], 121e12),
+    (["mi355"], 2.5e15), (["mi325"], 1.3074e15), (["mi300x"], 1.3074e15), (["mi300a"], 980.6e12),
+    (["mi250x"], 383e12), (["mi250"], 362.1e12),
+    (["5090"], 209.5e12), (["4090"], 165.2e12), (["3090"], 71e12),
+]
+
 # ChatCORE random baselines (fractions).
 CHATCORE_BASELINES = [("ARC-Easy", 0.25), ("ARC-Challenge", 0.25), ("MMLU", 0.25),
                       ("GSM8K", 0.0), ("HumanEval", 0.0), ("SpellingBee", 0.0)]

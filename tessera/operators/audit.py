@@ -3,7 +3,8 @@
 The gate (which expressions the calculator accepts) is native SQL; the simple
 ``'word'.count('x')`` form is counted natively; the remaining arithmetic and
 string-count forms are evaluated in an Arrow UDF by a whitelisted AST walk
-(no ``eval``).  Anything the gate rejects, or that fails, is null.
+(no ``eval``), which sees only those rows.  One sum, difference or product of
+two whole numbers is native too.  Anything the gate rejects, or that fails, is null.
 """
 
 from __future__ import annotations
@@ -76,6 +77,7 @@ def _calc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else safe_calc(x))
 
 
+_WHOLE = r"^ *(0|[1-9][0-9]{0,8}) *([-+*]) *(0|[1-9][0-9]{0,8}) *$"  # two whole numbers and one operator
 _SIMPLE_COUNT = r"^'([a-zA-Z0-9._ ]*)'\.count\('([a-zA-Z0-9._ ]*)'\)$"
 
 
@@ -84,11 +86,16 @@ def use_calculator(expr) -> Column:
     ensure_shipped()
     e = F.replace(F.col(expr) if isinstance(expr, str) else expr, F.lit(","), F.lit(""))
     kind = calculator_kind(e)
+    a, op, b = (F.regexp_extract(e, _WHOLE, i) for i in (1, 2, 3))
+    a, b = a.try_cast("bigint"), b.try_cast("bigint")
+    whole = F.when(op == "+", a + b).when(op == "-", a - b).otherwise(a * b).cast("string")
     word, letter = F.regexp_extract(e, _SIMPLE_COUNT, 1), F.regexp_extract(e, _SIMPLE_COUNT, 2)
     native_count = F.when(F.length(letter) > 0, count_letter(word, letter).cast("string"))
-    return (F.when(kind.isNull(), F.lit(None).cast("string"))
-            .when((kind == "string") & e.rlike(_SIMPLE_COUNT) & (F.length(letter) > 0), native_count)
-            .otherwise(_calc_udf(e)))
+    counted = (kind == "string") & e.rlike(_SIMPLE_COUNT) & (F.length(letter) > 0)
+    # a Python function sees every row, whatever branch it stands in: the others reach it as null
+    rest = F.when(kind.isNotNull() & ~e.rlike(_WHOLE) & ~counted, e)
+    return (F.when(kind.isNull(), F.lit(None).cast("string")).when(e.rlike(_WHOLE), whole).when(counted, native_count)
+            .otherwise(_calc_udf(rest)))
 
 
 def tool_calls(parts) -> Column:

@@ -126,6 +126,17 @@ def encode_with(col, spec: TokenizerSpec, prepend: int | None = None):
     return _enc(F.col(col) if isinstance(col, str) else col)
 
 
+def decode_with(col, spec: TokenizerSpec):
+    """Decode an id column with a registered tokenizer (Arrow batches)."""
+    from tessera.session import ensure_shipped
+    ensure_shipped()
+
+    @F.pandas_udf(T.StringType())
+    def _dec(s: pd.Series) -> pd.Series:
+        return pd.Series([spec.decode(list(x)) for x in s])
+    return _dec(F.col(col) if isinstance(col, str) else col)
+
+
 # ---------------------------------------------------------------- M3
 def score_with(df: DataFrame, fn: Callable, keys: list[str], tokens: str = "tokens") -> DataFrame:
     """M3: a user scorer over batches of token sequences -> the long loss table

@@ -38,7 +38,7 @@ def parse_timestamp_line(df: DataFrame, prefix: str, id_cols: list[str], text: s
     return df.select(*id_cols).distinct().join(got, id_cols, "left")
 
 
-INLINE_RULES = 64
+MAX_RULES = 1_000
 
 
 def _rule_cond(t: Column, pattern, kind: str) -> Column:
@@ -59,32 +59,27 @@ def first_match(df: DataFrame, rules: DataFrame, text: str, key: list[str], kind
     ``default`` when none.  ``kind``: contains | regex | all_of (pattern is an
     array of substrings that must all be present).  ``key`` identifies rows.
 
-    Rule tables are configuration: up to 64 rules (size-checked) become one
-    ordered ``CASE`` chain in a single projection (no join, no shuffle);
-    larger tables use a broadcast theta join whose winner is
-    ``min(struct(rule_no, value))`` (a partial aggregate), joined back by key.
+    Rule tables are configuration: they become one ordered ``CASE`` chain in a single
+    projection (no join, no shuffle).  More than ``MAX_RULES`` rules are an error.
     """
     if kind not in ("contains", "regex", "all_of"):
         raise ValueError(kind)
-    t = F.col(text)
-    small = rules.limit(INLINE_RULES + 1).collect()  # at most 65 rows of configuration
-    if len(small) <= INLINE_RULES:
-        expr = F.lit(default)
-        for r in sorted(small, key=lambda r: r["rule_no"], reverse=True):
-            cond = _rule_cond(t, r["pattern"], kind)
-            expr = F.when(cond, F.lit(r["value"])).otherwise(expr)
-        return df.withColumn(out, expr)
-    r = broadcast_small(rules.select("rule_no", F.col("pattern").alias("_pat"), F.col("value").alias("_val")), "rules",
-                        max_rows=100_000)
-    if kind == "regex":
-        cond = F.expr(f"`{text}` RLIKE _pat")
-    elif kind == "contains":
-        cond = t.contains(F.col("_pat"))
-    else:
-        cond = F.forall(F.col("_pat"), lambda s: t.contains(s))
-    hits = df.join(r, cond, "inner").groupBy(*key).agg(F.min(F.struct("rule_no", "_val")).alias("_w"))
-    res = df.join(hits, key, "left").withColumn(out, F.coalesce(F.col("_w").getField("_val"), F.lit(default)))
-    return res.drop("_w")
+    listed = rules.limit(MAX_RULES + 1).collect()
+    if len(listed) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    expr = F.lit(default)
+    for r in sorted(listed, key=lambda r: r["rule_no"], reverse=True):
+        expr = F.when(_rule_cond(F.col(text), r["pattern"], kind), F.lit(r["value"])).otherwise(expr)
+    return df.withColumn(out, expr)
+
+
+def peak_flops(df: DataFrame, key: list[str], device: str = "device", out: str = "peak_flops") -> DataFrame:
+    """H3 with the peak-FLOPS table (all substrings of a rule in the lower-case name); infinity when unknown,
+    so a utilisation over it is 0."""
+    rules = df.sparkSession.createDataFrame([(i, p, v) for i, (p, v) in enumerate(K.PEAK_FLOPS)],
+                                            "rule_no int, pattern array<string>, value double")
+    low = first_match(df.withColumn("_name", F.lower(device)), rules, "_name", key, "all_of", float("inf"), out=out)
+    return low.drop("_name")
 
 
 def corpus_stats(df: DataFrame, group: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -144,11 +139,16 @@ def run_cost(runs: DataFrame, key: list[str], device: str = "device", count: str
 
 def leaderboard(summaries: DataFrame, model: str = "model", task: str = "task", acc: str = "accuracy",
                 ts: str = "timestamp", tiebreak: str | None = None) -> DataFrame:
-    """Model x task accuracy from the latest record per (model, task).
-
-    ``max(struct(timestamp, tiebreak, accuracy))`` is a partial aggregate;
-    tasks become columns (pivot over the distinct task names).
-    """
+    """I18, long form: accuracy of the latest record per (model, task);
+    ``max(struct(timestamp, tiebreak, accuracy))`` is a partial aggregate."""
     parts = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else []) + [F.col(acc).alias("_acc")]
     latest = summaries.groupBy(model, task).agg(F.max(F.struct(*parts)).getField("_acc").alias(acc))
     return latest
+
+
+def leaderboard_table(summaries: DataFrame, tasks: list[str] | None = None, model: str = "model", task: str = "task",
+                      acc: str = "accuracy", ts: str = "timestamp", tiebreak: str | None = None) -> DataFrame:
+    """A row per model, a column per task (``tasks``, or all that occur, by name), null where a model has no record."""
+    latest = leaderboard(summaries, model, task, acc, ts, tiebreak)
+    grouped = latest.groupBy(model)
+    return (grouped.pivot(task, tasks) if tasks else grouped.pivot(task)).agg(F.first(acc))

@@ -11,6 +11,7 @@ from tessera.plans import duck_views as DV
 from tessera.plans.registry import register
 from tessera.plans.tables import table
 from tessera.plans.views import md5_draw, v_code, v_gsm, v_letters, v_math, v_words
+from tessera.session import cut_lineage
 
 NL = "chr(10)"
 
@@ -264,7 +265,8 @@ def simple_spelling_q(spark, sf):
     return s.select(F.col("example").alias("idx"), F.col("user").alias("user_text"), F.col("assistant").alias("assistant_text"))
 
 
-@register("complete_with")
+@register("complete_with", """SELECT l_orderkey % 7 = 0 AS failed, count(*) AS n,
+       CAST(sum(CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_correct FROM lineitem GROUP BY 1""")
 def complete_with_q(spark, sf):
     """M4: a toy user callback (echo the gold answer, raise on every 7th problem)
     over all GSM problems, then D1 + I5 + I1; failures count as wrong."""
@@ -280,3 +282,30 @@ def complete_with_q(spark, sf):
     c = c.withColumn("pred", T.extract_hash_number("completion")).withColumn("ref", T.extract_hash_number("answer"))
     return S.accuracy_by(S.grade_exact(c, "pred", "ref"), [(F.col("error").isNotNull()).alias("failed")]) \
         .select("failed", "n", "n_correct")
+
+
+@register("run_task", f"""WITH {DV.V_GSM}
+SELECT 'gsm-numbers' AS task, 'generative' AS eval_type, count(*) AS n,
+       CAST(sum(CAST(coalesce(l_orderkey % 3 <> 2 AND {D.hash_number('completion')} = {D.hash_number('answer')}, false) AS INT)) AS BIGINT) AS n_correct FROM v_gsm""")
+def run_task_q(spark, sf):
+    """M1: a registered task (prepare, responses that may be missing, grade) over all GSM problems."""
+    from tessera.operators import ext as X
+    g = v_gsm(spark, sf).withColumn("row", F.monotonically_increasing_id())
+    X.register_task("gsm-numbers", lambda raw: raw.select("row", "answer"),
+                    lambda j: S.grade_exact(j.withColumn("pred", T.extract_hash_number("completion")).withColumn("ref", T.extract_hash_number("answer")),
+                                            "pred", "ref"), "generative", 0.0)
+    g = cut_lineage(g.select("row", "l_orderkey", "answer", "completion"))  # both sides must see the same row numbers
+    r = X.run_task("gsm-numbers", g, g.where(F.col("l_orderkey") % 3 != 2), ["row"])
+    return r.select("task", "eval_type", "n", "n_correct")
+
+
+@register("registered_tokenizer", "SELECT doc_id, CAST(strlen(text) + 1 AS INT) AS n_tokens, md5(text) AS text_md5 FROM documents")
+def registered_tokenizer_q(spark, sf):
+    """M2: a registered byte tokenizer encodes and decodes every document."""
+    from tessera.operators import ext as X
+    spec = X.bpe_tokenizer([])
+    X.register_tokenizer("bytes", spec.encode_batch, spec.decode, spec.specials)
+    spec = X.TOKENIZERS["bytes"]
+    e = table(spark, sf, "documents").select("doc_id", X.encode_with("text", spec, prepend=spec.specials["<|bos|>"]).alias("ids"))
+    d = e.select("doc_id", F.size("ids").alias("n_tokens"), X.decode_with(F.slice("ids", 2, 1 << 30), spec).alias("text"))
+    return d.select("doc_id", "n_tokens", F.md5("text").alias("text_md5"))

@@ -142,6 +142,26 @@ def leaderboard_q(spark, sf):
     return RP.leaderboard(v_runs(spark, sf), tiebreak="event_id").select("model", "task", "accuracy")
 
 
+_TASKS = ["ARC-Challenge", "ARC-Easy", "GSM8K", "HumanEval", "MMLU", "SpellingBee"]
+
+
+@register("leaderboard_table", _LATEST_SQL + " SELECT model, " + ", ".join(
+    f"""max(accuracy) FILTER (WHERE task = '{t}') AS "{t}" """ for t in _TASKS) + " FROM lt GROUP BY model")
+def leaderboard_table_q(spark, sf):
+    """The model x task table, tasks as columns."""
+    return RP.leaderboard_table(v_runs(spark, sf), _TASKS, tiebreak="event_id")
+
+
+_FLOPS_SQL = "CASE " + " ".join("WHEN " + " AND ".join(f"contains(lower(device), '{x}')" for x in p) + f" THEN {v!r}" for p, v in K.PEAK_FLOPS) + " END"
+
+
+@register("peak_flops", f"WITH {DV.V_DEVICES} SELECT s_suppkey, device, CAST({_FLOPS_SQL} AS DOUBLE) AS peak_flops FROM v_devices")
+def peak_flops_q(spark, sf):
+    """H3 with all-substrings rules: peak FLOPS of every run's device (null stands for unknown)."""
+    r = RP.peak_flops(v_devices(spark, sf), ["s_suppkey"])
+    return r.select("s_suppkey", "device", F.when(F.col("peak_flops") != float("inf"), F.col("peak_flops")).alias("peak_flops"))
+
+
 @register("chatcore", _LATEST_SQL + f""",
 b AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {b})" for t, b in K.CHATCORE_BASELINES)}) b(task, baseline))
 SELECT model, CAST(count(DISTINCT task) AS BIGINT) AS n_tasks, round(avg((accuracy - baseline) / (1.0 - baseline)), 6) AS chatcore

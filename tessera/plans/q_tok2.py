@@ -86,7 +86,10 @@ def tool_spans_q(spark, sf):
                     F.array_join(F.transform("sp", lambda s: _arr(s)), "|").alias("spans"))
 
 
-@register("audit_tool_calls")
+@register("audit_tool_calls", """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+c AS (SELECT l_orderkey, l_linenumber, 0 AS call_no, q || '*' || l_linenumber AS expr, CAST(q * l_linenumber AS VARCHAR) AS v FROM l
+      UNION ALL SELECT l_orderkey, l_linenumber, 1, (q * l_linenumber) || '*2', CAST(q * l_linenumber * 2 AS VARCHAR) FROM l)
+SELECT l_orderkey, l_linenumber, call_no, expr, v AS recorded, 'arith' AS kind, v AS recomputed, true AS agrees FROM c""")
 def audit_tool_calls_q(spark, sf):
     """Recompute every recorded calculator call of the GSM solutions."""
     g = v_gsm(spark, sf).select("l_orderkey", "l_linenumber", T.split_tool_calls("answer").alias("parts"))

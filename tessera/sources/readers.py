@@ -48,9 +48,10 @@ def parse_conversation_lines(lines: DataFrame, line: str = "value") -> DataFrame
 
 
 def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """A8 over files; ``line_no`` is the row index inside each file."""
+    """A8 over files; ``line_no`` grows with the line's place in its file (it is not dense: a text
+    scan knows no row index, and numbering lines would need a pass of its own)."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"),
-                                         F.col("_metadata.row_index").alias("line_no"))
+                                         F.monotonically_increasing_id().alias("line_no"))
     return parse_conversation_lines(lines)
 
 
@@ -129,6 +130,13 @@ def load_benchmark(df: DataFrame, name: str, subset: str | None = None, keep: tu
     return out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
+def read_benchmark(spark: SparkSession, path: str, name: str, subset: str | None = None, keep: tuple = ()) -> DataFrame:
+    """A11 from files: JSON lines (``*.json``, ``*.jsonl``) or Parquet under ``path``, then ``load_benchmark``."""
+    low = path.rstrip("/").lower()
+    df = spark.read.json(path) if low.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    return load_benchmark(df, name, subset, keep)
+
+
 # ---------------------------------------------------------------- A12
 def parse_word_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """One word per line, stripped."""
