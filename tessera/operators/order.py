@@ -204,6 +204,16 @@ def chunk_positions(df: DataFrame, key: list[str], order, chunk_rows: int = 100_
     return cut_lineage(g.withColumn("_chunk", (F.col("_pos") / chunk_rows).cast("bigint")))
 
 
+def chunked_running_max(g: DataFrame, key: list[str], value: Column, out: str) -> DataFrame:
+    """Inclusive running maximum per key in ``_pos`` order (nulls are passed over), chunked like the sums."""
+    g = g.withColumn("_v", value)
+    w = Window.partitionBy(*key, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.withColumn("_in", F.max("_v").over(w))
+    wc = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = g.groupBy(*key, "_chunk").agg(F.max("_v").alias("_t")).select(*key, "_chunk", F.max("_t").over(wc).alias("_o"))
+    return g.join(before, [*key, "_chunk"]).withColumn(out, F.greatest("_o", "_in")).drop("_v", "_in", "_o")
+
+
 def chunked_running_sums(g: DataFrame, key: list[str], values: dict) -> DataFrame:
     """Inclusive running sums per key in ``_pos`` order, without a per-key window.
 

@@ -233,18 +233,19 @@ def error_streaks(log: DataFrame, key: list[str], order: list[str], status: str
     Gaps and islands: an island starts at each success; inside it the 400s
     are counted; every ``threshold + 1``-th one halves the budget (floor
     ``floor``) and restarts the counter; other failures leave the counter.
-    All running counts are chunked scans (no per-key window), and the
-    count at each island start comes from an equi-join on (key, island).
+    All running values are chunked scans (no per-key window, no join on an
+    island, which may hold all rows of a key): the count at the island's start
+    is the largest running count at a success so far.
     """
-    from tessera.operators.order import chunk_positions, chunked_running_sums
+    from tessera.operators.order import chunk_positions, chunked_running_max, chunked_running_sums
     is400, ok = (F.col(status) == 400), (F.col(status) == 200)
     g = chunk_positions(log, key, order, chunk_rows)
-    g = chunked_running_sums(g, key, {"_island": ok.cast("bigint"), "_r400": is400.cast("bigint")})
-    base = g.where(ok).select(*key, "_island", F.col("_r400").alias("_base"))
-    g = g.join(base, [*key, "_island"], "left").withColumn("_c", F.col("_r400") - F.coalesce(F.col("_base"), F.lit(0)))
+    g = chunked_running_sums(g, key, {"_r400": is400.cast("bigint")})
+    g = chunked_running_max(g, key, F.when(ok, F.col("_r400")), "_base")
+    g = g.withColumn("_c", F.col("_r400") - F.coalesce(F.col("_base"), F.lit(0)))
     g = g.withColumn("_halve", (is400 & (F.col("_c") % (threshold + 1) == 0)).cast("bigint"))
     g = chunked_running_sums(g, key, {"halvings": F.col("_halve")})
     return (g.withColumn("halvings", F.col("halvings").cast("int"))
             .withColumn("streak", (F.col("_c") % (threshold + 1)).cast("int"))
             .withColumn("budget", F.greatest(F.expr(f"shiftright({int(start)}, least(halvings, 30))"), F.lit(floor)))
-            .drop("_island", "_r400", "_base", "_c", "_halve", "_pos", "_chunk"))
+            .drop("_r400", "_base", "_c", "_halve", "_pos", "_chunk"))

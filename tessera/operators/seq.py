@@ -46,21 +46,33 @@ def common_length(df: DataFrame, item: str, tokens: str = "tokens", side: str =
     (lowest ``order``).  The first member per item is a partial-aggregated
     ``min(struct)``, joined back by item; the final ``min`` is partial too.
     """
-    t = F.col(tokens) if side == "left" else F.reverse(F.col(tokens))
-    seqs = df.select(item, order, t.alias("_t"))
+    both = common_lengths(df, item, tokens, order)
+    return both.select(item, F.col("prefix_len" if side == "left" else "suffix_len").alias(out))
+
+
+def common_lengths(df: DataFrame, item: str, tokens: str = "tokens", order: str = "option_idx") -> DataFrame:
+    """F1, both sides at once: (item, prefix_len, suffix_len) from one join with the items' first sequences
+    and one aggregate (a side that is not read is pruned)."""
+    seqs = df.select(item, order, F.col(tokens).alias("_t"))
     first = seqs.groupBy(item).agg(F.min(F.struct(order, "_t")).getField("_t").alias("_t0"))
-    j = seqs.join(first, item)
-    return j.groupBy(item).agg(F.min(_lcp(F.col("_t"), F.col("_t0"))).alias(out))
+    t, t0 = F.col("_t"), F.col("_t0")
+    return seqs.join(first, item).groupBy(item).agg(F.min(_lcp(t, t0)).alias("prefix_len"),
+                                                    F.min(_lcp(F.reverse(t), F.reverse(t0))).alias("suffix_len"))
 
 
-def answer_spans(df: DataFrame, task_type: str, item: str = "item_id", tokens: str = "tokens",
+def answer_spans(df: DataFrame, task_type: str | list[str], item: str = "item_id", tokens: str = "tokens",
                  tokens_without: str | None = None) -> DataFrame:
     """answer span ``[start, end)`` per option sequence.
 
     mc: start = common prefix, end = own length; schema: start = end - common
     suffix; lm: start = length without, end = length with, and ``ok`` checks
-    that "without" is a strict prefix of "with".
+    that "without" is a strict prefix of "with".  Of a list of mc and schema,
+    ``<type>_start`` for each from one pass.
     """
+    if isinstance(task_type, list):
+        j = df.join(common_lengths(df, item, tokens), item).withColumn("end", F.size(tokens))
+        starts = {"multiple_choice": F.col("prefix_len"), "schema": F.col("end") - F.col("suffix_len")}
+        return j.select(*df.columns, "end", *[starts[t].alias(f"{t}_start") for t in task_type])
     if task_type == "language_modeling":
         w, t = F.col(tokens_without), F.col(tokens)
         ok = (F.size(w) < F.size(t)) & (F.slice(t, 1, F.size(w)) == w)

@@ -104,11 +104,9 @@ def chain_tasks_q(spark, sf):
 @register("scan_corpus", """
 SELECT 'documents.parquet' AS shard, doc_id AS pos, doc_id, CAST(length(text) AS INT) AS n_chars FROM documents""")
 def scan_corpus_q(spark, sf):
-    """A1: text-only scan with shard file name and row position; doc_id joined by position."""
-    s = C.scan_corpus(spark, f"{sf.rstrip('/')}/documents.parquet")
-    ids = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select(
-        F.col("_metadata.row_index").alias("pos"), "doc_id")
-    return s.join(ids, "pos").select("shard", "pos", "doc_id", F.length("text").alias("n_chars"))
+    """A1: scan with shard file name and row position; doc_id read in the same scan."""
+    s = C.scan_corpus(spark, f"{sf.rstrip('/')}/documents.parquet", keep=("doc_id",))
+    return s.select("shard", "pos", "doc_id", F.length("text").alias("n_chars"))
 
 
 @register("split_corpus", f"""WITH {DV.V_CORPUS}

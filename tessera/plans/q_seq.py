@@ -10,6 +10,7 @@ from tessera.operators import seq as Q
 from tessera.plans import duck_views as DV
 from tessera.plans.registry import register
 from tessera.plans.views import v_log, v_losses, v_outcomes, v_part_idx, v_spans, v_token_bytes
+from tessera.session import cut_lineage
 
 R = lambda c, n=6: F.round(c, n)
 LS = f"WITH {DV.V_LOSSES}, {DV.V_SPANS}"
@@ -115,9 +116,8 @@ SELECT p.item_id, p.common AS prefix_len, s.common AS suffix_len FROM {_common_s
 def common_length_q(spark, sf):
     """common prefix and suffix length over the option sequences of each item."""
     sq = _seqs(spark, sf)
-    p = Q.common_length(sq, "item_id", side="left", out="prefix_len")
-    s = Q.common_length(sq, "item_id", side="right", out="suffix_len")
-    return p.join(s, "item_id").select("item_id", F.col("prefix_len").cast("bigint"), F.col("suffix_len").cast("bigint"))
+    c = Q.common_lengths(sq, "item_id")
+    return c.select("item_id", F.col("prefix_len").cast("bigint"), F.col("suffix_len").cast("bigint"))
 
 
 @register("answer_spans", _SEQ_SQL + f"""
@@ -126,10 +126,9 @@ SELECT sq.item_id, option_idx, CAST(p.common AS BIGINT) AS start, CAST(len(token
 FROM sq JOIN {_common_sql('left')} p USING (item_id) JOIN {_common_sql('right')} s USING (item_id)""")
 def answer_spans_q(spark, sf):
     """multiple-choice spans (common prefix .. end) and schema starts (end - common suffix)."""
-    sq = _seqs(spark, sf)
-    mc = Q.answer_spans(sq, "multiple_choice").select("item_id", "option_idx", "start", "end")
-    sc = Q.answer_spans(sq, "schema").select("item_id", "option_idx", F.col("start").alias("schema_start"))
-    return mc.join(sc, ["item_id", "option_idx"]).select(
+    sq = cut_lineage(_seqs(spark, sf))  # read as sequences and as the items' first sequences
+    both = Q.answer_spans(sq, ["multiple_choice", "schema"])
+    return both.select("item_id", "option_idx", F.col("multiple_choice_start").alias("start"), "end", F.col("schema_start").alias("schema_start")).select(
         "item_id", "option_idx", F.col("start").cast("bigint"), F.col("end").cast("bigint"),
         F.col("schema_start").cast("bigint"))
 

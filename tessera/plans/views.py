@@ -36,13 +36,14 @@ def v_corpus(spark: SparkSession, sf: str, rows_per_group: int = 8) -> DataFrame
     """documents as a sharded corpus: shard = source, pos = rank of doc_id in the
     shard, row_group = pos div 8, idx = dense index by (shard, doc_id)."""
     from tessera.operators.order import dense_index
-    d = table(spark, sf, "documents").select(F.col("source").alias("shard"), "doc_id", "text", "lang")
+    from tessera.plans.guards import broadcast_small
     from tessera.session import cut_lineage
-    g = dense_index(d, ["shard", "doc_id"])
+    d = table(spark, sf, "documents").select(F.col("source").alias("shard"), "doc_id", "text", "lang")
+    g = dense_index(d.select("shard", "doc_id"), ["shard", "doc_id"])  # texts are not sorted, and written once below
     starts = g.groupBy("shard").agg(F.min("idx").alias("_s"))  # partial aggregate per shard
-    v = (g.join(starts, "shard").withColumn("pos", F.col("idx") - F.col("_s")).drop("_s")
+    v = (g.join(broadcast_small(starts, "shards"), "shard").withColumn("pos", F.col("idx") - F.col("_s")).drop("_s")
          .withColumn("row_group", (F.col("pos") / rows_per_group).cast("bigint")))
-    return cut_lineage(v)  # the corpus view is read by several branches of most queries
+    return cut_lineage(v.join(d.select("doc_id", "text", "lang"), "doc_id"))  # read by several branches of most queries
 
 
 def v_part_idx(spark: SparkSession, sf: str) -> DataFrame:

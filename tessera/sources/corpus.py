@@ -10,19 +10,20 @@ from tessera.plans.guards import broadcast_small
 
 
 def scan_corpus(spark: SparkSession, path: str, rows_per_group: int | None = None,
-                column: str = "text", spread: bool = True) -> DataFrame:
+                column: str = "text", spread: bool = True, keep: tuple = ()) -> DataFrame:
     """A1: ``*.parquet`` under ``path`` (partial ``.tmp`` files are skipped by the
     glob), reading only ``column``; shard = file name, pos = row index in the file.
 
     Column pruning keeps every other column out of the scan.  ``row_group`` is
     ``pos div rows_per_group`` when given (the writer's row-group size).  With
     ``spread``, a scan with fewer splits than cores is spread over all cores
-    (after the metadata columns are taken from the files).
+    (after the metadata columns are taken from the files).  ``keep`` names further
+    columns to read in the same scan.
     """
     from tessera.plans.tables import spread_small_scan
     df = (spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
           .select(F.col("_metadata.file_name").alias("shard"),
-                  F.col("_metadata.row_index").alias("pos"), F.col(column).alias("text")))
+                  F.col("_metadata.row_index").alias("pos"), F.col(column).alias("text"), *keep))
     if spread:
         df = spread_small_scan(df)
     if rows_per_group:
