@@ -110,6 +110,21 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.n
     return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 
+def rolling(data: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``k`` bytes, not finalized: their upper bits are the good ones."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    p, inv = _powers(len(data))
+    c = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_BYTE[data], p, out=c[1:])
+    np.cumsum(c[1:], out=c[1:])
+    x = c[k:] - c[:-k]
+    x *= inv[:n]
+    x *= _GOLD
+    return x
+
+
 def words(data: np.ndarray, off: np.ndarray, lower: bool = True):
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (starts, ends, row, hash); A-Z lowered."""
     n = len(data)

@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_filter, free_shuffles, hash_runs, in_filter, mix, text_slices, written
+from tessera.llm.common import bit_filter, free_shuffles, hash_runs, in_filter, mix, rolling, text_slices, written
 from tessera.session import ensure_shipped
 
 LENGTH, GRAM = 100, 32
 KINDS = 2_000
+LATER, FIRST, FREQUENT = 0, 1, 2
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,21 +59,20 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     z = np.zeros(0, np.int64)
     if n < length:
         return z, z, z, z, z
-    starts = np.arange(n - gram + 1)
-    h = hash_runs(data, starts, starts + gram)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)  # the leftmost of equal ones
-    sample = (sliding_min(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    start = np.arange(len(sample))
-    text = np.searchsorted(off, start, "right") - 1
-    whole = start + length <= off[text + 1]  # strings never cross texts
-    start, sample, text = start[whole], sample[whole], text[whole]
-    if not len(start):
-        return z, z, z, z, z
-    new = np.ones(len(start), bool)
-    new[1:] = (sample[1:] != sample[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(start)) - 1
-    return text[at], start[at], start[last], sample[at], h[sample[at]].view(np.int64)
+    x = rolling(data, gram)
+    key = x & np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(len(x), dtype=np.uint64)  # the leftmost of equal ones
+    least = sliding_min(key, length - gram + 1)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[off[off < len(new)]] = True
+    first = np.flatnonzero(new)
+    text = np.searchsorted(off, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(least)) - 1, off[text + 1] - length)  # strings never cross texts
+    whole = last >= first
+    first, last, text = first[whole], last[whole], text[whole]
+    sample = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return text, first, last, sample, mix(x[sample]).view(np.int64)
 
 
 def _run_id(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -159,31 +159,30 @@ def _later(length):
     return run
 
 
-def _repeats(name: str):
-    """Of rows sorted by (name, doc_id, a): those after the name's first position, as a stream."""
-    def run(frames):
-        last = first = None
-        for f in frames:
-            if not len(f):
-                continue
-            key = list(zip(*(f[c].to_numpy() for c in name.split()), strict=True)) if " " in name else f[name].to_numpy()
-            if isinstance(key, list):
-                key = np.array(key)
-                head = np.ones(len(key), bool)
-                head[1:] = (key[1:] != key[:-1]).any(1)
-                goes_on = last is not None and bool((key[0] == last).all())
-            else:
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                goes_on = last is not None and key[0] == last
-            doc, a = f["doc_id"].to_numpy(), f["a"].to_numpy()
-            start = np.maximum.accumulate(np.where(head, np.arange(len(f)), 0))
-            d0, a0 = doc[start], a[start]
-            if goes_on:
-                d0, a0 = np.where(start == 0, first[0], d0), np.where(start == 0, first[1], a0)
-            yield f[(doc != d0) | (a != a0)]
-            last, first = key[-1], (d0[-1], a0[-1])
-    return run
+def _compared(frames):
+    """Of candidate runs sorted by (gram, whole, doc_id, a), as a stream: rows (what, gram, doc_id, mark, a, b).
+    LATER: a run that an earlier position has in whole.  FIRST: the first of each kind of run, of grams with several
+    kinds.  FREQUENT: a gram with more than ``KINDS`` kinds."""
+    gram = whole = None
+    at, kinds, held = (0, 0), 0, None
+    for f in frames:
+        out = []
+        for g, w, d, m, a, b in f.itertuples(index=False):
+            if g != gram:
+                gram, whole, kinds = g, None, 0
+            if w != whole:
+                whole, at, kinds = w, (d, a), kinds + 1
+                if kinds == 1:
+                    held = (FIRST, g, d, m, a, b)
+                    continue
+                if kinds == 2:
+                    out.append(held)
+                out.append((FIRST, g, d, m, a, b))
+                if kinds == KINDS + 1:
+                    out.append((FREQUENT, g, 0, 0, 0, 0))
+            elif (d, a) != at:
+                out.append((LATER, None, d, m, a, b))
+        yield pd.DataFrame(out, columns=["what", "gram", "doc_id", "mark", "a", "b"]).astype({"gram": "Int64"})
 
 
 def _merged(frames):
@@ -233,16 +232,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     docs = docs.where("doc_id is not null")
     repeated = docs.mapInArrow(_grams(length, gram), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     grams = spark.sparkContext.broadcast(bit_filter(repeated, "gram"))
-    found = written(docs.mapInArrow(_candidates(length, gram, grams), "gram bigint, whole bigint, doc_id bigint, mark bigint, a bigint, b bigint"))
+    found = docs.mapInArrow(_candidates(length, gram, grams), "gram bigint, whole bigint, doc_id bigint, mark bigint, a bigint, b bigint")
+    found = written(found.repartition(n, "gram").sortWithinPartitions("gram", "whole", "doc_id", "a")
+                    .mapInPandas(_compared, "what int, gram bigint, doc_id bigint, mark bigint, a bigint, b bigint"))
     free_shuffles(spark)
-    later = (found.repartition(n, "gram", "whole").sortWithinPartitions("gram", "whole", "doc_id", "a")
-             .mapInPandas(_repeats("gram whole"), found.schema).select("doc_id", "mark", "a", "b"))
-    firsts = found.groupBy("gram", "whole").agg(F.min(F.struct("doc_id", "a", "mark")).alias("at"))
-    # a gram with one kind of run has nothing more to compare
-    kinds = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = firsts.join(kinds, "gram", "left_semi").select(_run_column().alias("id"))
+    later = found.where(F.col("what") == LATER).select("doc_id", "mark", "a", "b")
+    mixed = found.where(F.col("what") == FIRST).select(_run_column().alias("id"))
     runs_left = spark.sparkContext.broadcast(bit_filter(mixed, "id"))
-    frequent = spark.sparkContext.broadcast(bit_filter(kinds.where(F.col("kinds") > KINDS), "gram"))
+    frequent = spark.sparkContext.broadcast(bit_filter(found.where(F.col("what") == FREQUENT), "gram"))
     single = docs.mapInArrow(_suffixes(length, gram, runs_left, frequent), "key bigint, doc_id bigint, mark bigint, a bigint, names binary")
     single = (single.repartition(n, "key").sortWithinPartitions("key", "doc_id", "a")
               .mapInPandas(_later(length), "doc_id bigint, mark bigint, a bigint, b bigint"))
@@ -253,7 +250,7 @@ def _run_column():
     @F.pandas_udf("bigint")
     def name(doc: pd.Series, mark: pd.Series, place: pd.Series) -> pd.Series:
         return pd.Series(_run_id(doc.to_numpy(np.int64), mark.to_numpy(np.int64), place.to_numpy(np.int64)))
-    return name(F.col("at.doc_id"), F.col("at.mark"), F.col("at.a"))
+    return name(F.col("doc_id"), F.col("mark"), F.col("a"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -266,7 +263,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spark = docs.sparkSession
     ensure_shipped(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    # the mark tells rows of one id apart; without such rows it would only be moved about
+    docs = docs.withColumn("mark", F.lit(0).cast("bigint") if again.isEmpty() else F.xxhash64("text")).select("doc_id", "mark", "text")
     spans = written(repeated_spans(docs, length, gram).repartition(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "a")
                     .mapInPandas(_merged, "_doc bigint, _mark bigint, spans binary"))
     free_shuffles(spark)
