@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, text_slices, written
+from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, rolling, text_slices, written
 from tessera.session import ensure_shipped
 
 WINDOW, BITS = 32, 10
@@ -40,8 +40,8 @@ _OTHER = mix(_BYTE + np.uint64(99))
 
 
 _UNIT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")  # a word with the white space before it
-_BLANKS, _PUNCTUATION = b" \t\n\x0b\x0c\r", string.punctuation.encode()
-MEMO = 1_000_000
+_PUNCTUATION, _ALNUM = string.punctuation.encode(), frozenset((string.ascii_letters + string.digits).encode())
+MEMO = 400_000
 
 
 class Codec:
@@ -63,6 +63,8 @@ class Codec:
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.by_word, self.memo = self._by_word(path), {}
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.word_ends = np.array([(self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
         if self.tok.decoder is None:  # decode() joins the tokens by one blank
             pieces = [(self.tok.id_to_token(i) or "").encode() + b" " for i in range(size)]
             self.length = np.array([len(p) for p in pieces])
@@ -92,36 +94,51 @@ class Codec:
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)]
 
-    def _encode_units(self, units: list[bytes]) -> list[bytes]:
-        """Ids of short units: all in one text, parted by a special token, as that parts texts exactly."""
-        if self.mark is None:
-            return self._encode(units)
-        odd = [u for u in units if self.mark[:2] in u]
-        if odd:
-            known = dict(zip(odd, self._encode(odd), strict=True))
-            plain = iter(self._encode_units([u for u in units if u not in known]))
-            return [known[u] if u in known else next(plain) for u in units]
-        ids = np.array(self.tok.encode(self.mark.join(units).decode("utf-8"), add_special_tokens=False).ids, self.kind)
-        ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)] if units else []
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _cut(self, ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
         raw, size = ids.tobytes(), self.kind.itemsize
-        return [raw[a * size:b * size] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return [raw[a * size:b * size] for a, b in zip(starts, ends, strict=True)]
+
+    def _encode_units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of short units.  Words of letters go into one text, parted by blanks, where each ends with a token
+        that marks the word's end; others are parted by a special token, as that parts texts exactly."""
+        texts = [u.decode("utf-8") for u in units]
+        known: dict[bytes, bytes] = {}
+        if self.folds and self.word_ends is not None:
+            words = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0250"]
+            ids = self._ids(" ".join([texts[i] for i in words]))
+            ends = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
+            if len(ends) == len(words):
+                known = dict(zip([units[i] for i in words], self._cut(ids, [0, *ends[:-1]], ends), strict=True))
+        rest = [u for u in units if u not in known]
+        plain = [u for u in rest if self.mark is not None and self.mark[:2] not in u]
+        if plain:
+            ids = self._ids(self.mark.join(plain).decode("utf-8"))
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            known.update(zip(plain, self._cut(ids, [0, *(e + 1 for e in ends[:-1])], ends), strict=True))
+        odd = [u for u in rest if u not in known]
+        known.update(zip(odd, self._encode(odd) if odd else [], strict=True))
+        return [known[u] for u in units]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
         if not self.by_word:
             return [np.frombuffer(x, self.kind) for x in self._encode(texts)]
-        units = [_UNIT.findall(t) for t in texts]
+        # a tokenizer that drops white space needs none before its words
+        units = [t.split() for t in texts] if self.folds else [_UNIT.findall(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = {u: self._stem(u) for words in units for u in words if u not in memo}
-        missing = list({x for pair in new.values() for x in pair if x and x not in memo})
+        memo[b""] = b""
+        new = list(set().union(*units).difference(memo))
+        parts = [self._stem(u) for u in new]
+        missing = list({x for pair in parts for x in pair}.difference(memo))
         for a in range(0, len(missing), 5_000):
             part = missing[a:a + 5_000]
             memo.update(zip(part, self._encode_units(part), strict=True))
-        memo[b""] = b""
-        for u, (stem, tail) in new.items():
-            memo[u] = memo[stem] + memo[tail]
+        memo.update((u, memo[stem] + memo[tail] if tail else memo[stem]) for u, (stem, tail) in zip(new, parts, strict=True))
         return [np.frombuffer(b"".join(map(memo.__getitem__, words)), self.kind) for words in units]
 
     def _stem(self, unit: bytes) -> tuple[bytes, bytes]:
@@ -130,11 +147,9 @@ class Codec:
         if self.mark and self.mark[:2] in unit:
             return unit, b""
         if self.folds:
-            unit = unit.strip(_BLANKS).lower()
+            unit = unit.lower()
         stem = unit.rstrip(_PUNCTUATION)
-        if stem and (48 <= stem[-1] <= 57 or 65 <= stem[-1] <= 90 or 97 <= stem[-1] <= 122):
-            return stem, unit[len(stem):]
-        return unit, b""
+        return (stem, unit[len(stem):]) if stem and stem[-1] in _ALNUM else (unit, b"")
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """The ids' pieces, each followed by a blank (tokenizers without a decoder)."""
@@ -176,8 +191,7 @@ def bodies(data: np.ndarray, off: np.ndarray):
     space = _SPACE[data]
     cuts = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # white space leads the word after it
     if n > WINDOW:
-        starts = np.arange(n - WINDOW + 1)
-        ends = np.flatnonzero(hash_runs(data, starts, starts + WINDOW) < np.uint64(1 << (64 - BITS))) + WINDOW
+        ends = np.flatnonzero(rolling(data, WINDOW) < np.uint64(1 << (64 - BITS))) + WINDOW
     else:
         ends = z
     edge = np.unique(np.concatenate([ends, off]))
