@@ -150,18 +150,16 @@ def score_with(df: DataFrame, fn: Callable, keys: list[str], tokens: str = "toke
     from tessera.session import ensure_shipped
     ensure_shipped(df.sparkSession)
     key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("pos", T.IntegerType()), T.StructField("token", T.IntegerType()),
-                                        T.StructField("loss", T.DoubleType()), T.StructField("pred_token", T.IntegerType())])
+    schema = T.StructType(key_fields + [T.StructField("_token", T.ArrayType(T.IntegerType())), T.StructField("_loss", T.ArrayType(T.DoubleType())),
+                                        T.StructField("_pred", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for pdf in batches:
             seqs = [list(map(int, t)) for t in pdf[tokens]]
             scored = fn(seqs)
-            rows = []
-            for (_, r), seq, (losses, preds) in zip(pdf.iterrows(), seqs, scored):
-                for i, tok in enumerate(seq):
-                    last = i == len(seq) - 1
-                    rows.append([r[k] for k in keys] + [i, tok, None if last else float(losses[i]),
-                                                        None if last else int(preds[i])])
-            yield pd.DataFrame(rows, columns=keys + ["pos", "token", "loss", "pred_token"])
-    return df.select(*keys, tokens).mapInPandas(run, schema)
+            yield pdf[keys].assign(_token=seqs, _loss=[list(map(float, x)) for x, _ in scored], _pred=[list(map(int, p)) for _, p in scored])
+    arrays = df.select(*keys, tokens).mapInPandas(run, schema)
+    rows = arrays.select(*keys, F.size("_token").alias("_n"), F.posexplode(F.arrays_zip("_token", "_loss", "_pred")).alias("pos", "_z"))
+    inner = F.col("pos") < F.col("_n") - 1  # the last position has no target
+    return rows.where("pos < _n").select(*keys, "pos", F.col("_z._token").alias("token"), F.when(inner, F.col("_z._loss")).alias("loss"),
+                                         F.when(inner, F.col("_z._pred")).alias("pred_token"))

@@ -30,12 +30,11 @@ def parse_timestamp_line(df: DataFrame, prefix: str, id_cols: list[str], text: s
                          out: str = "ts") -> DataFrame:
     """The first line starting with ``prefix`` whose rest parses as
     ``%Y-%m-%d %H:%M:%S``; null when none does."""
-    ln = _lines(df.select(*id_cols, text), text).where(F.col("line").startswith(prefix))
     rest = py_strip(F.col("line").substr(F.instr(F.col("line"), ":") + 1, F.lit(1 << 30)))
-    ts = F.try_to_timestamp(rest, F.lit("yyyy-MM-dd HH:mm:ss"))
-    parsed = ln.withColumn("_ts", ts).where(F.col("_ts").isNotNull())
-    got = parsed.groupBy(*id_cols).agg(F.min_by("_ts", "line_no").alias(out))
-    return df.select(*id_cols).distinct().join(got, id_cols, "left")
+    ts = F.when(F.col("line").startswith(prefix), F.try_to_timestamp(rest, F.lit("yyyy-MM-dd HH:mm:ss")))
+    ln = _lines(df.select(*id_cols, F.coalesce(F.col(text), F.lit("")).alias(text)), text).withColumn("_ts", ts)
+    # lines without a time have no order, so they never win; a section without any gives null
+    return ln.groupBy(*id_cols).agg(F.min_by("_ts", F.when(F.col("_ts").isNotNull(), F.col("line_no"))).alias(out))
 
 
 MAX_RULES = 1_000
@@ -114,6 +113,13 @@ def section_end_time(ts: DataFrame, key: list[str], order: str, name: str, col:
     return non_rl.groupBy(*key).agg(F.max_by(col, order).alias("end_ts"))
 
 
+def section_times(ts: DataFrame, key: list[str], order: str, name: str, start: str = "base", col: str = "ts") -> DataFrame:
+    """I16, both ends from one aggregate: ``start_ts`` of the section named ``start`` and ``end_ts`` as above."""
+    non_rl = F.when(~F.col(name).contains("rl"), F.col(order))
+    return ts.groupBy(*key).agg(F.max(F.when(F.col(name) == start, F.col(col))).alias("start_ts"),
+                                F.max(F.when(non_rl.isNotNull(), F.struct(non_rl, F.col(col).alias("_t")))).getField("_t").alias("end_ts"))
+
+
 def wall_clock(start: Column, end: Column) -> Column:
     """I16: ``XhYm`` between two timestamps, ``unknown`` when either is missing."""
     secs = (F.unix_timestamp(end) - F.unix_timestamp(start)).cast("bigint")

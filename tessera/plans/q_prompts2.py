@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -89,10 +88,9 @@ k AS (SELECT item_id, Question, list_transform(list_sort(list_transform([correct
 def gpqa_messages_q(spark, sf):
     """C8 + C7: shuffled choices rendered in all four GPQA modes."""
     g = P.shuffle_choices(v_gpqa(spark, sf), "Question", "correct", ["incorrect1", "incorrect2", "incorrect3"])
-    outs = [g.select("item_id", F.lit(m).alias("mode"),
-                     P.render_messages(P.gpqa_messages(F.col("Question"), F.col("choices"), m)).alias("messages"))
-            for m in PT.GPQA_MODES]
-    return reduce(lambda a, b: a.unionByName(b), outs)
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), P.render_messages(P.gpqa_messages(F.col("Question"), F.col("choices"), m)).alias("messages"))
+                      for m in PT.GPQA_MODES])
+    return g.select("item_id", F.inline(modes))
 
 
 # ------------------------------------------------------------------ G6 / C12

@@ -102,13 +102,10 @@ SELECT n_nationkey, CASE WHEN t0 IS NULL OR t1 IS NULL THEN 'unknown' ELSE
 def wall_clock_q(spark, sf):
     """I16: from the base section (plays the run header) to the last existing
     non-RL section, ``XhYm``, or unknown when either time is missing."""
-    sec = v_sections(spark, sf)
-    t = RP.parse_timestamp_line(sec, "timestamp:", IDS).join(sec.select(*IDS, "stage_no"), IDS)
-    b = t.where(F.col("stage") == "base").select("n_nationkey", F.col("ts").alias("t0"))
-    s = RP.section_end_time(t, ["n_nationkey"], "stage_no", "stage").select("n_nationkey", F.col("end_ts").alias("t1"))
-    n = table(spark, sf, "nation").select("n_nationkey")
-    j = n.join(b, "n_nationkey", "left").join(s, "n_nationkey", "left")
-    return j.select("n_nationkey", RP.wall_clock(F.col("t0").cast("timestamp"), F.col("t1").cast("timestamp")).alias("wall_clock"))
+    t = RP.parse_timestamp_line(v_sections(spark, sf), "timestamp:", [*IDS, "stage_no"])
+    times = RP.section_times(t, ["n_nationkey"], "stage_no", "stage")
+    j = table(spark, sf, "nation").select("n_nationkey").join(times, "n_nationkey", "left")
+    return j.select("n_nationkey", RP.wall_clock(F.col("start_ts").cast("timestamp"), F.col("end_ts").cast("timestamp")).alias("wall_clock"))
 
 
 _RATE_SQL = """CAST(CASE WHEN contains(device, 'H100') THEN 3.0 WHEN contains(device, 'A100') THEN 1.79
