@@ -22,8 +22,8 @@ from tessera.session import ensure_shipped
 
 DIMS = 1 << 20
 GAPS = (1, 2, 3)  # neighbours, and skips of one and two words
-MAX_TRAIN = 8_000
-EPOCHS = 3
+MAX_TRAIN = 16_000
+EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
 
 
