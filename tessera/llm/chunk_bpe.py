@@ -31,8 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, rolling, text_slices, written
-from tessera.session import ensure_shipped
+from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, prepare, rolling, text_slices, written
 
 WINDOW, BITS = 32, 10
 CALL_BYTES = 1 << 16
@@ -344,7 +343,7 @@ def encode(docs: DataFrame, path: str, min_uses: int = 2) -> DataFrame:
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.mapInArrow(_keys, "k1 bigint, k2 bigint").groupBy("k1", "k2").count().where(F.col("count") >= min_uses)

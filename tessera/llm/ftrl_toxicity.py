@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, text_slices, written
+from tessera.llm.common import mix, prepare, text_slices, written
 from tessera.llm.lsa_decontam import _lowered, terms
-from tessera.session import ensure_shipped
 
 DIMS = 1 << 20
 GAPS = (1, 2, 3)  # neighbours, and skips of one and two words
@@ -85,7 +84,7 @@ def _train(frames):
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
     """Weights (``DIMS`` and the bias) learned from ``labels`` (doc_id, toxic), null labels left out.
     Of several labels of a document the largest counts.  Without labels all weights are zero."""
-    ensure_shipped(docs.sparkSession)
+    prepare(docs.sparkSession)
     labels = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("_id"))
               .agg(F.max("toxic").cast("int").alias("label")))
     chosen = written(labels.withColumn("turn", F.xxhash64("_id")).orderBy("turn", "_id").limit(max_train))
@@ -117,7 +116,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     empty: its score is the bias'.  Repeated rows and null ids are scored like others; other columns are
     ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(weights)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score_rows(sent), "doc_id bigint, score double")
 

@@ -25,8 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_runs, text_slices
-from tessera.session import ensure_shipped
+from tessera.llm.common import hash_runs, prepare, text_slices
 
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
@@ -146,7 +145,14 @@ def _project(basis_of, basis, frames):
             for b, w in zip(bucket, weight, strict=True):
                 part[b] = part.get(b, 0) + w * y
     if part:
-        yield pd.DataFrame({"bucket": list(part), "vec": [v.astype(float).tolist() for v in part.values()]})
+        yield pd.DataFrame({"bucket": list(part), "vec": [v.astype(float).tobytes() for v in part.values()]})
+
+
+def _sum_vectors(rows: pd.DataFrame) -> pd.DataFrame:
+    total: dict[int, np.ndarray] = {}
+    for bucket, raw in zip(rows["bucket"], rows["vec"], strict=True):
+        total[bucket] = total.get(bucket, 0) + np.frombuffer(raw)
+    return pd.DataFrame({"bucket": list(total), "vec": [v.tobytes() for v in total.values()]})
 
 
 def latent_basis(spark, entries, rank: int = RANK, power: int = 1):
@@ -165,10 +171,11 @@ def latent_basis(spark, entries, rank: int = RANK, power: int = 1):
 
     def step(basis):
         sent = spark.sparkContext.broadcast((basis_of, basis))
-        part = rows.mapInPandas(lambda frames: _project(*sent.value, frames), "bucket bigint, vec array<double>")
-        sums = part.groupBy("bucket").agg(*[F.sum(F.col("vec")[i]).alias(f"v{i}") for i in range(width)]).toPandas()
+        part = rows.mapInPandas(lambda frames: _project(*sent.value, frames), "bucket bigint, vec binary")
+        sums = part.groupBy(F.pmod("bucket", F.lit(64))).applyInPandas(_sum_vectors, "bucket bigint, vec binary").toArrow()  # a row a basis row
         out = np.zeros_like(basis)
-        out[basis_of[sums["bucket"].to_numpy()]] = sums.drop(columns="bucket").to_numpy()
+        for bucket, raw in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
+            out[basis_of[bucket]] = np.frombuffer(raw)
         return out
 
     for _ in range(power + 1):
@@ -283,7 +290,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, item_id bigint, cosine double, common double, answer_found boolean"
     out = spark.createDataFrame([], schema)
@@ -306,7 +313,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item; all columns stay, in place, without a shuffle."""
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
     kinds = [t for _, t in docs.dtypes]

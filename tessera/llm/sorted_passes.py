@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, written
+from tessera.llm.common import components, prepare, written
 from tessera.operators.order import dense_index
-from tessera.session import ensure_shipped
 
 PASSES, BITS, WINDOW = 10, 64, 24
 BLOCK = 1024
@@ -108,7 +107,7 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, passes: int =
     columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"),
                           F.col("label").cast("string").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)

@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_filter, free_shuffles, hash_runs, in_filter, mix, rolling, text_slices, written
-from tessera.session import ensure_shipped
+from tessera.llm.common import bit_filter, free_shuffles, hash_runs, in_filter, mix, prepare, rolling, text_slices, written
 
 LENGTH, GRAM = 100, 32
 KINDS = 2_000
@@ -261,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     earlier occurrence; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
-from tessera.session import checkpoint_dir, ensure_shipped
+from tessera.llm.common import prepare, written
+from tessera.session import checkpoint_dir
 
 SKIPPABLE = 0x184D2A5D  # magic number of a frame that holds a WARC dictionary
 SAMPLE = 1_000
@@ -205,7 +205,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
     columns are ignored; an empty table writes no file.
     """
     spark = pages.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.withColumn("sha", F.sha1(payload))
@@ -225,7 +225,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
 def read_archives(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of the archives named in
     ``files``; payloads are checked against their digests."""
-    ensure_shipped(spark)
+    prepare(spark)
     paths = files.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return paths.mapInPandas(_read(folder), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
                              "target_uri string")

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, text_slices, words, written
-from tessera.session import ensure_shipped
+from tessera.llm.common import mix, prepare, text_slices, words, written
 
 LABELLERS = ("repeats", "capitals", "symbols", "separators", "shouting", "endings", "vocabulary", "sentences", "word_length")
 #: shares of words (capitals: of letters) beyond which these labellers vote bad; else they abstain
@@ -212,7 +211,7 @@ class LabelModel:
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> LabelModel:
     """Fit the label model on all documents and the scorer on ``max_train`` of them."""
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     voted = written(docs.mapInArrow(_vote_rows, "doc_id bigint, pattern bigint"))
     counts = voted.groupBy("pattern").count().toPandas()  # at most 3^9 rows
@@ -235,7 +234,7 @@ def score(docs: DataFrame, model: LabelModel, keep_from: float = 0.5) -> DataFra
     """``docs`` with ``_score`` (probability of good quality by the scorer), ``_posterior`` (of the
     label model) and ``_keep``.  All columns of ``docs`` stay, whatever their names."""
     spark = docs.sparkSession
-    ensure_shipped(spark)
+    prepare(spark)
     sc = spark.sparkContext
     weights, posterior = sc.broadcast(model.weights), sc.broadcast(model.posterior)  # fixed sizes
     cols = docs.columns
