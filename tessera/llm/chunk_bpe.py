@@ -109,7 +109,7 @@ class Codec:
             words = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0250"]
             ids = self._ids(" ".join([texts[i] for i in words]))
             ends = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
-            if len(ends) == len(words):
+            if words and len(ends) == len(words):
                 known = dict(zip([units[i] for i in words], self._cut(ids, [0, *ends[:-1]], ends), strict=True))
         rest = [u for u in units if u not in known]
         plain = [u for u in rest if self.mark is not None and self.mark[:2] not in u]

@@ -29,6 +29,15 @@ def test_ids_and_text_equal_the_library(spark, name):
     assert got == {i: want(t) for i, t in rows}
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("texts", [[], [""], ["..."], [" "], ["1 2 3", "!?"], ["a"], ["<|endoftext|>"], ["Ärger, x's <|x", "ßẞ ǅ."], ["été." * 3, "\n"]])
+def test_codec_on_few_words(name, texts):
+    codec = chunk_bpe.Codec(public_tokenizers.path(name))
+    want = [codec.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in codec.encode([t.encode() for t in texts])] == want
+    assert [x.tolist() for x in codec.encode([t.encode() for t in texts])] == want  # from the memo
+
+
 def test_bpe_repeats_nulls_and_empty_table(spark):
     df, _ = documents(spark, 6, [(None, "a b"), (3, "c d")])
     got = chunk_bpe.encode(df, PATH)
