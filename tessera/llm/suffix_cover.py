@@ -103,11 +103,27 @@ def _candidates(length, gram, repeated):
                 hit = in_filter(repeated.value, name)
                 text, first, last, sample, name = text[hit], first[hit], last[hit], sample[hit], name[hit]
                 whole = mix(hash_runs(data, first, last + length) ^ mix((sample - first).astype(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, whole, doc[text], mark[text], first - off[text], last + length - off[text])],
-                                                 ["gram", "whole", "doc_id", "mark", "a", "b"])
+                d, a = doc[text], first - off[text]
+                sure = _surely_later(name, whole, d, a)
+                # those need no meeting by gram, so they are dealt out evenly
+                key = np.where(sure, _run_id(d, mark[text], a), name)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, d, mark[text], a, last + length - off[text], sure)],
+                                                 ["gram", "whole", "doc_id", "mark", "a", "b", "sure"])
     return run
 
 
+def _surely_later(name, whole, doc, a) -> np.ndarray:
+    """Runs that an earlier position among these has in whole: of equal runs that a task meets together (copies,
+    periodic texts) only the earliest has to be compared with other tasks'."""
+    order = np.lexsort((a, doc, whole, name))
+    head = np.ones(len(order), bool)
+    head[1:] = (name[order][1:] != name[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    sure = np.zeros(len(order), bool)
+    sure[order] = (doc[order] != doc[first]) | (a[order] != a[first])
+    return sure
+
+
 def _suffixes(length, gram, mixed, frequent):
     """Names of the suffixes of the runs in the filter ``mixed``: a row (key, doc_id, mark, a, names) for each run,
     its key the gram; of frequent grams a row for each suffix, its key the name."""
@@ -166,7 +182,10 @@ def _compared(frames):
     at, kinds, held = (0, 0), 0, None
     for f in frames:
         out = []
-        for g, w, d, m, a, b in f.itertuples(index=False):
+        for g, w, d, m, a, b, sure in f.itertuples(index=False):
+            if sure:
+                out.append((LATER, None, d, m, a, b))
+                continue
             if g != gram:
                 gram, whole, kinds = g, None, 0
             if w != whole:
@@ -231,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     docs = docs.where("doc_id is not null")
     repeated = docs.mapInArrow(_grams(length, gram), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     grams = spark.sparkContext.broadcast(bit_filter(repeated, "gram"))
-    found = docs.mapInArrow(_candidates(length, gram, grams), "gram bigint, whole bigint, doc_id bigint, mark bigint, a bigint, b bigint")
+    found = docs.mapInArrow(_candidates(length, gram, grams), "gram bigint, whole bigint, doc_id bigint, mark bigint, a bigint, b bigint, sure boolean")
     found = written(found.repartition(n, "gram").sortWithinPartitions("gram", "whole", "doc_id", "a")
                     .mapInPandas(_compared, "what int, gram bigint, doc_id bigint, mark bigint, a bigint, b bigint"))
     free_shuffles(spark)
