@@ -2,9 +2,10 @@
 
 Benchmark items are cut into passages of ``PASSAGE`` words (step ``PASSAGE // 2``) and
 weighted by TF-IDF over hashed words, the inverse document frequencies counted over all
-documents.  A randomised SVD of the passage matrix (Gaussian range finder, one power
-step; sums over passages are made where the passages lie) gives a latent basis.  Every
-window of ``PASSAGE`` words (step ``STEP``) of every document is projected on it and
+documents.  Passages are searched in groups of at most ``RANK``.  A randomised SVD of a
+group's matrix (Gaussian range finder, one power step; sums over passages are made where
+the passages lie) gives its latent basis, of as many directions as the group has, so that
+no passage loses a part of itself however large the benchmark is.  Every window of ``PASSAGE`` words (step ``STEP``) of every document is projected on it and
 compared with all passages: the cosine between the window's TF-IDF vector and a passage's
 image in the latent space.  A candidate's surroundings are then compared with
 the whole item by longest common subsequence of words; between ``PARAPHRASE`` and
@@ -12,8 +13,8 @@ the whole item by longest common subsequence of words; between ``PARAPHRASE`` an
 
 A cosine is a sum over the window's words, so each word's largest part in any passage
 bounds it; windows that cannot reach ``COSINE`` by that bound are not projected.  Documents are read twice (frequencies,
-search) and never shuffled.  Items are searched in blocks of ``block`` items, each a
-bounded broadcast: at most ``BUCKETS`` basis rows and ``block`` items.
+search) and never shuffled.  Items are read in blocks of ``block`` items and searched in
+broadcasts of at most ``AT_ONCE`` passages (more only for a single longer item).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 PASSAGE, STEP = 32, 16
 RANK, OVERSAMPLE = 256, 16
+AT_ONCE = 16 * RANK
 COSINE = 0.42
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.8
 MIN_WORDS = 6
@@ -186,18 +188,28 @@ def latent_basis(spark, entries, rank: int = RANK, power: int = 1):
     return basis_of, (basis @ vectors[:, best[values[best] > 1e-12]]).astype(np.float32)
 
 
-class Index:
-    """What a search task needs of one block of items."""
+class Group:
+    """At most ``RANK`` passages, as (item, offset), and their basis."""
 
-    def __init__(self, ids, lists, answers, passages, idf, basis_of, basis, entries):
-        self.ids, self.lists, self.answers, self.passages, self.idf = ids, lists, answers, passages, idf
-        self.basis_of, self.basis = basis_of, basis
-        self.sets = [frozenset(x.tolist()) for x in lists]
+    def __init__(self, passages, basis_of, basis, entries):
+        self.passages, self.basis_of, self.basis = passages, basis_of, basis
         p = np.stack([w.astype(np.float32) @ basis[basis_of[b]] for b, w in entries])
         self.latent = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
         self.most = np.concatenate([np.abs(basis[a:a + 4096] @ self.latent.T).max(1) for a in range(0, len(basis), 4096)] + [[0.0]])
 
 
+class Index:
+    """What a search task needs of one block of items."""
+
+    def __init__(self, spark, ids, lists, answers, passages, idf):
+        self.ids, self.lists, self.answers, self.idf = ids, lists, answers, idf
+        self.sets = [frozenset(x.tolist()) for x in lists]
+        self.groups = []
+        for part in np.array_split(np.array(passages), -(-len(passages) // RANK)):
+            entries = _entries(lists, part.tolist(), idf)
+            self.groups.append(Group(part.tolist(), *latent_basis(spark, entries), entries))
+
+
 def common_length(a, b) -> int:
     """Length of the longest common subsequence, with one bit for each element of ``a``."""
     place: dict = {}
@@ -225,9 +237,7 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
         return []
     bucket = _bucket(h)
     weight = index.idf[bucket]
-    at = index.basis_of[bucket]
-    # index.most ends with the 0 of words that no item has
-    total, bound = (np.concatenate([[0], np.cumsum(x)]) for x in (weight.astype(np.float64) ** 2, weight * index.most[at]))
+    total = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
     first = np.searchsorted(row, np.arange(len(off)))
     n = np.diff(first)
     count = np.where(n >= MIN_WORDS, np.maximum(1, -(-(n - PASSAGE) // STEP) + 1), 0)
@@ -235,21 +245,30 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
     begin = first[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
     end = np.minimum(begin + PASSAGE, first[text + 1])
     begin = np.maximum(np.minimum(begin, end - PASSAGE), first[text])
+    best: dict[tuple[int, int], tuple] = {}
+    for group in index.groups:
+        _search_group(h, bucket, weight, total, first, text, begin, end, index, group, best)
+    return [(t, i, *x) for (t, i), x in sorted(best.items())]
+
+
+def _search_group(h, bucket, weight, total, first, text, begin, end, index: Index, group: Group, best: dict):
+    """Adds to ``best``, by (text, item), what the windows have of a group's items."""
+    at = group.basis_of[bucket]
+    bound = np.concatenate([[0], np.cumsum(weight * group.most[at])])  # most ends with the 0 of words that no item has
     near = bound[end] - bound[begin] >= COSINE * np.sqrt(total[end] - total[begin])
     text, begin, end = text[near], begin[near], end[near]
-    best: dict[tuple[int, int], tuple] = {}
     for a in range(0, len(begin), 2048):
         lo, hi, t = begin[a:a + 2048], end[a:a + 2048], text[a:a + 2048]
         grid = np.minimum(lo[:, None] + np.arange(PASSAGE)[None, :], len(h) - 1)
         inside = (lo[:, None] + np.arange(PASSAGE)[None, :] < hi[:, None]) & (at[grid] >= 0)
         flat, who = grid[inside], np.nonzero(inside)[0]
-        z = np.zeros((len(lo), index.basis.shape[1]), np.float32)
+        z = np.zeros((len(lo), group.basis.shape[1]), np.float32)
         starts = np.searchsorted(who, np.arange(len(lo)))
         some = np.flatnonzero(np.diff(np.append(starts, len(who))))
-        z[some] = np.add.reduceat(index.basis[at[flat]] * weight[flat, None], starts[some], axis=0) if len(some) else 0
-        cosine = (z @ index.latent.T) / np.sqrt(total[hi] - total[lo])[:, None]
+        z[some] = np.add.reduceat(group.basis[at[flat]] * weight[flat, None], starts[some], axis=0) if len(some) else 0
+        cosine = (z @ group.latent.T) / np.sqrt(total[hi] - total[lo])[:, None]
         for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            item, o = index.passages[p]
+            item, o = group.passages[p]
             key = (int(t[w]), item)
             words, answer = index.lists[item], index.answers[item]
             known_leak = best.get(key)
@@ -264,11 +283,10 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
             ratio, found, leak = judge(words.tolist(), answer.tolist(), around)
             if leak and (not known_leak or ratio > known_leak[1]):
                 best[key] = (float(cosine[w, p]), ratio, found)
-    return [(t, i, *x) for (t, i), x in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, docs: DataFrame, block: int = 5_000):
-    """The search indexes of the benchmark, one for each ``block`` items by id."""
+    """The search indexes of the benchmark: of each ``block`` items by id, one for each ``AT_ONCE`` passages."""
     spark = docs.sparkSession
     idf = inverse_frequencies(docs)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
@@ -277,9 +295,14 @@ def indexes(benchmark: DataFrame, docs: DataFrame, block: int = 5_000):
         part = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i) if blocks > 1 else items).toPandas()
         part = part.sort_values(["item_id", "text"]).drop_duplicates()
         lists, answers, passages = cut_items(part)
-        if passages:
-            entries = _entries(lists, passages, idf)
-            yield Index(part["item_id"].tolist(), lists, answers, passages, idf, *latent_basis(spark, entries), entries)
+        count = np.bincount([i for i, _ in passages], minlength=len(lists))
+        a = 0
+        while a < len(lists):  # an item's passages stay together
+            b = max(a + 1, a + int(np.searchsorted(np.cumsum(count[a:]), AT_ONCE, "right")))
+            own = [(i - a, o) for i, o in passages if a <= i < b]
+            if own:
+                yield Index(spark, part["item_id"].tolist()[a:b], lists[a:b], answers[a:b], own, idf)
+            a = b
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

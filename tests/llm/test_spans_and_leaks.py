@@ -129,6 +129,24 @@ def test_blocks_of_items_find_the_same(spark):
     assert len(parts) > 1 and sum(len(p.ids) for p in parts) == items.where("item_id is not null and text is not null").count()
 
 
+def test_exact_copies_of_many_items_equal_brute_force(spark):
+    r, words = random.Random(11), vocabulary(11, 3000)
+    texts = [[r.choice(words) for _ in range(r.randint(20, 59))] for _ in range(2100)]
+    items = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    docs = []
+    for d in range(700):
+        w = [r.choice(words) for _ in range(r.randint(60, 200))]
+        for _ in range(3):
+            at = r.randrange(len(w))
+            w[at:at] = r.choice(texts)
+        docs.append((d, " ".join(w)))
+    copies = {(d, i) for i, x in items for d, t in docs if f" {x} " in f" {t} "}
+    got = lsa_decontam.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4),
+                                  spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(copies) > 1400 and copies <= {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
+
+
 def test_no_items_or_documents(spark):
     docs, items, _ = _leak_tables(spark)
     assert lsa_decontam.find_leaks(docs, items.limit(0)).count() == 0
