@@ -6,12 +6,15 @@ documents.  Passages are searched in groups of at most ``RANK``.  A randomised S
 group's matrix (Gaussian range finder, one power step; sums over passages are made where
 the passages lie) gives its latent basis, of as many directions as the group has, so that
 no passage loses a part of itself however large the benchmark is.  Every window of ``PASSAGE`` words (step ``STEP``) of every document is projected on it and
-compared with all passages: the cosine between the window's TF-IDF vector and a passage's
-image in the latent space.  A candidate's surroundings are then compared with
+compared with all passages: the product of the window's TF-IDF vector and a passage's image
+in the latent space, divided by the shorter of the window and the passage (by the window
+it is their cosine; by the passage, the share of it that the window holds, which the
+window's other words do not lessen).  Of two neighbouring windows that hold a verbatim copy
+of a passage of any length, one holds half its weight and is a candidate.  A candidate's surroundings are then compared with
 the whole item by longest common subsequence of words; between ``PARAPHRASE`` and
 ``COPY`` of the item's length, the item's answer (its last sentence) must be there too.
 
-A cosine is a sum over the window's words, so each word's largest part in any passage
+A product is a sum over the window's words, so each word's largest part in any passage
 bounds it; windows that cannot reach ``COSINE`` by that bound are not projected.  Documents are read twice (frequencies,
 search) and never shuffled.  Items are read in blocks of ``block`` items and searched in
 broadcasts of at most ``AT_ONCE`` passages (more only for a single longer item).
@@ -129,13 +132,14 @@ def cut_items(items: pd.DataFrame):
 
 
 def _entries(lists, passages, idf):
-    """TF-IDF rows of unit length: one (bucket, weight) pair of arrays for each passage."""
-    out = []
+    """TF-IDF rows of unit length, one (bucket, weight) pair of arrays for each passage, and their lengths before."""
+    out, norms = [], []
     for i, o in passages:
         bucket, tf = np.unique(_bucket(lists[i][o:o + PASSAGE]), return_counts=True)
         w = tf * idf[bucket]
-        out.append((bucket, w / np.linalg.norm(w)))
-    return out
+        norms.append(np.linalg.norm(w))
+        out.append((bucket, w / norms[-1]))
+    return out, np.array(norms, np.float32)
 
 
 def _project(basis_of, basis, frames):
@@ -191,11 +195,13 @@ def latent_basis(spark, entries, rank: int = RANK, power: int = 1):
 class Group:
     """At most ``RANK`` passages, as (item, offset), and their basis."""
 
-    def __init__(self, passages, basis_of, basis, entries):
-        self.passages, self.basis_of, self.basis = passages, basis_of, basis
+    def __init__(self, passages, basis_of, basis, entries, norms):
+        self.passages, self.basis_of, self.basis, self.norms = passages, basis_of, basis, norms
         p = np.stack([w.astype(np.float32) @ basis[basis_of[b]] for b, w in entries])
         self.latent = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-        self.most = np.concatenate([np.abs(basis[a:a + 4096] @ self.latent.T).max(1) for a in range(0, len(basis), 4096)] + [[0.0]])
+        parts = [np.abs(basis[a:a + 4096] @ self.latent.T) for a in range(0, len(basis), 4096)]
+        # a word's largest part in any passage, and of any passage's length; both end with the 0 of words that no item has
+        self.most, self.most_share = (np.concatenate([x.max(1) for x in y] + [[0.0]]) for y in (parts, [x / norms for x in parts]))
 
 
 class Index:
@@ -206,8 +212,8 @@ class Index:
         self.sets = [frozenset(x.tolist()) for x in lists]
         self.groups = []
         for part in np.array_split(np.array(passages), -(-len(passages) // RANK)):
-            entries = _entries(lists, part.tolist(), idf)
-            self.groups.append(Group(part.tolist(), *latent_basis(spark, entries), entries))
+            entries, norms = _entries(lists, part.tolist(), idf)
+            self.groups.append(Group(part.tolist(), *latent_basis(spark, entries), entries, norms))
 
 
 def common_length(a, b) -> int:
@@ -254,8 +260,8 @@ def search(data: np.ndarray, off: np.ndarray, index: Index):
 def _search_group(h, bucket, weight, total, first, text, begin, end, index: Index, group: Group, best: dict):
     """Adds to ``best``, by (text, item), what the windows have of a group's items."""
     at = group.basis_of[bucket]
-    bound = np.concatenate([[0], np.cumsum(weight * group.most[at])])  # most ends with the 0 of words that no item has
-    near = bound[end] - bound[begin] >= COSINE * np.sqrt(total[end] - total[begin])
+    bound, share = (np.concatenate([[0], np.cumsum(weight * x[at])]) for x in (group.most, group.most_share))
+    near = (bound[end] - bound[begin] >= COSINE * np.sqrt(total[end] - total[begin])) | (share[end] - share[begin] >= COSINE)
     text, begin, end = text[near], begin[near], end[near]
     for a in range(0, len(begin), 2048):
         lo, hi, t = begin[a:a + 2048], end[a:a + 2048], text[a:a + 2048]
@@ -266,8 +272,8 @@ def _search_group(h, bucket, weight, total, first, text, begin, end, index: Inde
         starts = np.searchsorted(who, np.arange(len(lo)))
         some = np.flatnonzero(np.diff(np.append(starts, len(who))))
         z[some] = np.add.reduceat(group.basis[at[flat]] * weight[flat, None], starts[some], axis=0) if len(some) else 0
-        cosine = (z @ group.latent.T) / np.sqrt(total[hi] - total[lo])[:, None]
-        for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
+        product, norm = z @ group.latent.T, np.sqrt(total[hi] - total[lo])
+        for w, p in zip(*np.nonzero(product >= COSINE * np.minimum(norm[:, None], group.norms)), strict=True):
             item, o = group.passages[p]
             key = (int(t[w]), item)
             words, answer = index.lists[item], index.answers[item]
@@ -282,7 +288,7 @@ def _search_group(h, bucket, weight, total, first, text, begin, end, index: Inde
                 continue
             ratio, found, leak = judge(words.tolist(), answer.tolist(), around)
             if leak and (not known_leak or ratio > known_leak[1]):
-                best[key] = (float(cosine[w, p]), ratio, found)
+                best[key] = (float(product[w, p] / norm[w]), ratio, found)
 
 
 def indexes(benchmark: DataFrame, docs: DataFrame, block: int = 5_000):
