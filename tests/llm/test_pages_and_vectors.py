@@ -59,6 +59,21 @@ def test_links_and_components_against_brute_force(spark):
     assert all(r["kept"] == (i is not None and i == r["component_id"]) for i, r in got.items())
 
 
+def test_passes_follow_the_size_of_a_label(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 800, 2):  # pairs at cosine 0.935, all of one label
+        y = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.935 * x[i] + np.sqrt(1 - 0.935 ** 2) * y / np.linalg.norm(y)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: r for r in sorted_passes.near_duplicates(df, passes=4, window=2).collect()}
+    links = int((x @ x.T >= 0.93).sum()) - len(x)
+    assert links == 800
+    found, dropped = sum(r["n_links"] for r in got.values()), sum(not r["kept"] for r in got.values())
+    assert 0.95 * links <= found <= links and 0.95 * 400 <= dropped, (found, dropped)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert sorted_passes.near_duplicates(df).count() == 0
