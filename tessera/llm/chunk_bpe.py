@@ -223,20 +223,24 @@ def _segments(a: int, b: int, cuts: np.ndarray):
 
 def _joins_agree(codec: Codec, raw: bytes, cuts: np.ndarray, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
     """For each body (start, end, text start, text end): whether the words at both its ends encode
-    together as they do apart."""
-    texts, place = [], []
+    together, in one plain call of the tokenizer, as they do apart.  Where they do not, the codec no longer
+    encodes by words."""
+    joined, texts, place = [], [], []
     for i, (a, b, lo, hi) in enumerate(spans):
         for cut, left, right in ((a, lo, b), (b, a, hi)):
             j = int(np.searchsorted(cuts, cut))
             p = max(left, int(cuts[j - 1]) if j else 0)
             q = min(right, int(cuts[j + 1]) if j + 1 < len(cuts) else right)
-            for x, y in ((p, q), (p, cut), (cut, q)):
-                texts.append(raw[x:y])
+            joined.append(raw[p:q])
+            texts += [raw[p:cut], raw[cut:q]]
             place.append(i)
+    once = list(dict.fromkeys(joined))
+    whole = dict(zip(once, codec._encode(once) if once else [], strict=True))
     ids = codec.encode(texts)
     agree = np.ones(len(spans), bool)
     for k, i in enumerate(place):
-        agree[i] &= np.array_equal(ids[3 * k], np.concatenate(ids[3 * k + 1:3 * k + 3]))
+        agree[i] &= whole[joined[k]] == np.concatenate(ids[2 * k:2 * k + 2]).astype(codec.kind).tobytes()
+    codec.by_word &= bool(agree.all())
     return agree
 
 

@@ -38,6 +38,18 @@ def test_codec_on_few_words(name, texts):
     assert [x.tolist() for x in codec.encode([t.encode() for t in texts])] == want  # from the memo
 
 
+def test_join_test_sees_a_token_over_a_word_start():
+    class Joining(chunk_bpe.Codec):
+        def _encode(self, texts):
+            return [x[:-self.kind.itemsize] if b"two three" in t else x for t, x in zip(texts, super()._encode(texts), strict=True)]
+    raw = b"zero one two three four five six"
+    cuts = np.array([i for i, c in enumerate(raw) if c == 32])
+    codec = Joining(PATH)
+    assert chunk_bpe._joins_agree(codec, raw, cuts, [(4, 23, 0, len(raw))]).tolist() == [True] and codec.by_word
+    assert chunk_bpe._joins_agree(codec, raw, cuts, [(12, 23, 0, len(raw)), (4, 18, 0, len(raw))]).tolist() == [False, True]
+    assert not codec.by_word
+
+
 def test_bpe_repeats_nulls_and_empty_table(spark):
     df, _ = documents(spark, 6, [(None, "a b"), (3, "c d")])
     got = chunk_bpe.encode(df, PATH)
