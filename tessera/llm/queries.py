@@ -6,8 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (chunk_bpe, ftrl_toxicity, lsa_decontam, markov_secrets, page_diff, partenum, sorted_passes, suffix_cover, warc_dict,
-                         weak_quality)
+from tessera.llm import (chunk_bpe, ftrl_toxicity, lsa_decontam, markov_secrets, page_diff, partenum, sorted_passes, spelling_index, suffix_cover,
+                         warc_dict, weak_quality)
 from tessera.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,9 +53,14 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its near words counted, its form and its root."""
+    return spelling_index.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lsa_decontamination, op2_chunk_bpe, op3_weak_quality, op4_sorted_passes, op5_suffix_cover, op6_partenum_join, op7_warc_dictionary,
-    op8_ftrl_toxicity, op9_markov_secrets, op10_page_differencing)}
+    op8_ftrl_toxicity, op9_markov_secrets, op10_page_differencing, op11_spelling_index)}
 ORACLE: dict[str, str] = {}
 
 
