@@ -6,8 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (chunk_bpe, ftrl_toxicity, hard_negatives, lsa_decontam, markov_secrets, page_diff, partenum, sorted_passes, spelling_index,
-                         suffix_cover, warc_dict, weak_quality)
+from tessera.llm import (chunk_bpe, ftrl_toxicity, hard_negatives, lsa_decontam, markov_secrets, page_diff, partenum, quality_rules, sorted_passes,
+                         spelling_index, suffix_cover, warc_dict, weak_quality)
 from tessera.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def op11_spelling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_index.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every text, whether the base rules reject it, and the verdict of the whole cascade."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every anchor and positive, the first rows of other labels in the positive's window of scores."""
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
@@ -65,7 +70,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lsa_decontamination, op2_chunk_bpe, op3_weak_quality, op4_sorted_passes, op5_suffix_cover, op6_partenum_join, op7_warc_dictionary,
-    op8_ftrl_toxicity, op9_markov_secrets, op10_page_differencing, op11_spelling_index, op13_hard_negatives)}
+    op8_ftrl_toxicity, op9_markov_secrets, op10_page_differencing, op11_spelling_index, op12_quality_rules, op13_hard_negatives)}
 ORACLE: dict[str, str] = {}
 
 
