@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import (chunk_bpe, ftrl_toxicity, hard_negatives, lsa_decontam, markov_secrets, page_diff, partenum, quality_rules, sorted_passes,
                          spelling_index, suffix_cover, warc_dict, weak_quality)
 from tessera.llm.common import table
+from tessera.llm.oracles import ORACLE
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,7 +72,6 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_lsa_decontamination, op2_chunk_bpe, op3_weak_quality, op4_sorted_passes, op5_suffix_cover, op6_partenum_join, op7_warc_dictionary,
     op8_ftrl_toxicity, op9_markov_secrets, op10_page_differencing, op11_spelling_index, op12_quality_rules, op13_hard_negatives)}
-ORACLE: dict[str, str] = {}
 
 
 def queries():
