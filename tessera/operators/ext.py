@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,13 +101,16 @@ def register_tokenizer(name: str, encode_batch, decode, specials: dict) -> Token
 
 def bpe_tokenizer(merges) -> TokenizerSpec:
     """The package's own byte-level BPE as a TokenizerSpec."""
+    import regex
+
     from tessera.operators import tok as TK
-    ranks = {tuple(p): 256 + i for i, p in enumerate(merges)}
+    from tessera.operators.bpe import PieceEncoder
+    encoder = PieceEncoder(list(merges))
     tokens = TK.token_bytes_list(list(merges)) + [s.encode() for s in TK.SPECIAL_TOKENS]
 
     def encode_batch(texts):
-        import regex  # the pieces that E1's native split gives
-        return [[i for p in regex.findall(TK.SPLIT_PATTERN, t) for i in TK.merge_piece(p.encode("utf-8"), ranks)] for t in texts]
+        split = regex.compile(TK.SPLIT_PATTERN)  # the pieces that E1's native split gives
+        return encoder.encode_lists(pa.array([split.findall(t) for t in texts], pa.list_(pa.string())), [], []).to_pylist()
     return TokenizerSpec(encode_batch, lambda ids: b"".join(tokens[i] for i in ids).decode("utf-8", errors="replace"),
                          {s: TK.special_id(list(merges), s) for s in TK.SPECIAL_TOKENS})
 

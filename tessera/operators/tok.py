@@ -1,17 +1,17 @@
-"""Tokenization (E1-E6, I19): pretokenize natively, train byte-level BPE as a
-sequence of Spark jobs over the distinct-piece table, encode each distinct piece
-once and join the ids back, decode by a join with the vocabulary.  The column
-forms (for texts inside nested values) merge the natively split pieces with the
-broadcast merge ranks.
+"""Tokenization (E1-E11, I19): texts are split natively; training works on the distinct
+pieces, encoding and decoding are narrow passes over Arrow batches (``bpe``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import bpe
 from tessera.session import cut_lineage, ensure_shipped
 
 # ---------------------------------------------------------------- fixed values
@@ -44,77 +44,17 @@ def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def _piece_ids(piece: Column) -> Column:
-    """UTF-8 bytes of a piece as a delimited id string ``,b1,b2,...,``."""
-    hexs = F.hex(F.encode(piece, "UTF-8"))
-    n = F.length(hexs) / 2
-    ids = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
-                      lambda i: F.conv(hexs.substr(i * 2 + 1, F.lit(2)), 16, 10))
-    return F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-
-
-def _merge_pair(ids: Column, a: int, b: int, new: int) -> Column:
-    """Left-to-right non-overlapping replacement of the pair (a, b) by ``new``.
+def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", **options) -> list[tuple[int, int]]:
+    """Byte-level BPE merges, ``vocab_size - 9`` base and merged tokens; at each step the pair of most occurrences, ties by
+    the lowest pair.
 
-    On the ``,id,id,`` form this is one regex pass: the look-ahead keeps the
-    separator after a match, so ``a a a`` with pair (a, a) becomes ``new a``.
-    """
-    return F.regexp_replace(ids, f",{a},{b}(?=,)", f",{new}")
-
-
-def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", checkpoint_every: int = 2,
-              merges_per_round: int = 64) -> list[tuple[int, int]]:
-    """Byte-level BPE merges, ``vocab_size - 9`` base+merged tokens.
-
-    The corpus is reduced once to distinct pieces with counts (the shuffle);
-    each round counts adjacent pairs over that table (partial aggregates) and
-    rewrites the pieces by native regex passes.  The piece table is written
-    every ``checkpoint_every`` rounds so jobs stay shallow.  The driver keeps
-    the merge list only.
-
-    A round takes the top pairs in order (ties: lowest pair) up to the first
-    that shares a token with one before it.  That gives the merges of one pair
-    a round: a merge of (a, b) changes no count of pairs without a and b, and a
-    pair it makes, (new, y) or (x, new), is no more frequent than (b, y) or
-    (x, a) was, which shares a token and so ranks after the pairs taken; at
-    equal counts the new token's larger id keeps it behind them.
+    The corpus is reduced once to distinct pieces with counts (the shuffle).  The driver holds the merge list, the counts of
+    a bounded number of pairs and a bounded sample of pieces; see ``bpe.train`` and its options.
     """
     n_merges = vocab_size - len(SPECIAL_TOKENS) - 256
     if n_merges < 0:
         raise ValueError("vocab_size - 9 must be at least 256")
-    pieces = (piece_counts(df, text).select(_piece_ids(F.col("piece")).alias("s"), F.col("count").alias("c"))
-              .where(F.length("s") > 1))
-    pieces = cut_lineage(pieces)
-    merges: list[tuple[int, int]] = []
-    r = 0
-    while len(merges) < n_merges:
-        t = F.split(F.col("s").substr(F.lit(2), F.length("s") - 2), ",", -1)
-        pairs = (pieces.select(t.alias("t"), "c").where(F.size("t") > 1)
-                 .select(F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"),
-                                                F.slice("t", 2, F.size("t") - 1).alias("b"))).alias("p"), "c")
-                 .groupBy(F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b"))
-                 .agg(F.sum("c").alias("n")))
-        want = min(merges_per_round, n_merges - len(merges))
-        if want <= 0:
-            break
-        tops = pairs.orderBy(F.desc("n"), "a", "b").limit(want).collect()  # at most merges_per_round rows
-        if not tops:
-            break
-        chosen, used = [], set()
-        for row in tops:
-            a, b = int(row["a"]), int(row["b"])
-            if len(chosen) == want or {a, b} & used:
-                break
-            chosen.append((a, b))
-            used |= {a, b}
-        for a, b in chosen:
-            new = 256 + len(merges)
-            merges.append((a, b))
-            pieces = pieces.withColumn("s", _merge_pair(F.col("s"), a, b, new))
-        r += 1
-        if r % checkpoint_every == 0:
-            pieces = cut_lineage(pieces)
-    return merges
+    return bpe.train(cut_lineage(piece_counts(df, text)), n_merges, **options)
 
 
 def token_bytes_list(merges: list[tuple[int, int]]) -> list[bytes]:
@@ -134,60 +74,26 @@ def vocab_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame
     return v.withColumn("n_bytes", F.when(F.col("is_special"), 0).otherwise(F.octet_length("token")))
 
 
-def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Ids of one piece: merge the pair of lowest rank, everywhere, until none is left."""
-    ids = list(piece)
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:], strict=False), key=lambda p: ranks.get(p, len(ranks) + 256))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                out.append(ranks[best])
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
-
-
-def _ranks(merges: list[tuple[int, int]]):
-    """Pair -> merged id, as a broadcast variable (vocabulary-sized)."""
-    spark = SparkSession.getActiveSession()
-    return spark.sparkContext.broadcast({tuple(p): 256 + i for i, p in enumerate(merges)})
-
-
 def _id(merges, token: int | str | None) -> list[int]:
     return [] if token is None else [special_id(merges, token) if isinstance(token, str) else token]
 
 
 def encode_table(df: DataFrame, merges: list[tuple[int, int]], key: str, text: str = "text",
                  prepend: int | str | None = None, append: int | str | None = None, out: str = "ids") -> DataFrame:
-    """E3 over a table: (key, ids).  Every distinct piece of the corpus is merged once; its ids are joined back
-    and regrouped by ``key`` (unique) in order.  Null and empty texts have no pieces."""
-    ensure_shipped(df.sparkSession)
-    ranks = _ranks(merges)
-    pieces = df.select(key, F.posexplode(pretokenize(text)).alias("pos", "piece"))
-
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"piece": f["piece"], "pids": [merge_piece(p.encode("utf-8"), ranks.value) for p in f["piece"]]})
-    table = pieces.select("piece").distinct().mapInPandas(run, "piece string, pids array<int>")
-    ids = (pieces.join(table, "piece").groupBy(key)
-           .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pids"))), lambda x: x["pids"])).alias("_ids")))
-    around = lambda t: F.array(*[F.lit(x) for x in _id(merges, t)]).cast("array<int>")
-    none = F.array().cast("array<int>")
-    return df.select(key).join(ids, key, "left").select(key, F.concat(around(prepend), F.coalesce("_ids", none), around(append)).alias(out))
+    """E3 over a table: (key, ids), a narrow pass.  Null and empty texts have no pieces."""
+    return df.select(key, encode(text, merges, prepend, append).alias(out))
+
+
+MAX_VOCABULARY = 1 << 20
 
 
 def decode_table(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """E4 over a table: (key, text) by a join with ``vocab`` (token_id, token); bytes that are no UTF-8 are replaced."""
-    rows = df.select(key, F.posexplode(ids).alias("pos", "token_id")).join(vocab.select("token_id", F.hex("token").alias("h")), "token_id")
-    text = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "").alias("h"))
-    text = text.select(key, F.try_validate_utf8(F.unhex("h").cast("string")).alias("ok"), F.make_valid_utf8(F.unhex("h").cast("string")).alias("mended"))
-    return df.select(key).join(text, key, "left").select(key, F.coalesce("ok", "mended", F.lit("")).alias(out))
+    """E4 over a table: (key, text) by a ``vocab`` (token_id from 0 on, token) of at most ``MAX_VOCABULARY`` tokens; bytes that
+    are no UTF-8 are replaced, null ids give an empty text."""
+    rows = vocab.select("token_id", "token").limit(MAX_VOCABULARY + 1).toArrow().sort_by("token_id")
+    if rows.num_rows > MAX_VOCABULARY or rows.column("token_id").to_pylist() != list(range(rows.num_rows)):
+        raise ValueError(f"token ids must be 0, 1, 2, ... and at most {MAX_VOCABULARY}")
+    return df.select(key, _decoded(F.col(ids), rows.column("token").to_pylist()).alias(out))
 
 
 def special_id(merges: list[tuple[int, int]], name: str) -> int:
@@ -196,36 +102,34 @@ def special_id(merges: list[tuple[int, int]], name: str) -> int:
 
 def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None,
            append: int | str | None = None) -> Column:
-    """E3 as a column: pieces split natively, merged in an Arrow function with the broadcast ranks (special-token
-    text is not parsed).  ``prepend`` / ``append`` take a token id or a special-token name."""
+    """E3 as a column: pieces split natively, distinct pieces of a batch merged together (special-token text is not
+    parsed).  ``prepend`` / ``append`` take a token id or a special-token name."""
     ensure_shipped()
-    ranks, before, after = _ranks(merges), _id(merges, prepend), _id(merges, append)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _enc(pieces: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for row in pieces:
-            ids = list(before)
-            for p in () if row is None else row:
-                if p not in known:
-                    known[p] = merge_piece(p.encode("utf-8"), ranks.value)
-                ids += known[p]
-            out.append(ids + after)
-        return pd.Series(out)
+    encoder = SparkSession.getActiveSession().sparkContext.broadcast(bpe.PieceEncoder(merges))  # vocabulary-sized
+    before, after = _id(merges, prepend), _id(merges, append)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _enc(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in pieces:
+            yield encoder.value.encode_lists(batch, before, after)
     return _enc(pretokenize(text))
 
 
-def decode(ids, merges: list[tuple[int, int]]) -> Column:
-    """E4 as a column: ids -> text (invalid UTF-8 replaced)."""
+def _decoded(ids: Column, tokens: list[bytes]) -> Column:
     ensure_shipped()
-    tokens = SparkSession.getActiveSession().sparkContext.broadcast(
-        token_bytes_list(merges) + [s.encode() for s in SPECIAL_TOKENS])
+    table = SparkSession.getActiveSession().sparkContext.broadcast(bpe.token_table(tokens))  # vocabulary-sized
+
+    @F.arrow_udf(T.BinaryType())
+    def _dec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield bpe.decoded(batch, *table.value)
+    text = _dec(ids).cast("string")
+    return F.coalesce(F.try_validate_utf8(text), F.make_valid_utf8(text))
+
 
-    @F.pandas_udf(T.StringType())
-    def _dec(s: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(tokens.value[i] for i in x).decode("utf-8", errors="replace") for x in s])
-    return _dec(F.col(ids) if isinstance(ids, str) else ids)
+def decode(ids, merges: list[tuple[int, int]]) -> Column:
+    """E4 as a column: ids -> text (invalid UTF-8 replaced)."""
+    return _decoded(F.col(ids) if isinstance(ids, str) else ids, token_bytes_list(merges) + [s.encode() for s in SPECIAL_TOKENS])
 
 
 # ---------------------------------------------------------------- E9
