@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, prepare, rolling, text_slices, written
+from tessera.llm.common import _BYTE, _SPACE, bit_filter, hash_runs, in_filter, mix, prepare, release_memory, rolling, text_slices, written
 
 WINDOW, BITS = 32, 10
 CALL_BYTES = 1 << 16
@@ -40,7 +40,8 @@ _OTHER = mix(_BYTE + np.uint64(99))
 
 _UNIT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")  # a word with the white space before it
 _PUNCTUATION, _ALNUM = string.punctuation.encode(), frozenset((string.ascii_letters + string.digits).encode())
-MEMO = 400_000
+#: bytes of the memo of a worker, with what Python takes for an entry
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 320
 
 
 class Codec:
@@ -127,7 +128,7 @@ class Codec:
             return [np.frombuffer(x, self.kind) for x in self._encode(texts)]
         # a tokenizer that drops white space needs none before its words
         units = [t.split() for t in texts] if self.folds else [_UNIT.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) * ENTRY_BYTES > MEMO_BYTES:
             self.memo.clear()
         memo = self.memo
         memo[b""] = b""
@@ -244,6 +245,17 @@ def _joins_agree(codec: Codec, raw: bytes, cuts: np.ndarray, spans: list[tuple[i
     return agree
 
 
+def _leaving(run):
+    """A task that leaves no codec behind: idle workers would hold it while other operators run."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            Codec.open_files.clear()
+            release_memory()
+    return task
+
+
 def _parts(path: str, shared):
     """Rows of three kinds: 0, a finished document; 1, a part of an open one (ids, or the key of a
     shared body); 2, a shared body's text, once in each run of rows."""
@@ -352,14 +364,16 @@ def encode(docs: DataFrame, path: str, min_uses: int = 2) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.mapInArrow(_keys, "k1 bigint, k2 bigint").groupBy("k1", "k2").count().where(F.col("count") >= min_uses)
     words = bit_filter(shared, "k1")
-    parts = written(docs.mapInArrow(_parts(path, spark.sparkContext.broadcast(words)), DDL))
+    sent = spark.sparkContext.broadcast(words)
+    parts = written(docs.mapInArrow(_leaving(_parts(path, sent)), DDL))
+    sent.destroy()
     done = parts.where("kind = 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     texts = parts.where("kind = 2").groupBy("k1", "k2").agg(F.first("payload").alias("payload"))
-    ids = texts.mapInArrow(_encode_bodies(path), "k1 bigint, k2 bigint, ids binary")
+    ids = texts.mapInArrow(_leaving(_encode_bodies(path)), "k1 bigint, k2 bigint, ids binary")
     open_ = parts.where("kind = 1")
     reused = open_.where("k1 is not null").select("doc_id", "uid", "ordinal", "k1", "k2").join(ids, ["k1", "k2"])
     pieces = (open_.where("k1 is null").select("doc_id", "uid", "ordinal", F.col("payload").alias("ids"))
               .unionByName(reused.select("doc_id", "uid", "ordinal", "ids")))
     joined = (pieces.repartition(n, "uid").sortWithinPartitions("uid", "ordinal")
-              .mapInPandas(_assemble(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+              .mapInPandas(_leaving(_assemble(path)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
     return done.unionByName(joined)

@@ -3,6 +3,7 @@ intermediates, vectorised word and shingle hashing, connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -49,6 +50,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_memory() -> None:
+    """In a Python worker: give memory that is no longer used back to the machine.  Workers outlive their tasks."""
+    for i in (0, 1):
+        _POW[i] = _POW[i][:1].copy()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # ---------------------------------------------------------------- vectorised text
 
 _C1, _C2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

@@ -65,3 +65,20 @@ def test_empty_documents(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_columns_that_clash(spark, folder):
+    """Columns named like the operators' own pass through every stage unchanged."""
+    path, docs, _ = folder
+    names = ["_keep", "_gone", "_score", "_posterior", "_again", "node", "component_id", "c0", "doc", "column_2"]
+    rows = [(i, t, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(docs)]
+    now = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    of = {(r[0], r[1]): set() for r in rows}
+    for r in rows:
+        of[r[0], r[1]].add(r[2:])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, path)
+        assert out.dtypes == now.dtypes, name
+        kept = out.collect()
+        assert kept and all(tuple(r)[2:] in of.get((r["doc_id"], r["text"]), ()) or name == "secret_scan" for r in kept)
+        now = spark.createDataFrame(kept, now.schema).repartition(3)
