@@ -7,25 +7,33 @@ from pyspark.sql import functions as F
 
 from tessera.operators.order import rank_stride
 from tessera.plans.guards import broadcast_small
+from tessera.sources.rowgroups import footers, group_of
 
 
 def scan_corpus(spark: SparkSession, path: str, rows_per_group: int | None = None,
-                column: str = "text", spread: bool = True, keep: tuple = ()) -> DataFrame:
+                column: str = "text", spread: bool = True, keep: tuple = (), row_groups: bool = False) -> DataFrame:
     """A1: ``*.parquet`` under ``path`` (partial ``.tmp`` files are skipped by the
     glob), reading only ``column``; shard = file name, pos = row index in the file.
 
-    Column pruning keeps every other column out of the scan.  ``row_group`` is
-    ``pos div rows_per_group`` when given (the writer's row-group size).  With
+    Column pruning keeps every other column out of the scan.  ``row_groups`` adds the
+    files' own ``row_group`` numbers and each row's place in its group (``group_pos``), from
+    their footers (a row per file, joined by file);
+    ``rows_per_group`` instead derives them, as ``pos div rows_per_group``.  With
     ``spread``, a scan with fewer splits than cores is spread over all cores
     (after the metadata columns are taken from the files).  ``keep`` names further
     columns to read in the same scan.
     """
     from tessera.plans.tables import spread_small_scan
     df = (spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-          .select(F.col("_metadata.file_name").alias("shard"),
+          .select(F.col("_metadata.file_name").alias("shard"), *([F.col("_metadata.file_path").alias("_file")] if row_groups else []),
                   F.col("_metadata.row_index").alias("pos"), F.col(column).alias("text"), *keep))
     if spread:
         df = spread_small_scan(df)
+    if row_groups:
+        starts = footers(spark, path).select(F.col("file").alias("_file"), F.col("starts").alias("_starts"))
+        df = (df.join(broadcast_small(starts, "row groups by file"), "_file")
+              .withColumn("row_group", group_of(F.col("pos"), F.col("_starts")))
+              .withColumn("group_pos", F.col("pos") - F.get("_starts", F.col("row_group").cast("int"))).drop("_file", "_starts"))
     if rows_per_group:
         df = df.withColumn("row_group", (F.col("pos") / rows_per_group).cast("bigint"))
     return df
