@@ -117,11 +117,19 @@ def packing_balance_q(spark, sf):
 
 
 def _conv_messages(spark, sf):
+    """Conversations as the renderer takes them.  Assistant texts whose length is a multiple of 3 come in parts: their first
+    20 characters, a tool call, its output, and the rest."""
     from tessera.operators.conv import assemble_messages
     a = assemble_messages(table(spark, sf, "conversations"))
-    return a.select("conv_id", F.transform("messages", lambda x: F.struct(
-        x.role.alias("role"), x.text.alias("text"),
-        F.lit(None).cast("array<struct<type:string,text:string>>").alias("parts"))).alias("messages"))
+
+    def message(x):
+        n = F.char_length(x.text)
+        part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+        parts = F.array(part("text", F.substring(x.text, 1, 20)), part("python", F.concat(n.cast("string"), F.lit("*2"))),
+                        part("python_output", (n * 2).cast("string")), part("text", F.substring(x.text, F.lit(21), n)))
+        split = (x.role == "assistant") & (n % 3 == 0)
+        return F.struct(x.role.alias("role"), F.when(~split, x.text).alias("text"), F.when(split, parts).alias("parts"))
+    return a.select("conv_id", F.transform("messages", message).alias("messages"))
 
 
 @register("render_conversation")
