@@ -16,11 +16,14 @@ streaming form (L1) keeps the same state between micro-batches.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right, insort
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tessera.session import ensure_shipped
 
@@ -28,8 +31,7 @@ POSITION = ("pq_idx", "rg_idx", "epoch")
 OUT_SCHEMA = ("lane string, row_no bigint, tokens array<int>, last_idx bigint, n_docs int, n_cropped int, complete boolean, "
               "pq_idx bigint, rg_idx bigint, epoch bigint")
 OUT_COLS = ["lane", "row_no", "tokens", "last_idx", "n_docs", "n_cropped", "complete", *POSITION]
-STATE_SCHEMA = ("docs array<struct<length:int,turn:bigint,idx:bigint,tokens:array<int>>>, batch array<struct<idx:bigint,tokens:array<int>,"
-                "place:array<bigint>>>, turn bigint, row_no bigint, open array<int>, n_docs int, n_cropped int, last_idx bigint, place array<bigint>")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class LanePacker:
@@ -150,27 +152,93 @@ def pack_bestfit(df: DataFrame, T: int, buffer_size: int = 1000, refill: int = 1
     return rows if incomplete else rows.where("complete")
 
 
+class _BufferedDocs(dict):
+    """turn -> (idx, tokens) of the buffered documents; those of earlier micro-batches are read when they are picked."""
+
+    def __init__(self, entries, sizes, old):
+        super().__init__()
+        self.entries, self.sizes, self.old = entries, sizes, old
+
+    def __len__(self):
+        return super().__len__() + len(self.old)
+
+    def pop(self, turn):
+        if turn not in self.old:
+            return super().pop(turn)
+        self.old.remove(turn)
+        idx, tokens, *_ = self.entries.getValue((turn,))
+        self.entries.removeKey((turn,))
+        self.sizes.removeKey((turn,))
+        return idx, list(tokens)
+
+
+class LaneProcessor(StatefulProcessor):
+    """A lane's packer between micro-batches: one state entry for each document that waits or is buffered, their
+    lengths apart, and the open row.  A micro-batch reads the lengths and the documents that it picks, and writes
+    its own documents that stay; the others are not touched."""
+
+    def __init__(self, T: int, buffer_size: int, refill: int):
+        self.options = T, buffer_size, refill
+
+    def init(self, handle):
+        self.head = handle.getValueState("head", "turn bigint, loaded bigint, row_no bigint, open array<int>, n_docs int, n_cropped int, "
+                                                 "last_idx bigint, place array<bigint>")
+        self.entries = handle.getMapState("documents", "turn bigint", "idx bigint, tokens array<int>, place array<bigint>")
+        self.sizes = handle.getMapState("lengths", "turn bigint", "length int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        packer = LanePacker(key[0], *self.options)
+        size = {int(t[0]): int(n[0]) for t, n in self.sizes.iterator()}
+        turn = loaded = 0
+        if self.head.exists():
+            turn, loaded, packer.row_no, row, packer.n_docs, packer.n_cropped, packer.last_idx, place = self.head.get()
+            packer.row, packer.place = [int(x) for x in row], list(place)
+        buffered = {t for t in size if t < loaded}
+        packer.turn, packer.by_length = loaded, sorted((size[t], -t) for t in buffered)
+        packer.docs = _BufferedDocs(self.entries, self.sizes, buffered)
+        waiting = range(loaded, turn)  # fewer than a refill
+        for t in waiting:
+            idx, tokens, place = self.entries.getValue((t,))
+            packer.batch.append((int(idx), [int(x) for x in tokens], list(place)))
+        f = pd.concat(list(rows), ignore_index=True).sort_values("idx", kind="stable")
+        out, places = [], {t: b[2] for t, b in zip(waiting, packer.batch, strict=True)}
+        for idx, tokens, place in zip(f["idx"], f["tokens"], _places(f), strict=True):
+            places[turn] = place
+            turn += 1
+            out += packer.add(idx, tokens, place)
+        for t in waiting:
+            if t < packer.turn and t not in packer.docs:  # loaded and picked since
+                self.entries.removeKey((t,))
+                self.sizes.removeKey((t,))
+        stay = {t: (*packer.docs[t], places[t]) for t in packer.docs} | {packer.turn + i: b for i, b in enumerate(packer.batch)}
+        for t, (idx, tokens, place) in stay.items():
+            if t not in size:
+                self.entries.updateValue((t,), (idx, tokens, place))
+                self.sizes.updateValue((t,), (len(tokens),))
+        self.head.update((turn, packer.turn, packer.row_no, packer.row, packer.n_docs, packer.n_cropped, packer.last_idx, packer.place))
+        if out:
+            yield _frame(out)
+
+    def close(self):
+        pass
+
+
 def stream_pack(stream: DataFrame, T: int, buffer_size: int = 1000, refill: int = 128, lane: str = "lane",
                 order: str = "idx", tokens: str = "tokens") -> DataFrame:
-    """L1: F6 over an endless feed; the lane's buffer is streaming state (``applyInPandasWithState``, append
-    mode).  A micro-batch's documents of a lane are taken in ``idx`` order, whatever Arrow batches they come
+    """L1: F6 over an endless feed; a lane's documents are keyed state (``transformWithStateInPandas``, append mode,
+    RocksDB).  A micro-batch's documents of a lane are taken in ``idx`` order, whatever Arrow batches they come
     in, so the rows equal the batch form's complete rows as long as later micro-batches have larger ``idx``;
     documents that still wait or stand in the buffer are the state, not yet rows."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    ensure_shipped(stream.sparkSession)
-
-    def fn(key, frames, state):
-        packer = LanePacker(key[0], T, buffer_size, refill)
-        if state.exists:
-            packer.restore(state.get)
-        f = pd.concat(list(frames), ignore_index=True).sort_values("idx", kind="stable")
-        out = []
-        for idx, tokens, place in zip(f["idx"], f["tokens"], _places(f), strict=True):
-            out += packer.add(idx, tokens, place)
-        state.update(packer.state())
-        yield _frame(out)
-    return (_lane_input(stream, lane, order, tokens).groupBy("lane")
-            .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    spark = stream.sparkSession
+    ensure_shipped(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the only store with keyed state of several kinds
+    module = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(module)  # state is declared by a process that knows no shipped files
+    try:
+        return _lane_input(stream, lane, order, tokens).groupBy("lane").transformWithStateInPandas(
+            LaneProcessor(T, buffer_size, refill), OUT_SCHEMA, "Append", "None")
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
 
 
 def packing_stats(docs: DataFrame, rows: DataFrame, T: int, tokens: str = "tokens") -> DataFrame:

@@ -6,21 +6,26 @@ the documents loaded, and how full the open row is.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import pack as PK
 from tessera.operators import tok as TK
 from tessera.plans.q_tok import _conv_messages, _md5
 from tessera.plans.registry import register
+from tessera.plans.tables import table
 from tessera.plans.views import v_corpus
+from tessera.session import checkpoint_dir
+from tessera.streaming import flows as FL
 
 T, BUFFER, REFILL, GROUPS = 700, 12, 5, 8
 BYTES = "list_transform(range(0, strlen({0})), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS INT))"
 
-_PACK_SQL = f"""WITH RECURSIVE
-c AS (SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS idx, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
-d AS (SELECT source || '/' || CAST(pos // {8 * GROUPS} AS VARCHAR) AS lane, idx, text, strlen(text) + 1 AS n,
-             row_number() OVER (PARTITION BY source, pos // {8 * GROUPS} ORDER BY idx) AS turn FROM c),
+def _pack_sql(docs: str, enough: str) -> str:
+    """``docs``: the relation d (lane, idx, text, n tokens, turn); ``enough``: when a document may be picked."""
+    return f"""WITH RECURSIVE
+{docs},
 lanes AS (SELECT lane, list({{'n': n, 'turn': turn}} ORDER BY turn) AS docs FROM d GROUP BY lane),
 walk(lane, docs, loaded, buf, fill, row_no, step, turn, taken, cropped) AS (
   SELECT lane, docs, 0::BIGINT, docs[1:0], 0::BIGINT, 0::BIGINT, 0, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM lanes
@@ -34,7 +39,7 @@ walk(lane, docs, loaded, buf, fill, row_no, step, turn, taken, cropped) AS (
            {{'n': abs(struct_extract(q, 'n')), 'turn': struct_extract(q, 'turn')}} AS p
     FROM (SELECT lane, docs, more AS loaded, list_concat(buf, docs[loaded + 1:more]) AS buf, fill, row_no, step, {T + 1} - fill AS rest
           FROM (SELECT *, CAST(least(len(docs), loaded + {REFILL} * greatest(0, ceil(({BUFFER} - len(buf)) / {REFILL}))) AS BIGINT) AS more FROM walk))
-    WHERE len(buf) > 0))),
+    WHERE {enough}))),
 picks AS (SELECT w.lane, w.step, d.idx, w.taken, w.cropped, CASE WHEN w.fill = 0 THEN w.row_no - 1 ELSE w.row_no END AS row_no,
                  list_concat([256], {BYTES.format("d.text")})[1:w.taken] AS ids
           FROM walk w JOIN d ON d.lane = w.lane AND d.turn = w.turn),
@@ -42,6 +47,16 @@ packed AS (SELECT lane, row_no, flatten(list(ids ORDER BY step)) AS tokens, max(
                   CAST(sum(cropped) AS INT) AS n_cropped FROM picks GROUP BY 1, 2)"""
 
 
+_BATCH_DOCS = f"""c AS (SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS idx, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
+d AS (SELECT source || '/' || CAST(pos // {8 * GROUPS} AS VARCHAR) AS lane, idx, text, strlen(text) + 1 AS n,
+             row_number() OVER (PARTITION BY source, pos // {8 * GROUPS} ORDER BY idx) AS turn FROM c)"""
+_PACK_SQL = _pack_sql(_BATCH_DOCS, "len(buf) > 0")
+# a feed does not end: documents wait for a whole refill, and are picked while the buffer is full
+_FEED_DOCS = f"""a AS (SELECT CAST(doc_id // 64 AS VARCHAR) AS lane, doc_id AS idx, text, strlen(text) + 1 AS n,
+                        row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) AS turn, count(*) OVER (PARTITION BY doc_id // 64) AS many FROM documents),
+d AS (SELECT * FROM a WHERE turn <= many - many % {REFILL})"""
+
+
 def _packed(spark, sf):
     c = v_corpus(spark, sf)
     lane = F.concat_ws("/", "shard", F.expr(f"row_group div {GROUPS}").cast("string"))
@@ -69,6 +84,28 @@ def packing_totals(spark, sf):
     return PK.packing_stats(docs, rows, T)
 
 
+@register("stream_pack_rows", _pack_sql(_FEED_DOCS, f"len(buf) >= {BUFFER}") + f"""
+SELECT lane, row_no, CAST(len(tokens) AS INT) AS n_tokens, md5(array_to_string(tokens, ',')) AS tokens_md5, last_idx, n_docs, n_cropped
+FROM packed WHERE len(tokens) = {T + 1}""")
+def stream_pack_rows(spark, sf):
+    """L1 over byte tokens: the rows that a feed of the documents completes, in lanes of 64 ids, in several micro-batches."""
+    docs = order_feed(spark, sf).select(F.col("doc_id").alias("idx"), F.expr("doc_id div 64").alias("lane"),
+                                        TK.encode("text", [], prepend="<|bos|>").alias("tokens"))
+    rows = FL.run_available(spark, PK.stream_pack(docs, T, buffer_size=BUFFER, refill=REFILL))
+    return rows.select("lane", "row_no", F.size("tokens").alias("n_tokens"), _md5("tokens").alias("tokens_md5"), "last_idx", "n_docs", "n_cropped")
+
+
+def order_feed(spark, sf, batches=3):
+    """The documents as a file stream of ``batches`` files, in order of doc_id."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/feeds/{uuid.uuid4().hex}"
+    top = docs.select(F.max("doc_id")).scalar()
+    for i in range(batches):  # files are taken in the order in which they were written
+        docs.where(F.expr(f"doc_id * {batches}") >= i * (top + 1)).where(F.expr(f"doc_id * {batches}") < (i + 1) * (top + 1)).coalesce(1) \
+            .write.mode("append").parquet(folder)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 _RENDER_SQL = f"""
 c AS (SELECT conv_id, list({{'role': role, 'text': text, 'p': role = 'assistant' AND length(text) % 3 = 0}} ORDER BY turn) AS ms FROM conversations GROUP BY conv_id),
 """

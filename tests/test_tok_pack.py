@@ -87,6 +87,21 @@ def test_stream_pack_equals_batch(spark):
         assert sum(len(r[2]) for r in docs) == sum(len(r.tokens) + r.n_cropped for r in every if r.lane == lane)
 
 
+def test_stream_pack_writes_what_is_new(spark, tmp_path):
+    """State writes follow the new documents, not the size of the buffer."""
+    schema = "lane long, idx long, tokens array<int>"
+    for name, ids in (("a", range(600)), ("b", range(600, 612)), ("c", range(612, 624))):
+        spark.createDataFrame([(i % 2, i, [i] * (1 + i % 50)) for i in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    query = (PK.stream_pack(stream, 99, buffer_size=250, refill=3).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "p"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert state[0]["numRowsTotal"] > 900
+    for s in state[1:]:
+        assert s["numRowsUpdated"] + s["numRowsRemoved"] < 120, s
+
+
 def test_short_documents_do_not_stop_the_packer(spark):
     df = spark.createDataFrame([("a", i, [1, 2, 3]) for i in range(64)], "lane string, idx long, tokens array<int>")
     rows = PK.pack_bestfit(df, 64, buffer_size=16, refill=4, incomplete=True).orderBy("row_no").collect()
