@@ -22,6 +22,7 @@ CLOSED_FENCE_RE = r"```(?:python)?\s*\n(.*?)\n```"
 PYTHON_FENCE_RE = r"```python\s*\n(.*?)(?:\n```|$)"
 ANY_FENCE_RE = r"```(?:\w+)?\s*\n(.*?)(?:\n```|$)"
 TOOL_CALL_RE = r"<<[^>]+>>"
+TOOL_CALL_HALVES_RE = r"<<(?=[^>])([^>]*?)(?:=([^=>]*))?>>"  # the same calls, parted at their last =
 
 # MATH answer normalisation (Minerva, section D.1): ordered substitutions,
 # then ordered removals.

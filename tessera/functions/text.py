@@ -215,25 +215,18 @@ def counting_walkthrough(word, letter) -> Column:
 def split_tool_calls(c) -> Column:
     """GSM8K answer -> ordered parts ``array<struct<type, text>>``.
 
-    ``split`` cannot keep delimiters, so calls are first fenced by a control
-    character.  Inside a call the last ``=`` separates expression and result
-    (no ``=``: result ``''``).  Empty text parts are kept.
+    The texts between the calls and the two halves of each call are three passes over the answer.
+    Inside a call the last ``=`` separates expression and result (no ``=``: result ``''``).  Empty text
+    parts are kept.
     """
-    sep = "\u0001"
-    pieces = F.split(F.regexp_replace(_c(c), "(" + K.TOOL_CALL_RE + ")", sep + "$1" + sep), sep, -1)
+    c = _c(c)
+    half = lambda i: F.regexp_extract_all(c, F.lit(K.TOOL_CALL_HALVES_RE), F.lit(i))
+    rows = F.arrays_zip(F.split(c, K.TOOL_CALL_RE, -1).alias("text"), half(1).alias("expr"), half(2).alias("result"))
 
     def part(t, x):
         return F.struct(F.lit(t).alias("type"), x.alias("text"))
-
-    def expand(p):
-        is_call = p.startswith("<<") & p.endswith(">>") & (F.length(p) >= 4)
-        inner = p.substr(F.lit(3), F.length(p) - 4)
-        has_eq = inner.contains("=")
-        result = F.when(has_eq, F.substring_index(inner, "=", -1)).otherwise(F.lit(""))
-        expr = F.when(has_eq, inner.substr(F.lit(1), F.length(inner) - F.length(result) - 1)).otherwise(inner)
-        return F.when(is_call, F.array(part("python", expr), part("python_output", result))).otherwise(
-            F.array(part("text", p)))
-    return F.flatten(F.transform(pieces, expand))
+    return F.flatten(F.transform(rows, lambda r: F.when(r["expr"].isNull(), F.array(part("text", r["text"]))).otherwise(  # after the last call
+        F.array(part("text", r["text"]), part("python", r["expr"]), part("python_output", r["result"])))))
 
 
 def reference_answer(parts) -> Column:
@@ -244,8 +237,7 @@ def reference_answer(parts) -> Column:
 def last_text_part(c) -> Column:
     """The last part of a GSM8K-style answer without building all parts: after the
     final tool call there is always a (possibly empty) text part."""
-    sep = "\u0001"
-    return F.element_at(F.split(F.regexp_replace(_c(c), "(" + K.TOOL_CALL_RE + ")", sep + "$1" + sep), sep, -1), -1)
+    return F.element_at(F.split(_c(c), K.TOOL_CALL_RE, -1), -1)
 
 
 def gsm_reference_answer(c) -> Column:

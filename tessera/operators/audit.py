@@ -101,12 +101,9 @@ def use_calculator(expr) -> Column:
 def tool_calls(parts) -> Column:
     """(expr, recorded output) for every python part followed by its python_output part."""
     p = F.col(parts) if isinstance(parts, str) else parts
-    idx = F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1)))
-    pairs = F.transform(idx, lambda i: F.when(
-        (F.size(p) > 1) & (F.element_at(p, i).getField("type") == "python")
-        & (F.element_at(p, i + 1).getField("type") == "python_output"),
-        F.struct(F.element_at(p, i).getField("text").alias("expr"),
-                 F.element_at(p, i + 1).getField("text").alias("recorded"))))
+    n = F.greatest(F.size(p) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.when(
+        (a["type"] == "python") & (b["type"] == "python_output"), F.struct(a["text"].alias("expr"), b["text"].alias("recorded"))))
     return F.filter(pairs, lambda x: x.isNotNull())
 
 

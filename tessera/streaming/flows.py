@@ -44,16 +44,33 @@ def stream_accuracy(spark: SparkSession, log_dir: str, group=("task", "model_slu
     return S.accuracy_by(s.withColumn("correct", F.coalesce(F.col("correct"), F.lit(False))), list(group))
 
 
+LOG_SCHEMA = T.StructType([*RESPONSE_SCHEMA, *(T.StructField(c, T.StringType()) for c in ("task", "model_slug", "variant"))])
+
+
+def stream_log_accuracy(spark: SparkSession, log_dir: str, group=("task", "model_slug"), late: str = "1 hour", files_per_trigger: int = 1000) -> DataFrame:
+    """L2 over response logs in the A13 layout that may hold a record more than once (a run repeated, a file written again):
+    correct / total per group, each (task, model, variant, index) counted once, for update mode.
+
+    A record counts when its file first arrives; repeats that arrive within ``late`` of it, by the files' times, are dropped,
+    and the state of a record is given up after that.
+    """
+    s = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(log_dir)
+         .select("*", F.col("_metadata.file_modification_time").alias("arrived")))
+    once = s.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["task", "model_slug", "variant", "index"])
+    return S.accuracy_by(once.withColumn("correct", F.coalesce(F.col("correct"), F.lit(False))), list(group))
+
+
 def streaming_accuracy(stream: DataFrame, group: list[str], correct: str = "correct") -> DataFrame:
     """L2 over any stream with a boolean ``correct`` column (complete-mode aggregate)."""
     return S.accuracy_by(stream.withColumn(correct, F.coalesce(F.col(correct), F.lit(False))), group, correct)
 
 
-def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append", keys: tuple = ()) -> DataFrame:
     """Run a stream over everything available now and return its result as a batch DataFrame.
 
     Rows are written as Parquet beside the stream's progress and state under ``spark.checkpoint.dir``;
-    in complete mode each micro-batch replaces the result.  No row passes the driver.
+    in complete mode each micro-batch replaces the result, in update mode a later row replaces earlier ones of
+    the same ``keys``.  No row passes the driver.
     """
     import uuid
 
@@ -63,7 +80,13 @@ def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
     if mode == "append":
         w = w.format("parquet").option("path", out)
-    else:
+    elif mode == "complete":
         w = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    else:  # a batch that runs again writes its own folder again
+        w = w.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/_batch={batch}"))
     w.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("_batch", T.LongType())])).option("basePath", out).parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("r"))
+    return last.select(*[F.col("r")[c].alias(c) for c in stream.columns])
