@@ -6,9 +6,13 @@ collecting them is bounded by construction.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_shipped
+
 
 def sequences(long: DataFrame, keys: list[str], pos: str = "pos", token: str = "token", out: str = "tokens") -> DataFrame:
     """Long ``(keys, pos, token)`` rows -> one ordered token array per key."""
@@ -122,34 +126,76 @@ def bin_by_sequence_cap(df: DataFrame, cap: int, n_per_item: int, idx: str = "id
 BIN_SCHEMA = "lane bigint, idx bigint, n int, batch bigint"
 
 
+def _chunk_effect(n: list[int], cap: int) -> tuple[list[int], list[int]]:
+    """For every count that the open batch may have before these items (0 to ``cap`` + 1, which stands for all above):
+    the count after them, and the batches closed meanwhile."""
+    count, closed = np.arange(cap + 2), np.zeros(cap + 2, np.int64)
+    back = np.arange(cap + 2)  # counts that have become equal go on as one
+    for at, k in enumerate(n):
+        flush = (count > 0) & (count + k > cap)
+        count = np.minimum(np.where(flush, k, count + k), cap + 1)
+        closed = closed + flush
+        if len(count) > 1 and (at % 16 == 0):
+            both, first, inverse = np.unique(np.stack([count, closed]), axis=1, return_index=True, return_inverse=True)
+            count, closed, back = both[0], both[1], inverse.ravel()[back]
+    return count[back].tolist(), closed[back].tolist()
+
+
 def bin_by_sequence_cap_var(df: DataFrame, cap: int, n: str = "n", lane: str = "lane", idx: str = "idx",
-                            num_partitions: int | None = None) -> DataFrame:
+                            num_partitions: int | None = None, chunk_rows: int = 1 << 16) -> DataFrame:
     """F8 (variable n): greedy batches in ``idx`` order per lane: flush when
     ``count + n > cap`` and the batch is not empty; an oversized item stands alone.
 
-    Sequential per lane (as per rank), so each lane is one ordered stream
-    through ``mapInPandas`` with O(1) state; lanes run in parallel.
+    A lane is cut into chunks of ``chunk_rows`` consecutive ``idx`` values, which run in parallel: first each chunk
+    gives its effect for every count that the open batch may have before it (``cap`` + 2 numbers), then these are
+    chained lane by lane (a row per chunk), then each chunk runs from the count and batch it starts with.
     """
-    import pandas as pd
-
-    from tessera.session import ensure_shipped
-    spark = df.sparkSession
-    ensure_shipped(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.select(F.col(lane).cast("bigint").alias("lane"), F.col(idx).cast("bigint").alias("idx"),
-                   F.col(n).cast("int").alias("n"))
-         .repartitionByRange(parts, "lane").sortWithinPartitions("lane", "idx"))
-
-    def run(batches):
-        cur_lane, batch, count = None, -1, 0
-        for pdf in batches:
+    ensure_shipped(df.sparkSession)
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i = F.col(idx).cast("bigint")
+    rows = df.select(F.col(lane).cast("bigint").alias("lane"), i.alias("idx"), F.col(n).cast("int").alias("n"),
+                     F.floor(i / chunk_rows).cast("bigint").alias("chunk"))
+    sort = lambda d, by: d.repartition(parts, *by).sortWithinPartitions(*by, *(["idx"] if "idx" in d.columns else []))
+
+    def effects(frames):
+        key, held = None, []
+        for f in frames:
+            out = []
+            for k, g in f.groupby(["lane", "chunk"], sort=False):
+                if key is not None and k != key:
+                    out.append((*key, *_chunk_effect(held, cap)))
+                    held = []
+                key = k
+                held += g["n"].tolist()
+            if out:
+                yield pd.DataFrame(out, columns=["lane", "chunk", "counts", "closed"])
+        if key is not None:
+            yield pd.DataFrame([(*key, *_chunk_effect(held, cap))], columns=["lane", "chunk", "counts", "closed"])
+
+    def chain(frames):
+        now, count, batch = None, 0, 0
+        for f in frames:
+            out = []
+            for ln, ch, counts, closed in zip(f["lane"], f["chunk"], f["counts"], f["closed"], strict=True):
+                if ln != now:
+                    now, count, batch = ln, 0, 0
+                out.append((ln, ch, count, batch))
+                batch, count = batch + int(closed[count]), int(counts[count])
+            yield pd.DataFrame(out, columns=["lane", "chunk", "count0", "batch0"])
+
+    def run(frames):
+        now, count, batch = None, 0, 0
+        for f in frames:
             out = []
-            for ln, ix, k in zip(pdf["lane"], pdf["idx"], pdf["n"]):
-                if ln != cur_lane:
-                    cur_lane, batch, count = ln, 0, 0
-                elif count > 0 and count + k > cap:
+            for ln, ch, k, c0, b0 in zip(f["lane"], f["chunk"], f["n"], f["count0"], f["batch0"], strict=True):
+                if (ln, ch) != now:
+                    now, count, batch = (ln, ch), c0, b0
+                if count > 0 and count + k > cap:
                     batch, count = batch + 1, 0
-                count += k
-                out.append((ln, ix, k, batch))
-            yield pd.DataFrame(out, columns=["lane", "idx", "n", "batch"])
-    return s.mapInPandas(run, BIN_SCHEMA)
+                count = min(count + k, cap + 1)
+                out.append(batch)
+            yield f[["lane", "idx", "n"]].assign(batch=out)
+    effect = sort(rows, ["lane", "chunk"]).mapInPandas(effects, "lane bigint, chunk bigint, counts array<int>, closed array<bigint>")
+    starts = (effect.repartition(parts, "lane").sortWithinPartitions("lane", "chunk")
+              .mapInPandas(chain, "lane bigint, chunk bigint, count0 int, batch0 bigint"))
+    return sort(rows.join(starts, ["lane", "chunk"]), ["lane", "chunk"]).mapInPandas(run, BIN_SCHEMA)

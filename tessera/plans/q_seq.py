@@ -232,12 +232,34 @@ def score_with_q(spark, sf):
     return score_with(_seqs(spark, sf), _toy_scorer, ["item_id", "option_idx"])
 
 
-@register("bin_by_sequence_cap_var")
+def _bins_sql(lane):
+    """Greedy batches by a recursive query, one item of every lane at a time."""
+    return f"""WITH RECURSIVE {DV.V_PART_IDX},
+i AS (SELECT {lane} AS lane, idx, CAST(CASE WHEN p_partkey % 11 = 0 THEN 20 ELSE 3 + p_partkey % 3 END AS INT) AS n,
+             row_number() OVER (PARTITION BY {lane} ORDER BY idx) AS k FROM v_part_idx),
+walk AS (SELECT lane, idx, n, k, 0::BIGINT AS batch, n AS held FROM i WHERE k = 1
+  UNION ALL SELECT i.lane, i.idx, i.n, i.k, batch + CAST(held > 0 AND held + i.n > 16 AS INT), CASE WHEN held > 0 AND held + i.n > 16 THEN i.n ELSE held + i.n END
+  FROM walk JOIN i ON i.lane = walk.lane AND i.k = walk.k + 1)
+SELECT lane, idx, n, batch FROM walk"""
+
+
+def _binned(spark, sf, lane, **options):
+    n = F.when(F.col("p_partkey") % 11 == 0, 20).otherwise(F.lit(3) + F.col("p_partkey") % 3).cast("int")
+    p = v_part_idx(spark, sf).select("idx", n.alias("n"))
+    return Q.bin_by_sequence_cap_var(p.withColumn("lane", lane), 16, **options)
+
+
+@register("bin_by_sequence_cap_var", _bins_sql("idx % 4"))
 def bin_by_sequence_cap_var_q(spark, sf):
-    """F8 (variable n): parts with 3-5 option sequences each, greedy batches under
+    """F8 (variable n): parts with 3-5 option sequences each, some with more than the cap, greedy batches under
     a cap of 16 sequences, four ranks (lane = idx % 4)."""
-    p = v_part_idx(spark, sf).select("idx", (F.lit(3) + F.col("p_partkey") % 3).alias("n"))
-    return Q.bin_by_sequence_cap_var(p.withColumn("lane", F.col("idx") % 4), 16)
+    return _binned(spark, sf, F.col("idx") % 4)
+
+
+@register("bin_one_lane", _bins_sql("0::BIGINT"))
+def bin_one_lane(spark, sf):
+    """F8 (variable n) with all items in one lane, in chunks of 256."""
+    return _binned(spark, sf, F.lit(0), chunk_rows=256)
 
 
 @register("answer_spans_lm", _SEQ_SQL + """,

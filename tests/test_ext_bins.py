@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -30,6 +31,18 @@ def test_variable_bins_match_brute_force(spark):
         assert [got[(lane, i)] for i in range(len(seq))] == brute_bins(seq, 10)
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 3, 16, 1 << 16])
+def test_chunks_of_one_lane_chain(spark, chunk_rows):
+    r = random.Random(chunk_rows)
+    ns = [r.choice([0, 1, 2, 5, 9, 10, 11, 40]) for _ in range(500)]
+    idx = sorted(r.sample(range(2_000), 500))  # gaps
+    rows = [(7, i, k) for i, k in zip(idx, ns)] + [(8, 5, 3)]
+    df = spark.createDataFrame(rows, "lane long, idx long, n int").repartition(6)
+    got = {(r.lane, r.idx): r.batch for r in Q.bin_by_sequence_cap_var(df, 10, chunk_rows=chunk_rows).collect()}
+    assert [got[7, i] for i in idx] == brute_bins(ns, 10) and got[8, 5] == 0 and len(got) == 501
+    assert Q.bin_by_sequence_cap_var(df.limit(0), 10).count() == 0
+
+
 def test_run_summary_layout(spark):
     d = tempfile.mkdtemp(prefix="tessera-sum-")
     df = spark.createDataFrame([("org/m1", "GSM8K", 0.5, "2026-01-01 00:00:00")],
