@@ -50,6 +50,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_executors(spark: SparkSession) -> None:
+    """Collect garbage in the executors, so that heaps which one stage has filled shrink before the next one starts
+    its Python workers beside them (the collector gives memory back only then).  One row for each core."""
+    n = spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("collected")
+    spark.range(0, n, 1, n).select(collected).write.format("noop").mode("overwrite").save()
+
+
 def release_memory() -> None:
     """In a Python worker: give memory that is no longer used back to the machine.  Workers outlive their tasks."""
     for i in (0, 1):
