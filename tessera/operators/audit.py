@@ -1,23 +1,17 @@
 """Re-run recorded calculator calls and compare with their recorded output.
 
-The gate (which expressions the calculator accepts) is native SQL; the simple
-``'word'.count('x')`` form is counted natively; the remaining arithmetic and
-string-count forms are evaluated in an Arrow UDF by a whitelisted AST walk
-(no ``eval``), which sees only those rows.  One sum, difference or product of
-two whole numbers is native too.  Anything the gate rejects, or that fails, is null.
+The gate (which expressions the calculator accepts), the arithmetic and the counts in strings are column
+expressions (``functions.calculator``); no row leaves the JVM.  Anything the gate rejects, or that fails, is
+null, as are whole numbers of more than 38 digits and accepted string expressions other than a count of one
+string in another.
 """
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.functions.text import count_letter
-from tessera.session import ensure_shipped
+from tessera.functions.calculator import arithmetic, string_count
 
 # ---------------------------------------------------------------- fixed values
 ARITH_CHARS = "0123456789*+-/.() "
@@ -42,60 +36,17 @@ def calculator_kind(expr) -> Column:
             .when(e.rlike(_only(STRING_CHARS)) & ~danger & e.contains(".count("), F.lit("string")))
 
 
-_BIN = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b,
-        ast.Div: lambda a, b: a / b, ast.FloorDiv: lambda a, b: a // b}
-
-
-def _walk(node):
-    if isinstance(node, ast.Expression):
-        return _walk(node.body)
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float, str):
-        return node.value
-    if isinstance(node, ast.BinOp) and type(node.op) in _BIN:
-        return _BIN[type(node.op)](_walk(node.left), _walk(node.right))
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-        v = _walk(node.operand)
-        return -v if isinstance(node.op, ast.USub) else +v
-    if (isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "count"
-            and not node.keywords and len(node.args) == 1):
-        s, x = _walk(node.func.value), _walk(node.args[0])
-        if isinstance(s, str) and isinstance(x, str):
-            return s.count(x)
-    raise ValueError("not allowed")
-
-
-def safe_calc(expr: str):
-    """Evaluate an accepted calculator expression; None on any failure."""
-    try:
-        return str(_walk(ast.parse(expr.replace(",", ""), mode="eval")))
-    except Exception:  # noqa: BLE001 - wrong calculator usage is not an error
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def _calc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else safe_calc(x))
-
-
-_WHOLE = r"^ *(0|[1-9][0-9]{0,8}) *([-+*]) *(0|[1-9][0-9]{0,8}) *$"  # two whole numbers and one operator
-_SIMPLE_COUNT = r"^'([a-zA-Z0-9._ ]*)'\.count\('([a-zA-Z0-9._ ]*)'\)$"
+_WHOLE = r"^ *(0|[1-9][0-9]{0,8}) *([-+*]) *(0|[1-9][0-9]{0,8}) *$"  # two whole numbers and one operator: no fold
 
 
 def use_calculator(expr) -> Column:
     """The calculator result as text (null when rejected or failing)."""
-    ensure_shipped()
     e = F.replace(F.col(expr) if isinstance(expr, str) else expr, F.lit(","), F.lit(""))
-    kind = calculator_kind(e)
     a, op, b = (F.regexp_extract(e, _WHOLE, i) for i in (1, 2, 3))
     a, b = a.try_cast("bigint"), b.try_cast("bigint")
     whole = F.when(op == "+", a + b).when(op == "-", a - b).otherwise(a * b).cast("string")
-    word, letter = F.regexp_extract(e, _SIMPLE_COUNT, 1), F.regexp_extract(e, _SIMPLE_COUNT, 2)
-    native_count = F.when(F.length(letter) > 0, count_letter(word, letter).cast("string"))
-    counted = (kind == "string") & e.rlike(_SIMPLE_COUNT) & (F.length(letter) > 0)
-    # a Python function sees every row, whatever branch it stands in: the others reach it as null
-    rest = F.when(kind.isNotNull() & ~e.rlike(_WHOLE) & ~counted, e)
-    return (F.when(kind.isNull(), F.lit(None).cast("string")).when(e.rlike(_WHOLE), whole).when(counted, native_count)
-            .otherwise(_calc_udf(rest)))
+    kind = calculator_kind(e)
+    return F.when(e.rlike(_WHOLE), whole).when(kind == "arith", arithmetic(e)).when(kind == "string", string_count(e))
 
 
 def tool_calls(parts) -> Column:

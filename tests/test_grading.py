@@ -72,7 +72,6 @@ def test_calculator_gate_and_eval(spark):
     df = spark.createDataFrame([(e,) for e in exprs], "e string")
     got = [r.r for r in df.select(AU.use_calculator("e").alias("r")).collect()]
     assert got == ["0.2", "10.0", None, "1005", "3", None, None, "3", None, "2"]
-    assert AU.safe_calc("2+") is None
 
 
 def test_reference_answer_fast_path_equals_parts(spark):
@@ -82,7 +81,7 @@ def test_reference_answer_fast_path_equals_parts(spark):
     assert [x.a for x in r] == [x.b for x in r] == ["2", None, "5", "7000"]
 
 
-def test_audit_native_and_python_paths_agree_with_eval(spark):
+def test_audit_agrees_with_python(spark):
     from tessera.operators import audit as AU
     exprs = ["12*3", "7-10", "007+1", "3 * 4", "99999*99999", "12/60", "(2+3)*4", "'banana'.count('an')",
              "1,000*2", "2**3", "5//2"]
@@ -90,6 +89,5 @@ def test_audit_native_and_python_paths_agree_with_eval(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(parts)],
                                "k int, parts array<struct<type:string,text:string>>")
     got = {r.k: r.recomputed for r in AU.audit_tool_calls(df).collect()}
-    want = {i: AU.safe_calc(x) if AU.safe_calc(x) is not None and "**" not in x else None for i, x in enumerate(exprs)}
-    want[2] = None  # leading zeros are a syntax error in Python
-    assert got == want
+    # leading zeros are a syntax error, powers are not allowed
+    assert got == {i: None if x in ("007+1", "2**3") else str(eval(x.replace(",", ""))) for i, x in enumerate(exprs)}
