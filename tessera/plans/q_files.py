@@ -45,33 +45,67 @@ def _benchmarks(spark, sf):
     }
 
 
-_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, CAST(sum({i}) AS BIGINT) AS ids, count(*) AS n_valid FROM {t}" for n, i, t in [
-    ("arc", "p_partkey", "part"), ("mmlu", "p_partkey", "part"), ("gsm8k", "l_orderkey", "lineitem"), ("humaneval", "p_partkey", "part"),
-    ("smoltalk", "conv_id", "(SELECT DISTINCT conv_id FROM conversations)"), ("math500", "o_orderkey", "orders"), ("gpqa", "s_suppkey", "supplier"),
-    ("mbppplus", "p_partkey", "part")])
+_LIST = "array_to_string({0}, ',')"
+#: name -> (relation, id, row as text)
+_ROWS_SQL = {
+    "arc": ("v_mc", "item_id", f"question, {_LIST.format('choices')}, 'A,B,C,D', ['A', 'B', 'C', 'D'][answer + 1]"),
+    "mmlu": ("v_mc", "item_id", f"question, {_LIST.format('choices')}, CAST(answer AS VARCHAR), subject"),
+    "gsm8k": ("v_gsm", "l_orderkey", "question, answer"),
+    "humaneval": ("v_code", "item_id", "'T/' || item_id, prompt, completion, entry_point, test"),
+    "smoltalk": ("(SELECT conv_id, string_agg(role || ':' || text, ',' ORDER BY turn) AS m FROM conversations GROUP BY conv_id)", "conv_id", "m"),
+    "math500": ("v_math", "item_id", "problem, answer, 'Algebra', CAST(item_id % 5 + 1 AS VARCHAR)"),
+    "gpqa": ("v_gpqa", "item_id", "Question, correct, incorrect1, incorrect2, incorrect3, domain, subdomain"),
+    "mbppplus": ("v_code", "item_id", f"CAST(item_id AS VARCHAR), prompt, completion, {_LIST.format('test_imports')}, {_LIST.format('test_list')}, test"),
+}
+_VALUES_SQL = f"WITH {DV.V_MC}, {DV.V_GSM}, {DV.V_CODE}, {DV.V_MATH}, {DV.V_GPQA} " + " UNION ALL ".join(
+    f"""SELECT '{n}' AS name, count(*) AS n, CAST(sum({i}) AS BIGINT) AS ids, count(*) AS n_valid,
+       CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {row})), 1, 8) AS BIGINT)) AS BIGINT) AS row_hashes FROM {t}""" for n, (t, i, row) in _ROWS_SQL.items())
 
 
-@register("read_benchmark", _COUNTS)
+def _values(name):
+    """The columns of a benchmark as texts."""
+    return {
+        "arc": ["question", F.array_join("choices.text", ","), F.array_join("choices.label", ","), "answerKey"],
+        "mmlu": ["question", F.array_join("choices", ","), F.col("answer").cast("string"), "subject"],
+        "gsm8k": ["question", "answer"],
+        "humaneval": ["task_id", "prompt", "canonical_solution", "entry_point", "test"],
+        "smoltalk": [F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), ",")],
+        "math500": ["problem", "answer", "subject", F.col("level").cast("string")],
+        "gpqa": [f"`{c}`" for c in RD.BENCHMARKS["gpqa"]],
+        "mbppplus": [F.col("task_id").cast("string"), "prompt", "code", F.array_join("test_imports", ","), F.array_join("test_list", ","), "test"],
+    }[name]
+
+
+@register("read_benchmark", _VALUES_SQL)
 def read_benchmark_q(spark, sf):
-    """A11 for all eight benchmarks: written as JSON lines or Parquet, read back and checked."""
+    """A11 for all eight benchmarks: written as JSON lines or Parquet, read back and checked, with a sum of hashes of all values."""
     out = None
     for i, (name, (df, subset)) in enumerate(_benchmarks(spark, sf).items()):
         # gpqa's column names hold blanks, which Parquet and JSON both keep
         path = _folder(spark, f"{name}.{'jsonl' if i % 2 else 'parquet'}")
         (df.write.option("ignoreNullFields", "false").json if i % 2 else df.write.parquet)(path)
         b = RD.read_benchmark(spark, path, name, subset, keep=("id",))
-        one = b.agg(F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("ids"), F.sum(F.col("valid").cast("bigint")).alias("n_valid"))
-        one = one.select(F.lit(name).alias("name"), "n", "ids", "n_valid")
+        row = F.md5(F.concat_ws("|", *_values(name)))
+        one = b.agg(F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("ids"), F.sum(F.col("valid").cast("bigint")).alias("n_valid"),
+                    F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint")).alias("row_hashes"))
+        one = one.select(F.lit(name).alias("name"), "n", "ids", "n_valid", "row_hashes")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+_HASH_SQL = "CAST(sum(CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)) AS BIGINT)"
+
+
 @register("read_files", f"""WITH {DV.V_MC}, {DV.V_ICL_BASE}, {DV.V_ICL_MC}, {DV.V_WORDS},
-c AS (SELECT conv_id, count(*) AS n, bool_and(role = CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END) AS ok FROM conversations GROUP BY conv_id)
-SELECT 'conversations' AS what, count(*) AS n, CAST(sum(CAST(ok AND n >= 2 AS INT)) AS BIGINT) AS n_good FROM c
-UNION ALL SELECT 'icl', count(*), CAST(sum(CASE WHEN item_id % 5 = 0 THEN 0 ELSE gold + 1 END) AS BIGINT) FROM v_icl_mc
-UNION ALL SELECT 'baselines', count(*), CAST(sum(length(subject)) AS BIGINT) FROM (SELECT DISTINCT subject FROM v_mc)
-UNION ALL SELECT 'words', count(*), CAST(sum(length(word)) AS BIGINT) FROM v_words""")
+c AS (SELECT conv_id, count(*) AS n, bool_and(role = CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END) AS ok,
+             string_agg(role || ':' || text, ',' ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
+g AS (SELECT query, choices, CASE WHEN item_id % 5 = 0 THEN -1 ELSE gold END AS gold FROM v_icl_mc),
+b AS (SELECT DISTINCT subject FROM v_mc)
+SELECT 'conversations' AS what, count(*) AS n, CAST(sum(CAST(ok AND n >= 2 AS INT)) AS BIGINT) AS n_good,
+       {_HASH_SQL.format("CASE WHEN ok AND n >= 2 THEN m ELSE '' END")} AS row_hashes FROM c
+UNION ALL SELECT 'icl', count(*), CAST(sum(gold + 1) AS BIGINT), {_HASH_SQL.format("concat_ws('|', query, array_to_string(choices, ','), CAST(gold AS VARCHAR))")} FROM g
+UNION ALL SELECT 'baselines', count(*), CAST(sum(length(subject)) AS BIGINT), {_HASH_SQL.format("subject || '|' || length(subject)")} FROM b
+UNION ALL SELECT 'words', count(*), CAST(sum(length(word)) AS BIGINT), {_HASH_SQL.format("word")} FROM v_words""")
 def read_files_q(spark, sf):
     """A8, A9, A10 (csv) and A12 through their file entry points."""
     conv = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(
@@ -84,12 +118,18 @@ def read_files_q(spark, sf):
     (v_mc(spark, sf).select(F.col("subject").alias("Eval Task"), F.length("subject").cast("double").alias("Random baseline")).distinct()
      .write.option("header", True).csv(paths["baselines"]))
     v_words(spark, sf).select(F.concat(F.lit(" "), "word", F.lit("\t")).alias("value")).write.text(paths["words"])
-    a = RD.read_conversations_jsonl(spark, paths["conversations"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_valid").cast("bigint")).alias("n_good"))
-    b = RD.read_icl_items(spark, paths["icl"], "multiple_choice").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("gold") + 1).cast("bigint")).alias("n_good"))
-    c = RD.read_baselines(spark, paths["baselines"]).agg(F.count(F.lit(1)).alias("n"), F.sum("baseline_pct").cast("bigint").alias("n_good"))
-    d = RD.read_word_list(spark, paths["words"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).cast("bigint").alias("n_good"))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), ",")
+
+    def totals(df, good, row):
+        hashed = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")
+        return df.agg(F.count(F.lit(1)).alias("n"), F.sum(good.cast("bigint")).alias("n_good"), F.sum(hashed).alias("row_hashes"))
+    a = totals(RD.read_conversations_jsonl(spark, paths["conversations"]), F.col("is_valid"), F.coalesce(said, F.lit("")))
+    b = totals(RD.read_icl_items(spark, paths["icl"], "multiple_choice"), F.col("gold") + 1,
+               F.concat_ws("|", "query", F.array_join("choices", ","), F.col("gold").cast("string")))
+    c = totals(RD.read_baselines(spark, paths["baselines"]), F.col("baseline_pct"), F.concat_ws("|", "task", F.col("baseline_pct").cast("int").cast("string")))
+    d = totals(RD.read_word_list(spark, paths["words"]), F.length("word"), F.col("word"))
     out = None
     for name, one in (("conversations", a), ("icl", b), ("baselines", c), ("words", d)):
-        one = one.select(F.lit(name).alias("what"), "n", "n_good")
+        one = one.select(F.lit(name).alias("what"), "n", "n_good", "row_hashes")
         out = one if out is None else out.unionByName(one)
     return out
