@@ -41,7 +41,7 @@ _OTHER = mix(_BYTE + np.uint64(99))
 _UNIT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")  # a word with the white space before it
 _PUNCTUATION, _ALNUM = string.punctuation.encode(), frozenset((string.ascii_letters + string.digits).encode())
 #: bytes of the memo of a worker, with what Python takes for an entry
-MEMO_BYTES, ENTRY_BYTES = 48 << 20, 320
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 320
 
 
 class Codec:
@@ -246,12 +246,13 @@ def _joins_agree(codec: Codec, raw: bytes, cuts: np.ndarray, spans: list[tuple[i
 
 
 def _leaving(run):
-    """A task that leaves no codec behind: idle workers would hold it while other operators run."""
+    """A task that leaves no memo behind: idle workers would hold it while other operators run."""
     def task(batches):
         try:
             yield from run(batches)
         finally:
-            Codec.open_files.clear()
+            for codec in Codec.open_files.values():
+                codec.memo = {}
             release_memory()
     return task
 
