@@ -15,42 +15,52 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, exactly or as a paraphrase, with the passage and how it was found."""
     return lsa_decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and hashes of the ids and of the decoded text of every document."""
     return chunk_bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior and score of every document, and whether the scorer keeps it."""
     return weak_quality.quality(table(spark, sf_dir, "documents"))
 
 
 def op4_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor of every vector."""
     return sorted_passes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op5_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that stand earlier too."""
     return suffix_cover.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count, component and class of every document."""
     return partenum.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, record type and target of every page's record, as read back from the archives."""
     return warc_dict.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and prediction of every document, and whether its label was held out."""
     return ftrl_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by kind in every document, with their spans."""
     return markov_secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return page_diff.extract(table(spark, sf_dir, "pages"))
 
 

@@ -138,6 +138,36 @@ def test_article_text():
     assert [x for x, i in zip(lines, inside, strict=True) if i] == ["Head & 7", "One two three four <x>", "Second 7", "item", "a b"]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p class="share-price">Shares rose</p><div id="comments-on-war">War</div><div class="comment-list">c</div><div id="disqus_thread">d</div></article>',
+     ["Shares rose", "War"]),
+    ("<article><p>One</p><aside>note<p>Two</p></article><article><p>Three</p></article>", ["One", "Three"]),
+    ("<article><p>One</p><div><form>ask<div>x</div><input></div><p>Two</p></article><footer>f</footer>", ["One", "Two"]),
+    ('<article><section><div class="ad"><div>x</div>y</section><p>Two</p></article>', ["Two"]),
+    ("<article><ul><li>a<aside>n<li>b</li></aside></li><li>c</ul></article>", ["a", "c"]),
+    ("<nav><div>open<article><p>One</p></article>", ["One"]),
+])
+def test_boilerplate_ends_with_what_is_around_it(page, text):
+    lines, inside = page_diff.blocks(page)
+    assert [x for x, i in zip(lines, inside, strict=True) if i] == text
+
+
+def test_near_copies_on_a_host_keep_their_text(spark):
+    body = "".join(f"<p>Paragraph {i} of a long text that both pages hold.</p>" for i in range(6))
+    rows = [(1, "http://a.org/x/1", f"<div>Menu</div>{body}<p>Left end</p>"), (2, "http://a.org/x/2", f"<div>Menu</div>{body}<p>Right end</p>"),
+            (3, "http://b.org/x/1", f"<div>Menu</div>{body}<p>Left end</p>"), (4, "http://b.org/x/2", f"<div>Menu</div>{body}<p>Right end</p>"),
+            (5, "http://b.org/x/3", "<div>Menu</div><p>Another text altogether.</p>")]
+    got = {r["page_id"]: r["text"].split("\n") for r in page_diff.extract(_pages(spark, rows)).collect()}
+    assert len(got[1]) == len(got[2]) == 8 and got[1][0] == "Menu" and got[5] == ["Another text altogether."]
+    assert len(got[4]) == 7 and got[4][0].startswith("Paragraph 0") and len(got[3]) == 8  # 3 has the copy for its only neighbour
+
+
+def test_alignment_of_long_pages_is_bounded():
+    a, b = list(range(3_000)), [x for x in range(3_000) if x % 3] + [5] * 2_000
+    on = page_diff.shared(a, b)
+    assert sum(on) == 2_000 and not any(on[::3])
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p <b>x", "<!-- open", "<script>never closed", "<article><nav>open<p>x", "a &#xD800; &bogus; b" * 3, "<nav>x<article>y",
                                   "<p>" * 5000 + "x", "'\"" * 4000 + "<a '" * 2000])
 def test_malformed_pages(page):
