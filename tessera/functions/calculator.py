@@ -15,6 +15,11 @@ _WHOLE, _VALUE = "decimal(38,0)", "struct<i:decimal(38,0),d:double>"
 _FRAME = f"struct<sum:{_VALUE},add:int,term:{_VALUE},op:string,sign:int>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that stands in the expression, and is evaluated, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _value(i: Column, d: Column) -> Column:
     return F.struct(i.cast(_WHOLE).alias("i"), d.cast("double").alias("d"))
 
@@ -38,27 +43,32 @@ def _try(name: str, a: Column, b: Column) -> Column:
     return F.call_function(name, a, b)
 
 
-def _floor_div(a: Column, b: Column) -> tuple[Column, Column]:
-    """Python's ``//`` on whole numbers (of what the remainder, with the divisor's sign, leaves) and on floats."""
-    zero = F.lit(0).cast(_WHOLE)
-    r = _try("try_mod", a["i"], b["i"])
-    r = F.when((r != zero) & ((r < zero) != (b["i"] < zero)), r + b["i"]).otherwise(r)
-    x, y = _float(a), _float(b)
-    m = _try("try_mod", x, y)
-    div = (x - m) / y - F.when((m != 0) & ((m < 0) != (y < 0)), 1.0).otherwise(0.0)
-    low = F.when(F.abs(div) < 2.0 ** 53, F.floor(div).cast("double")).otherwise(div)
-    floats = F.when(div == 0, x / y * 0.0).otherwise(low + F.when(div - low > 0.5, 1.0).otherwise(0.0))  # a zero keeps its sign
-    return _try("try_divide", a["i"] - r, b["i"]), F.when(y != 0, floats)
+def _floor_div_whole(p: Column) -> Column:
+    """Python's ``//`` on whole numbers: what the remainder, with the divisor's sign, leaves."""
+    zero, a, b = F.lit(0).cast(_WHOLE), p["a"]["i"], p["b"]["i"]
+    return _let(_try("try_mod", a, b), lambda r: _try(
+        "try_divide", a - F.when((r != zero) & ((r < zero) != (b < zero)), r + b).otherwise(r), b).cast(_WHOLE))
+
+
+def _floor_div_float(x: Column, y: Column) -> Column:
+    """Python's ``//`` on floats; a zero keeps its sign."""
+    def of(q: Column) -> Column:
+        low = F.when(F.abs(q) < 2.0 ** 53, F.floor(q).cast("double")).otherwise(q)
+        return F.when(q == 0, x / y * 0.0).otherwise(_let(low, lambda n: n + F.when(q - n > 0.5, 1.0).otherwise(0.0)))
+    quotient = _let(_try("try_mod", x, y), lambda m: (x - m) / y - F.when((m != 0) & ((m < 0) != (y < 0)), 1.0).otherwise(0.0))
+    return F.when(y != 0, _let(quotient, of))
 
 
 def _apply(op: Column, a: Column, b: Column) -> Column:
-    both = _whole(a, b)
-    x, y = _float(a), _float(b)
-    wholes, floats = _floor_div(a, b)
-    i = F.when(both, F.when(op == "*", _try("try_multiply", a["i"], b["i"])).when(op == "//", wholes)
-               .when(op == "+", _try("try_add", a["i"], b["i"])).when(op == "-", _try("try_subtract", a["i"], b["i"])))
-    d = F.when(op == "/", _try("try_divide", x, y)).when(~both, F.when(op == "*", x * y).when(op == "//", floats).when(op == "+", x + y).otherwise(x - y))
-    return _value(i, d)
+    def of(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        both = _whole(a, b)
+        i = F.when(both, F.when(op == "*", _try("try_multiply", a["i"], b["i"]).cast(_WHOLE)).when(op == "//", _floor_div_whole(p))
+                   .when(op == "+", _try("try_add", a["i"], b["i"]).cast(_WHOLE)).when(op == "-", _try("try_subtract", a["i"], b["i"]).cast(_WHOLE)))
+        d = _let(F.struct(_float(a).alias("x"), _float(b).alias("y")), lambda f: F.when(op == "/", _try("try_divide", f["x"], f["y"])).when(
+            ~both, F.when(op == "*", f["x"] * f["y"]).when(op == "//", _floor_div_float(f["x"], f["y"])).when(op == "+", f["x"] + f["y"]).otherwise(f["x"] - f["y"])))
+        return _value(i, d)
+    return _let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def _frame(**fields: Column) -> Column:
@@ -72,9 +82,11 @@ def _closed(f: Column) -> Column:
 
 def _with_operand(f: Column, v: Column) -> Column:
     """The frame with a value as its next factor, after the signs before it."""
-    v = F.when(f["sign"] == 1, v).otherwise(_value(-v["i"], -v["d"]))
-    term = F.when(f["term"].isNull(), v).otherwise(_apply(f["op"], f["term"], v))
-    return _frame(sum=f["sum"], add=f["add"], term=term, op=_null("string"), sign=F.lit(1))
+    def of(x: Column) -> Column:
+        signed = F.when(f["sign"] == 1, x).otherwise(_value(-x["i"], -x["d"]))
+        term = F.when(f["term"].isNull(), signed).otherwise(_apply(f["op"], f["term"], signed))
+        return _frame(sum=f["sum"], add=f["add"], term=term, op=_null("string"), sign=F.lit(1))
+    return _let(v, of)
 
 
 def _literal(t: Column) -> Column:
@@ -112,27 +124,31 @@ def evaluate(expr: Column) -> Column:
 
 
 def float_text(d: Column) -> Column:
-    """A float as Python's ``str`` writes it: the fewest digits that give it back, plain from 1e-4 up to 1e16."""
+    """A float as Python's ``str`` writes it: the fewest digits that give it back (of numbers under 1e-307 maybe
+    one more), plain from 1e-4 up to 1e16."""
+    def written(short: Column) -> Column:
+        minus = F.when(short.startswith("-"), "-").otherwise("")
+        digits = F.regexp_replace(F.replace(F.regexp_extract(short, "^-?([0-9.]+)e", 1), F.lit("."), F.lit("")), "(?<=.)0+$", "")
+        power = F.regexp_extract(short, "e([-+][0-9]+)$", 1).cast("int")
+        return _let(F.struct(minus.alias("m"), digits.alias("d"), power.alias("p"), F.abs(power).cast("string").alias("e")), placed)
+
+    def placed(x: Column) -> Column:
+        digits, power, n = x["d"], x["p"], F.length(x["d"])
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        science = F.concat(F.substring(digits, 1, 1), rest, F.when(power < 0, "e-").otherwise("e+"), F.lpad(x["e"], F.greatest(F.length(x["e"]), F.lit(2)), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        large = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."),
+                         F.when(n > power + 1, F.substring(digits, power + 2, n)).otherwise("0"))
+        plain = F.when(power < 0, small).otherwise(large)
+        return F.concat(x["m"], F.when((power < -4) | (power >= 16), science).otherwise(plain))
     tries = [F.format_string(f"%.{k}e", d) for k in (14, 15, 16)]
     short = F.when(tries[0].cast("double") == d, tries[0]).when(tries[1].cast("double") == d, tries[1]).otherwise(tries[2])
-    minus = F.when(short.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.replace(F.regexp_extract(short, "^-?([0-9.]+)e", 1), F.lit("."), F.lit("")), "(?<=.)0+$", "")
-    power = F.regexp_extract(short, "e([-+][0-9]+)$", 1).cast("int")
-    n = F.length(digits)
-    rest = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-    science = F.concat(F.substring(digits, 1, 1), rest, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    large = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."),
-                     F.when(n > power + 1, F.substring(digits, power + 2, n)).otherwise("0"))
-    plain = F.when(power < 0, small).otherwise(large)
-    return (F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf")
-            .when((power < -4) | (power >= 16), F.concat(minus, science)).otherwise(F.concat(minus, plain)))
+    return (F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").otherwise(_let(short, written)))
 
 
 def arithmetic(expr: Column) -> Column:
     """Python's ``str`` of the value of an arithmetic expression, null where it has none."""
-    v = F.transform(F.array(evaluate(expr)), lambda x: F.when(x["i"].isNotNull(), x["i"].cast("string")).when(x["d"].isNotNull(), float_text(x["d"])))
-    return F.get(v, F.lit(0))
+    return _let(evaluate(expr), lambda x: F.when(x["i"].isNotNull(), x["i"].cast("string")).when(x["d"].isNotNull(), float_text(x["d"])))
 
 
 # ---------------------------------------------------------------- counts in strings
