@@ -103,7 +103,7 @@ def corpus_feed(spark, sf):
     out = f"{folder}/feed"
     n = table(spark, sf, "documents", spread=False).count()
     for epochs in (1, 2):
-        feed.run_to_end(feed.corpus_feed(spark, folder, groups_per_batch=max(50, n // 32), epochs=epochs), f"{out}/rows", f"{out}/progress")
+        feed.run_to_end(feed.corpus_feed(spark, folder, groups_per_batch=max(50, n // 16), epochs=epochs, groups_per_task=32), f"{out}/rows", f"{out}/progress")
     rows = spark.read.schema(feed.FEED).parquet(f"{out}/rows")
     return rows.groupBy("epoch", "shard", "pq_idx", "rg_idx").agg(F.count(F.lit(1)).alias("n_docs"), F.min("pos").alias("first_pos"),
                                                                  _hashes().alias("texts_md5"))

@@ -26,18 +26,21 @@ FEED = "text string, shard string, epoch bigint, pq_idx bigint, rg_idx bigint, p
 BATCH_ROWS = 1024
 
 
-class RowGroup(InputPartition):
-    def __init__(self, file: str, epoch: int, pq_idx: int, rg_idx: int, first: int):
-        self.file, self.epoch, self.pq_idx, self.rg_idx, self.first = file, epoch, pq_idx, rg_idx, first
+class RowGroups(InputPartition):
+    """What one task reads: (file, epoch, pq_idx, rg_idx, first row) of each row group."""
+
+    def __init__(self, groups: list[tuple[str, int, int, int, int]]):
+        self.groups = groups
 
 
 class CorpusReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.column = options["path"], options.get("column", "text")
         self.per_batch, self.epochs = int(options.get("groups_per_batch", "64")), int(options.get("epochs", "0"))
+        self.per_task = int(options.get("groups_per_task", "1"))
         self.rank, self.world = int(options.get("rank", "0")), int(options.get("world", "1"))
-        if self.per_batch < 1 or not 0 <= self.rank < self.world:
-            raise ValueError("need groups_per_batch >= 1 and 0 <= rank < world")
+        if self.per_batch < 1 or self.per_task < 1 or not 0 <= self.rank < self.world:
+            raise ValueError("need groups_per_batch >= 1, groups_per_task >= 1 and 0 <= rank < world")
         split = options.get("split", "all")
         files = shard_files(self.path)
         if split not in ("all", "train", "val"):
@@ -90,22 +93,20 @@ class CorpusReader(DataSourceStreamReader):
         at, out = self._settled((start["epoch"], start["pq_idx"], start["rg_idx"])), []
         while at < stop and not self._ended(at):
             if at[2] % self.world == self.rank:
-                out.append(RowGroup(self.files[at[1]], *at, self._starts(at[1])[at[2]]))
+                out.append((self.files[at[1]], *at, self._starts(at[1])[at[2]]))
             at = self._settled((at[0], at[1], at[2] + 1))
-        return out
+        return [RowGroups(out[i:i + self.per_task]) for i in range(0, len(out), self.per_task)]
 
-    def read(self, partition: RowGroup):
-        p = partition
+    def read(self, partition: RowGroups):
         fs, _ = file_system(self.path)
-        with fs.open_input_file(p.file) as f:
-            group, pos = pq.ParquetFile(f), p.first
-            for b in group.iter_batches(BATCH_ROWS, row_groups=[p.rg_idx], columns=[self.column]):
-                n = b.num_rows
-                same = lambda x: pa.array(np.full(n, x, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([p.file.rpartition("/")[2]] * n), same(p.epoch), same(p.pq_idx),
-                                                  same(p.rg_idx), pa.array(np.arange(pos, pos + n))],
-                                                 ["text", "shard", "epoch", "pq_idx", "rg_idx", "pos"])
-                pos += n
+        for file, epoch, pq_idx, rg_idx, pos in partition.groups:
+            with fs.open_input_file(file) as f:
+                for b in pq.ParquetFile(f).iter_batches(BATCH_ROWS, row_groups=[rg_idx], columns=[self.column]):
+                    n = b.num_rows
+                    same = [pa.array(np.full(n, x, np.int64)) for x in (epoch, pq_idx, rg_idx)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([file.rpartition("/")[2]] * n), *same,
+                                                      pa.array(np.arange(pos, pos + n))], ["text", "shard", "epoch", "pq_idx", "rg_idx", "pos"])
+                    pos += n
 
 
 class CorpusSource(DataSource):
@@ -121,9 +122,10 @@ class CorpusSource(DataSource):
 
 
 def corpus_feed(spark: SparkSession, path: str, groups_per_batch: int = 64, epochs: int | None = None, split: str = "all", rank: int = 0,
-                world: int = 1, column: str = "text") -> DataFrame:
+                world: int = 1, column: str = "text", groups_per_task: int = 1) -> DataFrame:
     """A17 over the ``*.parquet`` shards of a folder: (text, shard, epoch, pq_idx, rg_idx, pos), ``groups_per_batch`` row groups
-    a micro-batch, epochs from 1 on, without end unless ``epochs`` is given.
+    a micro-batch, ``groups_per_task`` of them a task (more than one where they are small), epochs from 1 on, without end
+    unless ``epochs`` is given.
 
     ``split``: all shards, all but the last by name (train) or the last (val).  A rank of ``world`` gets the row groups
     with ``rg_idx % world == rank`` (A3).  Shards are listed when the query starts; a resumed query expects the same list.
@@ -134,7 +136,8 @@ def corpus_feed(spark: SparkSession, path: str, groups_per_batch: int = 64, epoc
     try:
         spark.dataSource.register(CorpusSource)
         reader = spark.readStream.format(NAME).option("path", path).option("column", column)
-        options = {"groups_per_batch": groups_per_batch, "epochs": epochs or 0, "split": split, "rank": rank, "world": world}
+        options = {"groups_per_batch": groups_per_batch, "epochs": epochs or 0, "split": split, "rank": rank, "world": world,
+                   "groups_per_task": groups_per_task}
         return reader.options(**{k: str(v) for k, v in options.items()}).load()
     finally:
         for module in (rowgroups, sys.modules[__name__]):

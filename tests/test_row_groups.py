@@ -63,7 +63,7 @@ def test_feed_keeps_the_order_and_resumes(spark, folder, tmp_path):
     assert [len({x[1:4] for x in first if x[0] == b}) for b in range(max(x[0] for x in first) + 1)] == [2, 2, 2, 2, 1]
     rest = run(spark, folder, tmp_path / "p", groups_per_batch=4, epochs=3)  # resumed from the checkpoint
     assert [x[1:4] for x in rest] == groups(names, (2, 3)) and min(x[0] for x in rest) > max(x[0] for x in first)
-    once = run(spark, folder, tmp_path / "q", groups_per_batch=100, epochs=3)
+    once = run(spark, folder, tmp_path / "q", groups_per_batch=100, epochs=3, groups_per_task=4)
     assert [x[1:] for x in once] == [x[1:] for x in first + rest]
     for _, _, shard, group, texts in once:
         start = sum(SHARDS[names[shard]][:group])
