@@ -114,5 +114,18 @@ SELECT page_id, payload_bytes,
                        ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM b"""
 
-ORACLE = {"op4_sorted_passes": NEAR_VECTORS, "op6_partenum_join": JACCARD, "op7_warc_dictionary": WARC, "op11_spelling_index": SPELLING, "op12_quality_rules": QUALITY,
-          "op13_hard_negatives": HARD_NEGATIVES}
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM g) WHERE r > 1),
+marked AS (SELECT doc_id, p, CAST(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS INT) AS starts FROM later),
+runs AS (SELECT doc_id, p, sum(coalesce(starts, 0)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans),
+kept AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS b
+         FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * b + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLE = {"op4_sorted_passes": NEAR_VECTORS, "op5_suffix_cover": REPEATS, "op6_partenum_join": JACCARD, "op7_warc_dictionary": WARC,
+          "op11_spelling_index": SPELLING, "op12_quality_rules": QUALITY, "op13_hard_negatives": HARD_NEGATIVES}
