@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, ensure_shipped
 
 HEAD = 1 << 16  # pairs whose counts the driver holds
-SAMPLE = 1 << 18  # most frequent pieces, on which the driver guesses the next merges
+SAMPLE = 1 << 19  # most frequent pieces, on which the driver guesses the next merges
 GUESS = 256  # merges guessed a round
 REWRITE = 192  # merges after which the blocks are written anew
 BLOCK_TOKENS = 1 << 19
@@ -53,11 +53,11 @@ class Pieces:
 
     def __init__(self, tokens: np.ndarray, weights: np.ndarray, first_new: int):
         """``tokens``: all pieces, each followed by -1.  ``first_new``: id of the next token to be made."""
-        self.x = np.concatenate([[-1], tokens]).astype(np.int64)
+        self.x = np.concatenate([[-1], tokens]).astype(np.int32)
         ends = np.flatnonzero(self.x == -1)
         self.w = np.concatenate([[0], np.repeat(weights, np.diff(ends))]).astype(np.int64)
-        self.next = np.minimum(np.arange(1, len(self.x) + 1), len(self.x) - 1)
-        self.prev = np.maximum(np.arange(-1, len(self.x) - 1), 0)
+        self.next = np.minimum(np.arange(1, len(self.x) + 1), len(self.x) - 1).astype(np.int32)
+        self.prev = np.maximum(np.arange(-1, len(self.x) - 1), 0).astype(np.int32)
         self.first_new = first_new
         self.records: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.records[-1] = self._record(np.arange(len(self.x)))
@@ -72,7 +72,7 @@ class Pieces:
         at = at[self.x[at] >= 0]
         b = self.x[self.next[at]]
         at, b = at[b >= 0], b[b >= 0]
-        return pair_key(self.x[at], b), at
+        return pair_key(self.x[at].astype(np.int64), b.astype(np.int64)), at.astype(np.int32)
 
     def _record(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, at = self._pairs(at)
