@@ -118,12 +118,9 @@ def _sample(docs: DataFrame, key: str, size: int) -> DataFrame:
     return written(chosen.limit(size).coalesce(1))
 
 
-def plan(sample: DataFrame, rules: dict[str, Column]) -> list[tuple[str, float, int]]:
-    """(rule, seconds, rejected among the rows left) in the order of the cascade.  ``sample``: a bounded table in one
-    partition.  A rule costs at least a fifth of an empty job, and counts as rejecting half a row more, so that of rules that reject none the cheapest comes first;
-    ties, and an empty sample, keep the given order."""
-    fails = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
-
+def costs(sample: DataFrame, rules: dict[str, Column]) -> dict[str, float]:
+    """Seconds that each rule takes on the sample, the best of three runs, less those of a job without a rule; a fifth
+    of these at least, as smaller differences are the clock's noise."""
     def seconds(job: DataFrame) -> float:
         best = []
         for _ in range(3):
@@ -131,12 +128,19 @@ def plan(sample: DataFrame, rules: dict[str, Column]) -> list[tuple[str, float,
             job.collect()
             best.append(time.perf_counter() - start)
         return min(best)
+    nothing = seconds(sample.agg(F.count(F.lit(1))))
+    return {name: max(seconds(sample.agg(F.count_if(rule))) - nothing, 0.2 * nothing) for name, rule in rules.items()}
+
+
+def plan(sample: DataFrame, rules: dict[str, Column], cost: dict[str, float] | None = None) -> list[tuple[str, float, int]]:
+    """(rule, seconds, rejected among the rows left) in the order of the cascade.  ``sample``: a bounded table in one
+    partition; ``cost``: seconds by rule, measured there if not given.  A rule counts as rejecting half a row more,
+    so that of rules that reject none the cheapest comes first; ties, and an empty sample, keep the given order."""
+    fails = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
     patterns = sample.groupBy(*[f.alias(n) for n, f in fails.items()]).agg(F.count(F.lit(1)).alias("n")).collect()
     if not patterns:
         return [(name, 0.0, 0) for name in fails]
-    nothing = seconds(sample.agg(F.count(F.lit(1))))
-    least = 0.2 * nothing  # smaller differences are the clock's noise
-    cost = {name: max(seconds(sample.agg(F.count_if(f))) - nothing, least) for name, f in fails.items()}
+    cost = costs(sample, fails) if cost is None else cost
     order, left = [], [(r.asDict(), r["n"]) for r in patterns]
     while len(order) < len(fails):
         chosen = {name for name, _, _ in order}
