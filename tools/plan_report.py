@@ -17,7 +17,7 @@ from tessera.plans import catalog  # noqa: E402
 from tessera.session import build_session  # noqa: E402
 
 JOINS = ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct")
-PY = ("ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "BatchEvalPython")
+PY = ("ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "BatchEvalPython", "TransformWithState")
 
 
 def main():
