@@ -187,6 +187,14 @@ def test_shared_blocks_of_near_urls_are_deleted(spark):
     assert got[62]["text"] == got[63]["text"] != "" and got[64]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_pages_with_an_article_are_aligned_too(spark):
+    page = lambda i: f"<div>Top</div><article><h1>Head {i}</h1><p>Quote.</p><p>Text {i}</p></article>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in (1, 2, 2)] + [(9, "http://b.org/", page(9))]
+    got = sorted((r["page_id"], r["text"], r["n_shared"]) for r in page_diff.extract(_pages(spark, rows)).collect())
+    text = lambda i: f"Head {i}\nQuote.\nText {i}"
+    assert got == [(1, text(1), 2), (2, text(2), 2), (2, text(2), 2), (9, text(9), 0)]
+
+
 def test_shared_is_a_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(300):
