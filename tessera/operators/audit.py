@@ -36,17 +36,24 @@ def calculator_kind(expr) -> Column:
             .when(e.rlike(_only(STRING_CHARS)) & ~danger & e.contains(".count("), F.lit("string")))
 
 
-_WHOLE = r"^ *(0|[1-9][0-9]{0,8}) *([-+*]) *(0|[1-9][0-9]{0,8}) *$"  # two whole numbers and one operator: no fold
+def _whole(e: Column) -> Column:
+    """The result where ``e`` is two whole numbers of at most nine digits and one of ``+-*``, with blanks around them, without a
+    regex; else null."""
+    op = F.translate(e, "0123456789 ", "")
 
+    def number(n):
+        x = F.trim(F.call_function("substring_index", e, op, F.lit(n)))
+        value = x.try_cast("bigint")  # of other spellings, such as 007, the digits differ from the value's
+        return F.when((F.length(x) <= 9) & (value.cast("string") == x), value)
+    a, b = number(1), number(-1)
+    return F.when(op == "*", a * b).when(op == "+", a + b).when(op == "-", a - b).cast("string")
 
-def use_calculator(expr) -> Column:
-    """The calculator result as text (null when rejected or failing)."""
+
+def use_calculator(expr, kind: Column | None = None) -> Column:
+    """The calculator result as text (null when rejected or failing); ``kind``, if the caller has it, is ``calculator_kind``."""
     e = F.replace(F.col(expr) if isinstance(expr, str) else expr, F.lit(","), F.lit(""))
-    a, op, b = (F.regexp_extract(e, _WHOLE, i) for i in (1, 2, 3))
-    a, b = a.try_cast("bigint"), b.try_cast("bigint")
-    whole = F.when(op == "+", a + b).when(op == "-", a - b).otherwise(a * b).cast("string")
-    kind = calculator_kind(e)
-    return F.when(e.rlike(_WHOLE), whole).when(kind == "arith", arithmetic(e)).when(kind == "string", string_count(e))
+    kind = calculator_kind(e) if kind is None else kind
+    return F.coalesce(_whole(e), F.when(kind == "arith", arithmetic(e)).when(kind == "string", string_count(e)))
 
 
 def tool_calls(parts) -> Column:
@@ -62,5 +69,5 @@ def audit_tool_calls(df: DataFrame, parts: str = "parts") -> DataFrame:
     """One row per recorded call with its recomputed result and agreement."""
     calls = df.select("*", F.posexplode(tool_calls(parts)).alias("call_no", "call")).drop(parts)
     calls = calls.withColumn("expr", F.col("call.expr")).withColumn("recorded", F.col("call.recorded")).drop("call")
-    return (calls.withColumn("kind", calculator_kind("expr")).withColumn("recomputed", use_calculator("expr"))
+    return (calls.withColumn("kind", calculator_kind("expr")).withColumn("recomputed", use_calculator("expr", F.col("kind")))
             .withColumn("agrees", F.coalesce(F.col("recomputed") == F.col("recorded"), F.lit(False))))

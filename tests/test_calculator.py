@@ -82,3 +82,11 @@ def test_no_row_leaves_the_jvm(spark):
     out = df.select(AU.use_calculator("a").alias("a"), AU.use_calculator("b").alias("b"), AU.use_calculator(F.lit("2**9")).alias("c"))
     assert tuple(out.first()) == ("2.25", "1", None)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_numbers_need_no_regex(spark):
+    rows = ["12*3", " 7 + 8 ", "5-9", "1,000*2", "007*2", "1 2*3", "1+2+3", "12*", "*", "", "1234567890*2", "999999999*999999999", "3*-2", "0-0", "2**3", None]
+    df = spark.createDataFrame([(x,) for x in rows], "expr string")
+    got = [r[0] for r in df.coalesce(1).select(AU._whole(F.replace("expr", F.lit(","), F.lit("")))).collect()]
+    assert got == ["36", "15", "-4", "2000", *[None] * 7, "999999998000000001", None, "0", None, None]
+    assert "rlike" not in AU._whole(F.col("expr"))._jc.toString().lower()
