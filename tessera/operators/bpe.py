@@ -3,8 +3,8 @@ lists (E3) and decoding by offsets (E4).
 
 Training.  The corpus is reduced to distinct pieces with counts, kept as blocks of token arrays.
 The driver holds exact counts of the most frequent pairs only (``HEAD``); every other pair has at
-most ``bound`` occurrences.  A round guesses the next merges on a bounded sample of the pieces,
-lets every block carry them out in that order and report by how much each merge changes which
+most ``bound`` occurrences.  A round guesses the next merges on a bounded sample of the pieces (the
+most frequent ones, and some of the others for all of them), as many as the last rounds got right, lets every block carry them out in that order and report by how much each merge changes which
 counts, and replays the merges against these exact changes: what is accepted are the merges that
 one pair at a time would choose, in that order.  A wrong guess costs a round, never the result.
 """
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, ensure_shipped
 
 HEAD = 1 << 16  # pairs whose counts the driver holds
-SAMPLE = 1 << 19  # most frequent pieces, on which the driver guesses the next merges
-GUESS = 256  # merges guessed a round
+SAMPLE = 1 << 19  # pieces on which the driver guesses the next merges
+GUESS, GUESS_LEAST = 256, 32  # merges guessed a round
 REWRITE = 192  # merges after which the blocks are written anew
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 21  # a merge costs a block some calls on arrays, however few its places are
 MEMO_BYTES = 32 << 20  # pieces and ids that a worker remembers while it encodes
 _BITS = 32
 
@@ -51,8 +51,9 @@ class Pieces:
     those recorded when the newer of its tokens was made, or at the start.
     """
 
-    def __init__(self, tokens: np.ndarray, weights: np.ndarray, first_new: int):
-        """``tokens``: all pieces, each followed by -1.  ``first_new``: id of the next token to be made."""
+    def __init__(self, tokens: np.ndarray, weights: np.ndarray, first_new: int, merges: list[tuple[int, int]] | None = None):
+        """``tokens``: all pieces, each followed by -1.  ``first_new``: id of the next token to be made.  ``merges``: those that
+        will be carried out, if known, so that only their places are recorded."""
         self.x = np.concatenate([[-1], tokens]).astype(np.int32)
         ends = np.flatnonzero(self.x == -1)
         self.w = np.concatenate([[0], np.repeat(weights, np.diff(ends))]).astype(np.int64)
@@ -60,7 +61,14 @@ class Pieces:
         self.prev = np.maximum(np.arange(-1, len(self.x) - 1), 0).astype(np.int32)
         self.first_new = first_new
         self.records: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.records[-1] = self._record(np.arange(len(self.x)))
+        places = np.arange(len(self.x))
+        if merges is not None:
+            left, right = np.zeros((2, first_new + 1), bool)  # the last is for -1
+            for a, b in merges:
+                if max(a, b) < first_new:
+                    left[a] = right[b] = True
+            places = np.flatnonzero(left[self.x[:-1]] & right[self.x[1:]])
+        self.records[-1] = self._record(places)
 
     def copy(self) -> Pieces:
         other = object.__new__(Pieces)
@@ -102,9 +110,12 @@ class Pieces:
         self.records[new] = made, made_at = self._record(np.unique(np.concatenate([self.prev[at], at])))
         return _grouped(np.concatenate([gone, made]), np.concatenate([-self.w[gone_at], self.w[made_at]]))
 
-    def flat(self) -> np.ndarray:
-        """The tokens as they were given to the constructor."""
-        return self.x[1:][self.x[1:] != -2]
+    def left(self, weights: np.ndarray) -> tuple[bytes, bytes]:
+        """Tokens and weights, as they were given to the constructor, of the pieces that still hold a pair."""
+        flat = self.x[1:][self.x[1:] != -2]
+        size = np.diff(np.flatnonzero(flat == -1), prepend=-1)
+        keep = size > 2  # with the -1 behind it
+        return flat[np.repeat(keep, size)].astype(np.int32).tobytes(), weights[keep].tobytes()
 
 
 # ---------------------------------------------------------------- blocks of pieces
@@ -136,10 +147,10 @@ def _to_blocks(batches):
         yield block()
 
 
-def _blocks_of(batches, first_new: int):
+def _blocks_of(batches, first_new: int, merges: list[tuple[int, int]]):
     for b in batches:
         for tokens, weights in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield Pieces(np.frombuffer(tokens, np.int32), np.frombuffer(weights, np.int64), first_new), weights
+            yield Pieces(np.frombuffer(tokens, np.int32), np.frombuffer(weights, np.int64), first_new, merges), weights
 
 
 class Corpus:
@@ -158,11 +169,10 @@ class Corpus:
         first, pending = self.done, self.pending
 
         def run(batches):
-            for block, weights in _blocks_of(batches, first):
+            for block, weights in _blocks_of(batches, first, pending):
                 for i, (a, b) in enumerate(pending):
                     block.merge(a, b, first + i)
-                yield pa.RecordBatch.from_arrays([pa.array([block.flat().astype(np.int32).tobytes()], pa.binary()),
-                                                  pa.array([weights], pa.binary())], ["tokens", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block.left(np.frombuffer(weights, np.int64))], ["tokens", "weights"])
         self.blocks = cut_lineage(self.blocks.mapInArrow(run, _BLOCK))
         self.done, self.pending = first + len(pending), []
 
@@ -171,7 +181,7 @@ class Corpus:
         first, pending = self.done, self.pending
 
         def run(batches):
-            for block, _ in _blocks_of(batches, first):
+            for block, _ in _blocks_of(batches, first, pending):
                 for i, (a, b) in enumerate(pending):
                     block.merge(a, b, first + i)
                 keys, n = block.counts()
@@ -189,7 +199,7 @@ class Corpus:
         start = first + len(pending)
 
         def run(batches):
-            for block, _ in _blocks_of(batches, first):
+            for block, _ in _blocks_of(batches, first, pending + guess):
                 for i, (a, b) in enumerate(pending):
                     block.merge(a, b, first + i)
                 parts = []
@@ -341,22 +351,38 @@ def replay(head: dict[int, int], bound: int, fresh: bool, guess: list[tuple[int,
     return [(names.get(guess[i][0], guess[i][0]), names.get(guess[i][1], guess[i][1])) for i in taken], exact, after
 
 
+def sampled(pieces: DataFrame, most: int) -> tuple[list[str], list[int]]:
+    """At most ``most`` pieces with weights: half of them the most frequent ones, the others every k-th (by hash) of the
+    remaining ones with k times their count, so that the sums of the weights stand for those of all pieces."""
+    frequent = [F.desc("count"), "piece"]
+    n = pieces.count()
+    top = pieces.orderBy(*frequent).limit(most if n <= most else most // 2).toArrow()
+    piece, count = top.column("piece").to_pylist(), top.column("count").to_pylist()
+    if n > most and piece:
+        k = -(-(n - len(piece)) // (most - len(piece)))
+        rest = pieces.where((F.col("count") < count[-1]) | ((F.col("count") == count[-1]) & (F.col("piece") > piece[-1])))
+        some = rest.where(F.pmod(F.xxhash64("piece"), F.lit(k)) == 0).limit(most - len(piece)).toArrow()
+        piece += some.column("piece").to_pylist()
+        count += [k * c for c in some.column("count").to_pylist()]
+    return piece, count
+
+
 def train(pieces: DataFrame, many: int, head: int = HEAD, sample: int = SAMPLE, guess: int = GUESS, rounds: list | None = None) -> list[tuple[int, int]]:
     """The first ``many`` merges over ``pieces`` (piece, count): always the pair of most occurrences, ties by the lowest pair.
     ``rounds``, if given, gets (guessed, accepted) of each round."""
     corpus = Corpus(pieces)
-    top = pieces.orderBy(F.desc("count"), "piece").limit(sample).toArrow()  # at most ``sample`` rows
-    guesser = Guesser(top.column("piece").to_pylist(), top.column("count").to_pylist())
+    guesser = Guesser(*sampled(pieces, sample))
     merges: list[tuple[int, int]] = []
     counts, bound = corpus.head(head)
-    fresh = True
+    fresh, now = True, guess
     while len(merges) < many and counts:
         first = 256 + len(merges)
-        guessed = guesser.guess(counts, first, min(guess, many - len(merges)))
+        guessed = guesser.guess(counts, first, min(now, many - len(merges)))
         found = corpus.changes(guessed, np.array(sorted(counts), np.int64), bound)
         taken, exact, counts = replay(counts, bound, fresh, guessed, found, first)
         if rounds is not None:
             rounds.append((len(guessed), len(taken)))
+        now = min(guess, max(GUESS_LEAST, 2 * len(taken)))  # merges guessed in vain cost as much as others
         fresh = False
         merges += taken
         corpus.carry_out(taken)

@@ -88,6 +88,36 @@ def test_blocks_are_written_anew(spark, monkeypatch):
     assert bpe.train(df, 120, guess=25) == trained(words, 120)
 
 
+def test_the_sample_stands_for_all_pieces(spark):
+    """Half of it the most frequent pieces; the others carry the weight of the remaining ones."""
+    words = {f"w{i}": 1000 if i < 10 else 1 + i % 3 for i in range(4000)}
+    df = spark.createDataFrame(list(words.items()), "piece string, count bigint").repartition(3)
+    piece, weight = bpe.sampled(df, 400)
+    assert len(piece) <= 400 and piece[:10] == sorted(piece[:10]) and weight[:200] == [words[p] for p in piece[:200]]
+    assert 0.7 < sum(weight) / sum(words.values()) < 1.3
+    assert sorted(zip(*bpe.sampled(df, 4000), strict=True)) == sorted(words.items()) and bpe.sampled(df, 0) == ([], [])
+
+
+def test_few_merges_are_guessed_after_wrong_guesses(spark):
+    rounds = []
+    df = spark.createDataFrame(list(pieces_of(2).items()), "piece string, count bigint").repartition(5)
+    bpe.train(df, 150, sample=30, guess=100, rounds=rounds)
+    assert all(n <= max(bpe.GUESS_LEAST, 2 * took) for (_, took), (n, _) in zip(rounds, rounds[1:]))
+
+
+def test_places_of_known_merges_are_enough():
+    words = pieces_of(9)
+    merges, flat = trained(words, 60), np.concatenate([np.append(np.frombuffer(w.encode(), np.uint8).astype(np.int64), -1) for w in words])
+    weights = np.array(list(words.values()), np.int64)
+    full, some = bpe.Pieces(flat, weights, 256), bpe.Pieces(flat, weights, 256, merges)
+    for i, (a, b) in enumerate(merges):
+        assert all(x.tolist() == y.tolist() for x, y in zip(full.merge(a, b, 256 + i), some.merge(a, b, 256 + i), strict=True))
+    assert len(some.records[-1][1]) < len(full.records[-1][1])
+    tokens, left = (np.frombuffer(x, t) for x, t in zip(some.left(weights), (np.int32, np.int64), strict=True))
+    pairs = lambda p: {k: n for k, n in zip(*(c.tolist() for c in p.counts()), strict=True) if n}
+    assert len(left) < len(weights) and pairs(bpe.Pieces(tokens, left, 316)) == pairs(full)
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_replay_takes_what_one_at_a_time_takes(seed):
     """Guesses in a wrong order: the replay takes a prefix of the right merges, and its counts are exact."""
