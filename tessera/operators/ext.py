@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,25 +116,43 @@ def bpe_tokenizer(merges) -> TokenizerSpec:
                          {s: TK.special_id(list(merges), s) for s in TK.SPECIAL_TOKENS})
 
 
+ENCODE_CHARS = 1 << 20
+
+
+def runs_of(texts: list[str], size: int):
+    """``texts`` in runs of at most ``size`` characters; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > size:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
+
+
 def encode_with(col, spec: TokenizerSpec, prepend: int | None = None):
-    """Encode a text column with a registered tokenizer (Arrow batches)."""
+    """Encode a text column with a registered tokenizer, texts of about ``ENCODE_CHARS`` characters at a time."""
     from pyspark.sql import types as T_
 
-    from tessera.session import ensure_shipped
+    from tessera.session import bound_batches, ensure_shipped
     ensure_shipped()
+    bound_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf(T_.ArrayType(T_.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:
-        ids = spec.encode_batch(s.fillna("").tolist())
         pre = [prepend] if prepend is not None else []
-        return pd.Series([pre + list(x) for x in ids])
+        return pd.Series([np.array(pre + list(x), np.int32) for some in runs_of(s.fillna("").tolist(), ENCODE_CHARS) for x in spec.encode_batch(some)],
+                         dtype=object)
     return _enc(F.col(col) if isinstance(col, str) else col)
 
 
 def decode_with(col, spec: TokenizerSpec):
     """Decode an id column with a registered tokenizer (Arrow batches)."""
-    from tessera.session import ensure_shipped
+    from tessera.session import bound_batches, ensure_shipped
     ensure_shipped()
+    bound_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf(T.StringType())
     def _dec(s: pd.Series) -> pd.Series:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import bpe
-from tessera.session import cut_lineage, ensure_shipped
+from tessera.session import bound_batches, cut_lineage, ensure_shipped
 
 # ---------------------------------------------------------------- fixed values
 SPECIAL_TOKENS = [
@@ -105,6 +105,7 @@ def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None
     """E3 as a column: pieces split natively, distinct pieces of a batch merged together (special-token text is not
     parsed).  ``prepend`` / ``append`` take a token id or a special-token name."""
     ensure_shipped()
+    bound_batches(SparkSession.getActiveSession())
     encoder = SparkSession.getActiveSession().sparkContext.broadcast(bpe.PieceEncoder(merges))  # vocabulary-sized
     before, after = _id(merges, prepend), _id(merges, append)
 
@@ -112,11 +113,13 @@ def encode(text, merges: list[tuple[int, int]], prepend: int | str | None = None
     def _enc(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in pieces:
             yield encoder.value.encode_lists(batch, before, after)
-    return _enc(pretokenize(text))
+    whole = F.col(text) if isinstance(text, str) else text
+    return _enc(pretokenize(text) if merges else F.array(F.coalesce(whole, F.lit(""))))  # without merges a text's ids are its bytes, however it is split
 
 
 def _decoded(ids: Column, tokens: list[bytes]) -> Column:
     ensure_shipped()
+    bound_batches(SparkSession.getActiveSession())
     table = SparkSession.getActiveSession().sparkContext.broadcast(bpe.token_table(tokens))  # vocabulary-sized
 
     @F.arrow_udf(T.BinaryType())

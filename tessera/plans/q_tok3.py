@@ -95,15 +95,21 @@ def stream_pack_rows(spark, sf):
     return rows.select("lane", "row_no", F.size("tokens").alias("n_tokens"), _md5("tokens").alias("tokens_md5"), "last_idx", "n_docs", "n_cropped")
 
 
-def order_feed(spark, sf, batches=3):
-    """The documents as a file stream of ``batches`` files, in order of doc_id."""
+FILE_ROWS, TRIGGER_FILES = 8192, 32
+
+
+def order_feed(spark, sf, batches=3, lane="doc_id div 64"):
+    """The documents as a file stream, written in ``batches`` runs of doc_id.  A run is dealt to files of about ``FILE_ROWS`` rows by
+    lane: a lane's rows of one run are in one file, and files of later runs come later, so a lane arrives in order of
+    doc_id however many files a micro-batch takes."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/feeds/{uuid.uuid4().hex}"
     top = docs.select(F.max("doc_id")).scalar()
+    files = max(1, -(-docs.count() // (batches * FILE_ROWS)))
     for i in range(batches):  # files are taken in the order in which they were written
-        docs.where(F.expr(f"doc_id * {batches}") >= i * (top + 1)).where(F.expr(f"doc_id * {batches}") < (i + 1) * (top + 1)).coalesce(1) \
-            .write.mode("append").parquet(folder)
-    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        docs.where(F.expr(f"doc_id * {batches}") >= i * (top + 1)).where(F.expr(f"doc_id * {batches}") < (i + 1) * (top + 1)) \
+            .repartition(files, F.expr(lane)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", min(files, TRIGGER_FILES)).parquet(folder)
 
 
 _RENDER_SQL = f"""

@@ -123,3 +123,31 @@ def test_table_forms_equal_the_column_forms(spark):
     assert TK.decode_table(broken, TK.vocab_table(spark, merges), "id").first().text == "h\ufffdi"
     tok = X.bpe_tokenizer(merges)
     assert tok.encode_batch([TEXTS[1]])[0] == want[1][1:-1] and tok.decode(want[1][1:-1]) == TEXTS[1]
+
+
+def test_byte_tokens_need_no_split(spark):
+    df = spark.createDataFrame([(1, "It's 1234  é\n"), (2, None), (3, "")], "id int, text string")
+    ids = TK.encode_table(df, [], "id", prepend="<|bos|>")
+    assert "regexp" not in ids._jdf.queryExecution().analyzed().toString().lower()
+    assert {r.id: r.ids for r in ids.collect()} == {1: [256, *"It's 1234  é\n".encode()], 2: [256], 3: [256]}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+def test_a_registered_tokenizer_gets_bounded_runs(spark, monkeypatch):
+    from tessera.operators import ext as X
+    assert list(X.runs_of(["ab", "c", "defg", "", "h"], 3)) == [["ab", "c"], ["defg"], ["", "h"]] and list(X.runs_of([], 3)) == []
+    spec = X.bpe_tokenizer([(97, 98)])
+    df = spark.createDataFrame([(1, "abé"), (2, None), (3, "")], "id int, text string").coalesce(1)
+    got = df.select("id", X.encode_with("text", spec, prepend=7).alias("ids"))
+    assert {r.id: r.ids for r in got.collect()} == {1: [7, 256, 195, 169], 2: [7], 3: [7]}
+
+
+def test_a_feed_of_many_files_keeps_lanes_in_order(spark, tmp_path, monkeypatch):
+    from tessera.plans import q_tok3 as Q
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 90)) for i in range(700)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda df: sorted((r.lane, r.row_no, r.tokens_md5, r.last_idx) for r in df.collect())
+    few = key(Q.stream_pack_rows(spark, str(tmp_path)))
+    monkeypatch.setattr(Q, "FILE_ROWS", 60)
+    monkeypatch.setattr(Q, "TRIGGER_FILES", 2)
+    assert few and key(Q.stream_pack_rows(spark, str(tmp_path))) == few
