@@ -195,6 +195,41 @@ def test_pages_with_an_article_are_aligned_too(spark):
     assert got == [(1, text(1), 2), (2, text(2), 2), (2, text(2), 2), (9, text(9), 0)]
 
 
+def test_blocks_beside_an_article_are_judged_by_the_neighbour(spark):
+    nav = "<nav><ul><li>Home<li>News</ul></nav>"
+    page = lambda i: f"{nav}<div>All stories</div><h1>Head {i}</h1><article><p>Quote.</p><p>Text {i}</p></article><p>Coda {i}</p><div>Since 1901</div>"
+    rows = [(i, f"http://a.org/x/{i}", page(i)) for i in range(6)]
+    rows += [(20, "http://alone.org/", page(20)), (21, None, page(21))]  # no neighbour
+    rows += [(30 + i, f"http://other.org/{i}", f"<div>Line {i}</div><article><p>Text {i}</p></article>") for i in range(2)]  # nothing in common
+    rows += [(40 + i, f"http://copies.org/{i}", page(40) + "<i>x</i>" * i) for i in range(2)]
+    rows += [(50, "http://near.org/a/1", page(50)), (51, "http://near.org/a/2", page(50)), (52, "http://near.org/b", page(52))]
+    got = {r["page_id"]: (r["text"].split("\n"), r["n_shared"]) for r in page_diff.extract(_pages(spark, rows)).collect()}
+    text = lambda i: [f"Head {i}", "Quote.", f"Text {i}", f"Coda {i}"]
+    assert all(got[i] == (text(i), 3) for i in range(6))
+    assert got[20] == (["Quote.", "Text 20"], 0) and got[21] == (["Quote.", "Text 21"], 0)
+    assert got[30] == (["Text 0"], 0) and got[31] == (["Text 1"], 0)
+    assert got[40] == (["Quote.", "Text 40"], 6) and got[41][0][:2] == ["Quote.", "Text 40"]
+    assert got[50] == (["Quote.", "Text 50"], 6) and got[51] == (text(50), 6) and got[52] == (text(52), 3)  # 51 is judged by 52, which is no copy
+
+
+def test_containers_in_doubt_are_judged_by_the_neighbour(spark):
+    page = lambda i, j: (f'<article><p>Quote.</p><div class="newsletter-signup-a"><p>Join us</p><p>It is free</p></div><p>Text {i}</p>'
+                         f'<section id="comments-on-war"><h2>War</h2><p>Own {j}</p></section><p>Join us</p><p class="share-price">Shares rose</p></article>')
+    got = {r["page_id"]: r["text"].split("\n") for r in page_diff.extract(_pages(spark, [
+        (1, "http://a.org/1", page(1, 1)), (2, "http://a.org/2", page(2, 2)), (3, "http://b.org/1", page(3, 3))])).collect()}
+    text = lambda i: ["Quote.", f"Text {i}", "War", f"Own {i}", "Join us", "Shares rose"]
+    assert got[1] == text(1) and got[2] == text(2) and got[3] == ["Quote.", "Join us", "It is free", *text(3)[1:]]
+
+
+def test_regions_of_all_blocks():
+    page = ('<nav><ul><li>Home<li>News</ul></nav>Top<article>One<div class="ad">buy<br>now</div><div class="promo-x">a<div>b</div></div>Two'
+            '<section id="share-y"><p>c</section>Three</article><p>End <span class="ad">x</span> of it<footer>f')
+    n, o, a, d = page_diff.NAMED, page_diff.OPEN, page_diff.ARTICLE, page_diff.DOUBT
+    assert [*zip(*page_diff.regions(page), strict=True)] == [
+        ("Home", n), ("News", n), ("Top", o), ("One", a), ("buy now", n), ("a", d), ("b", d), ("Two", a), ("c", d + 1), ("Three", a),
+        ("End", o), ("x", n), ("of it", o), ("f", n)]
+
+
 def test_shared_is_a_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(300):
